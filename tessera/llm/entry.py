@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 MODULES = {
     "op6_quality_rules": "quality_rules",
     "op9_mixing": "mixing",
+    "op8_pii": "pii",
 }
 
 
