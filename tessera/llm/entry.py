@@ -12,6 +12,7 @@ MODULES = {
     "op6_quality_rules": "quality_rules",
     "op9_mixing": "mixing",
     "op8_pii": "pii",
+    "op7_toxicity": "toxicity",
 }
 
 
