@@ -13,6 +13,8 @@ MODULES = {
     "op9_mixing": "mixing",
     "op8_pii": "pii",
     "op7_toxicity": "toxicity",
+    "op3_licenses": "licenses",
+    "op5_chat": "chat",
 }
 
 
