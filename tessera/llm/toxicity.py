@@ -11,7 +11,7 @@ that may be learned from. Only their sets of terms reach the driver. The model k
 label is beyond chance (chi-square of 10 or more); others would only describe single documents. Scoring
 reads every whole text once, without any exchange; the model that goes to the executors has 2 ** 18 terms at most.
 
-Defined cases: a null or empty text has no terms and gets the bias alone; without labels to learn from every score is 0.5 and
+Defined cases: a null or empty text has no terms and gets the bias alone; without labels to learn from every score is just below 0.5 and
 no document is marked; a label whose id is absent is not used; an id with several labels is not learned from if they differ;
 equal texts get equal scores; an empty table gives an empty result; extra columns are not read.
 """
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import cut, table
 
 DIM = 1 << 18
 SAMPLE = 20_000
@@ -104,21 +104,18 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.logit(self.terms(text)), -30, 30))))
 
 
-def associated(sets: list[np.ndarray], marked: np.ndarray) -> np.ndarray:
-    """Chi-square of each term with the label; 0 for terms of fewer than LEAST_DOCS sets."""
-    count = lambda some: np.bincount(np.concatenate(some) if some else np.zeros(0, np.int64), minlength=DIM).astype(float)
-    df, both = count(sets), count([s for s, y in zip(sets, marked) if y])
-    n, m = len(sets), marked.sum()
+def associated(df: np.ndarray, both: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Chi-square of each term with the label, from how many of n sets and of the m marked ones hold it; 0 for terms of fewer than LEAST_DOCS sets."""
+    df, both = df.astype(float), both.astype(float)
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = n * (both * (n - m - df + both) - (df - both) * (m - both)) ** 2 / (df * (n - df) * m * (n - m))
     return np.where(np.isfinite(chi) & (df >= LEAST_DOCS), chi, 0.0)
 
 
-def fit(sets: list[np.ndarray], marked: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 7, rate: float = 0.1, shrink: float = 2e-4) -> Model:
-    """Minimises the logistic loss by AdaGrad over batches, in the order of a fixed random generator."""
+def fit(sets: list[np.ndarray], marked: np.ndarray, ids: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 7, rate: float = 0.1, shrink: float = 2e-4) -> Model:
+    """Minimises the logistic loss over terms ids by AdaGrad over batches, in the order of a fixed random generator."""
     if not len(sets) or marked.min() == marked.max():
-        return Model(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros((0, factors)), 0.0 if not len(sets) else (20.0 if marked[0] else -20.0))
-    ids = np.flatnonzero(associated(sets, marked) >= LEAST_CHI_SQUARE)
+        return Model(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros((0, factors)), -1e-6 if not len(sets) else (20.0 if marked[0] else -20.0))
     place = np.full(DIM, -1, dtype=np.int64)
     place[ids] = np.arange(len(ids))
     # The last row stands for the bias and for padding: in every set, with no factors.
@@ -155,19 +152,49 @@ def fit(sets: list[np.ndarray], marked: np.ndarray, factors: int = FACTORS, epoc
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from docs (doc_id, text) and labels (doc_id, toxic), of which at most sample rows are read."""
+    """A model from docs (doc_id, text) and labels (doc_id, toxic), of which at most sample rows are read.
+
+    The sample's sets stay on the executors, in a checkpoint. The driver gets how many sets hold each of the 2 ** 18 terms, and then
+    the sets without the terms that the model leaves out.
+    """
     one = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
-    chosen = one.where("toxic = most").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = one.where("toxic = most").select("doc_id", (F.col("toxic") > 0).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def sets(frames):
         for frame in frames:
             got = [np.array(sorted(terms(t)), dtype=np.int32).tobytes() for t in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "toxic": frame["toxic"], "terms": got})
 
-    # At most sample rows of two numbers: small enough to be sent to every executor.
+    # At most sample rows of two values: small enough to be sent to every executor.
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    rows = found.mapInPandas(sets, "doc_id long, toxic int, terms binary").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    return fit([np.frombuffer(b, dtype=np.int32).astype(np.int64) for b in rows["terms"]], (rows["toxic"].to_numpy() > 0).astype(float))
+    seen = cut(found.mapInPandas(sets, "doc_id long, toxic boolean, terms binary"))
+
+    def counts(frames):
+        df, both = np.zeros(DIM, np.int64), np.zeros(DIM, np.int64)
+        n = m = 0
+        for frame in frames:
+            for y, b in zip(frame["toxic"], frame["terms"]):
+                df[at := np.frombuffer(b, dtype=np.int32)] += 1
+                n, m = n + 1, m + bool(y)
+                if y:
+                    both[at] += 1
+        at = np.flatnonzero(df)
+        yield pd.DataFrame({"term": np.append(at, -1), "df": np.append(df[at], n), "both": np.append(both[at], m)})
+
+    total = seen.mapInPandas(counts, "term int, df long, both long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("both").alias("both")).toPandas()
+    df, both = np.zeros(DIM + 1, np.int64), np.zeros(DIM + 1, np.int64)
+    df[total["term"]], both[total["term"]] = total["df"], total["both"]
+    ids = np.flatnonzero(associated(df[:-1], both[:-1], df[-1], both[-1]) >= LEAST_CHI_SQUARE)
+
+    def kept(frames):
+        known = np.zeros(DIM, bool)
+        known[ids] = True
+        for frame in frames:
+            yield frame.assign(terms=[at[known[at]].tobytes() for at in (np.frombuffer(b, dtype=np.int32) for b in frame["terms"])])
+
+    # Rows of an id that occurs twice count as rows of their own; the order makes reruns agree.
+    rows = seen.mapInPandas(kept, seen.schema).toPandas().sort_values(["doc_id", "terms"])
+    return fit([np.frombuffer(b, dtype=np.int32) for b in rows["terms"]], rows["toxic"].to_numpy(dtype=float), ids)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
