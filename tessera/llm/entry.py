@@ -14,6 +14,7 @@ MODULES = {
     "op8_pii": "pii",
     "op7_toxicity": "toxicity",
     "op3_licenses": "licenses",
+    "op2_html_extract": "html_extract",
     "op5_chat": "chat",
 }
 
