@@ -15,6 +15,7 @@ MODULES = {
     "op7_toxicity": "toxicity",
     "op3_licenses": "licenses",
     "op2_html_extract": "html_extract",
+    "op10_topk": "topk",
     "op5_chat": "chat",
 }
 
