@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 #: Query name -> module that holds the function of that name; SQL, where there is any, is the module's SQL.
 MODULES = {
+    "op1_ngram_join": "ngram_join",
     "op6_quality_rules": "quality_rules",
     "op9_mixing": "mixing",
     "op8_pii": "pii",
