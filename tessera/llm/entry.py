@@ -16,6 +16,7 @@ MODULES = {
     "op7_toxicity": "toxicity",
     "op3_licenses": "licenses",
     "op2_html_extract": "html_extract",
+    "op4_packing": "packing",
     "op10_topk": "topk",
     "op5_chat": "chat",
 }
