@@ -39,6 +39,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_rows(docs: DataFrame) -> Column:
+    """A row of docs as one value, so that helper columns beside it clash with none of its names."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, however often body uses it."""
     return F.transform(F.array(value), body).getItem(0)

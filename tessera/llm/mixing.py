@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, cut, table
+from tessera.llm.common import WORD, cut, table, whole_rows
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -73,7 +73,7 @@ def mixed(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",), weights: tupl
     """carried, size, source_size, target, copies and taken, a row for each row of docs (doc_id, text, source)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = (
-        docs.select(*[F.col(c).alias(f"k_{c}") for c in carried], F.col("doc_id").alias("id"), "source", text.alias("t"))
+        docs.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in carried], F.col("doc_id").alias("id"), "source", text.alias("t"))
         .withColumn("size", F.regexp_count("t", F.lit(WORD)).cast("long"))
         .withColumn("p", order(F.col("id"), quality_weight(F.col("t"), F.col("size")), seed))
         .withColumns({"range": F.least(F.floor(F.col("p") * RANGES), F.lit(RANGES - 1)).cast("int"), "row": F.monotonically_increasing_id()})
@@ -119,18 +119,18 @@ def op9_mixing(spark, sf_dir: str) -> DataFrame:
 
 def resample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
     """docs with each row as many times as the mix takes it; columns stay as they are."""
-    numbered = docs.withColumn("__text", F.xxhash64("text"))
-    taken = mixed(numbered, ("doc_id", "source", "__text"), weights, seed).where("copies > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("__text").alias("__hash")).agg(F.sum("copies").alias("__sum"), F.count(F.lit(1)).alias("__rows"))
-    pair = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__text") == F.col("__hash"))
+    own = docs.select("doc_id", "text", "source", F.xxhash64("text").alias("hash"))
+    taken = mixed(own, ("doc_id", "source", "hash"), weights, seed).where("copies > 0")
+    taken = taken.groupBy(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("hash").alias("t_hash")).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    numbered = docs.select(whole_rows(docs).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("src"), F.xxhash64("text").alias("hash"))
+    pair = F.col("id").eqNullSafe(F.col("t_id")) & F.col("src").eqNullSafe(F.col("t_source")) & (F.col("hash") == F.col("t_hash"))
     # Rows equal in id, source and text share what the mix takes of them.
-    at = F.row_number().over(Window.partitionBy("__id", "__source", "__hash").orderBy(F.lit(1)))
-    lone = numbered.join(taken.where("__rows = 1"), pair).withColumn("__copies", F.col("__sum"))
-    rest = numbered.join(taken.where("__rows > 1"), pair)
-    rest = rest.withColumn("__copies", F.expr("__sum div __rows") + F.when(at <= F.col("__sum") % F.col("__rows"), 1).otherwise(0))
-    out = lone.unionByName(rest)
-    out = out.where("__copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    at = F.row_number().over(Window.partitionBy("t_id", "t_source", "t_hash").orderBy(F.lit(1)))
+    lone = numbered.join(taken.where("rows = 1"), pair).select("row", "copies")
+    rest = numbered.join(taken.where("rows > 1"), pair).withColumn("at", at)
+    rest = rest.select("row", (F.expr("copies div rows") + F.when(F.col("at") <= F.col("copies") % F.col("rows"), 1).otherwise(0)).alias("copies"))
+    out = lone.unionByName(rest).where("copies > 0")
+    return out.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 SQL = r"""

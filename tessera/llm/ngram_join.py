@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, stored, table
+from tessera.llm.common import cut, stored, table, whole_rows
 
 SHINGLE = 5
 #: The least similarity, as a fraction.
@@ -326,8 +326,8 @@ def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with the first document (by doc_id, then by place) of each class; columns stay as they are."""
     rows = classes(docs)
-    kept = rows.groupBy("class_uid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "uid", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
-    marked = docs.withColumn("__text", F.xxhash64("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "uid", "text_hash")).alias("k")
+    kept = rows.groupBy("class_uid").agg(first).select(F.col("k.doc_id").alias("k_id"), F.col("k.text_hash").alias("k_hash")).distinct()
+    marked = docs.select(whole_rows(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
     # Rows equal in id and text are of one class, which keeps one.
-    return marked.join(kept.distinct(), same).dropDuplicates(["__id", "__hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return marked.join(kept, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("hash") == F.col("k_hash"))).dropDuplicates(["id", "hash"]).select("row.*")

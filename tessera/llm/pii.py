@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, table
+from tessera.llm.common import let, table, whole_rows
 
 ROUNDS = 10
 KEY = "tessera-demonstration-key"
@@ -187,6 +187,6 @@ def op8_pii(spark, sf_dir: str) -> DataFrame:
 
 def with_pseudonyms(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with pseudonyms in text, and n_chars after it where there is that column."""
-    marked = docs.withColumn("__p", pseudonymised(F.col("text"), key)["text"])
-    new = {"text": F.col("__p"), "n_chars": F.length("__p").cast("long")}
-    return marked.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.select(whole_rows(docs).alias("row"), pseudonymised(F.col("text"), key)["text"].alias("new"))
+    new = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}
+    return marked.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, let, words
+from tessera.llm.common import cut, let, whole_rows, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -165,7 +165,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     Verdicts follow from the text alone, so they come back by document and text hash: one narrow
     row for each pair, which spreads copies over their ids.
     """
-    keys = [F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__text")]
-    good = judged(docs.select("doc_id", "text"), keys).where("kept").select("__id", "__text").distinct()
-    marked = docs.withColumn("__text", F.xxhash64("text")).alias("d")
-    return marked.join(good.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.__id")) & (F.col("d.__text") == F.col("g.__text")), "left_semi").drop("__text")
+    keys = [F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")]
+    good = judged(docs.select("doc_id", "text"), keys).where("kept").select("id", "hash").distinct()
+    rows = docs.select(whole_rows(docs).alias("row"), *keys)
+    return rows.alias("d").join(good.alias("g"), F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.hash") == F.col("g.hash")), "left_semi").select("row.*")

@@ -75,7 +75,7 @@ class Model:
         return (own, starts) if own or starts else None
 
     def terms(self, text: str | None) -> set[int]:
-        """The terms of a text that the model knows."""
+        """Terms of a text, with all that the model knows."""
         if len(self.of_word) > 500_000:
             self.of_word.clear()
         found: set[int] = set()

@@ -1,0 +1,85 @@
+from datetime import date
+
+from pyspark.sql import functions as F
+
+from tessera.llm import chat, licenses, pii
+
+
+def luhn(s: str) -> bool:
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
+
+
+def new(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    return [r["p"] for r in df.select("i", pii.pseudonymised(F.col("t")).alias("p")).orderBy("i").collect()]
+
+
+def test_cards_stay_valid_and_linked(spark):
+    a, b, c, d = new(spark, ["pay 4111111111111111 now", "4111-1111-1111-1111", "4111111111111112", "4111 1111 1111 1111 4111 1111 1111 1111"])
+    card = a["text"].split()[1]
+    assert luhn(card) and card != "4111111111111111" and card[0] == "4" and len(card) == 16
+    assert b["text"].replace("-", "") == card and b["n_card"] == 1
+    assert c["text"] == "4111111111111112" and c["n_card"] == 0
+    assert d["n_card"] == 2 and d["text"].replace(" ", "") == card * 2
+
+
+def test_dates_are_permuted_within_the_calendar(spark):
+    out = new(spark, ["on 2024-02-29.", "29/02/2024", "30.02.2024", "1600-01-01"])
+    day = date.fromisoformat(out[0]["text"][3:13])
+    assert out[1]["text"] == day.strftime("%d/%m/%Y")
+    assert [out[2]["text"], out[3]["text"]] == ["30.02.2024", "1600-01-01"]
+
+
+def test_feistel_is_a_permutation(spark):
+    rows = spark.range(189 * 7).select((F.col("id") % 189).alias("a"), F.floor(F.col("id") / 189).alias("b"))
+    s = pii.feistel(F.col("a"), F.col("b"), F.lit(189).cast("long"), F.lit(7).cast("long"), "t", "k")
+    assert rows.select(s.alias("s")).select("s.a", "s.b").distinct().where("a between 0 and 188 and b between 0 and 6").count() == 189 * 7
+    digits = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d")).select(pii.permuted_digits(F.col("d"), "t", "k").alias("p"))
+    assert digits.where("length(p) = 3").distinct().count() == 1000
+
+
+def test_kinds(spark):
+    t = 'x a.b@mail.example.com, +1 (048) 555-4142 152.143.123.131### 300.1.1.1 123-45-6789 token = "f4263ddb94c4e535f394d37397b31071c0a45f5c" end'
+    (p,) = new(spark, [t])
+    assert [p[f"n_{k}"] for k in ("email", "phone", "ip", "ssn", "secret")] == [1, 1, 1, 1, 1]
+    for gone in ("a.b@mail", "(048) 555-4142", "152.143.123.131", "123-45-6789", "f4263ddb94c4e535"):
+        assert gone not in p["text"]
+    assert "300.1.1.1" in p["text"] and p["text"].startswith("x u") and p["text"].endswith("end") and "+1 (" in p["text"]
+
+
+def test_pseudonyms_on_odd_rows(docs, no_docs):
+    out = pii.with_pseudonyms(docs)
+    assert out.columns == docs.columns
+    old = sorted((r["text"] is None, r["text"] or "") for r in docs.collect())
+    got = sorted((r["text"] is None, r["text"] or "") for r in out.collect())
+    assert len(old) == len(got) and sum(a != b for a, b in zip(old, got)) == 1
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in out.collect())
+    assert pii.with_pseudonyms(no_docs).count() == 0
+
+
+def test_licenses(spark, docs, no_docs):
+    mit = next(t for n, t in licenses.KNOWN if n == "MIT")
+    texts = ["Copyright (c) 2020 Someone\n\n" + mit.upper(), mit.replace("sublicense", "sub-license"), mit + " more", "prose\nReleased under the MIT License!\nLicensed under CC BY-NC 4.0.\nReleased under the MIT licence", None, ""]
+    out = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["license"] for r in out] == ["MIT", "MIT", None, None, None, None]
+    assert out[3]["notices"] == "CC-BY-NC-4.0,MIT" and out[4]["digest"] == out[5]["digest"]
+    assert licenses.scan(docs).count() == docs.count() and licenses.scan(no_docs).count() == 0
+
+
+def test_snapshots_collapse(spark):
+    turns = {1: "ab", 2: "abc", 3: "abcd", 4: "abx", 5: "abcd", 6: "b", 7: "abcdz", 8: "q"}
+    rows = [(c, i, "user" if i % 2 == 0 else "assistant", t, "x") for c, ts in turns.items() for i, t in enumerate(ts)]
+    rows += [(None, 0, "user", "a", "x"), (None, 0, "user", "lone", "x"), (None, 0, "user", "lone", "x"), (9, None, None, None, "x"), (10, 0, "unknown", "", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, pos string")
+    out = {(r["conv_id"], r["text"]): (r["n_turns"], r["n_copies"]) for r in chat.rendered(df).collect()}
+    said = lambda ts: "".join(f"<|{'user' if i % 2 == 0 else 'assistant'}|>\n{t}\n" for i, t in enumerate(ts))
+    assert out == {(4, said("abx")): (3, 1), (6, said("b")): (1, 1), (7, said("abcdz")): (5, 1), (8, said("q")): (1, 1), (None, said(["lone"])): (1, 2), (9, "<|unknown|>\n\n"): (1, 1), (10, "<|unknown|>\n\n"): (1, 1)}
+    assert chat.rendered(df.limit(0)).count() == 0
+
+
+def test_long_conversations_and_equal_beginnings(spark):
+    rows = [(c, i, "user", f"t{i}" if i < 40 else f"t{i}-{c}") for c in range(50) for i in range(20 + c)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {c: tuple(r[3] for r in rows if r[0] == c) for c in range(50)}
+    want = {c for c in whole if not any(d != c and whole[d][: len(whole[c])] == whole[c] and (len(whole[d]) > len(whole[c]) or d < c) for d in whole)}
+    assert {r["conv_id"] for r in chat.rendered(df).collect()} == want
