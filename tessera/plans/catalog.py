@@ -72,7 +72,9 @@ def _vectors(name: str, rows: str) -> str:
 _HYBRID = f"""{_BM25},{_sparse()},{_vectors('dv', 'tf')},{_vectors('qv', '(SELECT query_id AS id, term, tf FROM qtf)')},
 dense AS (
   SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
-  FROM (SELECT q.id AS query_id, d.id, round(sum(q.v * d.v), 6) + 0.0 AS score FROM qv q JOIN dv d USING (dim) GROUP BY ALL)),
+  FROM (SELECT q.id AS query_id, d.id, round(coalesce(s, 0) + CAST(1e-9 AS DOUBLE), 6) + 0.0 AS score
+        FROM (SELECT DISTINCT id FROM qv) q CROSS JOIN (SELECT DISTINCT id FROM dv) d
+        LEFT JOIN (SELECT q.id AS qid, d.id AS did, sum(q.v * d.v) AS s FROM qv q JOIN dv d USING (dim) GROUP BY ALL) p ON p.qid = q.id AND p.did = d.id)),
 fused AS (
   SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
   FROM (SELECT query_id, id, round(sum(CAST(1 AS DOUBLE) / (60 + rank)), 8) AS score
@@ -80,7 +82,7 @@ fused AS (
 
 _COSINE = """
 pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS score
+  SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) + CAST(1e-9 AS DOUBLE), 6) AS score
   FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM pairs)"""
 
