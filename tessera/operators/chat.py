@@ -68,15 +68,18 @@ def within_window(rows: DataFrame, ts: str, seconds: int = DEFAULT.feedback_wind
 def first_seen(events: DataFrame, ttl_s: int = DEFAULT.dedupe_ttl_s) -> DataFrame:
     """Events (key, ts_us, event_id) that are no duplicates: the first of a key, and each that comes ttl or more after the last one kept."""
 
-    def of_key(frame: pd.DataFrame) -> pd.DataFrame:
-        kept, until = [], None
-        for i, t in enumerate(frame.sort_values(["ts_us", "event_id"])["ts_us"]):
-            if until is None or until <= t:
-                kept.append(i)
-                until = t + ttl_s * 1_000_000
-        return frame.sort_values(["ts_us", "event_id"]).iloc[kept]
-
-    return events.select("key", "ts_us", "event_id").groupBy("key").applyInPandas(of_key, "key string, ts_us long, event_id long")
+    def kept(frames):
+        key, until = None, None  # carried over frames: a key's events may be more than one of them
+        for frame in frames:
+            stay = []
+            for i, (k, t) in enumerate(zip(frame["key"], frame["ts_us"])):
+                if k != key or until <= t:
+                    stay.append(i)
+                    key, until = k, t + ttl_s * 1_000_000
+            yield frame.iloc[stay]
+
+    rows = events.select("key", "ts_us", "event_id").repartition("key").sortWithinPartitions("key", "ts_us", "event_id")
+    return rows.mapInPandas(kept, "key string, ts_us long, event_id long")
 
 
 def running_stage(events: DataFrame, keys: list[str], order: list[str], stage: Column) -> DataFrame:
