@@ -34,7 +34,9 @@ from tessera.llm.common import cut, stored, table, whole_rows
 SHINGLE = 5
 #: The least similarity, as a fraction.
 NUM, DEN = 4, 5
-RUNS, SMALL, CELL, BLOCK, SKETCH = 10, 256, 1024, 512, 64
+RUNS, SMALL, CELL, BLOCK, SKETCH = 10, 256, 512, 512, 64
+#: Rows that a worker turns into sets before it hands them on.
+SLICE = 512
 #: Estimated similarity from which sketches tie two sets; four deviations below the threshold.
 TIE = 0.6
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,7 +62,7 @@ class Shingler:
         self.of: dict[str, int] = {}
 
     def words(self, text: str | None) -> np.ndarray:
-        if len(self.of) > 500_000:
+        if len(self.of) > 250_000:
             self.of.clear()
         found, of = _WORD.findall(text or ""), self.of
         out = []
@@ -109,14 +111,16 @@ def sets(docs: DataFrame) -> DataFrame:
 
     def rows(frames):
         shingler = Shingler()
+        names = ["doc_id", "text_hash", "digest", "n", "tokens", "sketch", "paths"]
         for frame in frames:
-            out = []
-            for doc_id, text_hash, text in zip(frame["doc_id"], frame["text_hash"], frame["text"]):
-                s = shingler.set(text)
-                x = _mix(s.astype(np.uint64) + np.uint64(1))
-                own = (hashlib.md5(s.tobytes()).digest(), len(s), s.tobytes(), sketch(x, factors, terms), paths(x, runs)) if len(s) else (None, 0, b"", b"", [])
-                out.append((doc_id, text_hash, *own))
-            yield pd.DataFrame(out, columns=["doc_id", "text_hash", "digest", "n", "tokens", "sketch", "paths"]).astype({"doc_id": "Int64", "text_hash": "int64", "n": "int32"})
+            for at in range(0, len(frame), SLICE):
+                out, part = [], frame.iloc[at : at + SLICE]
+                for doc_id, text_hash, text in zip(part["doc_id"], part["text_hash"], part["text"]):
+                    s = shingler.set(text)
+                    x = _mix(s.astype(np.uint64) + np.uint64(1))
+                    own = (hashlib.md5(s.tobytes()).digest(), len(s), s.tobytes(), sketch(x, factors, terms), paths(x, runs)) if len(s) else (None, 0, b"", b"", [])
+                    out.append((doc_id, text_hash, *own))
+                yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64", "text_hash": "int64", "n": "int32"})
 
     schema = "doc_id long, text_hash long, digest binary, n int, tokens binary, sketch binary, paths array<struct<k1:long,k2:long>>"
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInPandas(rows, schema)
@@ -182,9 +186,10 @@ def _groups(frame: pd.DataFrame, keys: list[str]) -> tuple[np.ndarray, np.ndarra
 
 def _labels(near: np.ndarray) -> np.ndarray:
     """For each row of a symmetric matrix of links the smallest row of its component."""
-    label = np.arange(len(near))
+    label = np.arange(len(near), dtype=np.int32)
+    none = np.int32(len(near))
     while True:
-        new = np.minimum(label, np.where(near, label[None, :], len(near)).min(1, initial=len(near)))
+        new = np.minimum(label, np.where(near, label[None, :], none).min(1, initial=none))
         new = new[new]
         if (new == label).all():
             return label
@@ -237,7 +242,7 @@ def shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
     out = np.zeros((len(a), len(b)), np.float64)
-    width = max(64, 4_000_000 // len(size))
+    width = max(64, 2_000_000 // len(size))
     for low in range(0, int(many.sum()), width):
         lo, hi = np.searchsorted(col, [low, low + width])
         part = np.zeros((len(size), width), np.float32)
@@ -278,6 +283,15 @@ def verified(grouped: DataFrame) -> DataFrame:
     return rows.mapInPandas(check, "uid long, links long, root long, blocks int")
 
 
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows of which most have no uid in ids, before they are exchanged: a bit for each of 2 ** 23 hashes of ids, a table of 131,072 rows at most, goes to every executor."""
+    at = F.pmod(F.xxhash64("uid"), F.lit(1 << 23))
+    word, bit = F.shiftright(at, 6).cast("int"), F.pmod(at, F.lit(64)).cast("int")
+    bits = ids.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("word").agg(F.bit_or("b").alias("bits"))
+    marked = rows.withColumns({"word": word, "bit": bit}).join(F.broadcast(bits), "word")
+    return marked.where(F.call_function("getbit", F.col("bits"), F.col("bit")) == 1).drop("word", "bit", "bits")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """uid, doc_id, text_hash, class_uid and n_links, a row for each row of docs (doc_id, text)."""
     all_sets = sets(docs)
@@ -286,20 +300,20 @@ def classes(docs: DataFrame) -> DataFrame:
     reps = named.select(F.col("rep").alias("uid"), "copies")
 
     # Buckets: small ones at the first sampled token, others below it.
-    nodes = all_sets.where("digest is not null").select("uid", F.explode("paths").alias("p")).select("uid", "p.k1", "p.k2").join(reps.select("uid"), "uid")
+    nodes = all_sets.where("digest is not null").select("uid", "paths").join(reps.select("uid"), "uid").select("uid", F.explode("paths").alias("p")).select("uid", "p.k1", "p.k2")
     top = nodes.select("uid", "k1").distinct()
     sizes = stored(top.groupBy("k1").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     met = stored(nodes.join(sizes, "k1"))
     low = met.where((F.col("size") > SMALL) & F.col("k2").isNotNull()).select("uid", F.col("k2").alias("leaf")).distinct()
     low_sizes = low.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     leaves = met.where(F.col("size") <= SMALL).select(F.col("k1").alias("leaf"), "size", "uid").distinct().unionByName(low.join(low_sizes, "leaf").select("leaf", "size", "uid"))
-    marks = all_sets.select("uid", "sketch")
-    groups = components(ties(leaves.join(marks, "uid")))
+    groups = components(ties(leaves.join(all_sets.select("uid", "sketch"), "uid")))
 
     # Exact comparison within groups.
     groups = stored(groups)
     counted = groups.join(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root").select(F.col("root").alias("comp"), "size", F.col("node").alias("uid")).join(reps, "uid")
-    done = stored(verified(counted.join(all_sets.select("uid", "tokens"), "uid")))
+    tokens = only(all_sets.select("uid", "tokens"), groups.select(F.col("node").alias("uid")))
+    done = stored(verified(counted.join(tokens, "uid")))
     links = done.groupBy("uid").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("blocks").alias("blocks"))
     wide = components(done.where("blocks > 1").select(F.col("uid").alias("a"), F.col("root").alias("b")))
     links = links.join(wide.withColumnRenamed("root", "wide"), links["uid"] == wide["node"], "left")
