@@ -22,6 +22,7 @@ from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
@@ -256,7 +257,9 @@ def extracted(pages: DataFrame) -> DataFrame:
             found = [extract(h) for h in frame["html"]]
             yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": found, "n_chars": [len(t) for t in found]})
 
-    return pages.select("page_id", "url", "html").mapInPandas(texts, "page_id long, url string, text string, n_chars long")
+    # Ids pass Python as strings: pandas would turn a column with nulls into floats.
+    out = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html").mapInPandas(texts, "page_id string, url string, text string, n_chars long")
+    return out.withColumn("page_id", F.col("page_id").cast("long"))
 
 
 def op2_html_extract(spark, sf_dir: str) -> DataFrame:

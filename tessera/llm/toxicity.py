@@ -206,7 +206,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "score": [own.score(t) for t in frame["text"]]})
 
-    return docs.select("doc_id", "text").mapInPandas(score, "doc_id long, score double")
+    # Ids pass Python as strings: pandas would turn a column with nulls into floats.
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(score, "doc_id string, score double")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -18,7 +18,7 @@ def rows() -> list[tuple]:
     near[60] = "changed"
     texts = [base, base, " ".join(near), prose(2, 60), None, "", " \n\t ", "one", prose(3, 30_000), "x" * 200_000, "it's 4111111111111111 and a.b@c.org, +1 (555) 123-4567", (prose(4, 9) + " ") * 20]
     out = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
-    out += [out[0], (0, prose(5, 25), "de", None, 1), (None, prose(6, 40), None, None, None), (None, None, None, None, None)]
+    out += [out[0], (0, prose(5, 25), "de", None, 1), (None, prose(6, 40), None, None, None), (None, None, None, None, None), (2**60 + 1, prose(7, 45), "en", "s1", 1)]
     return [(*r, "s", "u", "n", "t", "c", "k", "x") for r in out]
 
 
