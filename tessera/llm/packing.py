@@ -9,7 +9,7 @@ A shard is a run of documents of one partition with about two million tokens: it
 many documents there are, and no document is exchanged. Document frequencies and the mean length are those of all documents (the
 vocabulary has 49,408 ids, so they are a bounded table). Ids in over a tenth of all documents are stop terms of the retrieval.
 
-The tokenizer splits a normalised text by one pattern and merges within each part, so parts are encoded once per worker
+The tokenizer splits a normalised text by one pattern and merges within each part, so words are encoded once per task
 and looked up after that; tests hold the ids against the tokenizer's own on whole texts.
 
 Defined cases: a null text counts as an empty one, whose ids are the end mark alone; very long texts are cut over many windows; repeated rows and ids are
@@ -19,7 +19,6 @@ documents of their own; documents without a common term follow in their order; a
 from __future__ import annotations
 
 import itertools
-import sys
 import unicodedata
 import zlib
 
@@ -38,7 +37,7 @@ VOCABULARY = 1 << 16
 SHARD_TOKENS = 2_000_000
 STOP_SHARE = 0.1
 K1, B = 1.2, 0.75
-KNOWN_PARTS = 500_000
+KNOWN_WORDS, KNOWN_PARTS = 500_000, 300_000
 
 
 def default_tokenizer() -> str:
@@ -47,53 +46,64 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _letters() -> list[str]:
+    """The letter of each byte in a byte-level vocabulary: printable bytes stand for themselves, the others for the letters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    more = itertools.count(256)
+    return [chr(b) if b in plain else chr(next(more)) for b in range(256)]
+
+
+class _Lookup(dict):
+    """A bounded table that makes what it lacks."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        found = self[key] = self.make(key)
+        return found
+
+
 class Encoder:
-    """Ids of whole texts, as little-endian unsigned 16-bit bytes."""
+    """Ids of whole texts, as little-endian unsigned 16-bit bytes.
+
+    No part crosses white space, so words are looked up as wholes; one that is new is split into parts, and a new part is merged by the vocabulary's model.
+    """
 
     #: Fixed value: the pattern that splits a normalised text, as in the vocabulary file.
     PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+    #: What str.split() takes for white space and the vocabulary doesn't.
+    SEPARATORS = regex.compile("[\x1c-\x1f]")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer
 
-        self.whole, self.part = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.part.normalizer = normalizers.Sequence([])
+        self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    @classmethod
-    def of_worker(cls, path: str) -> Encoder:
-        """One for all tasks of a Python worker."""
-        held = sys.__dict__.setdefault("_tessera_encoders", {})
-        if path not in held:
-            held[path] = cls(path)
-        return held[path]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.PARTS.findall(unicodedata.normalize("NFC", t).replace("Σ", "σ").lower()) for t in texts]
-        if len(self.known) > KNOWN_PARTS:
-            self.known.clear()
-        known = self.known
-        new = list(set(itertools.chain.from_iterable(parts)) - known.keys())
-        for p, e in zip(new, self.part.encode_batch(new, add_special_tokens=False)):
-            known[p] = np.array(e.ids, dtype="<u2").tobytes()
-        end = np.array([END], dtype="<u2").tobytes()
-        out = [b"".join(map(known.__getitem__, p)) + end for p in parts]
-        for i, t in enumerate(texts):
-            if any(s in t for s in self.special):
-                out[i] = np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes() + end
-        return out
+        model, letters = self.whole.model, _letters()
+        merge = lambda p: np.array([t.id for t in model.tokenize(p if p.isascii() and p.isprintable() else "".join(letters[b] for b in p.encode()))], dtype="<u2").tobytes()
+        self.parts = _Lookup(merge, KNOWN_PARTS)
+        self.words = _Lookup(lambda w: b"".join(map(self.parts.__getitem__, self.PARTS.findall(w))), KNOWN_WORDS)
+        self.end = np.array([END], dtype="<u2").tobytes()
+
+    def encode(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes() + self.end
+        plain = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if self.SEPARATORS.search(plain):
+            return b"".join(map(self.parts.__getitem__, self.PARTS.findall(plain))) + self.end
+        return b"".join(map(self.words.__getitem__, plain.split())) + self.end
 
 
 def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id and ids, a row for each row of docs: a stored table."""
 
     def rows(frames):
-        encoder = Encoder.of_worker(tokenizer)
+        encoder = Encoder(tokenizer)
         for frame in frames:
-            texts = [t or "" for t in frame["text"]]
-            ids = list(itertools.chain.from_iterable(encoder.encode(texts[k : k + 256]) for k in range(0, len(texts), 256)))
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "ids": ids})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "ids": [encoder.encode(t or "") for t in frame["text"]]})
 
     return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(rows, "doc_id long, ids binary"))
 
