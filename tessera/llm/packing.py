@@ -98,14 +98,15 @@ class Encoder:
 
 
 def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id and ids, a row for each row of docs: a stored table."""
+    """doc_id (as string) and ids, a row for each row of docs: a stored table."""
 
     def rows(frames):
         encoder = Encoder(tokenizer)
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "ids": [encoder.encode(t or "") for t in frame["text"]]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": [encoder.encode(t or "") for t in frame["text"]]})
 
-    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(rows, "doc_id long, ids binary"))
+    # Ids pass Python as strings: pandas would turn a column with nulls into floats.
+    return stored(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(rows, "doc_id string, ids binary"))
 
 
 def statistics(ids: DataFrame) -> tuple[np.ndarray, int, int]:
@@ -249,9 +250,9 @@ def packed(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     def pieces(frames):
         packer = Packer(idf, mean, TaskContext.get().partitionId() << 40)
         shard, held = [], 0
-        take = lambda: pd.DataFrame(packer.out, columns=columns).astype({"doc_id": "Int64"})
+        take = lambda: pd.DataFrame(packer.out, columns=columns)
         for frame in frames:
-            for doc_id, b in zip(frame["doc_id"].array if str(frame["doc_id"].dtype) == "Int64" else [None if x != x else int(x) for x in frame["doc_id"]], frame["ids"]):
+            for doc_id, b in zip(frame["doc_id"], frame["ids"]):
                 x = np.frombuffer(b, dtype="<u2")
                 shard.append((doc_id, x))
                 held += len(x)
@@ -265,7 +266,8 @@ def packed(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         if packer.out:
             yield take()
 
-    return ids.mapInPandas(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    out = ids.mapInPandas(pieces, "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:
