@@ -120,11 +120,12 @@ def sets(docs: DataFrame) -> DataFrame:
                     x = _mix(s.astype(np.uint64) + np.uint64(1))
                     own = (hashlib.md5(s.tobytes()).digest(), len(s), s.tobytes(), sketch(x, factors, terms), paths(x, runs)) if len(s) else (None, 0, b"", b"", [])
                     out.append((doc_id, text_hash, *own))
-                yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64", "text_hash": "int64", "n": "int32"})
+                yield pd.DataFrame(out, columns=names).astype({"text_hash": "int64", "n": "int32"})
 
-    schema = "doc_id long, text_hash long, digest binary, n int, tokens binary, sketch binary, paths array<struct<k1:long,k2:long>>"
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInPandas(rows, schema)
-    return stored(found.withColumn("uid", F.monotonically_increasing_id()))
+    schema = "doc_id string, text_hash long, digest binary, n int, tokens binary, sketch binary, paths array<struct<k1:long,k2:long>>"
+    # Ids pass Python as strings: pandas would turn a column with nulls into floats.
+    found = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInPandas(rows, schema)
+    return stored(found.withColumns({"doc_id": F.col("doc_id").cast("long"), "uid": F.monotonically_increasing_id()}))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -137,10 +138,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+        small = large.join(low.hint("merge"), "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
         now = cut(small.select("e.a", "e.b").where("a != b").distinct())
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
@@ -294,34 +295,35 @@ def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """uid, doc_id, text_hash, class_uid and n_links, a row for each row of docs (doc_id, text)."""
+    # Joins of what grows with the input are sort-merge joins at every size, so that a small run shows what a large one moves.
     all_sets = sets(docs)
     named = all_sets.where("digest is not null").groupBy("digest").agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("copies"))
     named = stored(named)
     reps = named.select(F.col("rep").alias("uid"), "copies")
 
     # Buckets: small ones at the first sampled token, others below it.
-    nodes = all_sets.where("digest is not null").select("uid", "paths").join(reps.select("uid"), "uid").select("uid", F.explode("paths").alias("p")).select("uid", "p.k1", "p.k2")
+    nodes = all_sets.where("digest is not null").select("uid", "paths").join(reps.select("uid").hint("merge"), "uid").select("uid", F.explode("paths").alias("p")).select("uid", "p.k1", "p.k2")
     top = nodes.select("uid", "k1").distinct()
     sizes = stored(top.groupBy("k1").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    met = stored(nodes.join(sizes, "k1"))
+    met = stored(nodes.join(sizes.hint("merge"), "k1"))
     low = met.where((F.col("size") > SMALL) & F.col("k2").isNotNull()).select("uid", F.col("k2").alias("leaf")).distinct()
     low_sizes = low.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    leaves = met.where(F.col("size") <= SMALL).select(F.col("k1").alias("leaf"), "size", "uid").distinct().unionByName(low.join(low_sizes, "leaf").select("leaf", "size", "uid"))
-    groups = components(ties(leaves.join(all_sets.select("uid", "sketch"), "uid")))
+    leaves = met.where(F.col("size") <= SMALL).select(F.col("k1").alias("leaf"), "size", "uid").distinct().unionByName(low.join(low_sizes.hint("merge"), "leaf").select("leaf", "size", "uid"))
+    groups = components(ties(leaves.join(all_sets.select("uid", "sketch").hint("merge"), "uid")))
 
     # Exact comparison within groups.
     groups = stored(groups)
     counted = groups.join(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root").select(F.col("root").alias("comp"), "size", F.col("node").alias("uid")).join(reps, "uid")
     tokens = only(all_sets.select("uid", "tokens"), groups.select(F.col("node").alias("uid")))
-    done = stored(verified(counted.join(tokens, "uid")))
+    done = stored(verified(counted.join(tokens.hint("merge"), "uid")))
     links = done.groupBy("uid").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("blocks").alias("blocks"))
     wide = components(done.where("blocks > 1").select(F.col("uid").alias("a"), F.col("root").alias("b")))
     links = links.join(wide.withColumnRenamed("root", "wide"), links["uid"] == wide["node"], "left")
     links = links.select("uid", "links", F.when(F.col("blocks") > 1, F.coalesce("wide", "uid")).otherwise(F.col("root")).alias("class_uid"))
 
-    per_set = named.join(links, named["rep"] == links["uid"], "left").select(F.col("digest").alias("d"), F.coalesce("class_uid", "rep").alias("class_uid"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    per_set = named.join(links.hint("merge"), named["rep"] == links["uid"], "left").select(F.col("digest").alias("d"), F.coalesce("class_uid", "rep").alias("class_uid"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     rows = all_sets.select("uid", "doc_id", "text_hash", "digest")
-    return rows.join(per_set, rows["digest"] == per_set["d"], "left").select(
+    return rows.join(per_set.hint("merge"), rows["digest"] == per_set["d"], "left").select(
         "uid", "doc_id", "text_hash", F.coalesce("class_uid", "uid").alias("class_uid"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
 
