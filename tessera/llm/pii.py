@@ -30,9 +30,31 @@ PATTERNS = {
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\d/-]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<!\d)(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
-    "phone": r"(?<![\p{L}\p{N}])\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{4}(?!\d)|(?<![\p{L}\p{N}])\+\d{1,3}(?:(?: \d{2,4}){2,4}|(?:-\d{2,4}){2,4}|\d{8,12})(?!\d|\.\d)|(?<![\p{L}\p{N}(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-]|\.\d)",
+    "phone": "",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
 }
+#: Ten digits as 3, 3 and 4, without a country code.
+_NATIONAL = r"(?<![\p{L}\p{N}(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-]|\.\d)"
+
+
+def _phone_pattern() -> str:
+    """+ and a country code, then groups of digits parted by a blank, dot, dash or parentheses: 8 to 15 digits in all, 11 after +1 and +7 where that fits.
+
+    The digits are counted by a look back to the plus sign. With eight of them the number ends before a value of another kind or a
+    number without code; before a day of the calendar or an address it ends in any case. One or two decimals make an amount.
+    """
+    # Java wants looks back written out.
+    part, octet = r"[ .()-]{0,3}\d", r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    eight, eleven = part * 8 + rf"(?:{part})?" * 7, part * 11
+    other = "|".join([*(PATTERNS[k] for k in ("date", "ssn", "ip", "card")), _NATIONAL])
+    valid = rf"(?<!\d\.)(?:\d{{4}}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?!\d)|{octet}(?:\.{octet}){{3}}(?!\d|\.\d))"
+    group = rf"(?:(?:[ .-]?\(\d{{1,4}}\)[ .-]?|[ .-])(?!{valid}|(?<=\+{eight}[ .-])(?:{other}))\d{{1,14}}+)"
+    digits = rf"\d{{1,15}}+{group}{{0,7}}"
+    amount = r"\d{4,15}+\.\d{1,2}(?!\d|[ .-]\d)"
+    return rf"(?<![\p{{L}}\p{{N}}])\+(?!{amount})(?:(?=[17]){digits}(?<=\+{eleven})|{digits}(?<=\+{eight}))(?!\d)|{_NATIONAL}"
+
+
+PATTERNS["phone"] = _phone_pattern()
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 KINDS = tuple(PATTERNS)
 #: Days from 1700-01-01 to 2099-12-31: one Gregorian cycle, which is 189 x 773.
@@ -147,7 +169,7 @@ NEW = {"secret": _secret, "email": _email, "date": _date, "ssn": _ssn, "ip": _ip
 
 def kind(m: Column) -> Column:
     """The kind of what ANY has matched."""
-    tests = {"secret": r"^(?i:[a-z]).*[=:]|^AKIA", "email": "@", "date": r"^(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})$", "ssn": r"^\d{3}-\d{2}-\d{4}$", "ip": r"^\d{1,3}(?:\.\d{1,3}){3}$", "phone": r"^[+(]|^\d{3}[.-]\d{3}[.-]\d{4}$"}
+    tests = {"secret": r"^(?i:[a-z]).*[=:]|^AKIA", "email": "@", "date": r"^(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})$", "ssn": r"^\d{3}-\d{2}-\d{4}$", "ip": r"^\d{1,3}(?:\.\d{1,3}){3}$", "phone": r"^[+(]|^\d{3}[ .-]\d{3}[ .-]\d{4}$"}
     out = F.when(m.rlike(tests["secret"]), "secret")
     for name, test in list(tests.items())[1:]:
         out = out.when(m.rlike(test), name)

@@ -47,6 +47,27 @@ def test_kinds(spark):
     assert "300.1.1.1" in p["text"] and p["text"].startswith("x u") and p["text"].endswith("end") and "+1 (" in p["text"]
 
 
+def test_phone_formats(spark):
+    whole = ["+44 7911 123456", "+49 30 12345678", "+49 170 1234567", "+91 98765 43210", "+1 5551234567", "+1.555.123.4567", "+49-30-12345678", "+33 1 23 45 67 89"]
+    whole += ["555 123 4567", "(555) 123 4567", "555-123-4567", "+44 (0)20 7946 0958", "+15551234567", "+1 (048) 555-4142", "+49 1701234567", "+1.5551234567", "+33.1.23.45.67.89", "+123 4567 890"]
+    for old, p in zip(whole, new(spark, [f"call {t}, now" for t in whole])):
+        text = p["text"]
+        assert p["n_phone"] == 1 and old not in text, old
+        assert text.startswith("call ") and text.endswith(", now") and [c.isdigit() or c for c in text] == [c.isdigit() or c for c in f"call {old}, now"], old
+
+
+def test_a_phone_ends_before_the_next_value(spark):
+    phones = ["+44 7911 123456", "+1 555 123 4567", "+1 (048) 555-4142", "+49-30-12345678"]
+    others = {"ip": "152.143.123.131", "date": "2024-02-29", "card": "4111 1111 1111 1111", "ssn": "123-45-6789", "phone": "555-123-4567"}
+    cases = [(f"{p} {o}.", k, o) for p in phones for k, o in others.items()]
+    for (text, k, o), p in zip(cases, new(spark, [c[0] for c in cases])):
+        assert (p["n_phone"], p[f"n_{k}"]) == ((2, 2) if k == "phone" else (1, 1)) and o not in p["text"], text
+    stays = ["+1234567.89 paid", "+123 456", "+1234567", "300.1.1.1", "+1 20 30"]
+    assert [p["text"] for p in new(spark, stays)] == stays
+    a, b = new(spark, ["+1 2024-02-29", "+1 555 123 4567 20 items"])
+    assert a["n_date"] == 1 and a["n_phone"] == 0 and b["n_phone"] == 1 and b["text"].endswith(" 20 items")
+
+
 def test_pseudonyms_on_odd_rows(docs, no_docs):
     out = pii.with_pseudonyms(docs)
     assert out.columns == docs.columns
