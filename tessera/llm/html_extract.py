@@ -5,7 +5,8 @@ three hundred letters) and one for each comma, the whole to the nearest, half to
 A container's points are discounted by its share of link text. The best container is the article, with those of its siblings that
 have a fifth of its points or are headings or plain paragraphs; where it lies in an <article>, that whole element is taken. Menus, page headers, footers,
 sidebars, notices, adverts, forms, comments of readers and hidden elements are cut beforehand, by element, role and class
-name; lists that are mostly links go as menus.
+name (the last name of a class or id, so has-sidebar and comments-open name nothing); what holds the main element, the h1 or most of the text
+stays whatever its name. Lists that are mostly links go as menus.
 
 Rows are handled one by one, in Arrow batches, without any exchange.
 
@@ -50,6 +51,9 @@ CUT_NAMES = frozenset(
 )
 COMMENT_NAMES = frozenset("comment comments commentlist disqus respond reply replies".split())
 OWN_HEADER = frozenset("article entry post story content".split())
+#: Names of place and shape, passed over at the end of a class or id (sidebar-left, comment-list), and beginnings that make it say something of the page.
+SHAPES = frozenset("left right top bottom inner outer container wrapper wrap box list area block section bar item items link links body group main primary secondary col column row panel holder slot unit text title content div".split())
+STATES = frozenset("has have no not non with without is are hide show js can".split())
 
 
 #: Elements that can be the container; a table's cell is one if it holds paragraphs.
@@ -58,38 +62,88 @@ REACH = 8
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "cut", "inside", "points", "chars", "linked", "items", "links")
+    __slots__ = ("tag", "parent", "cut", "named", "inside", "points", "chars", "linked", "items", "links", "given", "plain", "holds")
 
     def __init__(self, tag: str, parent: "_Node | None", cut: bool):
         self.tag, self.parent, self.cut = tag, parent, cut
         self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
         self.points, self.chars, self.linked, self.links = 0.0, 0, 0, 0
         self.items: list = []  # in page order: child nodes, and texts as strings
+        self.named: frozenset | set = frozenset()  # names by which it would be cut
+        self.given: list[float] = []
+        self.plain, self.holds = 0, 0  # letters of texts that are not mostly links; 1 for an h1 in it, 2 for a main
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape((m[2] or "").strip("\"'")) for m in _ATTRIBUTE.finditer(raw)}
 
 
-def _cut(tag: str, raw: str, inside: bool) -> bool:
-    """Whether an element goes with all that is in it. inside: it lies in an article."""
+def _names(value: str) -> set[str]:
+    """What the classes or ids of value call their element: the last name of each that is none of a shape, unless it begins with a state."""
+    out = set()
+    for token in value.split():
+        parts = [p.lower() for p in _PART.findall(token)]
+        if len(parts) > 1 and parts[0] in STATES:
+            continue
+        while len(parts) > 1 and (parts[-1] in SHAPES or parts[-1].isdigit()):
+            parts.pop()
+        out.update(parts[-1:])
+    return out
+
+
+def _cut(tag: str, raw: str, inside: bool) -> bool | set[str]:
+    """Whether an element goes with all that is in it, or the names by which it would. inside: it lies in an article."""
     if tag in CUT_ELEMENTS:
         return True
     if not raw or raw.isspace():
         return tag == "header" and not inside
     at = _attributes(raw)
-    names = {p.lower() for p in _PART.findall(at.get("class", "") + " " + at.get("id", ""))}
+    value = at.get("class", "") + " " + at.get("id", "")
+    names = _names(value)
     if "hidden" in at or at.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", at.get("style", "")):
         return True
     if tag in ("html", "body", "main"):
         return False
     if tag == "article":
-        return bool(names & COMMENT_NAMES)
+        return names & COMMENT_NAMES
     if at.get("role", "").lower() in CUT_ROLES:
         return True
     if tag == "header" or names & {"header", "head"} and tag not in HEADINGS:
-        return not inside and not names & OWN_HEADER
-    return bool(names & CUT_NAMES) and not (tag in HEADINGS and inside)
+        own = inside or {p.lower() for p in _PART.findall(value)} & OWN_HEADER
+        return False if own else True if tag == "header" else names & {"header", "head"}
+    return set() if tag in HEADINGS and inside else names & CUT_NAMES
+
+
+def _judge(nodes: list[_Node]) -> list[_Node]:
+    """Nodes without the elements that go by their names, and what is in them.
+
+    One stays if it holds a main, the page's articles, its h1 (but for headers), or, with no article or main beside it, more than half of
+    the text outside links; comments of readers need to hold all of it.
+    """
+    root, within, over = nodes[0], Counter(), Counter()  # articles and mains with text in an element, and around it
+    for n in reversed(nodes[1:]):
+        n.holds |= {"h1": 1, "main": 2}.get(n.tag, 0)
+        if n.tag != "article" or not n.named:
+            n.parent.holds |= n.holds
+        n.parent.plain += n.plain
+        within[id(n.parent)] += within[id(n)] + (n.tag in ("article", "main") and not n.named and n.plain > 0)
+    for n in nodes[1:]:
+        over[id(n)] = over[id(n.parent)] + (n.parent.tag in ("article", "main") and not n.parent.named and n.parent.plain > 0)
+    out, gone = [root], set()
+    for n in nodes[1:]:
+        if not n.parent.cut and n.named:
+            beside = within[id(root)] - within[id(n)] - over[id(n)] > 0
+            bulk = n.plain >= root.plain > 0 if n.named & COMMENT_NAMES else n.plain > 0.5 * root.plain
+            keep = n.holds & 2 or n.holds & 1 and not n.named <= {"header", "head"} or not beside and (bulk or within[id(n)] and not over[id(n)])
+            if not keep:
+                n.cut = True
+                gone.add(n.parent)
+        n.cut = n.cut or n.parent.cut
+        if not n.cut:
+            out.append(n)
+    for n in gone:
+        n.items = [x for x in n.items if isinstance(x, str) or not x.cut]
+    return out
 
 
 def _tree(page: str) -> tuple[_Node, list[_Node]]:
@@ -107,13 +161,8 @@ def _tree(page: str) -> tuple[_Node, list[_Node]]:
                 node.chars += len(text)
                 node.linked += min(linked, len(text))
                 node.links += links
-                points = min(len(text) / 25, 1.0) + min(len(text) / 100, 3.0) + text.count(",")
-                up, share = node, 1
-                while up is not None and share <= REACH:
-                    if up.tag in CONTAINERS or up.tag == "td" and up is not node:
-                        up.points += points / share
-                        share += 1
-                    up = up.parent
+                node.given.append(min(len(text) / 25, 1.0) + min(len(text) / 100, 3.0) + text.count(","))
+                node.plain += len(text) if min(linked, len(text)) < 0.5 * len(text) else 0
             held, linked, links = [], 0, 0
 
     def add(text: str) -> None:
@@ -180,7 +229,8 @@ def _tree(page: str) -> tuple[_Node, list[_Node]]:
                     up = node
             if tag not in VOID:
                 new = _Node(tag, node, False)
-                new.cut = node.cut or _cut(tag, raw, new.inside)
+                cut = node.cut or _cut(tag, raw, new.inside)
+                new.cut, new.named = cut is True, frozenset() if isinstance(cut, bool) else cut
                 if not new.cut:
                     node.items.append(new)
                     nodes.append(new)
@@ -190,6 +240,15 @@ def _tree(page: str) -> tuple[_Node, list[_Node]]:
     begun = re.search(r"<(?=[a-zA-Z/!?])", rest) if rest else None
     add(rest[: begun.start()] if begun else rest)
     flush()
+    nodes = _judge(nodes)
+    for n in nodes:
+        for points in n.given:
+            up, share = n, 1
+            while up is not None and share <= REACH:
+                if up.tag in CONTAINERS or up.tag == "td" and up is not n:
+                    up.points += points / share
+                    share += 1
+                up = up.parent
     for n in reversed(nodes[1:]):
         n.parent.chars += n.chars
         n.parent.linked += n.linked

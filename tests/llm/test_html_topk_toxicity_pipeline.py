@@ -36,6 +36,23 @@ def test_sections_of_an_article_stay_together():
     assert got == " ".join(["All", *(f"H{i} {prose(i, 5 + 30 * (i == 1))}, {i}" for i in range(4))])
 
 
+@pytest.mark.parametrize("tag", ["div class='content has-sidebar'", "div id='content' class='no-sidebar'", "div class='post social-enabled'", "article class='post comments-open'", "div class='content fixed-header'", "div class='content right-sidebar'", "div class='widget'"])
+def test_names_do_not_cut_the_article(tag):
+    assert html_extract.extract(PAGE % f"<{tag}>{BODY}</{tag.split()[0]}>") == WANT
+
+
+@pytest.mark.parametrize("name", ["sidebar-left", "left-sidebar", "sidebar2", "widget", "comment-list", "siteFooter", "cookie-notice", "related-posts related"])
+def test_names_still_cut(name):
+    said = f"<div class='{name}'><p>Some, other, words, with, commas.</p></div>"
+    assert html_extract.extract(PAGE % f"<div class=content>{BODY}{said}</div>") == WANT
+
+
+def test_long_comments_and_adverts_are_cut():
+    assert html_extract.extract(f"<body><div class='ad'><p>{prose(2, 90)}</p></div><article><h1>T</h1><p>Short.</p></article></body>") == "T Short."
+    said = f"<div id='comments'><article class='comment-body'><p>{prose(1, 400)}</p></article></div>"
+    assert html_extract.extract(PAGE % f"<div class=content><h1>T</h1>{BODY}{said}</div>") == "T " + WANT
+
+
 def test_pages_table(spark):
     rows = [(1, None, PAGE % f"<article>{BODY}</article>", "x"), (None, "u", None, "y"), (1, None, "", "x"), (1, None, "", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
