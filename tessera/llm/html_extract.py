@@ -2,8 +2,8 @@
 
 A page becomes a tree of its block elements. Each block of text passes points to the containers around it: for its length (up to
 three hundred letters) and one for each comma, the whole to the nearest, half to the next and a third to an eighth to those above.
-A container's points are discounted by its share of link text. The best container is the article, with those of its siblings that
-have a fifth of its points or are headings or plain paragraphs; where it lies in an <article>, that whole element is taken. Menus, page headers, footers,
+A container's points are discounted by its share of link text. The best container is the article, with what lies beside it and
+beside the elements around it up to the body, unless links are a quarter of it or more and it has less than a fifth of the best points; a heading stays with the text below it. Where it lies in an <article>, that whole element is taken. Menus, page headers, footers,
 sidebars, notices, adverts, forms, comments of readers and hidden elements are cut beforehand, by element, role and class
 name (the last name of a class or id, so has-sidebar and comments-open name nothing); what holds the main element, the h1 or most of the text
 stays whatever its name. Lists that are mostly links go as menus.
@@ -59,6 +59,8 @@ STATES = frozenset("has have no not non with without is are hide show js can".sp
 #: Elements that can be the container; a table's cell is one if it holds paragraphs.
 CONTAINERS = frozenset("body div section article main center details dialog".split())
 REACH = 8
+#: Text beside the article stays with a smaller share of link text.
+MOST_LINKED = 0.25
 
 
 class _Node:
@@ -292,19 +294,37 @@ def extract(page: str | None) -> str:
     if chosen.parent is None or chosen.tag in ("body", "html"):
         _texts(chosen, out)
         return " ".join(out)
-    seen = False
-    for x in chosen.parent.items:
-        if isinstance(x, str):
-            if chosen.tag != "article":
-                out.append(x)
-        elif x is chosen:
-            seen = True
-            _texts(x, out)
-        else:
-            value = x.points * (1 - _density(x))
-            plain = chosen.tag != "article" and (x.tag in ("p", "blockquote", "pre") and _density(x) < 0.25 or x.tag in HEADINGS and not seen)
-            if value >= max(5.0, 0.2 * most) or plain:
-                _texts(x, out)
+    def kept(x: _Node) -> bool:
+        return x.points * (1 - _density(x)) >= max(5.0, 0.2 * most) or chosen.tag != "article" and _density(x) < MOST_LINKED
+
+    # From the container up to the body: what lies beside each step.
+    before, after, step = [], [], chosen
+    while step.parent is not None and step.tag not in ("body", "html"):
+        side, held = before, []
+        own: dict[bool, list[str]] = {True: [], False: []}
+        for x in step.parent.items:
+            if x is step:
+                side = after
+            elif isinstance(x, str):
+                if chosen.tag != "article":
+                    own[side is before] += [*held, x]
+                    held = []
+            elif side is after and x.tag in HEADINGS and chosen.tag != "article":
+                _texts(x, held)  # goes with the text below it
+            elif kept(x):
+                own[side is before] += held
+                held = []
+                _texts(x, own[side is before])
+        before.append(own[True])
+        after.append(own[False])
+        if chosen.tag == "article":
+            break
+        step = step.parent
+    for part in reversed(before):
+        out += part
+    _texts(chosen, out)
+    for part in after:
+        out += part
     return " ".join(out)
 
 

@@ -47,6 +47,15 @@ def test_names_still_cut(name):
     assert html_extract.extract(PAGE % f"<div class=content>{BODY}{said}</div>") == WANT
 
 
+@pytest.mark.parametrize("wrap", ["<div class=content>%s</div>", "<main>%s</main>", "<main><div>%s</div></main>", "%s"])
+@pytest.mark.parametrize("part", ["<section>%s</section>", "<div>%s</div>", "<div><div>%s</div></div>"])
+def test_short_sections_stay_without_an_article(wrap, part):
+    texts = [("Short", "Ahead."), ("Long", prose(1, 90) + ", a, b, c, d, e, f, g, h"), ("End", "Brief paragraph."), ("Last", "More.")]
+    parts = "".join(part % f"<h2>{h}</h2><p>{p}</p>" for h, p in texts)
+    links = "<div><a href=1>One</a> <a href=2>Two</a></div><h3>Links</h3><ul><li><a href=1>Three</a></li><li><a href=2>Four</a></li></ul>"
+    assert html_extract.extract(PAGE % (wrap % (parts + links))) == " ".join(f"{h} {p}" for h, p in texts)
+
+
 def test_long_comments_and_adverts_are_cut():
     assert html_extract.extract(f"<body><div class='ad'><p>{prose(2, 90)}</p></div><article><h1>T</h1><p>Short.</p></article></body>") == "T Short."
     said = f"<div id='comments'><article class='comment-body'><p>{prose(1, 400)}</p></article></div>"
