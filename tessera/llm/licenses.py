@@ -2,7 +2,7 @@
 
 A text is normalised (case, copyright lines, equivalent spellings, punctuation, white space) and its SHA-256
 digest is hash-joined with the digests of known licence texts, which go through the same steps. The whole text has to be the
-licence. Its lines that speak of a licence are looked up in the same way, which finds notices inside other texts.
+licence; where its digest is not known, it is looked up again without any line that begins with a copyright or reserves all rights. Its lines that speak of a licence are looked up in the same way, which finds notices inside other texts.
 
 Everything is DataFrame expressions over one scan: the known texts are a constant of a few dozen rows, so their side of the join is
 broadcast whatever the input, and no document is exchanged.
@@ -13,6 +13,10 @@ licence; repeated rows get a row each; an empty table gives an empty result; ext
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,12 +102,26 @@ KNOWN = (
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
 )
 _COPYRIGHT = r"(^|\n)[^\p{L}\p{N}\n]*(?:copyright \(c\)|copyright [0-9]|copyright ©|\(c\) |© )[^\n]*"
+#: As above, with any name after the word, and lines that reserve all rights. A line may begin so within a sentence, by its width: not before these words.
+_ANY_COPYRIGHT = r"(^|\n)[^\p{L}\p{N}\n]*+(?:(?:copyright(?! (?:holder|owner|notice|law|license|licence|interest|disclaimer|statement|term|treat|protect|permission|right|act|claim|infring|and|or|on|in|of|to|is|are|as|that|this|the software|for|which|with|from|applies|has|have|may|can|shall)(?:s|es|ies|ion|ement)?(?![\p{L}\p{N}]))(?![\p{L}\p{N}])|\(c\) |© ?)[^\n]*|all rights reserved[^\p{L}\p{N}\n]*(?=\n|$))"
+TEXTS = Path(__file__).parent / "data" / "licenses"
 _SPEAKS = "licen[cs]"
 
 
-def canonical(text: Column) -> Column:
+def texts() -> list[tuple[str, str]]:
+    """Id and text of the licences shipped whole: also without what follows the terms, and without the postal address below the copyright."""
+    out = []
+    for path in sorted(TEXTS.glob("*.txt")):
+        whole = path.read_text(encoding="utf-8")
+        ends = [m.start() for m in re.finditer(r"(?m)^\W*(?:END OF TERMS AND CONDITIONS|APPENDIX: How to|Appendix: How to|How to Apply These|ADDENDUM: How to)", whole)]
+        for form in (whole, *(whole[:end] for end in ends)):
+            out += [(path.stem, form), (path.stem, re.sub(r"(?m)^\W*\d+ Franklin St.*\n", "", form, count=1))]
+    return list(dict.fromkeys(out))
+
+
+def canonical(text: Column, copyright: str = _COPYRIGHT) -> Column:
     """The normal form of a text; digests are taken of it."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _COPYRIGHT, "$1")
+    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), copyright, "$1")
     for other, usual in SPELLINGS:
         out = F.replace(out, F.lit(other), F.lit(usual))
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
@@ -113,21 +131,39 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known(spark: SparkSession) -> DataFrame:
-    """license and digest, a row for each digest."""
-    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in KNOWN]))
-    return spark.range(1, numPartitions=1).select(rows.alias("k")).select("k.license", digest(F.col("k.text")).alias("known_digest")).dropDuplicates(["known_digest"])
+def bare_digest(text: Column) -> Column:
+    """The digest without any copyright line; null for a text that has none, or nothing else."""
+    body = canonical(text, _ANY_COPYRIGHT)
+    return F.when(text.rlike(r"(?i)copyright|all rights reserved|\(c\)|©") & (body != ""), F.sha2(body, 256))
+
+
+def known(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
+    """license and known_digest, a row for each digest: of KNOWN, the texts shipped and more (license, text), in this order."""
+    parts = []
+    for at, pairs in enumerate((KNOWN, texts())):
+        rows = F.explode(F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in pairs]))
+        parts.append(spark.range(1, numPartitions=1).select(rows.alias("k"), F.lit(at).alias("at")).select("k.license", "k.text", "at"))
+    if more is not None:
+        parts.append(more.select("license", "text", F.lit(len(parts)).alias("at")).where((canonical(F.col("text")) != "") & F.col("license").isNotNull()))
+    digests = F.explode(F.array(digest(F.col("text")), bare_digest(F.col("text"))))
+    rows = reduce(DataFrame.unionByName, parts).select("license", "at", digests.alias("known_digest")).where("known_digest is not null")
+    return rows.groupBy("known_digest").agg(F.min(F.struct("at", "license"))["license"].alias("license")).select("license", "known_digest")
+
 
+def scan(docs: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """doc_id, digest, license and notices (ids of licences that lines of the text name, sorted, by commas).
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, license and notices (ids of licences that lines of the text name, sorted, by commas)."""
-    spark = docs.sparkSession
-    table_of = {r["known_digest"]: r["license"] for r in known(spark).collect()}
-    lookup = F.create_map(*[F.lit(x) for pair in sorted(table_of.items()) for x in pair])
+    more (license, text): further texts to be known; small enough for the driver.
+    """
+    pairs = sorted((r["known_digest"], r["license"]) for r in known(docs.sparkSession, more).collect())
+    lookup = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    texts_known = F.explode(F.array(*[F.struct(F.lit(name).alias("license"), F.lit(d).alias("known_digest")) for d, name in pairs]))
+    table_of = docs.sparkSession.range(1, numPartitions=1).select(texts_known.alias("k")).select("k.license", "k.known_digest")
     lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: F.lower(x).rlike(_SPEAKS))
     ids = F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda x: F.try_element_at(lookup, digest(x))), lambda x: x.isNotNull())))
-    marked = docs.select("doc_id", digest(F.col("text")).alias("digest"), F.array_join(ids, ",").alias("notices"))
-    return marked.join(F.broadcast(known(spark)), F.col("digest") == F.col("known_digest"), "left").select("doc_id", "digest", "license", "notices")
+    marked = docs.select("doc_id", digest(F.col("text")).alias("digest"), F.array_join(ids, ",").alias("notices"), F.try_element_at(lookup, bare_digest(F.col("text"))).alias("bare"))
+    joined = marked.join(F.broadcast(table_of), F.col("digest") == F.col("known_digest"), "left")
+    return joined.select("doc_id", "digest", F.coalesce("license", "bare").alias("license"), "notices")
 
 
 def op3_licenses(spark, sf_dir: str) -> DataFrame:

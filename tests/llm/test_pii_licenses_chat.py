@@ -87,6 +87,20 @@ def test_licenses(spark, docs, no_docs):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(no_docs).count() == 0
 
 
+def test_whole_texts_and_copyright_lines(spark):
+    whole = {n: (licenses.TEXTS / f"{n}.txt").read_text() for n in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Artistic-1.0-Perl", "Unlicense")}
+    mit, bsd = (next(t for n, t in licenses.KNOWN if n == x) for x in ("MIT", "BSD-3-Clause"))
+    narrow = mit.replace("OR COPYRIGHT HOLDERS", "OR\nCOPYRIGHT HOLDERS")
+    rows = [*whole.items(), ("Apache-2.0", whole["Apache-2.0"].split("   APPENDIX")[0]), ("GPL-3.0", " ".join(whole["GPL-3.0"].split("\n\n", 1)[0].split()) + "\n\n" + whole["GPL-3.0"].split("\n\n", 1)[1])]
+    rows += [("MIT", "Copyright Jane Doe\n\n" + mit), ("MIT", "Copyright Jane Doe\n" + narrow), ("BSD-3-Clause", "Copyright (c) 2020, Jane Doe\nAll rights reserved.\n\n" + bsd)]
+    rows += [("MIT", "Copyright by the Doe family\nCopyright 2021 Joe\n\n" + mit), (None, "Copyright Jane Doe\nAll rights reserved."), (None, whole["GPL-3.0"] + "\nand more"), ("Own", "Copyright Us\nDo what you like here.")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    more = spark.createDataFrame([("Own", "Do what you like here."), ("None", ""), ("Late", mit)], "license string, text string")
+    assert [r["license"] for r in licenses.scan(df, more).orderBy("doc_id").collect()] == [n for n, _ in rows]
+    old = df.where("doc_id < 9").select("doc_id", licenses.digest(F.col("text")).alias("d")).collect()
+    assert {r["d"] for r in old} == {r["digest"] for r in licenses.scan(df.where("doc_id < 9")).collect()}
+
+
 def test_snapshots_collapse(spark):
     turns = {1: "ab", 2: "abc", 3: "abcd", 4: "abx", 5: "abcd", 6: "b", 7: "abcdz", 8: "q"}
     rows = [(c, i, "user" if i % 2 == 0 else "assistant", t, "x") for c, ts in turns.items() for i, t in enumerate(ts)]
