@@ -7,7 +7,7 @@ padding.
 
 A shard is a run of documents of one partition with about two million tokens: its index and its windows are one task's work in bounded memory, however
 many documents there are, and no document is exchanged. Document frequencies and the mean length are those of all documents (the
-vocabulary has 49,408 ids, so they are a bounded table). Ids in over a tenth of all documents are stop terms of the retrieval.
+vocabulary has 49,408 ids, so they are a bounded table). Every id but the end mark counts; in a shard, the weights of the common ones are a matrix instead of postings.
 
 The tokenizer splits a normalised text by one pattern and merges within each part, so words are encoded once per task
 and looked up after that; tests hold the ids against the tokenizer's own on whole texts.
@@ -35,7 +35,8 @@ WINDOW = 4096
 END = 2
 VOCABULARY = 1 << 16
 SHARD_TOKENS = 2_000_000
-STOP_SHARE = 0.1
+#: An id in more than this share of a shard's documents has a row of the matrix: four values for each posting at most.
+COMMON = 0.25
 K1, B = 1.2, 0.75
 KNOWN_WORDS, KNOWN_PARTS = 500_000, 300_000
 
@@ -142,10 +143,17 @@ class Index:
         key, tf = np.unique(ids[use] * len(docs) + row[use], return_counts=True)
         self.term, self.doc = np.divmod(key, len(docs))
         self.weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.doc] / max(mean, 1.0)))
-        self.start = np.searchsorted(self.term, np.arange(VOCABULARY + 1))
         order = np.argsort(self.doc, kind="stable")
         self.own, self.own_start = self.term[order], np.searchsorted(self.doc[order], np.arange(len(docs) + 1))
         self.n = len(docs)
+        common = np.flatnonzero(np.bincount(self.term, minlength=VOCABULARY) > COMMON * len(docs))
+        self.row = np.full(VOCABULARY, -1)
+        self.row[common] = np.arange(len(common))
+        at = self.row[self.term]
+        self.matrix = np.zeros((len(common), len(docs)))
+        self.matrix[at[at >= 0], self.doc[at >= 0]] = self.weight[at >= 0]
+        self.term, self.doc, self.weight = self.term[at < 0], self.doc[at < 0], self.weight[at < 0]
+        self.start = np.searchsorted(self.term, np.arange(VOCABULARY + 1))
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Documents that share a term with the seed, best first; ties in their order."""
@@ -153,7 +161,10 @@ class Index:
         low, size = self.start[terms], self.start[terms + 1] - self.start[terms]
         total = int(size.sum())
         at = np.arange(total) + np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) if total else np.zeros(0, np.int64)
-        score = np.bincount(self.doc[at], self.weight[at], self.n)
+        score = np.bincount(self.doc[at], self.weight[at], self.n).astype(float)
+        rows = self.row[terms]
+        if len(rows := rows[rows >= 0]):
+            score += self.matrix[rows].sum(axis=0)
         order = np.argsort(-score, kind="stable")
         return order[: np.count_nonzero(score)]
 
@@ -238,12 +249,18 @@ class Packer:
             self.close(now)
 
 
+def inverse_frequency(df: np.ndarray, n: int) -> np.ndarray:
+    """Above 0 for each id that occurs but the end mark."""
+    idf = np.where(df > 0, np.log(1 + (n - df + 0.5) / (df + 0.5)), 0.0)
+    idf[END] = 0.0
+    return idf
+
+
 def packed(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset, a row for each piece of docs (doc_id, text)."""
     ids = tokenized(docs, tokenizer or default_tokenizer())
     df, n, total = statistics(ids)
-    idf = np.where((df > 0) & (df <= max(1.0, STOP_SHARE * n)), np.log(1 + (n - df + 0.5) / (df + 0.5)), 0.0)
-    idf[END] = 0.0
+    idf = inverse_frequency(df, n)
     mean = total / n if n else 1.0
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 

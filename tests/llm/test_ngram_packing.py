@@ -139,6 +139,20 @@ def test_neighbours_are_the_best_by_bm25():
         assert np.allclose(np.array(score)[near], sorted((s for s in score if s > 0), reverse=True))
 
 
+def test_common_ids_count(spark):
+    """Ids in half of all documents decide what no rarer id does."""
+    df = np.zeros(packing.VOCABULARY, np.int64)
+    df[[10, 11, packing.END]] = 20, 20, 40
+    idf = packing.inverse_frequency(df, 40)
+    assert idf[10] == idf[11] > 0.6 and idf[packing.END] == idf[12] == 0
+    docs = [np.array([10 + i % 2, packing.END], "<u2") for i in range(40)]
+    assert packing.Index(docs, idf, 2.0).neighbours(1).tolist() == list(range(1, 40, 2))
+    text = {i: ("red " if i % 2 else "blue ") * 1500 for i in range(12)}
+    out = packing.packed(spark.createDataFrame(list(text.items()), "doc_id long, text string").coalesce(1)).collect()
+    first = min(r["sequence_id"] for r in out)
+    assert {r["doc_id"] % 2 for r in out if r["sequence_id"] == first} == {0}
+
+
 def test_a_window_holds_its_seed_and_neighbours():
     docs = [(i, np.full(1000, 10 + i % 2, "<u2")) for i in range(8)]
     idf = np.zeros(packing.VOCABULARY)
