@@ -8,7 +8,8 @@ less the sum of their squared norms.
 
 The model is fitted on a bounded sample of labelled rows: the 20,000 (SAMPLE) with the smallest hash of the id among those
 that may be learned from. Only their sets of terms reach the driver. The model keeps terms that four or more of them hold and whose association with the
-label is beyond chance (chi-square of 10 or more); others would only describe single documents. Scoring
+label is beyond chance (chi-square of 10 or more), alone or in the texts that hold a term kept for itself (there beyond what the best of all
+such pairs reaches by chance); others would only describe single documents. Scoring
 reads every whole text once, without any exchange; the model that goes to the executors has 2 ** 18 terms at most.
 
 Defined cases: a null or empty text has no terms and gets the bias alone; without labels to learn from every score is just below 0.5 and
@@ -112,6 +113,36 @@ def associated(df: np.ndarray, both: np.ndarray, n: int, m: int) -> np.ndarray:
     return np.where(np.isfinite(chi) & (df >= LEAST_DOCS), chi, 0.0)
 
 
+def paired(sets: list[np.ndarray], marked: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Terms that are associated with the label among the sets that hold a term of first, all pairs taken together."""
+    if not len(first):
+        return first
+    place = np.full(DIM, -1, dtype=np.int32)
+    place[first] = np.arange(len(first))
+    held = [p[p >= 0] for p in (place[x] for x in sets)]
+    of, row = np.concatenate(held), np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in held])
+    order = np.argsort(of, kind="stable")
+    holders = np.split(row[order], np.searchsorted(of[order], np.arange(1, len(first))))
+
+    def counted(rows: np.ndarray) -> np.ndarray:
+        df = np.zeros(DIM, np.int32)
+        for at in range(0, len(rows), 500):
+            df += np.bincount(np.concatenate([sets[r] for r in rows[at : at + 500]]), minlength=DIM).astype(np.int32)
+        return df
+
+    best, tests = np.zeros(DIM), 0
+    for own in holders:
+        m = int(marked[own].sum())
+        if 0 < m < len(own):
+            df, both = counted(own), counted(own[marked[own] > 0])
+            some = np.flatnonzero(df >= LEAST_DOCS)
+            # Chi-square needs an expected set of each kind.
+            some = some[df[some].astype(float) * min(m, len(own) - m) >= len(own)]
+            best[some] = np.maximum(best[some], associated(df[some], both[some], len(own), m))
+            tests += len(some)
+    return np.flatnonzero(best >= max(LEAST_CHI_SQUARE, 2 * np.log(max(tests, 1))))
+
+
 def fit(sets: list[np.ndarray], marked: np.ndarray, ids: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 7, rate: float = 0.1, shrink: float = 2e-4) -> Model:
     """Minimises the logistic loss over terms ids by AdaGrad over batches, in the order of a fixed random generator."""
     if not len(sets) or marked.min() == marked.max():
@@ -155,7 +186,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic), of which at most sample rows are read.
 
     The sample's sets stay on the executors, in a checkpoint. The driver gets how many sets hold each of the 2 ** 18 terms, and then
-    the sets without the terms that the model leaves out.
+    the sets without the terms that fewer than LEAST_DOCS of them hold.
     """
     one = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
     chosen = one.where("toxic = most").select("doc_id", (F.col("toxic") > 0).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -184,17 +215,23 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     total = seen.mapInPandas(counts, "term int, df long, both long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("both").alias("both")).toPandas()
     df, both = np.zeros(DIM + 1, np.int64), np.zeros(DIM + 1, np.int64)
     df[total["term"]], both[total["term"]] = total["df"], total["both"]
-    ids = np.flatnonzero(associated(df[:-1], both[:-1], df[-1], both[-1]) >= LEAST_CHI_SQUARE)
+    first = np.flatnonzero(associated(df[:-1], both[:-1], df[-1], both[-1]) >= LEAST_CHI_SQUARE)
+    frequent = np.packbits(df[:-1] >= LEAST_DOCS)
 
     def kept(frames):
-        known = np.zeros(DIM, bool)
-        known[ids] = True
+        known = np.unpackbits(frequent).astype(bool)
         for frame in frames:
             yield frame.assign(terms=[at[known[at]].tobytes() for at in (np.frombuffer(b, dtype=np.int32) for b in frame["terms"])])
 
     # Rows of an id that occurs twice count as rows of their own; the order makes reruns agree.
     rows = seen.mapInPandas(kept, seen.schema).toPandas().sort_values(["doc_id", "terms"])
-    return fit([np.frombuffer(b, dtype=np.int32) for b in rows["terms"]], rows["toxic"].to_numpy(dtype=float), ids)
+    own, marked = [np.frombuffer(b, dtype=np.int32) for b in rows["terms"]], rows["toxic"].to_numpy(dtype=float)
+    ids = np.union1d(first, paired(own, marked, first))
+    place = np.zeros(DIM, bool)
+    place[ids] = True
+    own = [x[place[x]] for x in own]
+    del rows
+    return fit(own, marked, ids)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

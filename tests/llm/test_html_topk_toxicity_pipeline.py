@@ -118,6 +118,18 @@ def test_pairs_are_learned():
     assert abs(model.logit({7, 9}) - (model.bias + model.weight[1] + model.weight[2] + v[1] @ v[2])) < 1e-9
 
 
+def test_pairs_are_learned_from_texts(spark):
+    """A group is as often clean as toxic alone; an insult is toxic only beside it."""
+    kinds = (("oaf zed", 1), ("zed", 0), ("scum", 1), ("oaf", 0)) * 2 + (("oaf zed", 1), ("zed", 0), ("scum", 1), ("", 0))
+    texts = [(i, f"{prose(i, 8)} {kinds[i % 12][0]}") for i in range(1600)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    model = toxicity.learn(rows, spark.createDataFrame([(i, kinds[i % 12][1]) for i in range(1200)], "doc_id long, toxic int"))
+    assert model.place[toxicity.term("wzed")] >= 0
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(rows, model).collect()}
+    right = [(got[i] >= 0.5) == bool(kinds[i % 12][1]) for i in range(1200, 1600)]
+    assert sum(right) >= 380
+
+
 def test_scores(spark, docs, no_docs):
     texts = [(i, (f"{prose(i, 20)} awful scum" if i % 5 == 0 else prose(i, 22)), "x") for i in range(400)]
     rows = spark.createDataFrame(texts, "doc_id long, text string, score string")
