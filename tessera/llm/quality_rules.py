@@ -1,15 +1,16 @@
 """Quality rules by weak supervision.
 
-Each rule looks at a whole text and votes good, bad or abstains. The votes of all documents are
-counted by pattern, expectation-maximisation estimates how often each rule casts each vote on good
-and on bad documents, and a document stays if its posterior probability of being good is 0.5 or more.
+Each of ten rules looks at a whole text and votes good, bad or abstains. The votes of all documents are
+counted by pattern, expectation-maximisation estimates how often each rule votes bad on good
+and on bad documents, and a document stays if its posterior probability of being good is 0.5 or more. So one bad vote of a rule that
+also fires on good documents doesn't reject a text, and several weak ones do.
 
-Everything over documents is DataFrame expressions. There are seven rules with three votes each, so
-there are at most 3 ** 7 = 2,187 patterns, whatever the corpus: that bounded count table is what the
-driver reads for the estimation, and the posterior goes back as a sum of 21 constants per row.
+Everything over documents is DataFrame expressions. There are ten rules with three votes each, so
+there are at most 3 ** 10 = 59,049 patterns, whatever the corpus: that bounded count table is what the
+driver reads for the estimation, and the posterior goes back as a sum of 31 constants per row. No document is exchanged.
 
 Defined cases: a null text counts as an empty one; a text with fewer than 20 words, or with over
-30 % of its words in repeated eight-word windows, fails the base rules and is never kept; an empty
+30 % of its words in repeated eight-word windows, fails the base rules and is never kept (the rules abstain on the former); an empty
 table gives an empty result; equal texts get equal verdicts; other columns are left alone.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +30,9 @@ MAX_REPEAT_PERCENT = 30
 #: Characters that count as symbols.
 SYMBOLS = r"[#*$%&|<>]"
 ABSTAIN, GOOD, BAD = 0, 1, 2
-#: Bounds of the estimated rates: bad votes on bad documents, and on good ones.
-LEAST_CAUGHT, MOST_CAUGHT, LEAST_ALARMS, MOST_ALARMS = 0.05, 0.3, 1e-5, 0.002
-RULES = ("symbols", "word_length", "duplicate_lines", "repetition", "length", "capitals", "exclamations")
+RULES = ("symbols", "letters", "bare_words", "capitals", "exclamations", "sentence_ends", "adjacent_words", "variety", "duplicate_lines", "word_length")
+#: What is believed before any vote is seen, as counts of imagined documents: good and bad ones, and bad and good votes of a rule on bad and on good documents.
+PRIOR, PRIOR_CAUGHT, PRIOR_ALARM = (8, 2), (1, 2), (1, 19)
 
 
 def _covered(hashes: Column) -> Column:
@@ -61,95 +63,108 @@ def repeated_words(w: Column) -> Column:
 
 
 def measures(df: DataFrame, keys: list[Column]) -> DataFrame:
-    """keys and the base measures of df.text, a row for each row of df."""
+    """keys and the measures of df.text, a row for each row of df."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    long = lambda x, name: x.cast("long").alias(name)
     of_words = let(
         words(F.col("text")),
-        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words")),
-    )
-    of_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
-    return df.select(
-        *keys, of_words.alias("w"), of_lines.alias("l"), count(SYMBOLS).alias("n_symbols"), count(r"\p{Lu}").alias("n_capitals"), count("!").alias("n_exclamations")
-    ).select(*[F.col(c) for c in df.select(*keys).columns], "w.*", "l.*", "n_symbols", "n_capitals", "n_exclamations")
+        lambda w: F.struct(
+            long(F.size(w), "n_words"), long(F.length(F.array_join(w, "")), "word_chars"), long(repeated_words(w), "n_repeat_words"), long(F.size(F.array_distinct(w)), "n_distinct"),
+            long(F.size(F.filter(w, lambda x: ~x.rlike(r"[\p{L}\p{N}]"))), "n_bare"), long(F.size(F.filter(w, lambda x: F.substring(x, -1, 1).isin(".", "!", "?"))), "n_ends"),
+            long(F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))), "n_adjacent"),
+        ),
+    )
+    of_lines = let(lines, lambda x: F.struct(long(F.size(x), "n_lines"), long(F.size(x) - F.size(F.array_distinct(x)), "n_dup_lines")))
+    counts = {"n_symbols": SYMBOLS, "n_capitals": r"\p{Lu}", "n_exclamations": "!", "n_other": r"[^\p{L}\x20\x09-\x0D]"}
+    counted = [long(F.regexp_count(text, F.lit(pattern)), name) for name, pattern in counts.items()]
+    return df.select(*keys, of_words.alias("w"), of_lines.alias("l"), *counted).select(*[F.col(c) for c in df.select(*keys).columns], "w.*", "l.*", *counts)
 
 
 def votes() -> dict[str, Column]:
-    """A vote of each rule, from the columns of measures()."""
-    n = F.greatest(F.col("n_words"), F.lit(1))
+    """A vote of each rule, from the columns of measures(); none for a text too short for the base rules."""
+    n, lines, letters = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1)), F.col("word_chars") - F.col("n_other")
     per_word = lambda c: F.col(c) / n
-    vote = lambda bad, good: F.when(bad, BAD).when(good, GOOD).otherwise(ABSTAIN)
-    lines, enough = F.greatest(F.col("n_lines"), F.lit(1)), F.col("n_words") >= 3 * WINDOW
-    return {
+    variety = F.col("n_distinct") / F.sqrt(n)
+    vote = lambda bad, good: F.when(F.col("n_words") < MIN_WORDS, ABSTAIN).when(bad, BAD).when(good, GOOD).otherwise(ABSTAIN)
+    out = {
         "symbols": vote(per_word("n_symbols") >= 0.1, per_word("n_symbols") <= 0.02),
-        "word_length": vote((per_word("word_chars") < 2.5) | (per_word("word_chars") > 12), per_word("word_chars").between(3, 10)),
-        "duplicate_lines": vote(F.col("n_dup_lines") / lines >= 0.5, (F.col("n_dup_lines") == 0) & (F.col("n_lines") > 2)),
-        "repetition": vote(per_word("n_repeat_words") >= 0.3, enough & (per_word("n_repeat_words") <= 0.02)),
-        "length": vote(F.col("n_words") < MIN_WORDS, F.col("n_words") >= 2 * MIN_WORDS),
-        "capitals": vote(F.col("n_capitals") > 0.5 * F.col("word_chars"), F.col("n_capitals") <= 0.2 * F.col("word_chars")),
+        "letters": vote(letters < 0.8 * F.col("word_chars"), letters >= 0.9 * F.col("word_chars")),
+        "bare_words": vote(per_word("n_bare") >= 0.1, per_word("n_bare") <= 0.02),
+        "capitals": vote(F.col("n_capitals") >= 0.3 * letters, F.col("n_capitals") <= 0.1 * letters),
         "exclamations": vote(per_word("n_exclamations") >= 0.2, per_word("n_exclamations") <= 0.05),
+        "sentence_ends": vote((per_word("n_ends") < 0.01) | (per_word("n_ends") > 0.3), per_word("n_ends").between(0.02, 0.2)),
+        "adjacent_words": vote(per_word("n_adjacent") >= 0.1, per_word("n_adjacent") <= 0.03),
+        "variety": vote(variety < 3, variety >= 4.5),
+        "duplicate_lines": vote(F.col("n_dup_lines") / lines >= 0.3, (F.col("n_dup_lines") == 0) & (F.col("n_lines") > 2)),
+        "word_length": vote((per_word("word_chars") < 3.5) | (per_word("word_chars") > 7), per_word("word_chars").between(4, 6.5)),
     }
+    assert tuple(out) == RULES
+    return out
 
 
 def pattern(cast: dict[str, Column]) -> Column:
     return sum((cast[r] * 3**k for k, r in enumerate(RULES)), F.lit(0))
 
 
-def estimate(counts: dict[int, int], rounds: int = 200, tolerance: float = 1e-10) -> tuple[float, list[list[float]]]:
-    """Expectation-maximisation over vote patterns: the prior log-odds of good, and by rule the log-odds that each vote adds.
+def rates(counts: dict[int, int], rounds: int = 500, tolerance: float = 1e-9) -> tuple[float, np.ndarray, np.ndarray]:
+    """Expectation-maximisation over vote patterns: the share of good documents, and by rule the shares of bad votes on bad documents (caught) and on good ones (alarms).
 
-    Given the class, votes are independent, and whether a rule abstains says nothing. A rule is described by
-    how often its votes are bad ones on bad documents (caught) and on good ones (false alarms). The
-    rules are written as symptoms, which bounds both: a false alarm is rare, and a bad document shows few of
-    them, so that silence of the others is weak evidence.
+    Given the class, votes are independent, and whether a rule abstains says nothing. The start takes a document for the worse the more bad votes
+    it has. The imagined documents of PRIOR keep rates of rules that hardly vote off 0 and 1; they are a handful beside any corpus.
     """
-    rows = [([p // 3**k % 3 for k in range(len(RULES))], n) for p, n in sorted(counts.items())]
-    total = sum(n for _, n in rows)
-    caught, alarm, prior, last = [MOST_CAUGHT] * len(RULES), [MOST_ALARMS] * len(RULES), 0.85, math.inf
-    for _ in range(rounds if total else 0):
-        good = likelihood = 0.0
-        bad_votes, all_votes = [[0.0] * len(RULES) for _ in "bg"], [[1e-12] * len(RULES) for _ in "bg"]
-        for vote, n in rows:
-            odds = [math.log(1 - prior), math.log(prior)]
-            for k, v in enumerate(vote):
-                for y, rate in enumerate((caught[k], alarm[k])):
-                    odds[y] += math.log(rate) if v == BAD else math.log(1 - rate) if v == GOOD else 0
-            top = max(odds)
-            both = sum(math.exp(o - top) for o in odds)
-            likelihood += n * (top + math.log(both))
-            for y in (0, 1):
-                share = n * math.exp(odds[y] - top) / both
-                good += share * y
-                for k, v in enumerate(vote):
-                    all_votes[y][k] += share * (v != ABSTAIN)
-                    bad_votes[y][k] += share * (v == BAD)
-        prior = min(0.98, max(0.5, good / total))
-        caught = [min(MOST_CAUGHT, max(LEAST_CAUGHT, b / n)) for b, n in zip(bad_votes[0], all_votes[0])]
-        alarm = [min(MOST_ALARMS, max(LEAST_ALARMS, b / n)) for b, n in zip(bad_votes[1], all_votes[1])]
-        if abs(likelihood - last) <= tolerance * abs(likelihood):
+    seen = np.array(sorted(counts), dtype=np.int64)
+    n = np.array([counts[p] for p in seen.tolist()], dtype=float)
+    cast = seen[:, None] // 3 ** np.arange(len(RULES)) % 3
+    bad, voted = (cast == BAD).astype(float), (cast != ABSTAIN).astype(float)
+    good = np.where(bad.sum(1) == 0, 0.95, np.maximum(0.05, 0.5 - 0.2 * bad.sum(1)))
+    share = lambda weight, prior: (weight @ bad + prior[0]) / (weight @ voted + sum(prior))
+    for _ in range(rounds):
+        prior, caught, alarms = (n @ good + PRIOR[0]) / (n.sum() + sum(PRIOR)), share(n * (1 - good), PRIOR_CAUGHT), share(n * good, PRIOR_ALARM)
+        odds = np.log(prior / (1 - prior)) + bad @ np.log(alarms / caught) + (voted - bad) @ np.log((1 - alarms) / (1 - caught))
+        before, good = good, 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        if np.abs(good - before).max(initial=0) <= tolerance:
             break
-        last = likelihood
-    return math.log(prior / (1 - prior)), [[0.0, math.log((1 - f) / (1 - s)), math.log(f / s)] for s, f in zip(caught, alarm)]
+    return float(prior), caught, alarms
 
 
-def judged(df: DataFrame, keys: list[Column]) -> DataFrame:
-    """keys, measures, base_failed, p_good and kept, a row for each row of df (which needs a column text)."""
-    names = df.select(*keys).columns
-    seen = cut(measures(df, keys).withColumns({f"vote_{r}": v.cast("tinyint") for r, v in votes().items()}))
-    cast = {r: F.col(f"vote_{r}").cast("int") for r in RULES}
-    counts = {r[0]: r[1] for r in seen.groupBy(pattern(cast).alias("pattern")).count().collect()}
+def estimate(counts: dict[int, int]) -> tuple[float, list[list[float]]]:
+    """The prior log-odds of good, and by rule the log-odds that each vote adds."""
+    prior, caught, alarms = rates(counts)
+    return math.log(prior / (1 - prior)), [[0.0, math.log((1 - a) / (1 - c)), math.log(a / c)] for c, a in zip(caught.tolist(), alarms.tolist())]
+
+
+def counted(voted: DataFrame) -> dict[int, int]:
+    """Documents by vote pattern: one row for each pattern there is, 59,049 at most."""
+    return {r[0]: r[1] for r in voted.groupBy(pattern({r: F.col(f"vote_{r}").cast("int") for r in RULES}).alias("pattern")).count().collect()}
+
+
+def with_votes(df: DataFrame, keys: list[Column]) -> DataFrame:
+    return measures(df, keys).withColumns({f"vote_{r}": v.cast("tinyint") for r, v in votes().items()})
+
+
+def verdict(counts: dict[int, int]) -> tuple[Column, Column, Column]:
+    """base_failed, the log-odds of good and kept, from the columns of with_votes()."""
     prior, added = estimate(counts)
     odds = F.lit(prior)
     for k, r in enumerate(RULES):
-        odds = odds + F.when(cast[r] == GOOD, F.lit(added[k][GOOD])).when(cast[r] == BAD, F.lit(added[k][BAD])).otherwise(F.lit(added[k][ABSTAIN]))
+        cast = F.col(f"vote_{r}")
+        odds = odds + F.when(cast == GOOD, F.lit(added[k][GOOD])).when(cast == BAD, F.lit(added[k][BAD])).otherwise(F.lit(added[k][ABSTAIN]))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    return failed, odds, ~failed & (odds >= 0)
+
+
+def judged(df: DataFrame, keys: list[Column]) -> DataFrame:
+    """keys, the base measures, base_failed, p_good and kept, a row for each row of df (which needs a column text)."""
+    names = df.select(*keys).columns
+    seen = cut(with_votes(df, keys))
+    failed, odds, kept = verdict(counted(seen))
     return seen.select(
         *names,
         *("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"),
         failed.alias("base_failed"),
         (1 / (1 + F.exp(-odds))).alias("p_good"),
-        (~failed & (odds >= 0)).alias("kept"),
+        kept.alias("kept"),
     )
 
 
@@ -162,10 +177,8 @@ def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """docs without what is judged bad; all columns and repeated rows stay as they are.
 
-    Verdicts follow from the text alone, so they come back by document and text hash: one narrow
-    row for each pair, which spreads copies over their ids.
+    A verdict follows from the text and the estimated rates alone, so texts are measured once for the rates and once more for the verdicts, and no
+    document is joined or exchanged.
     """
-    keys = [F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")]
-    good = judged(docs.select("doc_id", "text"), keys).where("kept").select("id", "hash").distinct()
-    rows = docs.select(whole_rows(docs).alias("row"), *keys)
-    return rows.alias("d").join(good.alias("g"), F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.hash") == F.col("g.hash")), "left_semi").select("row.*")
+    _, _, kept = verdict(counted(with_votes(docs.select("text"), [])))
+    return with_votes(docs, [whole_rows(docs).alias("row")]).where(kept).select("row.*")

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -27,19 +28,77 @@ def test_measures_equal_brute_force(spark, docs):
         assert not (r["base_failed"] and r["kept"])
 
 
-def test_estimate_finds_the_odd_documents():
-    good = sum(quality_rules.GOOD * 3**k for k in range(7))
-    symbols = good + (quality_rules.BAD - quality_rules.GOOD)
-    prior, added = quality_rules.estimate({good: 9000, symbols: 600})
-    odds = lambda bad: prior + sum(a[quality_rules.BAD if k == bad else quality_rules.GOOD] for k, a in enumerate(added))
-    assert odds(None) > 0 > odds(0)
-    assert quality_rules.estimate({})[0] > 0
+RULES = len(quality_rules.RULES)
+
+
+def encoded(bad: tuple = (), none: tuple = ()) -> int:
+    return sum((quality_rules.BAD if k in bad else quality_rules.ABSTAIN if k in none else quality_rules.GOOD) * 3**k for k in range(RULES))
+
+
+#: Rule 0 also fires on many good documents; rules 1 to 3 fire together on bad ones; 4 and 5 are so-so.
+CORPUS = {
+    encoded(): 8000, encoded((0,)): 400, encoded((1, 2, 3)): 200, encoded((1, 2, 3, 4)): 300, encoded((0, 1, 2)): 60, encoded((2, 3, 5)): 300,
+    encoded((4,)): 40, encoded((5,)): 40, encoded((4, 5, 1)): 40, encoded((), (0, 8)): 900, encoded((1,), (2,)): 12,
+}
+
+
+def odds(counts: dict, bad: tuple = ()) -> float:
+    prior, added = quality_rules.estimate(counts)
+    return prior + sum(a[quality_rules.BAD if k in bad else quality_rules.GOOD] for k, a in enumerate(added))
+
+
+def test_rates_equal_brute_force():
+    """The same estimation, a document at a time."""
+    docs = [[p // 3**k % 3 for k in range(RULES)] for p, n in CORPUS.items() for _ in range(n // 10)]
+    good = [0.95 if 2 not in d else max(0.05, 0.5 - 0.2 * d.count(2)) for d in docs]
+    for _ in range(500):
+        prior = (sum(good) + 8) / (len(docs) + 10)
+        caught, alarms = [], []
+        for k in range(RULES):
+            voted = [(g, d[k] == 2) for g, d in zip(good, docs) if d[k]]
+            caught.append((sum(1 - g for g, v in voted if v) + 1) / (sum(1 - g for g, _ in voted) + 3))
+            alarms.append((sum(g for g, v in voted if v) + 1) / (sum(g for g, _ in voted) + 20))
+        new = []
+        for d in docs:
+            y, x = prior, 1 - prior
+            for k, v in enumerate(d):
+                y *= alarms[k] if v == 2 else 1 - alarms[k] if v else 1
+                x *= caught[k] if v == 2 else 1 - caught[k] if v else 1
+            new.append(y / (y + x))
+        off, good = max(abs(a - b) for a, b in zip(good, new)), new
+        if off <= 1e-9:
+            break
+    got = quality_rules.rates({p: n // 10 for p, n in CORPUS.items() if n // 10})
+    assert abs(got[0] - prior) < 1e-6
+    assert max(abs(a - b) for a, b in zip([*got[1], *got[2]], [*caught, *alarms])) < 1e-6
+
+
+def test_votes_are_weighed_and_not_all_must_pass():
+    assert odds(CORPUS) > 0
+    assert odds(CORPUS, (0,)) > 0 and odds(CORPUS, (4,)) > 0 and odds(CORPUS, (5,)) > 0  # one bad vote of a poor rule
+    assert odds(CORPUS, (4, 5)) < 0  # two of them
+    assert odds(CORPUS, (2,)) < 0 and odds(CORPUS, (1, 2, 3)) < 0  # rules that are right
+    _, caught, alarms = quality_rules.rates(CORPUS)
+    assert alarms[0] > 20 * alarms[2] and caught[2] > caught[4]
 
 
 def test_all_good_stays():
-    good = sum(quality_rules.GOOD * 3**k for k in range(7))
-    prior, added = quality_rules.estimate({good: 100})
-    assert prior + sum(a[quality_rules.GOOD] for a in added) > 0
+    assert odds({encoded(): 100}) > 0
+    assert odds({}) > 0
+    assert odds({encoded(none=tuple(range(RULES))): 50}) > 0
+
+
+def test_junk_goes_and_prose_stays(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdeilmnorst") for _ in range(r.randint(2, 9)))
+    prose = lambda n: " ".join(word() + ("." if i % 12 == 11 else "") for i in range(n))
+    texts = [(prose(r.randint(60, 400)), True) for _ in range(150)]
+    texts += [("TERMS\n" * 8 + prose(90) + "\n" + prose(60), True) for _ in range(6)]  # one rule fires: duplicate lines
+    texts += [(" | ".join(word() for _ in range(80)), False) for _ in range(8)] + [(" ".join(word().upper() + "!!" for _ in range(90)), False) for _ in range(8)]
+    texts += [(" ".join(word() + r.choice("#%&$") * 3 for _ in range(90)), False) for _ in range(8)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {x["doc_id"]: x["kept"] for x in quality_rules.judged(df, [F.col("doc_id")]).collect()}
+    assert [got[i] for i in range(len(texts))] == [y for _, y in texts]
 
 
 def test_keep_good_keeps_rows_and_columns(spark, docs, no_docs):
