@@ -7,14 +7,14 @@ than its parts (an insult next to a group's name). All pairs cost as much as all
 less the sum of their squared norms.
 
 The model is fitted on a bounded sample of labelled rows: the 20,000 (SAMPLE) with the smallest hash of the id among those
-that may be learned from. Only their sets of terms reach the driver. The model keeps terms that four or more of them hold and whose association with the
+that may be learned from, one text for each. One task of an executor fits it; only counts of terms and the model reach the driver. The model keeps terms that four or more of them hold and whose association with the
 label is beyond chance (chi-square of 10 or more), alone or in the texts that hold a term kept for itself (there beyond what the best of all
 such pairs reaches by chance); others would only describe single documents. Scoring
 reads every whole text once, without any exchange; the model that goes to the executors has 2 ** 18 terms at most.
 
 Defined cases: a null or empty text has no terms and gets the bias alone; without labels to learn from every score is just below 0.5 and
-no document is marked; a label whose id is absent is not used; an id with several labels is not learned from if they differ;
-equal texts get equal scores; an empty table gives an empty result; extra columns are not read.
+no document is marked; a label whose id is absent is not used; an id with several labels is not learned from if they differ, and of several texts with one id
+one is learned from; equal texts get equal scores; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -113,11 +113,11 @@ def associated(df: np.ndarray, both: np.ndarray, n: int, m: int) -> np.ndarray:
     return np.where(np.isfinite(chi) & (df >= LEAST_DOCS), chi, 0.0)
 
 
-def paired(sets: list[np.ndarray], marked: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Terms that are associated with the label among the sets that hold a term of first, all pairs taken together."""
+def paired(sets: list[np.ndarray], marked: np.ndarray, first: np.ndarray, size: int = DIM) -> np.ndarray:
+    """Terms (below size) that are associated with the label among the sets that hold a term of first, all pairs taken together."""
     if not len(first):
         return first
-    place = np.full(DIM, -1, dtype=np.int32)
+    place = np.full(size, -1, dtype=np.int32)
     place[first] = np.arange(len(first))
     held = [p[p >= 0] for p in (place[x] for x in sets)]
     of, row = np.concatenate(held), np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in held])
@@ -125,12 +125,12 @@ def paired(sets: list[np.ndarray], marked: np.ndarray, first: np.ndarray) -> np.
     holders = np.split(row[order], np.searchsorted(of[order], np.arange(1, len(first))))
 
     def counted(rows: np.ndarray) -> np.ndarray:
-        df = np.zeros(DIM, np.int32)
+        df = np.zeros(size, np.int32)
         for at in range(0, len(rows), 500):
-            df += np.bincount(np.concatenate([sets[r] for r in rows[at : at + 500]]), minlength=DIM).astype(np.int32)
+            df += np.bincount(np.concatenate([sets[r] for r in rows[at : at + 500]]), minlength=size).astype(np.int32)
         return df
 
-    best, tests = np.zeros(DIM), 0
+    best, tests = np.zeros(size), 0
     for own in holders:
         m = int(marked[own].sum())
         if 0 < m < len(own):
@@ -182,56 +182,79 @@ def fit(sets: list[np.ndarray], marked: np.ndarray, ids: np.ndarray, factors: in
     return Model(ids, w[:-1], v[:-1], float(w[-1]))
 
 
+def fitted(sets: list[np.ndarray], marked: np.ndarray, frequent: np.ndarray, first: np.ndarray) -> Model:
+    """A model from sets of terms, of which those in frequent count (both sorted); first are the terms kept for themselves."""
+    place = np.full(DIM, -1, dtype=np.int32)
+    place[frequent] = np.arange(len(frequent))
+    sets = [p[p >= 0] for p in (place[x] for x in sets)]
+    keep = np.zeros(len(frequent), bool)
+    keep[place[first]] = True
+    keep[paired(sets, marked, place[first], len(frequent))] = True
+    return fit([frequent[x[keep[x]]] for x in sets], marked, frequent[keep])
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic), of which at most sample rows are read.
 
-    The sample's sets stay on the executors, in a checkpoint. The driver gets how many sets hold each of the 2 ** 18 terms, and then
-    the sets without the terms that fewer than LEAST_DOCS of them hold.
+    The sample's sets stay on the executors, in a checkpoint. The driver gets how many sets hold each of the 2 ** 18 terms, and one task
+    reads the sets without the terms that fewer than LEAST_DOCS of them hold and gives the model: a row a term.
     """
     one = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
     chosen = one.where("toxic = most").select("doc_id", (F.col("toxic") > 0).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def sets(frames):
         for frame in frames:
-            got = [np.array(sorted(terms(t)), dtype=np.int32).tobytes() for t in frame["text"]]
+            got = [np.array(sorted(terms(t)), dtype="<i4").tobytes() for t in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "toxic": frame["toxic"], "terms": got})
 
     # At most sample rows of two values: small enough to be sent to every executor.
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    seen = cut(found.mapInPandas(sets, "doc_id long, toxic boolean, terms binary"))
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInPandas(sets, "doc_id long, toxic boolean, terms binary")
+    # One row an id, however often it occurs, so that the sample bounds what follows.
+    seen = cut(found.groupBy("doc_id").agg(F.min(F.struct("terms", "toxic")).alias("r")).select("doc_id", "r.toxic", "r.terms"))
 
     def counts(frames):
         df, both = np.zeros(DIM, np.int64), np.zeros(DIM, np.int64)
         n = m = 0
         for frame in frames:
             for y, b in zip(frame["toxic"], frame["terms"]):
-                df[at := np.frombuffer(b, dtype=np.int32)] += 1
+                df[at := np.frombuffer(b, dtype="<i4")] += 1
                 n, m = n + 1, m + bool(y)
                 if y:
                     both[at] += 1
         at = np.flatnonzero(df)
         yield pd.DataFrame({"term": np.append(at, -1), "df": np.append(df[at], n), "both": np.append(both[at], m)})
 
-    total = seen.mapInPandas(counts, "term int, df long, both long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("both").alias("both")).toPandas()
+    total = seen.mapInPandas(counts, "term int, df long, both long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("both").alias("both"))
+    total = total.where((F.col("df") >= LEAST_DOCS) | (F.col("term") < 0)).toPandas()
     df, both = np.zeros(DIM + 1, np.int64), np.zeros(DIM + 1, np.int64)
     df[total["term"]], both[total["term"]] = total["df"], total["both"]
     first = np.flatnonzero(associated(df[:-1], both[:-1], df[-1], both[-1]) >= LEAST_CHI_SQUARE)
-    frequent = np.packbits(df[:-1] >= LEAST_DOCS)
+    frequent = np.flatnonzero(df[:-1] >= LEAST_DOCS)
+    bits = np.packbits(df[:-1] >= LEAST_DOCS)
 
     def kept(frames):
-        known = np.unpackbits(frequent).astype(bool)
+        known = np.unpackbits(bits).astype(bool)
+        for frame in frames:
+            yield frame.assign(terms=[at[known[at]].tobytes() for at in (np.frombuffer(b, dtype="<i4") for b in frame["terms"])])
+
+    def model(frames):
+        ids, marked, own = [], [], []
         for frame in frames:
-            yield frame.assign(terms=[at[known[at]].tobytes() for at in (np.frombuffer(b, dtype=np.int32) for b in frame["terms"])])
-
-    # Rows of an id that occurs twice count as rows of their own; the order makes reruns agree.
-    rows = seen.mapInPandas(kept, seen.schema).toPandas().sort_values(["doc_id", "terms"])
-    own, marked = [np.frombuffer(b, dtype=np.int32) for b in rows["terms"]], rows["toxic"].to_numpy(dtype=float)
-    ids = np.union1d(first, paired(own, marked, first))
-    place = np.zeros(DIM, bool)
-    place[ids] = True
-    own = [x[place[x]] for x in own]
-    del rows
-    return fit(own, marked, ids)
+            ids += frame["doc_id"].tolist()
+            marked += frame["toxic"].tolist()
+            own += [np.frombuffer(b, dtype="<i4") for b in frame["terms"]]
+        order = np.argsort(np.array(ids, dtype=np.int64), kind="stable")  # reruns agree
+        made = fitted([own[k] for k in order], np.array(marked, dtype=float)[order], frequent, first)
+        terms = np.append(made.ids, -1)
+        yield pd.DataFrame({"term": terms, "weight": np.append(made.weight, made.bias), "factor": [*made.factor, np.zeros(made.factor.shape[1])]})
+
+    # The sample is one task's work: at most sample sets.
+    rows = seen.mapInPandas(kept, seen.schema).repartition(1).mapInPandas(model, "term long, weight double, factor array<double>").toPandas().sort_values("term")
+    if not len(rows):  # no set, no task
+        return fit([], np.zeros(0), np.zeros(0, np.int64))
+    bias, rows = float(rows["weight"].iloc[0]), rows.iloc[1:]
+    factor = np.vstack(rows["factor"].to_numpy()) if len(rows) else np.zeros((0, FACTORS))
+    return Model(rows["term"].to_numpy(dtype=np.int64), rows["weight"].to_numpy(dtype=float), factor, bias)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
