@@ -5,12 +5,14 @@ product that lies in it from above (which bounds the distance from below): lengt
 A block of candidates is first bounded with 4 segments, then what may still enter a query's best k with 16, and only the
 survivors are multiplied out. Results are exact, bounds carry a margin for rounding.
 
-Queries and candidates meet in blocks of at most about 4,096 by 8,192 rows, dealt by a hash of the id: a pair of blocks is one task's
-work in bounded memory, and gives k rows for each of its queries at most. A second step takes the best k of those.
+Queries and candidates meet in blocks of at most about a million by two million components (16,384 by 32,768 rows of 64), dealt by a hash of the
+row's number: a pair of blocks is one task's work in bounded memory, and gives k rows for each of its queries at most. A second step takes the best k of those.
+So each vector moves once for each block of the other side; the usable ones lie in a checkpoint, in which they are numbered.
 
 Defined cases: rows without id, null vectors and vectors with a null, NaN or infinite component take no part; vectors
-are compared with vectors of their length; equal scores go to the smaller id; a row that repeats a query's id and vector is that query and not its
-candidate, and is answered once; a query with fewer than k candidates gets all of them, and without any no row; an empty table gives an empty result.
+are compared with vectors of their length; equal scores go to the smaller id; rows are told apart by their place, so one that repeats a query's id, or its id
+and vector, is a query of its own and the other's candidate; a query with fewer than k candidates gets all of them, and without any no row; an empty
+table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import cut, table
 
-QUERY_BLOCK, ROW_BLOCK, SUB_BLOCK = 4096, 8192, 1024
+#: Components of a block of queries and of one of rows, and rows that are bounded at a time.
+QUERY_BLOCK, ROW_BLOCK, SUB_BLOCK = 1 << 20, 1 << 21, 1024
 RESOLUTIONS = (4, 16)
 
 
@@ -41,7 +44,7 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
 def best(q: np.ndarray, q_own: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scores, ids and which of them there are (rows: queries, k columns) of the k best of x for each row of q.
 
-    x and q are whole numbers; own are hashes that are equal for a query and its own row.
+    x and q are whole numbers; own are the numbers of rows, equal for a query and its own row.
     """
     order = np.lexsort((own, ids))
     x, ids, own = x[order], ids[order], own[order]
@@ -84,11 +87,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256)
     """query_id, rank, vec_id and score from vectors (vec_id, embedding) and a condition on vec_id."""
     vec = F.col("embedding").cast("array<double>")
     rows = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), vec.alias("vec")).where(usable(F.col("vec")))
-    rows = rows.withColumns({"vec": F.transform("vec", lambda x: F.floor(x * scale)), "own": F.xxhash64("id", "vec"), "dim": F.size("vec")})
-    queries = rows.where(is_query).dropDuplicates(["id", "own"])
-    n, m = rows.count(), queries.count()
-    row_blocks, query_blocks = max(1, math.ceil(n / ROW_BLOCK)), max(1, math.ceil(m / QUERY_BLOCK))
-    block = lambda seed, blocks: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(blocks)).cast("int")
+    rows = cut(rows.select("id", F.transform("vec", lambda x: F.floor(x * scale)).alias("vec"), F.size("vec").alias("dim"), F.monotonically_increasing_id().alias("own")))
+    queries = rows.where(is_query)
+    n, m, width = rows.agg(F.count(F.lit(1)), F.count_if(is_query), F.max("dim")).first()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    # Few rows are dealt to more blocks than memory needs, to use all cores.
+    row_blocks = max(1, math.ceil(n * max(1, width or 0) / ROW_BLOCK), min(cores, math.ceil(n / (4 * SUB_BLOCK))))
+    query_blocks = max(1, math.ceil(m * max(1, width or 0) / QUERY_BLOCK))
+    block = lambda seed, blocks: F.pmod(F.xxhash64(F.lit(seed), "own"), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = queries.withColumn("qb", block(1, query_blocks)).withColumn("rb", every(row_blocks))
     right = rows.withColumn("rb", block(2, row_blocks)).withColumn("qb", every(query_blocks))
@@ -114,12 +120,12 @@ def op10_topk(spark, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 50 = 0),
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.r <> q.r AND len(c.e) = len(q.e) WHERE q.vec_id % 50 = 0),
 ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs)
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """

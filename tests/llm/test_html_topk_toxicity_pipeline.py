@@ -71,32 +71,41 @@ def test_pages_table(spark):
 
 
 def brute(rows, k):
-    """The best of all candidates."""
-    use = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    out = {}
-    for i, q in use:
+    """The best of all candidates: every row but the query's own, told apart by place."""
+    use = [(n, i, [int(np.floor(256 * float(x))) for x in v]) for n, (i, v) in enumerate(rows) if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = Counter()
+    for n, i, q in use:
         if i % 50 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in use if len(v) == len(q) and (j, v) != (i, q))
-            out[i] = [(n + 1, j, -s) for n, (s, j) in enumerate(scores[:k])]
+            scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for m, j, v in use if len(v) == len(q) and m != n)
+            out.update((i, at + 1, j, -s) for at, (s, j) in enumerate(scores[:k]))
     return out
 
 
 @pytest.mark.parametrize("dim", [1, 5, 64])
 def test_search_equals_brute_force(spark, monkeypatch, dim):
-    monkeypatch.setattr(topk, "ROW_BLOCK", 70)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(topk, "ROW_BLOCK", 70 * dim)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2 * dim)
     monkeypatch.setattr(topk, "SUB_BLOCK", 16)
     r = np.random.default_rng(dim)
     rows = [(int(i), (r.normal(0, 1, dim) * (1 + 5 * (i % 7 == 0))).astype(float).tolist()) for i in range(300)]
-    rows += [(1000 + i, rows[3][1]) for i in range(20)] + [(2000, None), (2050, [float("nan")] * dim), (2100, [None] * dim), (2150, [float("inf")] * dim), (None, rows[1][1]), (50, rows[50][1]), (2200, [0.1] * (dim + 1))]
+    rows += [(1000 + i, rows[3][1]) for i in range(20)] + [(2000, None), (2050, [float("nan")] * dim), (2100, [None] * dim), (2150, [float("inf")] * dim), (None, rows[1][1]), (50, rows[50][1]), (50, rows[7][1]), (1003, rows[3][1]), (2200, [0.1] * (dim + 1))]
     df = spark.createDataFrame([(i, v, "z") for i, v in rows], "vec_id long, embedding array<double>, score string")
-    got = {}
-    for x in topk.nearest(df, F.col("id") % 50 == 0).collect():
-        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
-    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in brute(rows, 5).items() if v}
+    got = Counter((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in topk.nearest(df, F.col("id") % 50 == 0).collect())
+    assert got == brute(rows, 5)
     assert topk.nearest(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_search_equals_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(50, [0.5, 0.1]), (50, [0.5, 0.1]), (50, [-0.5, 0.2]), (100, [0.3, 0.3]), (7, [0.4, 0.4]), (8, None), (None, [0.1, 0.1]), (9, [0.4])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = Counter(con.execute(topk.SQL).fetchall())
+    assert Counter(map(tuple, topk.op10_topk(spark, str(tmp_path)).collect())) == want and want[50, 1, 50, 128 * 128 + 25 * 25] == 2
+
+
 def test_large_components_are_exact():
     q = np.array([[2**30, -(2**30)]], dtype=np.int64)
     x = np.array([[2**30, 1], [2**30, 0], [2**30, -1]], dtype=np.int64)
@@ -135,6 +144,8 @@ def test_scores(spark, docs, no_docs):
     rows = spark.createDataFrame(texts, "doc_id long, text string, score string")
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)] + [(None, 1), (5, 0), (7, None), (9999, 1)], "doc_id long, toxic int")
     model = toxicity.learn(rows, labels)
+    again = toxicity.learn(rows.unionByName(rows), labels)  # repeated rows count once
+    assert again.ids.tolist() == model.ids.tolist() and np.allclose(again.weight, model.weight)
     got = {r["doc_id"]: r["score"] for r in toxicity.scored(rows, model).collect()}
     late = [(got[i] >= 0.5) == (i % 5 == 0) for i in range(300, 400)]
     assert sum(late) == 100
