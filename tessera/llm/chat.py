@@ -8,7 +8,7 @@ The hashes are two running 64-bit values over (position, role, text), 128 bits t
 exchanged to find the maximal conversations; texts move once, for those that are rendered. Very common beginnings or whole conversations
 meet as partial aggregates, never as a group of rows.
 
-Defined cases: turns are ordered by turn number, null first, then role and text hash, so repeated turns keep a stable
+Defined cases: turns are ordered by turn number, null first, then role and the text's MD5, so repeated turns keep a stable
 order; a turn without conversation id is a conversation of its own; a null role is rendered as "unknown" and a null text as an empty one,
 and both differ from the words; an empty table gives an empty result; extra columns are not read.
 """
@@ -22,16 +22,17 @@ from tessera.llm.common import cut, table
 
 
 def _key() -> list[Column]:
-    return [F.col("conv_id"), F.when(F.col("conv_id").isNull(), F.concat_ws(":", F.col("turn"), F.col("role"), F.sha2("text", 256)))]
+    # As JSON, which names its fields, so that an absent turn or role is none of the other.
+    return [F.col("conv_id"), F.when(F.col("conv_id").isNull(), F.to_json(F.struct("turn", "role", F.sha2("text", 256).alias("text"))))]
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
     """conv_id, lone, pos, n, h1 and h2, a row for each turn: the rolling hashes of the turns up to pos of n."""
     conv, lone = _key()
     own = lambda seed: F.xxhash64(F.lit(seed), F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
-    rows = turns.select(conv.alias("conv_id"), lone.alias("lone"), "turn", "role", own(1).alias("t1"), own(2).alias("t2"))
+    rows = turns.select(conv.alias("conv_id"), lone.alias("lone"), "turn", "role", F.md5("text").alias("t"), own(1).alias("t1"), own(2).alias("t2"))
     whole = Window.partitionBy("conv_id", "lone")
-    order = whole.orderBy("turn", "role", "t1", "t2")
+    order = whole.orderBy("turn", "role", "t")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     # Turns without an id are apart already; equal ones among them are equal conversations of one turn.
     pos = F.when(F.col("conv_id").isNull(), F.lit(1)).otherwise(F.row_number().over(order))
@@ -57,8 +58,7 @@ def rendered(turns: DataFrame) -> DataFrame:
     rows = turns.select(conv.alias("conv_id"), lone.alias("lone"), "turn", "role", "text")
     kept = maximal(turns).alias("k")
     mine = rows.alias("r").join(kept, F.col("r.conv_id").eqNullSafe(F.col("k.conv_id")) & F.col("r.lone").eqNullSafe(F.col("k.lone")))
-    own = lambda seed: F.xxhash64(F.lit(seed), F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
-    turn = F.struct(F.col("turn"), F.col("role"), own(1).alias("t1"), own(2).alias("t2"), F.col("text"))
+    turn = F.struct("turn", "role", F.md5("text").alias("t"), "text")
     groups = mine.groupBy("r.conv_id", "r.lone").agg(F.array_sort(F.collect_list(turn)).alias("all"), F.max("n_copies").alias("n_copies"))
     # Equal turns without an id are one conversation of one turn.
     turns_of = F.when(F.col("lone").isNotNull(), F.slice("all", 1, 1)).otherwise(F.col("all"))
@@ -74,7 +74,7 @@ SQL = """
 WITH t AS (
   SELECT conv_id, role, text, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
          '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) AS line
-  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text)),
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text) NULLS FIRST)),
 p AS (
   SELECT conv_id, pos, n, string_agg(line, '') OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS upto FROM t),
 parts AS (SELECT DISTINCT pos, md5(upto) AS h FROM p WHERE pos < n),

@@ -101,9 +101,10 @@ KNOWN = (
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
 )
-_COPYRIGHT = r"(^|\n)[^\p{L}\p{N}\n]*(?:copyright \(c\)|copyright [0-9]|copyright ©|\(c\) |© )[^\n]*"
+#: A letter in parentheses also numbers a clause; it is a copyright sign only before a year or the word.
+_COPYRIGHT = r"(^|\n)[^\p{L}\p{N}\n]*(?:copyright \(c\)|copyright [0-9]|copyright ©|\(c\) (?:[12][0-9][0-9][0-9]|copyright)|© )[^\n]*"
 #: As above, with any name after the word, and lines that reserve all rights. A line may begin so within a sentence, by its width: not before these words.
-_ANY_COPYRIGHT = r"(^|\n)[^\p{L}\p{N}\n]*+(?:(?:copyright(?! (?:holder|owner|notice|law|license|licence|interest|disclaimer|statement|term|treat|protect|permission|right|act|claim|infring|and|or|on|in|of|to|is|are|as|that|this|the software|for|which|with|from|applies|has|have|may|can|shall)(?:s|es|ies|ion|ement)?(?![\p{L}\p{N}]))(?![\p{L}\p{N}])|\(c\) |© ?)[^\n]*|all rights reserved[^\p{L}\p{N}\n]*(?=\n|$))"
+_ANY_COPYRIGHT = r"(^|\n)[^\p{L}\p{N}\n]*+(?:(?:copyright(?! (?:holder|owner|notice|law|license|licence|interest|disclaimer|statement|term|treat|protect|permission|right|act|claim|infring|and|or|on|in|of|to|is|are|as|that|this|the software|for|which|with|from|applies|has|have|may|can|shall)(?:s|es|ies|ion|ement)?(?![\p{L}\p{N}]))(?![\p{L}\p{N}])|\(c\) (?:[12][0-9]{3}|copyright)|© ?)[^\n]*|all rights reserved[^\p{L}\p{N}\n]*(?=\n|$))"
 TEXTS = Path(__file__).parent / "data" / "licenses"
 _SPEAKS = "licen[cs]"
 

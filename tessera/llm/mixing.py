@@ -2,7 +2,7 @@
 
 A source's target is its weight's share of all words, at most three times its own size; what is above goes
 to the others by weight. A source gives whole passes over its documents first (complete epochs); the rest
-of its target is sampled without replacement. The key of a document is -ln(u) / weight, u a hash of its id
+of its target is sampled without replacement. The key of a document is -ln(u) / weight, u a hash of its id and text
 and weight its quality weight; documents are taken in the order of their keys while their prefix sum fits,
 and the gap that is left is closed by the one document that fits it best, if that comes nearer.
 
@@ -12,7 +12,7 @@ range that holds the budget's end. Only that range is sorted, so a source that h
 of all rows gives no large group.
 
 Defined cases: a null text has size 0 and is only taken as part of whole passes, of which it adds no word; a null source is a
-source of its own, after all others; a null id is an id like any other; repeated rows are documents of their own; an
+source of its own, after all others; a null id is an id like any other; rows equal in id and text have one key; repeated rows are documents of their own; an
 empty table gives an empty result; a corpus without words has targets of 0.
 """
 
@@ -36,9 +36,9 @@ def quality_weight(text: Column, size: Column) -> Column:
     return 1 - 0.9 * F.least(F.lit(1.0), symbols / F.greatest(size, F.lit(1)))
 
 
-def order(doc_id: Column, weight: Column, seed: str) -> Column:
-    """1 - exp(-key): in the order of the keys, and between 0 and 1."""
-    digits = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13), 16, 10)
+def order(doc_id: Column, text: Column, weight: Column, seed: str) -> Column:
+    """1 - exp(-key): in the order of the keys, and between 0 and 1. The text counts too, so that rows without id are spread."""
+    digits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(text))), 1, 13), 16, 10)
     return 1 - F.pow((digits.cast("double") + 0.5) / float(2**52), 1 / weight)
 
 
@@ -75,7 +75,7 @@ def mixed(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",), weights: tupl
     base = (
         docs.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in carried], F.col("doc_id").alias("id"), "source", text.alias("t"))
         .withColumn("size", F.regexp_count("t", F.lit(WORD)).cast("long"))
-        .withColumn("p", order(F.col("id"), quality_weight(F.col("t"), F.col("size")), seed))
+        .withColumn("p", order(F.col("id"), F.col("t"), quality_weight(F.col("t"), F.col("size")), seed))
         .withColumns({"range": F.least(F.floor(F.col("p") * RANGES), F.lit(RANGES - 1)).cast("int"), "row": F.monotonically_increasing_id()})
         .drop("t")
     )
@@ -135,12 +135,12 @@ def resample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SE
 
 SQL = r"""
 WITH base AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS DOUBLE) AS symbols
   FROM documents),
 keyed AS (
   SELECT doc_id, source, size,
-         1 - pow((CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0,
+         1 - pow((CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || digest), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0,
                  1 / (1 - CAST(0.9 AS DOUBLE) * least(1.0, symbols / greatest(size, 1)))) AS p
   FROM base),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY source),

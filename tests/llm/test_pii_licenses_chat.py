@@ -118,3 +118,30 @@ def test_long_conversations_and_equal_beginnings(spark):
     whole = {c: tuple(r[3] for r in rows if r[0] == c) for c in range(50)}
     want = {c for c in whole if not any(d != c and whole[d][: len(whole[c])] == whole[c] and (len(whole[d]) > len(whole[c]) or d < c) for d in whole)}
     assert {r["conv_id"] for r in chat.rendered(df).collect()} == want
+
+
+def test_absent_ids_and_very_long_texts(spark):
+    """An absent turn is not a role, and the other way round; a text of a million characters is hashed and rendered whole."""
+    long = "xy " * 400_000
+    rows = [(None, 1, None, "t"), (None, None, "1", "t"), (1, 0, "user", long), (2, 0, "user", long), (2, 1, "assistant", "ok"), (3, 0, "user", long + "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = [(r["conv_id"], r["n_turns"], r["n_copies"], r["text"]) for r in chat.rendered(df).collect()]
+    assert sorted(x[3] for x in out if x[0] is None) == ["<|1|>\nt\n", "<|unknown|>\nt\n"]
+    assert sorted((c, n, k, len(t)) for c, n, k, t in out if c) == [(2, 2, 1, len(long) + 9 + 1 + 17), (3, 1, 1, len(long) + 11)]
+
+
+def test_ties_follow_the_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, 0, "user", t) for t in ("b", "a", None, "c")] + [(2, 0, "user", None), (2, 1, None, "x"), (2, 1, None, "y")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    assert sorted(map(tuple, chat.op5_chat(spark, str(tmp_path)).collect())) == sorted(con.execute(chat.SQL).fetchall())
+
+
+def test_lettered_clauses_count(spark):
+    rows = ["(c) You must not sue.", "(c) You may sue freely.", "(c) 2020 Jane\nYou may.", "You may.", "(c) Copyright Jane\nYou may."]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    d = [r["digest"] for r in licenses.scan(df).orderBy("doc_id").collect()]
+    assert d[0] != d[1] and d[2] == d[3] == d[4]

@@ -172,3 +172,10 @@ def test_resample_repeats_rows(spark, docs, no_docs):
         want[r["doc_id"], r["source"], r["text"]] += r["copies"]
     assert Counter((r["doc_id"], r["source"], r["text"]) for r in out.collect()) == +want
     assert mixing.resample(no_docs).count() == 0
+
+
+def test_rows_without_id_have_keys_of_their_own(spark):
+    rows = [(None, f"{'w ' * (1 + i % 9)}x{i}", "s") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    keys = df.select(mixing.order(F.col("doc_id"), F.col("text"), F.lit(1.0), "s").alias("p")).select(F.floor(F.col("p") * 100)).groupBy("FLOOR((p * 100))").count().collect()
+    assert len(keys) == 100 and max(r["count"] for r in keys) < 60
