@@ -19,6 +19,7 @@ documents of their own; documents without a common term follow in their order; a
 from __future__ import annotations
 
 import itertools
+import struct
 import unicodedata
 import zlib
 
@@ -47,11 +48,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _letters() -> list[str]:
+def _letters() -> dict[int, str]:
     """The letter of each byte in a byte-level vocabulary: printable bytes stand for themselves, the others for the letters from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     more = itertools.count(256)
-    return [chr(b) if b in plain else chr(next(more)) for b in range(256)]
+    return {b: chr(b) if b in plain else chr(next(more)) for b in range(256)}
 
 
 class _Lookup(dict):
@@ -70,7 +71,8 @@ class _Lookup(dict):
 class Encoder:
     """Ids of whole texts, as little-endian unsigned 16-bit bytes.
 
-    No part crosses white space, so words are looked up as wholes; one that is new is split into parts, and a new part is merged by the vocabulary's model.
+    No part crosses white space, so words are looked up as wholes; one that is new is split into parts (letters alone, or with one mark behind
+    them, need no pattern), and a new part is merged by the vocabulary's model.
     """
 
     #: Fixed value: the pattern that splits a normalised text, as in the vocabulary file.
@@ -83,11 +85,22 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        model, letters = self.whole.model, _letters()
-        merge = lambda p: np.array([t.id for t in model.tokenize(p if p.isascii() and p.isprintable() else "".join(letters[b] for b in p.encode()))], dtype="<u2").tobytes()
-        self.parts = _Lookup(merge, KNOWN_PARTS)
-        self.words = _Lookup(lambda w: b"".join(map(self.parts.__getitem__, self.PARTS.findall(w))), KNOWN_WORDS)
-        self.end = np.array([END], dtype="<u2").tobytes()
+        self.tokenize, self.letters = self.whole.model.tokenize, _letters()
+        self.parts, self.words = _Lookup(self.merged, KNOWN_PARTS), _Lookup(self.of_word, KNOWN_WORDS)
+        self.end = struct.pack("<H", END)
+
+    def merged(self, part: str) -> bytes:
+        # Latin-1 reads each byte as the letter of that number.
+        found = self.tokenize(part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters))
+        return struct.pack(f"<{len(found)}H", *[t.id for t in found])
+
+    def of_word(self, word: str) -> bytes:
+        if word.isalpha():
+            return self.parts[word]
+        head = word[:-1]
+        if head.isalpha() and not word[-1].isalnum():
+            return self.parts[head] + self.parts[word[-1]]
+        return b"".join(map(self.parts.__getitem__, self.PARTS.findall(word)))
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
@@ -99,37 +112,39 @@ class Encoder:
 
 
 def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id (as string) and ids, a row for each row of docs: a stored table."""
+    """doc_id (as string) and ids, a row for each row of docs: a stored table. A row more for each task holds the task's statistics instead, see statistics()."""
 
     def rows(frames):
         encoder = Encoder(tokenizer)
+        df, n, total = np.zeros(VOCABULARY, "<i8"), 0, 0
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": [encoder.encode(t or "") for t in frame["text"]]})
+            found = [encoder.encode(t or "") for t in frame["text"]]
+            for b in found:
+                df[np.unique(np.frombuffer(b, dtype="<u2"))] += 1
+                n, total = n + 1, total + len(b) // 2
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": found, "counts": None})
+        counts = zlib.compress(np.append(df, [n, total]).astype("<i8").tobytes(), 1)
+        yield pd.DataFrame({"doc_id": [None], "ids": [None], "counts": [counts]})
 
     # Ids pass Python as strings: pandas would turn a column with nulls into floats.
-    return stored(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(rows, "doc_id string, ids binary"))
+    return stored(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(rows, "doc_id string, ids binary, counts binary"))
 
 
 def statistics(ids: DataFrame) -> tuple[np.ndarray, int, int]:
-    """Document frequency of each id, documents and tokens, over all documents."""
+    """Document frequency of each id, documents and tokens, over all documents: the sum of what each task counted, 65,538 numbers for a task."""
 
-    def rows(frames):
-        df, n, total = np.zeros(VOCABULARY, np.int64), 0, 0
+    def added(frames):
+        total = np.zeros(VOCABULARY + 2, np.int64)
         for frame in frames:
-            for b in frame["ids"]:
-                x = np.frombuffer(b, dtype="<u2")
-                df[np.unique(x)] += 1
-                n, total = n + 1, total + len(x)
-        at = np.flatnonzero(df)
-        yield pd.DataFrame({"term": np.concatenate([at, [-1, -2]]), "n": np.concatenate([df[at], [n, total]])})
+            for b in frame["counts"]:
+                total += np.frombuffer(zlib.decompress(b), dtype="<i8")
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"term": at, "n": total[at]})
 
-    found = ids.select("ids").mapInPandas(rows, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    of = {r["term"]: r["n"] for r in found}
-    df = np.zeros(VOCABULARY, np.int64)
-    for term, n in of.items():
-        if term >= 0:
-            df[term] = n
-    return df, of.get(-1, 0), of.get(-2, 0)
+    found = ids.where("counts is not null").select("counts").mapInPandas(added, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    of = np.zeros(VOCABULARY + 2, np.int64)
+    of[found["term"]] = found["n"]
+    return of[:VOCABULARY], int(of[VOCABULARY]), int(of[VOCABULARY + 1])
 
 
 class Index:
@@ -137,14 +152,18 @@ class Index:
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         size = np.array([len(x) for x in docs])
-        row = np.repeat(np.arange(len(docs)), size)
-        ids = np.concatenate(docs).astype(np.int64)
-        use = idf[ids] > 0
-        key, tf = np.unique(ids[use] * len(docs) + row[use], return_counts=True)
-        self.term, self.doc = np.divmod(key, len(docs))
+        key = np.repeat(np.arange(len(docs), dtype=np.int64) << 16, size) | np.concatenate(docs)
+        key.sort()
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        tf = np.diff(np.append(new, len(key)))
+        key = key[new]
+        term = (key & 0xFFFF).astype(np.uint16)
+        use = idf[term] > 0
+        term, doc, tf = term[use], key[use] >> 16, tf[use]
+        self.own, self.own_start = term.astype(np.int64), np.searchsorted(doc, np.arange(len(docs) + 1))
+        order = np.argsort(term, kind="stable")
+        self.term, self.doc, tf = term[order].astype(np.int64), doc[order], tf[order]
         self.weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.doc] / max(mean, 1.0)))
-        order = np.argsort(self.doc, kind="stable")
-        self.own, self.own_start = self.term[order], np.searchsorted(self.doc[order], np.arange(len(docs) + 1))
         self.n = len(docs)
         common = np.flatnonzero(np.bincount(self.term, minlength=VOCABULARY) > COMMON * len(docs))
         self.row = np.full(VOCABULARY, -1)
@@ -283,7 +302,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         if packer.out:
             yield take()
 
-    out = ids.mapInPandas(pieces, "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    out = ids.where("ids is not null").select("doc_id", "ids").mapInPandas(pieces, "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

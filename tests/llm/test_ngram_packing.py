@@ -102,6 +102,15 @@ def test_ids_equal_the_tokenizers(docs):
         assert np.frombuffer(own.encode(t), "<u2").tolist() == [*whole.encode(t, add_special_tokens=False).ids, packing.END]
 
 
+def test_words_split_alike_on_both_ways():
+    """What is split without the pattern is split as by it, for every character."""
+    own = packing.Encoder(packing.default_tokenizer())
+    for c in map(chr, range(1, 0x11000)):
+        if not 0xD800 <= ord(c) < 0xE000 and len((w := c.lower()).split()) == 1:
+            for word in (w, "ab" + w, w + ".", "a" + w + "'"):
+                assert own.of_word(word) == b"".join(own.parts[x] for x in own.PARTS.findall(word)), ascii(word)
+
+
 def test_pieces_cover_all_ids(spark, docs, no_docs, monkeypatch):
     from tokenizers import Tokenizer
 
