@@ -98,7 +98,7 @@ class Encoder:
         if word.isalpha():
             return self.parts[word]
         head = word[:-1]
-        if head.isalpha() and not word[-1].isalnum():
+        if head.isalpha() and word[-1].isprintable() and not word[-1].isalnum():
             return self.parts[head] + self.parts[word[-1]]
         return b"".join(map(self.parts.__getitem__, self.PARTS.findall(word)))
 
