@@ -18,10 +18,12 @@ documents of their own; documents without a common term follow in their order; a
 
 from __future__ import annotations
 
+import gc
 import itertools
 import struct
 import unicodedata
 import zlib
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
@@ -55,6 +57,9 @@ def _letters() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(more)) for b in range(256)}
 
 
+_ID = attrgetter("id")
+
+
 class _Lookup(dict):
     """A bounded table that makes what it lacks."""
 
@@ -92,7 +97,7 @@ class Encoder:
     def merged(self, part: str) -> bytes:
         # Latin-1 reads each byte as the letter of that number.
         found = self.tokenize(part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters))
-        return struct.pack(f"<{len(found)}H", *[t.id for t in found])
+        return struct.pack(f"<{len(found)}H", *map(_ID, found))
 
     def of_word(self, word: str) -> bytes:
         if word.isalpha():
@@ -117,12 +122,16 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
     def rows(frames):
         encoder = Encoder(tokenizer)
         df, n, total = np.zeros(VOCABULARY, "<i8"), 0, 0
-        for frame in frames:
-            found = [encoder.encode(t or "") for t in frame["text"]]
-            for b in found:
-                df[np.unique(np.frombuffer(b, dtype="<u2"))] += 1
-                n, total = n + 1, total + len(b) // 2
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": found, "counts": None})
+        gc.disable()  # the tables hold no cycles, and would be walked over and over
+        try:
+            for frame in frames:
+                found = [encoder.encode(t or "") for t in frame["text"]]
+                for b in found:
+                    df[np.unique(np.frombuffer(b, dtype="<u2"))] += 1
+                    n, total = n + 1, total + len(b) // 2
+                yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": found, "counts": None})
+        finally:
+            gc.enable()
         counts = zlib.compress(np.append(df, [n, total]).astype("<i8").tobytes(), 1)
         yield pd.DataFrame({"doc_id": [None], "ids": [None], "counts": [counts]})
 
@@ -174,8 +183,8 @@ class Index:
         self.term, self.doc, self.weight = self.term[at < 0], self.doc[at < 0], self.weight[at < 0]
         self.start = np.searchsorted(self.term, np.arange(VOCABULARY + 1))
 
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Documents that share a term with the seed, best first; ties in their order."""
+    def neighbours(self, seed: int, among: np.ndarray | None = None) -> np.ndarray:
+        """Documents (of those that among marks) that share a term with the seed, best first; ties in their order."""
         terms = self.own[self.own_start[seed] : self.own_start[seed + 1]]
         low, size = self.start[terms], self.start[terms + 1] - self.start[terms]
         total = int(size.sum())
@@ -183,9 +192,11 @@ class Index:
         score = np.bincount(self.doc[at], self.weight[at], self.n).astype(float)
         rows = self.row[terms]
         if len(rows := rows[rows >= 0]):
-            score += self.matrix[rows].sum(axis=0)
-        order = np.argsort(-score, kind="stable")
-        return order[: np.count_nonzero(score)]
+            held = np.zeros(len(self.matrix))
+            held[rows] = 1
+            score += held @ self.matrix
+        found = np.flatnonzero(score if among is None else score * among)
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 class Packer:
@@ -218,7 +229,8 @@ class Packer:
         """Packs (doc_id, ids) of one shard. The last window may stay open for the next shard."""
         index = Index([ids for _, ids in docs], self.idf, self.mean)
         unused = np.ones(len(docs), bool)
-        size = np.array([len(ids) for _, ids in docs])
+        size = [len(ids) for _, ids in docs]
+        sizes = np.array(size)
         first, seed, start, near = 0, -1, 0, np.zeros(0, np.int64)
         while True:
             if seed < 0:
@@ -234,10 +246,10 @@ class Packer:
             if self.room == WINDOW:
                 seed = -1
                 continue
-            near = index.neighbours(seed)
-            near = near[unused[near]]
+            near = index.neighbours(seed, unused)
             seed = -1
-            for k in near:
+            # Of those that fitted when the window was last looked at, in their order.
+            for k in near[sizes[near] <= self.room].tolist():
                 if size[k] <= self.room:
                     unused[k] = False
                     room = self.room
