@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -38,6 +39,9 @@ LEAST_DOCS = 4
 LEAST_CHI_SQUARE = 10.0
 BEGINNINGS = range(4, 9)
 MARKS = ((1, "p"), (2, "2"), (4, "4"))
+#: Words whose terms a reader keeps, and texts it reads at a time.
+MOST_WORDS, SLICE = 300_000, 500
+_PLAIN = zlib.crc32(b"p")
 _WORD = re.compile(r"\w+")
 
 
@@ -60,49 +64,110 @@ def terms(text: str | None) -> set[int]:
 
 
 class Model:
-    """Weights and factors of the terms it knows; terms maps a hashed term to its row."""
+    """Weights and factors of the terms it knows; place maps a hashed term to its row."""
 
     def __init__(self, ids: np.ndarray, weight: np.ndarray, factor: np.ndarray, bias: float):
         self.ids, self.weight, self.factor, self.bias = ids, weight, factor, bias
         self.place = np.full(DIM, -1, dtype=np.int32)
         self.place[ids] = np.arange(len(ids))
         self.square = (factor * factor).sum(1)
-        self.of_word: dict[str, tuple | None] = {}
-
-    def known(self, word: str) -> tuple | None:
-        """What the model knows of a word: its own term, and those of its beginnings of which it knows a term."""
-        own = [term("w" + word)] if self.place[term("w" + word)] >= 0 else []
-        starts = [b for b in beginnings(word) if any(self.place[term(mark + b)] >= 0 for _, mark in MARKS)]
-        return (own, starts) if own or starts else None
-
-    def terms(self, text: str | None) -> set[int]:
-        """Terms of a text, with all that the model knows."""
-        if len(self.of_word) > 500_000:
-            self.of_word.clear()
-        found: set[int] = set()
-        starts: Counter[str] = Counter()
-        for w, n in Counter(_WORD.findall(text.lower())).items() if text else ():
-            try:
-                known = self.of_word[w]
-            except KeyError:
-                known = self.of_word[w] = self.known(w)
-            if known:
-                found.update(known[0])
-                for b in known[1]:
-                    starts[b] += n
-        found.update(term(mark + b) for b, n in starts.items() for least, mark in MARKS if n >= least)
-        return found
 
-    def logit(self, found: set[int]) -> float:
-        at = self.place[np.fromiter(found, dtype=np.int64, count=len(found))]
-        at = np.sort(at[at >= 0])
+    def logit_of_rows(self, at: np.ndarray) -> float:
         if not len(at):
             return float(self.bias)
         total = self.factor[at].sum(0)
         return float(self.bias + self.weight[at].sum() + 0.5 * (total @ total - self.square[at].sum()))
 
+    def logit(self, found: set[int]) -> float:
+        at = self.place[np.fromiter(found, dtype=np.int64, count=len(found))]
+        return self.logit_of_rows(np.sort(at[at >= 0]))
+
     def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.logit(self.terms(text)), -30, 30))))
+        return Reader(self).scores([text])[0]
+
+
+class _Numbers(dict):
+    """Words a reader has met, with their numbers."""
+
+    def __init__(self, add):
+        self.add = add
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = self.add(word)
+        return n
+
+
+class Reader:
+    """Finds the rows of a model's terms in texts. What the model knows of a word is looked up once, and kept for up to MOST_WORDS words.
+
+    A term is the CRC-32 of a mark and a word or beginning. The CRC of longer beginnings goes on from that of shorter ones, and other marks change it by a constant for each length.
+    """
+
+    def __init__(self, model: Model):
+        self.model, self.place = model, model.place.tolist()
+        self.shift: dict[int, tuple[int, int, int]] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.words = _Numbers(self.add)
+        self.begun: dict[str, int] = {}
+        # By word: its row, and where its beginnings lie in flat; by beginning: its rows for each mark.
+        self.own, self.start, self.size, self.flat, self.rows = (array("i") for _ in range(5))
+
+    def shifts(self, n: int) -> tuple[int, int, int]:
+        """What the marks of words, of beginnings met twice and of those met four times change in the CRC of a plain beginning of n bytes."""
+        found = self.shift.get(n)
+        if found is None:
+            zeros = bytes(n)
+            found = self.shift[n] = tuple(zlib.crc32(m + zeros) ^ zlib.crc32(b"p" + zeros) for m in (b"w", b"2", b"4"))
+        return found
+
+    def add(self, word: str) -> int:
+        place, mask = self.place, DIM - 1
+        crc, n, at = _PLAIN, 0, len(self.flat)
+        for k in BEGINNINGS:
+            if len(word) < k:
+                break
+            part = (word[:k] if n == 0 else word[k - 1]).encode("utf-8", "surrogatepass")
+            crc, n = zlib.crc32(part, crc), n + len(part)
+            _, two, four = self.shifts(n)
+            rows = place[crc & mask], place[(crc ^ two) & mask], place[(crc ^ four) & mask]
+            if max(rows) >= 0:
+                begun = self.begun.setdefault(word[:k], len(self.begun))
+                if 3 * begun == len(self.rows):
+                    self.rows.extend(rows)
+                self.flat.append(begun)
+        else:
+            k += 1
+        rest = word[k - 1 :] if n else word
+        part = rest.encode("utf-8", "surrogatepass")
+        crc, n = zlib.crc32(part, crc), n + len(part)
+        self.own.append(place[(crc ^ self.shifts(n)[0]) & mask])
+        self.start.append(at)
+        self.size.append(len(self.flat) - at)
+        return len(self.own) - 1
+
+    def found(self, texts: list) -> list[np.ndarray]:
+        """For each text the rows of the model's terms in it, sorted."""
+        if len(self.words) > MOST_WORDS:
+            self.clear()
+        numbers = [array("i", map(self.words.__getitem__, _WORD.findall(t.lower()))) if t else array("i") for t in texts]
+        view = lambda x: np.frombuffer(x, dtype=np.int32) if len(x) else np.zeros(0, np.int32)
+        own, start, size, flat, rows = (view(x) for x in (self.own, self.start, self.size, self.flat, self.rows))
+        rows = rows.reshape(-1, 3)
+        out = []
+        for words in map(view, numbers):
+            n = size[words]
+            ends = np.cumsum(n)
+            total = int(ends[-1]) if len(ends) else 0
+            begun, met = np.unique(flat[np.arange(total) + np.repeat(start[words] - (ends - n), n)], return_counts=True)
+            at = np.concatenate([own[words], *(rows[begun[met >= least], k] for k, (least, _) in enumerate(MARKS))])
+            out.append(np.unique(at[at >= 0]))
+        return out
+
+    def scores(self, texts: list) -> list[float]:
+        logits = np.array([self.model.logit_of_rows(at) for at in self.found(texts)])
+        return (1 / (1 + np.exp(-np.clip(logits, -30, 30)))).tolist()
 
 
 def associated(df: np.ndarray, both: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -262,9 +327,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((model.ids, model.weight, model.factor, model.bias))
 
     def score(frames):
-        own = Model(*shared.value)
+        own = Reader(Model(*shared.value))
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": [own.score(t) for t in frame["text"]]})
+            texts = frame["text"].tolist()
+            got = [x for at in range(0, len(texts), SLICE) for x in own.scores(texts[at : at + SLICE])]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": got})
 
     # Ids pass Python as strings: pandas would turn a column with nulls into floats.
     out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(score, "doc_id string, score double")

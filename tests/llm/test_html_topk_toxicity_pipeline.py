@@ -153,8 +153,15 @@ def test_scores(spark, docs, no_docs):
     assert model.score(None) == model.score("") < 0.5
     empty = toxicity.learn(rows, labels.limit(0))
     assert 0.49 < empty.score("scum") < 0.5
-    for t in ("awful scum " * 3, texts[0][1], "awfully scummy"):
-        assert {x for x in model.terms(t) if model.place[x] >= 0} == {x for x in toxicity.terms(t) if model.place[x] >= 0}
+    odd = ["awful scum " * 3, texts[0][1], "awfully scummy", "größe Größen größenwahn grö ñandúes ñan 漢字漢字漢字 \ud800abcdef", "a ab abc abcd abcde abcdef abcdefgh abcdefghi abcdefghijk " * 2, "", None]
+    some = sorted({x for t in odd for x in toxicity.terms(t)})
+    all_known = toxicity.Model(np.array(some[::2]), np.zeros(len(some[::2])), np.zeros((len(some[::2]), 2)), 0.0)
+    for m in (model, all_known):
+        reader = toxicity.Reader(m)
+        for _ in range(2):
+            for t, at in zip(odd, reader.found(odd)):
+                assert m.ids[at].tolist() == sorted(x for x in toxicity.terms(t) if m.place[x] >= 0), t
+            reader.clear()
 
 
 def test_held_out_accuracy(spark, sf_dir):
