@@ -41,7 +41,8 @@ SHARD_TOKENS = 2_000_000
 #: An id in more than this share of a shard's documents has a row of the matrix: four values for each posting at most.
 COMMON = 0.25
 K1, B = 1.2, 0.75
-KNOWN_WORDS, KNOWN_PARTS = 500_000, 300_000
+#: Words, and parts that are none, whose ids a task keeps: some 100 MB.
+KNOWN_WORDS, KNOWN_MARKS = 500_000, 50_000
 
 
 def default_tokenizer() -> str:
@@ -91,7 +92,7 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.tokenize, self.letters = self.whole.model.tokenize, _letters()
-        self.parts, self.words = _Lookup(self.merged, KNOWN_PARTS), _Lookup(self.of_word, KNOWN_WORDS)
+        self.words, self.marks = _Lookup(self.of_word, KNOWN_WORDS), _Lookup(self.merged, KNOWN_MARKS)
         self.end = struct.pack("<H", END)
 
     def merged(self, part: str) -> bytes:
@@ -99,20 +100,23 @@ class Encoder:
         found = self.tokenize(part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters))
         return struct.pack(f"<{len(found)}H", *map(_ID, found))
 
+    def part(self, part: str) -> bytes:
+        return self.words[part] if part.isalpha() else self.marks[part]
+
     def of_word(self, word: str) -> bytes:
         if word.isalpha():
-            return self.parts[word]
+            return self.merged(word)
         head = word[:-1]
         if head.isalpha() and word[-1].isprintable() and not word[-1].isalnum():
-            return self.parts[head] + self.parts[word[-1]]
-        return b"".join(map(self.parts.__getitem__, self.PARTS.findall(word)))
+            return self.words[head] + self.marks[word[-1]]
+        return b"".join(map(self.part, self.PARTS.findall(word)))
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes() + self.end
         plain = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         if self.SEPARATORS.search(plain):
-            return b"".join(map(self.parts.__getitem__, self.PARTS.findall(plain))) + self.end
+            return b"".join(map(self.part, self.PARTS.findall(plain))) + self.end
         return b"".join(map(self.words.__getitem__, plain.split())) + self.end
 
 
@@ -122,16 +126,17 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
     def rows(frames):
         encoder = Encoder(tokenizer)
         df, n, total = np.zeros(VOCABULARY, "<i8"), 0, 0
-        gc.disable()  # the tables hold no cycles, and would be walked over and over
-        try:
-            for frame in frames:
-                found = [encoder.encode(t or "") for t in frame["text"]]
-                for b in found:
-                    df[np.unique(np.frombuffer(b, dtype="<u2"))] += 1
-                    n, total = n + 1, total + len(b) // 2
-                yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": found, "counts": None})
-        finally:
-            gc.enable()
+        for frame in frames:
+            texts = frame["text"].tolist()
+            gc.disable()  # the tables hold no cycles, and would be walked over and over as they grow
+            try:
+                found = [encoder.encode(t or "") for t in texts]
+            finally:
+                gc.enable()
+            for b in found:
+                df[np.unique(np.frombuffer(b, dtype="<u2"))] += 1
+                n, total = n + 1, total + len(b) // 2
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": found, "counts": None})
         counts = zlib.compress(np.append(df, [n, total]).astype("<i8").tobytes(), 1)
         yield pd.DataFrame({"doc_id": [None], "ids": [None], "counts": [counts]})
 

@@ -108,7 +108,7 @@ def test_words_split_alike_on_both_ways():
     for c in map(chr, range(1, 0x11000)):
         if not 0xD800 <= ord(c) < 0xE000 and len((w := c.lower()).split()) == 1:
             for word in (w, "ab" + w, w + ".", "a" + w + "'"):
-                assert own.of_word(word) == b"".join(own.parts[x] for x in own.PARTS.findall(word)), ascii(word)
+                assert own.of_word(word) == b"".join(own.merged(x) for x in own.PARTS.findall(word)), ascii(word)
 
 
 def test_pieces_cover_all_ids(spark, docs, no_docs, monkeypatch):
