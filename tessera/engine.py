@@ -14,16 +14,19 @@ from tessera.sources import files, office
 
 
 class KnowledgeEngine:
-    """Documents in, ranked chunks out. embed turns (id, text) into (id, vec); rerank turns (query_id, id, query, content) into (query_id, id, rerank_score)."""
+    """Documents in, ranked chunks out. embed turns (id, text) into (id, vec); rerank turns (query_id, id, query, content) into (query_id, id, rerank_score).
+
+    The store holds a chunk's vector and the weights of its terms, by 64-bit hashes; the lexical model lies beside it. Searches read these, and cut only queries into words.
+    """
 
     def __init__(self, spark: SparkSession, path: str, config: Config = DEFAULT, embed: Callable[[DataFrame], DataFrame] | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None):
-        self.spark, self.config = spark, config
+        self.spark, self.config, self.path = spark, config, path.rstrip("/")
         self.store = store.Store(spark, path)
         self.embed = embed or (lambda rows: retrieval.hashed_vectors(rows, "id", "text", config.dimension))
         self.rerank = rerank or retrieval.lexical_scores
 
     def parse(self, path: str) -> DataFrame:
-        """Items of the office documents under a folder."""
+        """Items of the office documents under a folder; doc_id is a document's path."""
         return office.documents(files.discover(self.spark, path))
 
     def chunks(self, parsed: DataFrame) -> DataFrame:
@@ -32,20 +35,51 @@ class KnowledgeEngine:
         out = items.chunk(items.clean_items(parsed.drop("file_id"))).join(ids, "doc_id")
         return out.withColumn("id", T.chunk_id(F.col("file_id"), F.col("chunk_index")))
 
-    def ingest(self, chunks: DataFrame) -> dict[str, int]:
-        """Encodes chunks (id, file_id, path, chunk_index, content) against all of them and replaces their files in the store."""
-        rows = chunks.withColumn("text", T.embedding_text(F.lit(""), F.col("path"), F.col("content")))
-        found, stats = retrieval.postings(rows, "id", "text"), retrieval.bm25_stats(rows, "text")
-        sparse = retrieval.bm25_weights(found, stats, self.config).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct((F.abs(F.hash("term")) % (1 << 30)).alias("k"), F.col("w").cast("float")))).alias("sparse"))
+    def _texts(self, chunks: DataFrame) -> DataFrame:
+        name = F.col("doc_id").cast("string") if "doc_id" in chunks.columns else F.lit("")
+        return chunks.withColumn("text", T.embedding_text(name, F.col("path"), F.col("content")))
+
+    def fit(self, chunks: DataFrame) -> None:
+        """Learns the lexical model from chunks and from those of other files in the store, and saves it. Weights that are stored stay; ingest again what should have new ones."""
+        held = store.delete_by_file(self.store.read(), chunks.select("file_id"))
+        held = held.select("id", "content", F.get_json_object("metadata", "$.path").alias("path"))
+        rows = self._texts(chunks.select("id", "content", "path").unionByName(held)).select("id", "text")
+        index = retrieval.Index(rows, "id", "text", self.config)
+        files.save_model(index.terms, index.stats, f"{self.path}/model")
+
+    def model(self) -> tuple[DataFrame, DataFrame] | None:
+        """Terms and statistics; None before the first fit."""
+        try:
+            return files.load_model(self.spark, f"{self.path}/model")
+        except Exception as e:  # nothing is saved yet
+            if "PATH_NOT_FOUND" in str(e):
+                return None
+            raise
+
+    def ingest(self, chunks: DataFrame, refit: bool = False) -> dict[str, int]:
+        """Encodes chunks (id, file_id, path, chunk_type, chunk_index, content) and replaces their files in the store. The model is learned first if there is none, or on demand."""
+        if refit or self.model() is None:
+            self.fit(chunks)
+        _, stats = self.model()
+        rows = self._texts(chunks)
+        found = retrieval.postings(rows, "id", "text").groupBy("id", F.xxhash64("term").alias("term")).agg(F.sum("tf").alias("tf"))
+        sparse = retrieval.bm25_weights(found, stats, self.config).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", F.col("w").cast("float")))).alias("sparse"))
         vectors = self.embed(rows.select("id", "text")).select("id", F.col("vec").cast("array<float>").alias("vector"))
         new = rows.join(vectors, "id").join(sparse, "id").select("id", "vector", "sparse", "content", "file_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.to_json(F.struct("path", "chunk_type")).alias("metadata"))
         good, _ = store.valid_rows(new, self.config.dimension)
         return self.store.upsert(good)
 
+    def index(self) -> retrieval.Index:
+        """The store's index: nothing of it is computed again."""
+        rows = self.store.read()
+        terms = self.model()[0].groupBy(F.xxhash64("term").alias("term")).agg(F.max("idf").alias("idf"))
+        weights = rows.select("id", F.explode("sparse").alias("term", "w")).select("id", "term", F.col("w").cast("double").alias("w"))
+        vectors = rows.select("id", F.col("vector").cast("array<double>").alias("vec"))
+        return retrieval.Index(rows, "id", "content", self.config, self.embed, self.rerank, terms, weights, vectors)
+
     def search(self, queries: DataFrame, limit: int | None = None, rerank: bool = True) -> DataFrame:
         """Ranked chunks for queries (query_id, query)."""
-        rows = self.store.read().select("id", F.col("content").alias("text"))
-        return retrieval.Index(rows, "id", "text", self.config).search(queries, limit, rerank=rerank)
+        return self.index().search(queries, limit, rerank=rerank)
 
     def evaluate(self, results: DataFrame) -> DataFrame:
         return evaluation.summary(results)

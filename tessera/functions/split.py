@@ -12,44 +12,40 @@ from pyspark.sql.types import ArrayType, StringType
 from tessera.config import DEFAULT, Config
 
 # Where a text may be cut.
-NUMBERING = re.compile(r"(?:^|\n)\s*(?:第[一二三四五六七八九十百]+[章节条]|[一二三四五六七八九十]+、|\d+[.、)]|[（(][一二三四五六七八九十\d]+[)）])")
-SENTENCE_END = re.compile(r"[。！？!?；;]|\.(?=\s|$)|\n")
-TAG = re.compile(r'<(a|img) index="(\d+)">(.*?)</\1>', re.S)
+NUMBERING = re.compile(
+    r"(?im)(?:^|[\n\r]+|[ \t\u3000]+)"
+    r"(?P<marker>\d{1,3}\s*[.．、)]|[一二三四五六七八九十百千万]{1,6}\s*[、.．)]|第\s*[\d一二三四五六七八九十百千万]{1,6}\s*[章节篇部分]|part\s*\d+|chapter\s*\d+|section\s*\d+)"
+)
+SENTENCE_END = re.compile(r"[。！？!?；;]\s*|[.]\s+(?=[^\d])|\n+")
+TAG = re.compile(r'(?s)<(img|a)\s+index="(\d+)">(.*?)</\1>')
+LEAST = 10
 
 
 def plain(text: str, most: int, overlap: int) -> list[str]:
-    """Pieces of at most most characters: cut at the last numbering after the tenth character, else after the last sentence end, else hard with an overlap."""
+    """Pieces of at most most characters: cut before the last numbering after the tenth character, else after the last sentence end, else hard with an overlap."""
     out, rest = [], text.strip()
     while len(rest) > most:
         head = rest[:most]
-        marks = [m.start() for m in NUMBERING.finditer(head) if m.start() > 10]
-        ends = [m.end() for m in SENTENCE_END.finditer(head) if m.end() > 10]
-        at = marks[-1] if marks else ends[-1] if ends else most
-        out.append(rest[:at].strip())
-        rest = rest[at if marks or ends else at - min(overlap, at - 1) :].strip()
+        cuts = [m.start("marker") for m in NUMBERING.finditer(head) if m.start("marker") > LEAST] or [m.end() for m in SENTENCE_END.finditer(head) if m.end() > LEAST]
+        at = cuts[-1] if cuts else most
+        out.append(rest[:at].rstrip())
+        rest = rest[at if cuts else at - min(overlap, at - 1) :].lstrip()
     return [x for x in [*out, rest] if x]
 
 
 def tagged(text: str, most: int, overlap: int) -> list[str]:
-    """Like plain(), but asset tags stay whole; a long image body is cut and every part wrapped again."""
-    units: list[str] = []
+    """Like plain(), but each asset tag is a piece of its own; a long image body is cut and every part wrapped again."""
+    out: list[str] = []
     at = 0
     for m in TAG.finditer(text):
-        units += plain(text[at : m.start()], most, overlap) if text[at : m.start()].strip() else []
-        if m[1] == "img" and len(m[0]) > most:
-            wrap = len(m[0]) - len(m[3])
-            units += [f'<img index="{m[2]}">{p}</img>' for p in plain(m[3], max(20, most - wrap), overlap)]
+        out += plain(text[at : m.start()], most, overlap)
+        room = most - (len(m[0]) - len(m[3]))
+        if m[1] == "img" and len(m[0]) > most and room > LEAST:
+            out += [f'<img index="{m[2]}">{p}</img>' for p in plain(m[3], room, overlap)]
         else:
-            units.append(m[0])
+            out.append(m[0])
         at = m.end()
-    units += plain(text[at:], most, overlap) if text[at:].strip() else []
-    out: list[str] = []
-    for u in units:
-        if out and len(out[-1]) + 1 + len(u) <= most:
-            out[-1] += "\n" + u
-        else:
-            out.append(u)
-    return out
+    return out + plain(text[at:], most, overlap)
 
 
 def batches(items: list, most: int, size) -> list[list]:
@@ -77,18 +73,35 @@ def as_json(text: str):
         return None
 
 
+def object_parts(value: dict, most: int) -> list[dict]:
+    """Greedy batches of an object's entries; an entry that is too large is cut by its own list or object under its key."""
+    out: list[dict] = []
+    open_batch = False
+    for key, item in value.items():
+        if len(json_text({key: item})) > most:
+            inner = batches(item, most, lambda b: len(json_text({key: b}))) if isinstance(item, list) else object_parts(item, most) if isinstance(item, dict) else [item]
+            out += [{key: part} for part in inner]
+            open_batch = False
+        elif open_batch and len(json_text(out[-1] | {key: item})) <= most:
+            out[-1][key] = item
+        else:
+            out.append({key: item})
+            open_batch = True
+    return out
+
+
 def json_pieces(value, most: int) -> list[str]:
-    if isinstance(value, list):
-        return [json_text(b) for b in batches(value, most, lambda b: len(json_text(b)))]
-    if isinstance(value, dict):
-        if len(value) == 1 and isinstance(next(iter(value.values())), list):
-            (key, rows), = value.items()
-            return [json_text({key: b}) for b in batches(rows, most, lambda b: len(json_text({key: b})))]
-        return [json_text(dict(b)) for b in batches(list(value.items()), most, lambda b: len(json_text(dict(b))))]
-    return [json_text(value)]
+    if len(json_text(value)) <= most:
+        return [json_text(value)]
+    parts = batches(value, most, lambda b: len(json_text(b))) if isinstance(value, list) else object_parts(value, most) if isinstance(value, dict) else [value]
+    return [json_text(p) for p in parts]
+
+
+def looks_like_json(text: str) -> bool:
+    return text.lstrip()[:1] in ("[", "{")
 
 
-def split(text: str | None, config: Config = DEFAULT) -> list[str]:
+def split(text: str | None, config: Config = DEFAULT, kind: str = "text") -> list[str]:
     """The pieces of a chunk's content."""
     text = (text or "").strip()
     most, overlap = config.max_chunk_chars, config.overlap_chars
@@ -96,10 +109,10 @@ def split(text: str | None, config: Config = DEFAULT) -> list[str]:
         return []
     if len(text) <= most:
         return [text]
-    if TAG.search(text):
+    if kind == "text" and TAG.search(text):
         return tagged(text, most, overlap)
-    value = as_json(text)
-    return json_pieces(value, most) if value is not None else plain(text, most, overlap)
+    value = as_json(text) if kind == "table" or looks_like_json(text) else None
+    return (json_pieces(value, most) if value is not None else []) or plain(text, most, overlap)
 
 
 @F.pandas_udf(ArrayType(StringType()))

@@ -9,15 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Format characters without width, and what common double decoding makes of punctuation (longest first, in this order).
-INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff"
-MOJIBAKE = (
-    ("â€™", "’"), ("â€˜", "‘"), ("â€œ", "“"), ("â€\u009d", "”"), ("â€“", "–"),
-    ("â€”", "—"), ("â€¦", "…"), ("â€", "”"), ("Â", ""),
-)
-EMOJI = "[\\x{1F000}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{FE00}-\\x{FE0F}\\x{FFFD}]"
-EMPTY_WORDS = ("", "（空）", "空", "null", "none", "nan")
-ANSWER_KEYS = ("answer", "output", "text", "message", "result", "data")
+from tessera.functions.cleaning import INVISIBLE, clean_metadata, clean_text, is_empty, stripped  # noqa: F401
+from tessera.functions.loose import embedded
+
 
 
 def trim_u(x: Column) -> Column:
@@ -38,30 +32,8 @@ def non_space_length(x: Column) -> Column:
     return F.length(without_space(F.coalesce(x, F.lit(""))))
 
 
-def clean_metadata(x: Column) -> Column:
-    """The light cleaning: invisible characters, controls and runs of blanks."""
-    out = F.regexp_replace(x, f"[{INVISIBLE}]", "")
-    out = F.regexp_replace(out, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
-    return F.trim(F.regexp_replace(out, r"[ \t\x{A0}\x{3000}]+", " "))
-
-
-def clean_text(x: Column) -> Column:
-    """The full cleaning, in its fixed order."""
-    out = F.regexp_replace(x, f"[{INVISIBLE}]", "")
-    out = F.regexp_replace(out, r"[\p{Cc}\p{Cs}\p{Co}\p{Cn}&&[^\n\r\t]]", "")
-    for wrong, right in MOJIBAKE:
-        out = F.replace(out, F.lit(wrong), F.lit(right))
-    out = F.regexp_replace(out, EMOJI, "")
-    out = F.regexp_replace(out, r"(?<=\s)[\"'`·.•_-]{2,}(?=\s)", " ")
-    out = F.regexp_replace(out, r"[ \t\x{A0}\x{3000}]+", " ")
-    out = F.regexp_replace(out, r" +(?=[,.;:!?，。；：！？、])", "")
-    out = F.regexp_replace(out, r"(?<=[(\[（【]) +", "")
-    out = F.regexp_replace(out, r" +(?=[)\]）】])", "")
-    return trim_u(out)
-
-
 def is_empty_text(x: Column) -> Column:
-    return F.lower(trim_u(F.coalesce(x, F.lit("")))).isin(*EMPTY_WORDS)
+    return is_empty(x)
 
 
 @F.pandas_udf(StringType())
@@ -69,32 +41,56 @@ def _nfc(x: pd.Series) -> pd.Series:
     return x.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+#: Escapes that other programs leave in plain text, and what they stand for.
+ESCAPES = (('\\"', '"'), ("\\'", "'"), ("\\/", "/"), ("\\n", " "), ("\\r", " "), ("\\t", " "), ("\\b", " "), ("\\f", " "))
+OMITTED = "\n\n[文档过长，中间部分已省略，以下为文档末尾内容]\n\n"
+
+
 def sanitize_question(x: Column) -> Column:
     """A question as it is sent on: composed, without controls, escapes collapsed, on one line."""
-    out = F.regexp_replace(_nfc(x), f"[{INVISIBLE}]", "")
+    out = F.regexp_replace(_nfc(x), "[\ufeff\u200b\u200c\u200d]", "")
     out = F.regexp_replace(out, "[\\x{2028}\\x{2029}]", "\n")
-    for escaped, plain in (("\\\\r\\\\n", "\n"), ("\\r\\n", "\n"), ("\\n", "\n"), ("\\r", "\n"), ("\\t", " "), ('\\"', '"'), ("\\'", "'"), ("\\/", "/")):
+    for escaped, plain in ESCAPES:
         out = F.replace(out, F.lit(escaped), F.lit(plain))
-    out = F.regexp_replace(out, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " ")
-    return squeeze(out)
+    out = F.regexp_replace(out, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+    return stripped(F.regexp_replace(out, r"[ \t\r\n]+", " "))
+
+
+#: Runs of Han characters: a script without blanks.
+HAN = "\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}"
+
+
+def pairs_of(run: Column) -> Column:
+    """Neighbouring pairs of a run's characters; a lone one stays alone."""
+    return F.when(F.length(run) < 2, F.array(run)).otherwise(F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2))))
 
 
 def words(x: Column) -> Column:
-    """Default analyzer of the lexical index: runs of letters and digits in lower case."""
-    return F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Default analyzer of the lexical index, in lower case: runs of letters and digits, and the pairs of neighbours in runs of Han characters.
+
+    Pairs stand in for a dictionary's words: every word of two or more characters is found by its pairs, whatever the vocabulary.
+    """
+    found = F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(rf"[{HAN}]+|[\p{{L}}\p{{N}}&&[^{HAN}]]+"), F.lit(0))
+    han = F.lit(rf"^[{HAN}]")
+    return F.when(F.exists(found, lambda w: F.rlike(w, han)), F.flatten(F.transform(found, lambda w: F.when(F.rlike(w, han), pairs_of(w)).otherwise(F.array(w))))).otherwise(found)
+
+
+def vocabulary_words(x: Column, vocabulary: Column) -> Column:
+    """words() and each entry of vocabulary (an array of lower-case texts) that occurs in the text: for names that are longer than a pair."""
+    low = F.lower(F.coalesce(x, F.lit("")))
+    return F.concat(words(x), F.filter(vocabulary, lambda v: F.instr(low, v) > 0))
 
 
 def overlap_tokens(x: Column, compat: bool = False) -> Column:
     """Distinct ASCII words of two letters or more and pairs of neighbouring Han characters.
 
-    compat deletes white space before ASCII words are found, as the reference does, so that neighbouring words run together.
+    compat deletes white space before ASCII words are found, as the reference does, so that neighbouring words run together; an underscore is part of a word then.
     """
     text = F.lower(F.coalesce(x, F.lit("")))
     flat = without_space(text)
-    ascii_words = F.regexp_extract_all(flat if compat else text, F.lit("[a-z0-9]{2,}"), F.lit(0))
+    ascii_words = F.regexp_extract_all(flat if compat else text, F.lit("[a-z0-9_]{2,}" if compat else "[a-z0-9]{2,}"), F.lit(0))
     runs = F.regexp_extract_all(flat, F.lit("[\\x{4E00}-\\x{9FFF}]{2,}"), F.lit(0))
-    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
-    return F.array_distinct(F.concat(ascii_words, pairs))
+    return F.array_distinct(F.concat(ascii_words, F.flatten(F.transform(runs, pairs_of))))
 
 
 def overlap_ratio(reference: Column, candidate: Column) -> Column:
@@ -119,14 +115,25 @@ def qa_id(path: Column, index: Column, question: Column) -> Column:
 
 
 def trim_document(x: Column, most: int) -> Column:
-    """Two thirds of the allowed length from the head, the rest from the tail."""
+    """Two thirds of the allowed length from the head, the rest from the tail, with a note between; runs of blank lines count once."""
+    text = stripped(F.regexp_replace(x, r"\n{3,}", "\n\n"))
     head = most * 2 // 3
-    return F.when(F.length(x) <= most, x).otherwise(F.concat(F.substring(x, 1, head), F.lit("\n...\n"), F.right(x, F.lit(most - head))))
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, head), F.lit(OMITTED), F.right(text, F.lit(most - head))))
 
 
-def shorten(x: Column, most: int) -> Column:
+def shorten(x: Column, most: int, mark: str = "...") -> Column:
+    """On one line, cut at most characters with a mark behind."""
     one = squeeze(x)
-    return F.when(F.length(one) <= most, one).otherwise(F.concat(F.substring(one, 1, most - 3), F.lit("...")))
+    return F.when(F.length(one) <= most, one).otherwise(F.concat(F.substring(one, 1, most), F.lit(mark)))
+
+
+def headline(x: Column, most: int) -> Column:
+    """The first two lines without quotes, on one line, of at most most characters with the mark; empty for null and none."""
+    lines = F.filter(F.split(F.coalesce(x, F.lit("")), r"\r\n|\r|\n"), lambda t: stripped(t) != "")
+    one = stripped(F.regexp_replace(F.array_join(F.transform(F.slice(lines, 1, 2), lambda t: F.regexp_replace(stripped(t), "^[\"']+|[\"']+$", "")), " "), r"\s+", " "))
+    none = F.lower(F.regexp_replace(stripped(F.regexp_replace(stripped(x), "^`+|`+$", "")), "^[\"']+|[\"']+$", "")).isin("null", "none") | F.lower(one).isin("null", "none")
+    cut = F.when(F.length(one) > most, F.concat(F.regexp_replace(F.substring(one, 1, most - 3), r"\s+$", ""), F.lit("..."))).otherwise(one)
+    return F.when(F.coalesce(none, F.lit(False)), F.lit("")).otherwise(cut)
 
 
 def path_segment(x: Column) -> Column:
@@ -134,16 +141,12 @@ def path_segment(x: Column) -> Column:
     return F.replace(F.replace(squeeze(x), F.lit("/"), F.lit("／")), F.lit("\\"), F.lit("＼"))
 
 
-def escape_tag(x: Column) -> Column:
-    return F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-
-
 def link_tag(index: Column, name: Column) -> Column:
-    return F.concat(F.lit('<a index="'), index.cast("string"), F.lit('">链接：'), escape_tag(name), F.lit("</a>"))
+    return F.concat(F.lit('<a index="'), index.cast("string"), F.lit('">链接：'), F.replace(name, F.lit("</a>"), F.lit("<／a>")), F.lit("</a>"))
 
 
 def image_tag(index: Column, name: Column) -> Column:
-    return F.concat(F.lit('<img index="'), index.cast("string"), F.lit('">图片：'), escape_tag(name), F.lit("</img>"))
+    return F.concat(F.lit('<img index="'), index.cast("string"), F.lit('">图片：'), F.replace(name, F.lit("</img>"), F.lit("<／img>")), F.lit("</img>"))
 
 
 def tag_indexes(content: Column) -> Column:
@@ -151,26 +154,24 @@ def tag_indexes(content: Column) -> Column:
     return F.transform(F.regexp_extract_all(content, F.lit(r'<(?:a|img) index="(\d+)">'), F.lit(1)), lambda x: x.cast("int"))
 
 
-def strip_asset_tags(content: Column) -> Column:
-    out = F.regexp_replace(content, r'<(?:a|img) index="\d+">(?:链接：|图片：)?', "")
-    return F.regexp_replace(out, "</(?:a|img)>", "")
+@F.pandas_udf(StringType())
+def embedding_content(content: pd.Series) -> pd.Series:
+    """A chunk's content as it is embedded: tags replaced by their one-line bodies, a JSON table as its headers and rows of cells."""
+    return content.map(lambda t: None if t is None else embedded(t))
 
 
-def embedding_text(file_name: Column, path: Column, content: Column) -> Column:
-    """What a chunk's vector is made of: file stem, heading path and content without tags."""
-    return F.concat_ws(" ", F.nullif(file_stem(file_name), F.lit("")), F.nullif(path, F.lit("")), strip_asset_tags(content))
+def embedding_text(file_name: Column, path: Column, content: Column, most: int | None = None) -> Column:
+    """What a chunk's vector is made of: file stem, heading path and content, blank ones left out; most cuts it for services with a limit."""
+    parts = [F.nullif(stripped(F.coalesce(x, F.lit(""))), F.lit("")) for x in (file_stem(file_name), path, embedding_content(content))]
+    out = F.concat_ws(" ", *parts)
+    return out if most is None else F.substring(out, 1, most)
 
 
 def heading_level(style: Column) -> Column:
-    """Level of a heading style, 0 for a title, null for body text."""
+    """Level of a heading style, 1 where it has no number or is a title; null for body text."""
     name = F.lower(F.coalesce(style, F.lit("")))
     number = F.regexp_extract(name, r"^(?:heading|标题)\s*([1-9])$", 1)
-    return F.when(name.isin("title", "标题"), F.lit(0)).when(number != "", number.cast("int"))
-
-
-def first_answer(json: Column) -> Column:
-    """The first non-empty answer in a JSON reply, by key order."""
-    return F.coalesce(*[F.nullif(trim_u(F.get_json_object(json, f"$.{k}")), F.lit("")) for k in ANSWER_KEYS])
+    return F.when(name.isin("title", "标题", "heading"), F.lit(1)).when(number != "", number.cast("int"))
 
 
 def url_domain(url: Column) -> Column:

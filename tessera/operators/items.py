@@ -11,12 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import DEFAULT, Config
+from tessera.functions import cleaning
 from tessera.functions import text as T
-from tessera.functions.split import split
+from tessera.functions.split import looks_like_json, split
 
-LINE = r"^\[([^\]]*)\] \[([^\]]*)\] (.*)$"
+LINE = r"^\[([^\]]+)\]\s+\[([^\]]+)\]\s*(.*)$"
+#: A text with its description in full-width parentheses.
+DESCRIBED = r"(?s)^(.*?)（(.*)）$"
 BODY = "正文"
 ASSETS = ("image", "link", "link_ref")
+TABLES = ("table", "image_table", "img_table")
 LEVELS = range(0, 7)
 
 
@@ -30,14 +34,23 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return out.where(F.trim("line") != "")
 
 
-def items_from_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Items from lines "[type] [style] text"; other lines are paragraphs of body text."""
+def items_from_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", assets: bool = False) -> DataFrame:
+    """Items from lines "[type] [style] text"; other lines are paragraphs of body text.
+
+    assets: with description, path (of images) and url (of links), which end the line in full-width parentheses and are its text.
+    """
     got = lines(docs, id_col, text_col)
     part = lambda k: F.regexp_extract("line", LINE, k)
     fits = F.col("line").rlike(LINE)
-    return got.select(
+    out = got.select(
         "doc_id", "item_index", F.when(fits, part(1)).otherwise("paragraph").alias("type"), F.when(fits, part(2)).otherwise(BODY).alias("style"), F.when(fits, part(3)).otherwise(F.col("line")).alias("text")
     )
+    if not assets:
+        return out
+    asset, said = F.col("type").isin(*ASSETS), F.col("type").isin(*ASSETS) & F.col("text").rlike(DESCRIBED)
+    value = F.when(said, F.trim(F.regexp_extract("text", DESCRIBED, 1))).otherwise(F.col("text"))
+    out = out.withColumn("description", F.when(said, F.nullif(F.trim(F.regexp_extract("text", DESCRIBED, 2)), F.lit("")))).withColumn("text", value)
+    return out.withColumns({"path": F.when(F.col("type") == "image", F.col("text")), "url": F.when(asset & (F.col("type") != "image"), F.col("text"))})
 
 
 def items_to_text(items: DataFrame) -> DataFrame:
@@ -52,14 +65,22 @@ def items_to_text(items: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(joined.alias("text"))
 
 
-def clean_items(items: DataFrame, sync: str = r"^(?:原文链接|同步来源|来源同步)[:：]?", image_path: str = r"^(?:data/|\./)?\S+\.(?:png|jpg|jpeg|gif|webp)$") -> DataFrame:
-    """Cleaned items without sync notes and the link right after one, image-path lines and empty or placeholder texts (assets may be empty)."""
-    rows = items.withColumn("text", F.when(F.col("type").isin(*ASSETS), T.clean_metadata(F.col("text"))).otherwise(T.clean_text(F.col("text"))))
-    is_sync = (F.col("type") == "paragraph") & F.coalesce(F.col("text").rlike(sync), F.lit(False))
-    after = (F.col("type").isin("link", "link_ref")) & F.coalesce(F.lag(is_sync).over(order()), F.lit(False))
-    is_path = (F.col("type") == "paragraph") & F.coalesce(F.col("text").rlike(image_path), F.lit(False))
-    empty = T.is_empty_text(F.col("text")) & ~F.col("type").isin(*ASSETS)
-    return rows.withColumn("gone", is_sync | after | is_path | empty).where(~F.col("gone")).drop("gone")
+def clean_items(items: DataFrame) -> DataFrame:
+    """Cleaned items without sync notes and the sync link right after one, image-path lines and empty or placeholder texts (assets may be empty).
+
+    Texts of tables are cleaned as JSON, those of images lightly, all others fully; of the further columns, paths and addresses lightly, descriptions and names fully.
+    A link that is itself a sync note and follows one counts as its link and as a note.
+    """
+    kind, text = F.coalesce("type", F.lit("")), F.coalesce("text", F.lit(""))
+    new = {"text": F.when(kind.isin(*TABLES), cleaning.clean_table(F.when(kind.isin(*TABLES), text))).when(kind == "image", cleaning.clean_metadata(text)).otherwise(cleaning.clean_text(text))}
+    new |= {c: cleaning.clean_metadata(F.col(c)) for c in ("path", "url", "source") if c in items.columns}
+    new |= {c: cleaning.clean_text(F.col(c)) for c in ("style", "description", "table_name") if c in items.columns}
+    said = F.coalesce(F.nullif("description", F.lit("")), "text") if "description" in items.columns else F.col("text")
+    rows = items.withColumns(new).withColumn("_sync", cleaning.is_sync_line(F.col("text")))
+    linked = F.col("type").isin("link", "link_ref") & F.contains(said, F.lit(cleaning.SYNC_NAME)) & F.coalesce(F.lag("_sync").over(order()), F.lit(False))
+    asset = F.col("type").isin(*ASSETS)
+    gone = F.col("_sync") | linked | ~asset & (cleaning.is_image_path_line(F.col("text")) | cleaning.is_empty(F.col("text")))
+    return rows.withColumn("_gone", F.coalesce(gone, F.lit(False))).where(~F.col("_gone")).drop("_gone", "_sync")
 
 
 def table_titles(items: DataFrame) -> DataFrame:
@@ -109,31 +130,34 @@ def _spaceless(x: str) -> int:
 def merged(chunks: list[dict], config: Config = DEFAULT) -> list[dict]:
     """One document's chunks with short text sections folded into their parents, until nothing changes or eight rounds are over.
 
-    All text chunks of a folded path get its last heading as their first line and move to the parent path; paths below it lose that
-    segment; neighbouring text chunks with equal paths are joined and split again.
+    All text chunks of a folded path get its last heading as their first line and move to the parent path; tables move along, and paths below lose that
+    segment; neighbouring text chunks with equal paths are joined and split again. A text that looks like JSON is left alone.
     """
+    joins = lambda c: c["chunk_type"] == "text" and not looks_like_json(c["content"])
     for _ in range(8):
-        short = {c["path"] for c in chunks if c["chunk_type"] == "text" and "\\" in c["path"] and _spaceless(c["content"]) < config.short_chunk_chars}
+        short = {c["path"] for c in chunks if joins(c) and "\\" in c["path"] and _spaceless(c["content"]) < config.short_chunk_chars}
         if not short:
             break
         before = [(c["path"], c["content"]) for c in chunks]
-        moved = []
+        folds = sorted(short, key=len, reverse=True)
+        runs: list[list[dict]] = []
         for c in chunks:
-            path, content = c["path"], c["content"]
-            if path in short and c["chunk_type"] == "text":
-                parent, _, leaf = path.rpartition("\\")
-                path, content = parent, f"{leaf}\n{content}"
-            for fold in sorted(short, key=len, reverse=True):
-                if path.startswith(fold + "\\"):
-                    path = fold.rpartition("\\")[0] + path[len(fold) :]
-            moved.append(c | {"path": path, "content": content})
-        chunks = []
-        for c in moved:
-            if chunks and c["chunk_type"] == "text" == chunks[-1]["chunk_type"] and c["path"] == chunks[-1]["path"]:
-                chunks[-1] = chunks[-1] | {"content": chunks[-1]["content"] + "\n" + c["content"]}
+            own = c["path"]
+            fold = next((f for f in folds if own == f or own.startswith(f + "\\")), None)
+            parent, _, leaf = (fold or "").rpartition("\\")
+            path = own if fold is None else parent + own[len(fold) :]
+            c = c | {"path": path, "content": f"{leaf}\n{c['content']}" if own == fold and joins(c) else c["content"]}
+            if runs and joins(c) and joins(runs[-1][-1]) and runs[-1][-1]["path"] == path:
+                runs[-1].append(c)
             else:
-                chunks.append(c)
-        chunks = [c | {"content": p} for c in chunks for p in (split(c["content"], config) if c["chunk_type"] == "text" else [c["content"]])]
+                runs.append([c])
+        chunks = []
+        for run in runs:
+            if not joins(run[0]):
+                chunks += run
+                continue
+            pieces = split("\n".join(c["content"].strip() for c in run), config)
+            chunks += [run[0] | {"content": p} for p in pieces if _spaceless(p) >= config.min_chunk_chars]
         if [(c["path"], c["content"]) for c in chunks] == before:
             break
     return chunks
@@ -144,14 +168,14 @@ def chunk(items: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
     def of_doc(frame: pd.DataFrame) -> pd.DataFrame:
         rows = frame.sort_values("segment")[["path", "chunk_type", "content"]].to_dict("records")
-        pieces = [r | {"content": p} for r in rows for p in split(r["content"], config)]
-        pieces = [c for c in merged(pieces, config) if _spaceless(c["content"]) >= config.min_chunk_chars]
-        out = pd.DataFrame(pieces, columns=["path", "chunk_type", "content"])
+        pieces = [r | {"content": p} for r in rows for p in split(r["content"], config, r["chunk_type"]) if _spaceless(p) >= config.min_chunk_chars]
+        out = pd.DataFrame(merged(pieces, config), columns=["path", "chunk_type", "content"])
         out.insert(0, "doc_id", frame["doc_id"].iloc[0])
         out.insert(1, "chunk_index", range(len(out)))
         return out
 
-    return segments(items).groupBy("doc_id").applyInPandas(of_doc, "doc_id long, chunk_index long, path string, chunk_type string, content string")
+    kind = dict(items.dtypes)["doc_id"]
+    return segments(items).groupBy("doc_id").applyInPandas(of_doc, f"doc_id {kind}, chunk_index long, path string, chunk_type string, content string")
 
 
 def batched(rows: DataFrame, most: int) -> DataFrame:

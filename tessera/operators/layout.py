@@ -5,34 +5,62 @@ pdf_lines has doc_id, page_number, line_order, text, page_width, page_height, x0
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import meta
 
-MOST_HEADING_CHARS, MOST_CLUSTERS, GAP = 120, 6, 0.4
-# Numbering of headings, list marks, dates and page numbers.
-NUMBERED = r"^(?:第[一二三四五六七八九十百\d]+[章节条部分]|[一二三四五六七八九十]+、|[（(][一二三四五六七八九十\d]+[)）]|\d+(?:\.\d+)*[.、 ])"
-LISTED = r"^[-•·●○▪*]\s*"
-DATED = r"^\d{4}\s*[-/.年]\s*\d{1,2}(?:\s*[-/.月]\s*\d{1,2}\s*日?)?"
-PAGE_NUMBER = r"^(?:第?\s*\d+\s*页?(?:\s*[/共]\s*\d+\s*页?)?|[-—]\s*\d+\s*[-—]|page\s+\d+(?:\s+of\s+\d+)?)$"
+# Numbering of headings and its levels, list marks, dates, page numbers, lines of a document's data, sizes and tolerances.
+MOST_HEADING_CHARS, MOST_CENTER_CHARS, MOST_LOWEST_CHARS, MOST_LEVEL, GAP, BOOST, LARGE_FONT, LARGE_GAP, ROW_TOP = 120, 30, 15, 6, 0.4, 2.0, 4.0, 2.0, 3.0
+HAN_NUMBER = "一二三四五六七八九十百千万"
+MARKERS = (
+    (rf"^[{HAN_NUMBER}]{{1,8}}\s*、", 1),
+    (rf"^[（(]\s*[{HAN_NUMBER}]{{1,8}}\s*[）)]", 2),
+    (r"^\d{1,3}(?:\.\d{1,3})+\s+", 3),
+    (r"^\d{1,3}\s*[.、．]", 3),
+    (r"^[（(]\s*\d{1,3}\s*[）)]", 4),
+    (r"^[①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳]", 5),
+)
+NUMBERED = rf"(?i)^\s*(?:(?:\d{{1,3}}(?:\.\d{{1,3}}){{0,5}}|[{HAN_NUMBER}]{{1,8}}|[IVXLCDM]{{1,8}})\s*[.、．)]|第\s*[\d{HAN_NUMBER}]{{1,8}}\s*[章节篇部分条]|(?:part|chapter|section)\s*[\dIVXLCDM{HAN_NUMBER}]+)"
+LISTED = r"^\s*(?:[-*•·●○◆◇■□▪▫▶▷◦]|[（(]?[a-zA-Z][）)])\s+"
+DATED = r"^\s*\d{4}\s*[-/.年]\s*\d{1,2}\s*(?:[-/.月]\s*\d{1,2}\s*日?)?"
+DATE = rf"{DATED}\s*$|^\s*\d{{1,2}}\s*[-/.]\s*\d{{1,2}}\s*[-/.]\s*\d{{2,4}}\s*$|^\s*\d{{4}}\s*年\s*\d{{1,2}}\s*月(?:\s*\d{{1,2}}\s*日)?\s*$"
+PAGE_NUMBER = r"^\s*(?:第\s*)?\d{1,3}\s*(?:页)?\s*$"
+CENTER_DATA = r"(?i)^\s*(?:(?:版次|版本|版本号|受控状态|发放编号|编\s*制|审\s*核|批\s*准)\s*[:：]?.*|[A-Z]/\d(?:\s*版)?|\d+(?:\.\d+)?\s*(?:天|年|月|日|分|元|%))\s*$"
+SENTENCE = r"[。！？.!?]\s*$"
+BODY = "正文"
+
+
+def lines_of_spans(spans: DataFrame) -> DataFrame:
+    """A line for each (doc_id, page_number, line_order): texts of its spans (span_order) joined, their common box, the largest font, bold if any is."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_order", "text"))), lambda x: x["text"]), "")
+    edges = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+    return spans.groupBy("doc_id", "page_number", "line_order").agg(text.alias("text"), *edges, F.max("font_size").alias("font_size"), F.bool_or("bold").alias("bold"), F.max("page_width").alias("page_width"), F.max("page_height").alias("page_height")).where(T.trim_u(F.col("text")) != "")
 
 
 def with_alignment(lines: DataFrame) -> DataFrame:
-    """lines with align: center, right, left or other, by margins and the page's median left margin."""
-    left = lines.groupBy("doc_id", "page_number").agg(F.median("x0").alias("left_margin"))
-    tolerance = F.greatest(F.lit(6.0), 0.02 * F.col("page_width"))
-    off = F.abs((F.col("x0") + F.col("x1")) / 2 - F.col("page_width") / 2)
-    indented = F.col("x0") > F.col("left_margin") + 2 * tolerance
-    align = F.when((off <= tolerance) & indented, "center").when(indented & (F.col("page_width") - F.col("x1") <= 4 * tolerance), "right").when(F.abs(F.col("x0") - F.col("left_margin")) <= 2 * tolerance, "left").otherwise("other")
-    return lines.join(left, ["doc_id", "page_number"]).withColumn("align", align)
-
-
-def without_furniture(lines: DataFrame) -> DataFrame:
-    """lines without page numbers and short texts that stand alone on a third of a document's pages."""
-    rows = lines.withColumn("line", T.squeeze(F.col("text"))).where(~F.lower(F.col("line")).rlike(PAGE_NUMBER))
-    again = meta.repeated_lines(rows, "doc_id", "page_number").select("doc_id", "line")
+    """lines with align: center, right, left or other, by the page's width and the median left edge of its longer lines."""
+    width = F.col("page_width")
+    body = F.when((F.length("text") >= 8) & (F.col("x0") < 0.45 * width), F.col("x0"))
+    left = lines.groupBy("doc_id", "page_number").agg(F.coalesce(F.median(body), F.min("x0")).alias("left_margin"))
+    near = F.greatest(F.lit(8.0), 0.025 * width)
+    align = (
+        F.when(F.abs((F.col("x0") + F.col("x1")) / 2 - width / 2) <= F.greatest(F.lit(18.0), 0.06 * width), "center")
+        .when((width - F.col("x1") <= near) | (F.col("x0") >= 0.55 * width), "right")
+        .when((F.abs(F.col("x0") - F.col("left_margin")) <= near) | (F.col("x0") <= 0.18 * width), "left")
+        .otherwise("other")
+    )
+    return lines.join(left, ["doc_id", "page_number"]).withColumn("align", align).drop("left_margin")
+
+
+def without_furniture(lines: DataFrame, share: float = 0.35, most_chars: int = 80) -> DataFrame:
+    """lines without page numbers and short texts that a document of two pages or more repeats on a third of its pages."""
+    rows = lines.withColumn("line", T.without_space(F.coalesce("text", F.lit("")))).where(~F.coalesce("text", F.lit("")).rlike(PAGE_NUMBER))
+    pages = rows.groupBy("doc_id").agg(F.countDistinct("page_number").alias("pages")).where("pages > 1")
+    found = rows.where((F.length("line") <= most_chars) & (F.col("line") != "")).groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n")).join(pages, "doc_id")
+    again = found.where(F.col("n") >= F.greatest(F.lit(2), F.floor(share * F.col("pages") + 0.999))).select("doc_id", "line")
     return rows.join(again, ["doc_id", "line"], "left_anti").drop("line")
 
 
@@ -44,50 +72,117 @@ def linked(lines: DataFrame, annotations: DataFrame) -> DataFrame:
     return b.join(urls, ["page", "line_order"], "left").drop("page")
 
 
+def marker_level(text: Column) -> Column:
+    """Level of a heading's numbering; null without one."""
+    bare = T.trim_u(text)
+    out = F.when(bare.rlike(MARKERS[0][0]), MARKERS[0][1])
+    for pattern, level in MARKERS[1:]:
+        out = out.when(bare.rlike(pattern), level)
+    return out
+
+
 def is_heading_candidate() -> Column:
-    """Short, not a list, date or sentence, and centred, numbered or bold."""
-    text = T.squeeze(F.col("text"))
-    return (
-        (F.length(text).between(1, MOST_HEADING_CHARS)) & ~text.rlike(LISTED) & ~text.rlike(DATED) & ~text.rlike("[。！？；;!?]$")
-        & ((F.col("align") == "center") | text.rlike(NUMBERED) | F.col("bold"))
-    )
+    """Short, no list, date or right-hand text; centred ones of at most thirty characters, left ones with a number, others in bold."""
+    text = T.trim_u(F.col("text"))
+    place = F.when(F.col("align") == "center", F.length(T.without_space(text)) <= MOST_CENTER_CHARS).when(F.col("align") == "left", marker_level(text).isNotNull() | text.rlike(NUMBERED)).when(F.col("align") == "right", False).otherwise(F.col("bold"))
+    return F.length(text).between(1, MOST_HEADING_CHARS) & ~text.rlike(LISTED) & ~text.rlike(DATE) & ~text.rlike(DATED) & F.coalesce(place, F.lit(False))
 
 
 def heading_score() -> Column:
-    """Font size over the document's median, with small credits for weight, centring and numbering."""
-    return F.round(
-        10 * F.col("font_size") / F.col("median_font") + F.when(F.col("bold"), 1.0).otherwise(0.0) + F.when(F.col("align") == "center", 1.0).otherwise(0.0) + F.when(T.squeeze(F.col("text")).rlike(NUMBERED), 0.5).otherwise(0.0), 6
-    )
+    return F.coalesce("font_size", F.lit(0.0)) + F.when(F.col("align") == "center", BOOST).otherwise(0.0) + F.when(F.col("bold"), BOOST).otherwise(0.0)
 
 
 def headings(lines: DataFrame) -> DataFrame:
-    """lines with style: heading 1 to 6 by clusters of scores within the document, else body text.
+    """lines with level (1 to 6, null for body text) and style.
 
-    A cluster ends where the next score is lower by more than 0.4; the six highest count, others go to the nearest.
-    A heading that a line of its level follows three times in a row is a list and goes back to body text.
+    A numbered candidate has its numbering's level, one below it if the document has a supported centred heading; others go to the nearest of the
+    six highest clusters of scores. Centred candidates need support: bold type, a numbered line below, or a large font with space above. Runs of three or more
+    equally numbered headings that read like a list, and long ones of the lowest level, are body text.
     """
-    font = lines.groupBy("doc_id").agg(F.median("font_size").alias("median_font"))
-    rows = with_alignment(lines).join(font, "doc_id").withColumn("candidate", is_heading_candidate() & ((F.col("font_size") > F.col("median_font")) | F.col("bold") | (F.col("align") == "center")))
-    rows = rows.withColumn("score", F.when(F.col("candidate"), heading_score()))
-    scores = rows.where("candidate").select("doc_id", "score").distinct()
-    clusters = meta.gap_clusters(scores, "score", "score", GAP, ["doc_id"])
-    centres = clusters.where(F.col("cluster") <= MOST_CLUSTERS).select("doc_id", F.col("cluster").alias("level"), F.col("cluster_mean").alias("centre")).distinct()
-    nearest = scores.join(centres, "doc_id").groupBy("doc_id", "score").agg(F.min_by("level", F.struct(F.abs(F.col("score") - F.col("centre")), "level")).alias("level"))
-    rows = rows.join(nearest, ["doc_id", "score"], "left")
     order = Window.partitionBy("doc_id").orderBy("page_number", "line_order")
-    starts = (~F.col("level").eqNullSafe(F.lag("level").over(order))).cast("int")
-    rows = rows.withColumn("_new", starts).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    size = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "_run"))
-    level = F.when(F.col("level").isNotNull() & (size >= 3), F.lit(None)).otherwise(F.col("level"))
-    return rows.withColumn("level", level).withColumn("style", F.when(F.col("level").isNotNull(), F.concat(F.lit("heading "), F.col("level").cast("string"))).otherwise("正文")).drop("_new", "_run", "median_font", "left_margin", "candidate", "score")
-
-
-def same_row_merged(lines: DataFrame, top: float = 3.0) -> DataFrame:
-    """One line for each row of a page: lines whose top is within three points of the row's first one, from left to right."""
-    e = lines.select(F.concat_ws(":", "doc_id", "page_number").alias("page"), "doc_id", "page_number", F.col("y0").alias("top"), F.col("x0").alias("left"), "text", "font_size", "bold")
-    rows = meta.row_leaders(e, "page", top)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), " ")
-    return rows.groupBy("doc_id", "page_number", "row").agg(text.alias("text"), F.max("font_size").alias("font_size"), F.bool_or("bold").alias("bold"))
+    of_doc = Window.partitionBy("doc_id")
+    length = F.length(T.without_space(F.col("text")))
+    same_page = lambda f: f("page_number").over(order).eqNullSafe(F.col("page_number"))
+    rows = with_alignment(lines).withColumns({"candidate": is_heading_candidate(), "marker": marker_level(F.col("text")), "score": heading_score(), "_chars": length})
+    rows = rows.withColumns({"_gap": F.when(same_page(F.lag), F.col("y0") - F.lag("y1").over(order)), "_next": F.when(same_page(F.lead), F.lead("marker").over(order))})
+    whole = rows.groupBy("doc_id").agg(F.median(F.when(F.col("font_size") > 0, F.col("font_size"))).alias("_font"), F.median(F.when(F.col("_gap") > 0, F.col("_gap"))).alias("_space"))
+    rows = rows.join(whole, "doc_id")
+    center = F.col("candidate") & (F.col("align") == "center")
+    spaced = (F.col("font_size") >= F.coalesce("_font", F.lit(0.0)) + LARGE_FONT) & (F.col("_gap").isNull() | (F.col("_gap") >= F.greatest(F.col("font_size"), LARGE_GAP * F.coalesce("_space", F.lit(0.0)))))
+    supported = center & ~F.col("text").rlike(CENTER_DATA) & (F.col("bold") | F.col("_next").isNotNull() | spaced)
+    rows = rows.withColumn("_held", F.coalesce(supported, F.lit(False)))
+    rows = rows.withColumn("_top", F.max("_held").over(of_doc))
+
+    # Levels of what has no number, by clusters.
+    free = rows.where(F.col("candidate") & F.col("marker").isNull()).withColumn("_key", F.struct("page_number", "line_order"))
+    clusters = meta.gap_clusters(free, "score", "_key", GAP, ["doc_id"])
+    centres = clusters.where(F.col("cluster") <= MOST_LEVEL).groupBy("doc_id", F.col("cluster").alias("_level")).agg(F.first("cluster_mean").alias("_centre"))
+    scores = free.select("doc_id", "score").distinct()
+    nearest = scores.join(centres, "doc_id").groupBy("doc_id", "score").agg(F.min_by("_level", F.struct(F.round(F.abs(F.col("score") - F.col("_centre")), 6), "_level")).alias("_near"))
+    rows = rows.join(nearest, ["doc_id", "score"], "left")
+    level = F.when(F.col("marker").isNotNull(), F.col("marker") + F.col("_top").cast("int")).when(F.col("_held"), F.lit(1)).otherwise(F.coalesce("_near", F.lit(1)))
+    level = F.when(F.col("candidate") & ~(center & ~F.col("_held")), F.least(level, F.lit(MOST_LEVEL))).cast("int")
+    rows = rows.withColumn("level", level)
+
+    # Runs that are lists, then long headings of the lowest level.
+    numbered = F.when(F.col("level").isNotNull() & F.col("marker").isNotNull(), F.col("level"))
+    rows = rows.withColumn("_kind", numbered)
+    rows = rows.withColumn("_run", F.sum(F.when(F.col("_kind").isNotNull() & F.col("_kind").eqNullSafe(F.lag("_kind").over(order)), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("doc_id", "_run")
+    listed = (F.count("_kind").over(run) >= 3) & (F.min("marker").over(run) == F.max("marker").over(run)) & (F.min((F.col("_chars") > MOST_LOWEST_CHARS).cast("int")).over(run) + F.min(F.col("text").rlike(SENTENCE).cast("int")).over(run) > 0)
+    rows = rows.withColumn("level", F.when(F.col("_kind").isNotNull() & listed, F.lit(None)).otherwise(F.col("level")))
+    lowest = F.max("level").over(of_doc)
+    rows = rows.withColumn("level", F.when((F.col("level") == lowest) & (F.col("_chars") > MOST_LOWEST_CHARS), F.lit(None)).otherwise(F.col("level")))
+    style = F.when(F.col("level") == 1, "标题").when(F.col("level").isNotNull(), F.concat(F.lit("标题 "), F.col("level").cast("string"))).otherwise(BODY)
+    return rows.withColumn("style", style).drop("candidate", "marker", "score", "_chars", "_gap", "_next", "_font", "_space", "_held", "_top", "_near", "_kind", "_run")
+
+
+def same_row_merged(lines: DataFrame, top: float = ROW_TOP) -> DataFrame:
+    """lines (with line_order) merged along the rows of their page: from left to right, those whose top is within three points of the row's first one, up to a gap of 12 points or 1.2 times the font."""
+
+    def of_page(frame: pd.DataFrame) -> pd.DataFrame:
+        rows: list[list[dict]] = []
+        for line in frame.sort_values(["y0", "x0", "line_order"], kind="stable").to_dict("records"):
+            if rows and line["y0"] - rows[-1][0]["y0"] <= top:
+                rows[-1].append(line)
+            else:
+                rows.append([line])
+        out: list[dict] = []
+        for row in rows:
+            for k, line in enumerate(sorted(row, key=lambda x: x["x0"])):
+                last = out[-1] if k else None
+                if last is None or line["x0"] - last["x1"] > max(12.0, 1.2 * last["font_size"]):
+                    out.append(dict(line))
+                    continue
+                last["text"] = " ".join(f"{last['text']} {line['text']}".replace("\u00a0", " ").replace("\u3000", " ").split())
+                last |= {c: min(last[c], line[c]) for c in ("x0", "y0", "line_order")} | {c: max(last[c], line[c]) for c in ("x1", "y1", "font_size")}
+                last["bold"] = bool(last["bold"] or line["bold"])
+        return pd.DataFrame(out, columns=list(frame.columns))
+
+    columns = ("doc_id", "page_number", "line_order", "text", "page_width", "page_height", "x0", "y0", "x1", "y1", "font_size", "bold")
+    some = lines.select(*columns)
+    return some.groupBy("doc_id", "page_number").applyInPandas(of_page, some.schema)
+
+
+def items_of_lines(lines: DataFrame) -> DataFrame:
+    """Items of styled lines (with urls, if there are any): a paragraph for each, followed by its addresses; source names page and line."""
+    urls = F.coalesce("urls", F.array().cast("array<string>")) if "urls" in lines.columns else F.array().cast("array<string>")
+    inside = F.transform(F.regexp_extract_all("text", F.lit(r"(?i)https?://[^\s<>()]+"), F.lit(0)), lambda u: F.regexp_replace(u, "[。；;，,)]+$", ""))
+    links = F.filter(F.array_distinct(F.concat(inside, urls)), lambda u: T.trim_u(u) != "")
+    source = F.format_string("page:%s:line:%s", F.col("page_number").cast("string"), F.col("line_order").cast("string"))
+    item = lambda kind, style, text, url, source: F.struct(F.lit(kind).alias("type"), style.alias("style"), text.alias("text"), url.alias("url"), source.alias("source"))
+    own = item("paragraph", F.col("style"), F.col("text"), F.lit(None).cast("string"), source)
+    rest = F.transform(links, lambda u: item("link_ref", F.lit("链接"), u, u, F.concat(source, F.lit(":link"))))
+    rows = lines.select("doc_id", "page_number", "line_order", F.posexplode(F.concat(F.array(own), rest)).alias("part", "i"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_number", "line_order", "part")) - 1
+    return rows.select("doc_id", place.cast("long").alias("item_index"), "i.*")
+
+
+def title_cutoff(fonts: DataFrame, key: str, size: str) -> DataFrame:
+    """key and cutoff: the font from which a slide of a presentation is a title: 24 at least, else the smaller of the lower third quartile and four above the median."""
+    sizes = F.array_sort(F.collect_list(size))
+    low = F.element_at(sizes, (F.floor(0.75 * (F.size(sizes) - 1)) + 1).cast("int"))
+    return fonts.where(F.col(size) > 0).groupBy(key).agg(F.greatest(F.lit(24.0), F.least(low, F.median(size) + 4)).alias("cutoff"))
 
 
 def without_empty_sections(items: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_SCHEMA = "id string, vector array<float>, sparse map<int,float>, content string, file_id string, chunk_index long, metadata string"
+CHUNK_SCHEMA = "id string, vector array<float>, sparse map<long,float>, content string, file_id string, chunk_index long, metadata string"
 
 
 def unique_file_ids(*frames: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.config import DEFAULT
+from tessera.functions import cleaning
 from tessera.functions import text as T
 from tessera.operators import chat, evaluation, items, meta, retrieval, store
 from tessera.session import table
@@ -213,12 +214,12 @@ def upsert_replace(spark, sf_dir):
     return store.upsert(old, new).select("id", "content")
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[\\x{200B}\\x{200C}\\x{200D}\\x{2060}\\x{FEFF}]', '', 'g'), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '[ \\t\\x{A0}\\x{3000}]+', ' ', 'g')) AS text FROM documents")
+@query(f"SELECT doc_id, {cleaning.sql('text', light=True)} AS text FROM documents")
 def clean_text_basic(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.clean_metadata(F.col("text")).alias("text"))
 
 
-@query()
+@query(f"SELECT doc_id, {cleaning.sql('text')} AS text FROM documents")
 def clean_text_full(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.col("text")).alias("text"))
 
@@ -503,7 +504,7 @@ def offset_slice(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").orderBy("item_id").offset(5).limit(12)
 
 
-@query("SELECT doc_id, CASE WHEN length(text) <= 600 THEN text ELSE substr(text, 1, 400) || chr(10) || '...' || chr(10) || right(text, 200) END AS text FROM documents")
+@query(f"SELECT doc_id, CASE WHEN length(t) <= 600 THEN t ELSE substr(t, 1, 400) || '{T.OMITTED}' || right(t, 200) END AS text FROM (SELECT doc_id, trim(regexp_replace(text, '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents)")
 def trim_head_tail(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.trim_document(F.col("text"), 600).alias("text"))
 
@@ -547,3 +548,6 @@ def reading_order(spark, sf_dir):
     """Parts as slide elements: price as top, size as left, brand as the slide."""
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("slide"), F.col("p_retailprice").alias("top"), F.col("p_size").cast("double").alias("left"))
     return meta.row_leaders(rows, "slide", 25.0)
+
+
+from tessera.plans import more  # noqa: E402, F401 - registers the further queries

@@ -119,7 +119,7 @@ def _docx_table(table) -> list[tuple]:
     return grid_items(grid)
 
 
-def docx(content: bytes) -> list[tuple]:
+def docx(content: bytes, stem: str = "") -> list[tuple]:
     """Paragraphs, hyperlinks, images and tables of a document's body, in order."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         links = _relations(z, "word/document.xml")
@@ -154,16 +154,16 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def xlsx(content: bytes) -> list[tuple]:
-    """A heading for each sheet, and its rows as objects named by the first row; empty cells are left out."""
+def xlsx(content: bytes, stem: str = "") -> list[tuple]:
+    """A heading for the workbook and each sheet, and its rows as objects named by the first row; empty cells are left out."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         shared = [_squeezed("".join(t.text or "" for t in _all(s, "t"))) for s in ET.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-        parts, out = _relations(z, "xl/workbook.xml"), []
+        parts, out = _relations(z, "xl/workbook.xml"), [_item("paragraph", "标题", stem)] if stem else []
         for sheet in _all(ET.fromstring(z.read("xl/workbook.xml")), "sheet"):
             path = posixpath.normpath(posixpath.join("xl", parts[_attr(sheet, "id")])) if not parts[_attr(sheet, "id")].startswith("/") else parts[_attr(sheet, "id")][1:]
             root, urls = ET.fromstring(z.read(path)), _relations(z, path)
-            out.append(_item("paragraph", "heading 2", _attr(sheet, "name") or ""))
+            out.append(_item("paragraph", "标题 2", _attr(sheet, "name") or ""))
             cells: dict[int, dict[int, str]] = {}
             for c in _all(root, "c"):
                 v, kind = _child(c, "v"), c.attrib.get("t")
@@ -193,20 +193,46 @@ def xlsx(content: bytes) -> list[tuple]:
     return out
 
 
-def pptx(content: bytes) -> list[tuple]:
+def _slides(z: zipfile.ZipFile) -> list[str]:
+    """The parts of the slides in the presentation's order; by their numbers where it has none."""
+    parts = [n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)]
+    if "ppt/presentation.xml" in z.namelist():
+        targets = _relations(z, "ppt/presentation.xml")
+        # The relation's id is the attribute with a name space; the plain one numbers the slide.
+        ids = [next((v for k, v in s.attrib.items() if k.endswith("}id")), "") for s in _all(ET.fromstring(z.read("ppt/presentation.xml")), "sldId")]
+        listed = [posixpath.normpath(posixpath.join("ppt", targets[i])) if not targets[i].startswith("/") else targets[i][1:] for i in ids if i in targets]
+        if listed:
+            return [n for n in listed if n in parts]
+    return sorted(parts, key=lambda n: int(re.search(r"\d+", n)[0]))
+
+
+def _shapes(parent, dx: int = 0, dy: int = 0):
+    """Shapes below parent with their place on the slide (top, left); those of groups are moved by the group's offset."""
+    for e in parent:
+        name = _name(e)
+        if name == "grpSp":
+            props = _child(e, "grpSpPr")
+            at = {k: next(iter(_all(props, k)), None) if props is not None else None for k in ("off", "chOff")}
+            move = [int(at["off"].attrib[c]) - int(at["chOff"].attrib[c]) if at["off"] is not None and at["chOff"] is not None else 0 for c in "xy"]
+            yield from _shapes(e, dx + move[0], dy + move[1])
+        elif name in ("sp", "graphicFrame", "pic"):
+            off = next(iter(_all(e, "off")), None)
+            yield e, (int(off.attrib["y"]) + dy, int(off.attrib["x"]) + dx) if off is not None else (0, 0)
+        elif name in ("cSld", "spTree", "AlternateContent", "Choice"):
+            yield from _shapes(e, dx, dy)
+
+
+def pptx(content: bytes, stem: str = "") -> list[tuple]:
     """A heading for each slide and its texts in reading order; the last slide and slides with a video are left out."""
     row_height = 260_000
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        slides = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
         out: list[tuple] = []
-        for number, name in enumerate(slides[:-1], 1):
+        for number, name in enumerate(_slides(z)[:-1], 1):
             root = ET.fromstring(z.read(name))
             if _all(root, "videoFile"):
                 continue
             shapes = []
-            for s in (x for x in root.iter() if _name(x) in ("sp", "graphicFrame", "pic")):
-                off = next(iter(_all(s, "off")), None)
-                place = (int(off.attrib["y"]), int(off.attrib["x"])) if off is not None else (0, 0)
+            for s, place in _shapes(root):
                 if _name(s) == "graphicFrame":
                     grid = [[_squeezed("".join(t.text or "" for t in _all(tc, "t"))) for tc in _all(tr, "tc")] for tr in _all(s, "tr")]
                     shapes.append((*place, grid_items(grid)))
@@ -223,7 +249,7 @@ def pptx(content: bytes) -> list[tuple]:
                     rows.append([s])
             found = [i for r in rows for s in sorted(r, key=lambda s: s[1]) for i in s[2]]
             if found:
-                out += [_item("paragraph", "heading 2", f"第{number}页"), *found]
+                out += [_item("paragraph", "标题 2", f"第{number}页"), *found]
     return out
 
 
@@ -239,7 +265,7 @@ def items(files: DataFrame) -> DataFrame:
             for path, content in zip(frame["path"], frame["content"]):
                 reader = READERS.get(path.rpartition(".")[2].lower())
                 try:
-                    found = reader(content) if reader else [_item("error", BODY, "unsupported format")]
+                    found = reader(content, posixpath.splitext(posixpath.basename(path))[0]) if reader else [_item("error", BODY, "unsupported format")]
                 except (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError) as e:
                     found = [_item("error", BODY, f"{type(e).__name__}: {e}")]
                 out += [(path, i, *x) for i, x in enumerate(found)]
@@ -249,8 +275,8 @@ def items(files: DataFrame) -> DataFrame:
 
 
 def documents(files: DataFrame) -> DataFrame:
-    """Items with their document's ids."""
+    """Items with their document's ids: doc_id is the path."""
     from tessera.functions import text as T
 
     kind = F.regexp_replace(F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)), "^docx$", "doc")
-    return items(files).withColumn("file_id", T.file_id(F.col("path"), kind))
+    return items(files).withColumns({"file_id": T.file_id(F.col("path"), kind), "doc_id": F.col("path")}).drop("path")

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.functions import loose, split
+from tessera.functions import cleaning, loose, markdown, split
 from tessera.functions import text as T
 from tessera.operators import items, layout, meta
 
@@ -18,13 +18,13 @@ def one(spark, column, value):
 def test_clean_text(spark):
     dirty = "​Hello 　 world \U0001f600 , itâ€™s ( fine )﻿ "
     clean = one(spark, T.clean_text, dirty)
-    assert clean == "Hello world, it’s (fine)"
+    assert clean == "Hello world, it's (fine)"
     assert one(spark, T.clean_text, clean) == clean
     assert T.clean_text(F.lit(None)) is not None and one(spark, T.clean_text, None) is None
 
 
 def test_sanitize_question(spark):
-    assert one(spark, T.sanitize_question, 'café\\n ​is \\"open\\"\x07? now') == 'café is "open" ? now'
+    assert one(spark, T.sanitize_question, 'café\\n ​is \\"open\\"\x07? now') == 'café is "open"? now'
 
 
 def test_tokens_and_overlap(spark):
@@ -37,12 +37,12 @@ def test_small_expressions(spark):
     row = spark.range(1).select(
         T.file_id(F.lit("/a/b/Name.docx"), F.lit("doc")).alias("f"), T.chunk_id(F.lit("x"), F.lit(7)).alias("c"), T.trim_document(F.lit("abcdefghij"), 6).alias("t"), T.shorten(F.lit("a  b c d e f"), 6).alias("s"),
         T.hamming(F.lit("ffffffffffffffff"), F.lit("0000000000000001")).alias("h"), T.epoch_seconds(F.lit("1970-01-01T00:00:01.5Z")).alias("e"), T.url_domain(F.lit("https://A.b/c")).alias("d"),
-        T.first_answer(F.lit('{"answer":" ","output":"yes"}')).alias("o"), T.elapsed_text(F.lit(61.2)).alias("el"), T.heading_level(F.lit("Heading 2")).alias("hl"),
+        loose.answer_of(F.lit('{"answer":" ","output":[{"text":"yes"}]}')).alias("o"), T.elapsed_text(F.lit(61.2)).alias("el"), T.heading_level(F.lit("Heading 2")).alias("hl"),
     ).first()
     import hashlib
 
     assert row["f"] == "doc_" + hashlib.sha1(b"Name").hexdigest()[:12] and row["c"] == "x_chunk_000007"
-    assert (row["t"], row["s"], row["h"], row["e"], row["d"], row["o"], row["el"], row["hl"]) == ("abcd\n...\nij", "a b...", 63, 1.5, "a.b", "yes", "1m01s", 2)
+    assert (row["t"], row["s"], row["h"], row["e"], row["d"], row["o"], row["el"], row["hl"]) == (f"abcd{T.OMITTED}ij", "a b c ...", 63, 1.5, "a.b", "yes", "1m01s", 2)
 
 
 @settings(max_examples=150, deadline=None)
@@ -60,7 +60,12 @@ def test_split_kinds():
     image = '<img index="3">' + "word " * 200 + "</img>"
     assert all(p.startswith('<img index="3">') and p.endswith("</img>") for p in split.split(image))
     long = '<a index="1">' + "x" * 600 + "</a>"
-    assert long in split.split("before " + long + " after")
+    assert split.split("before " + long + " after") == ["before", long, "after"]
+    nested = json.dumps({"a": [{"k": "v" * 90}] * 9, "b": {"c": "d" * 300, "e": "f" * 300}, "g": 1}, separators=(",", ":"))
+    pieces = [json.loads(p) for p in split.split(nested)]
+    assert [list(p) for p in pieces] == [["a"], ["a"], ["a"], ["b"], ["b"], ["g"]] and sum(len(p["a"]) for p in pieces[:3]) == 9
+    assert split.plain("word " * 30 + "2. second part of it " + "word " * 30, 200, 20)[0].endswith("word") and split.plain("word " * 30 + "2. second part of it " + "word " * 30, 200, 20)[1].startswith("2. second")
+    assert split.plain("x" * 250, 100, 20) == ["x" * 100, "x" * 100, "x" * 90]
     assert split.split(None) == split.split("  ") == []
 
 
@@ -88,9 +93,27 @@ SCHEMA = "doc_id long, item_index long, type string, style string, text string"
 
 
 def test_cleaning_drops_sync_notes_with_their_link(spark):
-    rows = [("paragraph", "来源同步：x"), ("link", "l1"), ("link", "l2"), ("paragraph", "data/img/a.png"), ("paragraph", "none"), ("image", ""), ("paragraph", "text")]
+    rows = [("paragraph", "同步自文档：{{x}}"), ("link", "同步自文档"), ("link", "l2"), ("paragraph", "图片：data\\processing\\a.png"), ("paragraph", "（ 空 ）"), ("image", ""), ("paragraph", "text"), ("table", '[{"a ✅":"1 ,2"}]')]
     df = spark.createDataFrame([(1, i, k, "正文", t) for i, (k, t) in enumerate(rows)], SCHEMA)
-    assert [r["item_index"] for r in items.clean_items(df).orderBy("item_index").collect()] == [2, 5, 6]
+    out = items.clean_items(df).orderBy("item_index").collect()
+    assert [r["item_index"] for r in out] == [2, 5, 6, 7] and out[-1]["text"] == '[{"a":"1,2"}]'
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab ,.'-()（空）\u200b\u3000✅★â€™¦Â\n\t\x07", max_size=60))
+def test_cleaning_is_stable(text):
+    once = cleaning.cleaned(text)
+    assert not set(once) & set("\u200b✅★\x07") and once == once.strip()
+    again = cleaning.cleaned(once)
+    assert len(again) <= len(once)
+
+
+def test_cleaning_agrees_with_python(spark):
+    r = random.Random(5)
+    pieces = ["word", " ", "  ", ",", " . ", "-- ", "\u3000", "\u200b", "✅", "â€™", "â€¦", "Ã\x80", "（ ", " ）", "[ x ]", "图片：data/processing/a.png", "同步自文档：https://a.b/c ", "\x07", "\n", "\t", "\ufffd", "é", "漢字"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 25))) for _ in range(400)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.clean_text(F.col("t")).alias("c")).collect()
+    assert all(x["c"] == cleaning.cleaned(x["t"]) for x in got)
 
 
 def test_item_lines_round_trip(spark):
@@ -138,15 +161,32 @@ def test_sections(spark):
     assert left(layout.without_empty_sections) == ["A", "B", "x", "参考文献", "sub", "ref", "C", "y"]
 
 
+LINE = "doc_id long, page_number int, line_order int, text string, page_width double, page_height double, x0 double, y0 double, x1 double, y1 double, font_size double, bold boolean"
+
+
+def line(p, i, t, x0, x1, size=10.0, bold=False, top=None):
+    y = 20.0 * i if top is None else top
+    return (1, p, i, t, 600.0, 800.0, x0, y, x1, y + size, size, bold)
+
+
 def test_pdf_headings(spark):
-    line = lambda p, i, t, x0, x1, size, bold: (1, p, i, t, 600.0, 800.0, x0, 20.0 * i, x1, 20.0 * i + size, size, bold)
-    rows = [line(1, 0, "Big Title", 250.0, 350.0, 24.0, True), line(1, 1, "1. Part", 50.0, 120.0, 16.0, True)] + [line(1, i, f"body text number {i} goes on here", 50.0, 500.0, 10.0, False) for i in range(2, 12)] + [line(1, 12, "- 3 -", 290.0, 310.0, 9.0, False)]
-    rows += [line(p, 0, "Confidential", 50.0, 100.0, 9.0, False) for p in (1, 2, 3)]
-    df = spark.createDataFrame(rows, "doc_id long, page_number int, line_order int, text string, page_width double, page_height double, x0 double, y0 double, x1 double, y1 double, font_size double, bold boolean")
+    rows = [line(1, 0, "Big Title", 250.0, 350.0, 24.0, True), line(1, 1, "一、 Part", 50.0, 120.0, 16.0), line(1, 2, "1. Point", 50.0, 120.0)] + [line(1, i, f"body text number {i} goes on here", 50.0, 400.0) for i in range(3, 12)] + [line(1, 12, "3", 290.0, 310.0, 9.0)]
+    rows += [line(p, 30, "Confidential", 50.0, 100.0, 9.0) for p in (1, 2, 3)] + [line(3, 5, "plain centre", 250.0, 350.0)] + [line(2, i, f"{i}. a long point of a list that ends.", 50.0, 400.0) for i in range(2, 6)] + [line(2, 7, "2024年5月", 250.0, 350.0, 24.0, True), line(2, 8, "right", 540.0, 590.0, 20.0, True)]
+    df = spark.createDataFrame(rows, LINE)
     clean = layout.without_furniture(df)
-    assert not {"- 3 -", "Confidential"} & {r["text"] for r in clean.collect()}
-    style = {r["text"]: r["style"] for r in layout.headings(clean).collect()}
-    assert (style["Big Title"], style["1. Part"]) == ("heading 1", "heading 2") and Counter(style.values())["正文"] == 10
+    assert not {"3", "Confidential"} & {r["text"] for r in clean.collect()}
+    got = layout.headings(clean)
+    style = {r["text"]: r["style"] for r in got.collect()}
+    assert (style["Big Title"], style["一、 Part"], style["1. Point"]) == ("标题", "标题 2", "标题 4")
+    assert {t for t, k in style.items() if k != "正文"} == {"Big Title", "一、 Part", "1. Point"}
+    found = layout.items_of_lines(got.withColumn("urls", F.when(F.col("line_order") == 0, F.array(F.lit("http://x")))))
+    assert [r["text"] for r in found.where("type = 'link_ref'").collect()] == ["http://x"]
+
+
+def test_rows_of_lines(spark):
+    rows = [line(1, 2, "b", 80.0, 100.0, top=11.0), line(1, 1, "a", 50.0, 75.0, top=10.0), line(1, 3, "far", 300.0, 330.0, top=12.5), line(1, 4, "next", 50.0, 70.0, top=40.0)]
+    out = layout.same_row_merged(spark.createDataFrame(rows, LINE)).orderBy("line_order").collect()
+    assert [(r["text"], r["x0"], r["x1"], r["line_order"]) for r in out] == [("a b", 50.0, 100.0, 1), ("far", 300.0, 330.0, 3), ("next", 50.0, 70.0, 4)]
 
 
 def test_repeated_images(spark):
@@ -159,9 +199,17 @@ def test_loose():
     assert loose.loads('<think>x</think>```json\n{"a": [1, 2]}\n```') == {"a": [1, 2]}
     assert loose.loads('well: {"a": "}"} and more') == {"a": "}"} and loose.loads("[") is None
     assert loose.vocabulary_reply('[{"word":"知识库","pos":"n"},{"word":"123","pos":"n"},{"word":"向量","pos":"??"},{"word":"知识库","pos":"v"}]') == [("向量", "nz"), ("知识库", "n")]
-    assert loose.vocabulary_reply("1. 检索 v\n- 召回, n\nnoise") == [("召回", "n"), ("检索", "v")] and loose.vocabulary_reply("[") == []
-    text, refs = loose.numbered_references("See [A](d/a.docx) and [A](d/a.docx), `[x](y)` <reference>b</reference> [b2](b/)\n\n## Sources\n- a")
-    assert text == "See [[1]](d/a.docx) and [[1]](d/a.docx), `[x](y)` [[2]](b)" and refs == ["d/a.docx", "b"]
+    assert loose.vocabulary_reply("检索 v\n- 召回, n\nx") == [("召回", "n"), ("检索", "v")] and loose.vocabulary_reply("[") == []
+    assert loose.vocabulary_reply('{"word":"年假","pos":"zz"},\na.docx, n') == [("年假", "nz")]
+    text, refs = loose.numbered_references("See [片段1：A](d/a.docx) and [x](y) <reference>d\\a.docx</reference> <reference>b</reference>\n```\n[片段2：q](z)\n```\n\n---\n\n## 参考来源：\n- a")
+    assert text == "See [[1]](d\\a.docx) and [x](y) [[1]](d\\a.docx)[[2]](b)\n```\n[片段2：q](z)\n```" and refs == ["d/a.docx", "b"]
+    assert loose.numbered_references("a\n\nreferences\n- b") == ("a\n\nreferences\n- b", []) and loose.numbered_references(None) == ("", [])
+
+
+def test_card_text():
+    assert markdown.card("| a | |\n|---|---|\n| 1 | 2 |\n|  |  |\ntext") == "1. a: 1；列2: 2\ntext"
+    assert markdown.card("| a |\n| --- |") == "a" and markdown.card("## H\ntext\n#### I") == "**H**\ntext\n**I**"
+    assert markdown.card("* *来源：x*\n>q\n>\n- - -\n") == "· 来源：x\n▌ q\n▌\n────────" and markdown.card(None) == " "
 
 
 def test_reading_order(spark):

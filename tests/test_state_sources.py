@@ -167,10 +167,10 @@ def test_office(spark, folder):
     assert [r["path"].rpartition("/")[2] for r in found.select("path").collect()] == ["a.docx", "a.pdf", "b.xlsx", "bad.docx", "c.pptx"]
     assert "a.docx" not in {r["path"].rpartition("/")[2] for r in files.without_pdf_twins(found).collect()}
     of = {}
-    for r in office.documents(found).orderBy("path", "item_index").collect():
-        of.setdefault(r["path"].rpartition("/")[2], []).append((r["type"], r["style"], r["text"], r["url"], r["links"]))
+    for r in office.documents(found).orderBy("doc_id", "item_index").collect():
+        of.setdefault(r["doc_id"].rpartition("/")[2], []).append((r["type"], r["style"], r["text"], r["url"], r["links"]))
     assert of["a.docx"] == [("paragraph", "heading 1", "Title", None, {}), ("paragraph", "正文", "Body text", None, {}), ("paragraph", "正文", "site", None, {}), ("link", "正文", "site", "http://h", {}), ("table", "table", '[{"A":"x","B":"1","C":"2"},{"A":"x","B":"3"}]', None, {})]
-    assert of["b.xlsx"] == [("paragraph", "heading 2", "S", None, {}), ("table", "row:2", '[{"Name":"n","Url":"link"}]', None, {"link": "http://h"})]
+    assert of["b.xlsx"] == [("paragraph", "标题", "b", None, {}), ("paragraph", "标题 2", "S", None, {}), ("table", "row:2", '[{"Name":"n","Url":"link"}]', None, {"link": "http://h"})]
     assert [x[2] for x in of["c.pptx"]] == ["第1页", "left", "right", "low"]
     assert of["bad.docx"][0][0] == "error" and of["a.pdf"][0][2] == "unsupported format"
 
