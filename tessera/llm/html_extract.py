@@ -6,7 +6,7 @@ A container's points are discounted by its share of link text. The best containe
 beside the elements around it up to the body, unless links are a quarter of it or more and it has less than a fifth of the best points; a heading stays with the text below it. Where it lies in an <article>, that whole element is taken. Menus, page headers, footers,
 sidebars, notices, adverts, forms, comments of readers and hidden elements are cut beforehand, by element, role and class
 name (the last name of a class or id, so has-sidebar and comments-open name nothing); what holds the main element, the h1 or most of the text
-stays whatever its name. Lists that are mostly links go as menus.
+stays whatever its name; a form around the page stays too. Lists that are mostly links go as menus.
 
 Rows are handled one by one, in Arrow batches, without any exchange.
 
@@ -37,14 +37,14 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 BLOCKS = frozenset(
     "html body main article section div header footer nav aside form p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption details summary address fieldset hr center dialog menu search hgroup frameset".split()
 )
-RAW = frozenset("script style noscript template textarea title iframe svg math canvas object select button audio video head".split())
+RAW = frozenset("script style noscript template textarea title iframe svg select button audio video head".split())
 VOID = frozenset("hr br img input meta link area base col embed source track wbr param".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCKS - frozenset("html body".split())
 #: An element of the key ends an open element of its values, if no element of STOPS lies between.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead"}, "thead": {"tr"}, "tfoot": {"tr", "td", "th", "tbody"}}
 STOPS = frozenset("html body table ul ol dl td th article section div".split())
-CUT_ELEMENTS = frozenset("nav footer aside form dialog menu search".split())
+CUT_ELEMENTS = frozenset("nav footer aside dialog menu search".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form status".split())
 CUT_NAMES = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer foot masthead topbar toolbar ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending comment comments commentlist disqus respond replies reply pagination pager skip widget widgets form search copyright disclaimer paywall hidden".split()
@@ -97,6 +97,8 @@ def _cut(tag: str, raw: str, inside: bool) -> bool | set[str]:
     """Whether an element goes with all that is in it, or the names by which it would. inside: it lies in an article."""
     if tag in CUT_ELEMENTS:
         return True
+    if tag == "form":  # unless the page lies in it
+        return {"form"}
     if not raw or raw.isspace():
         return tag == "header" and not inside
     at = _attributes(raw)

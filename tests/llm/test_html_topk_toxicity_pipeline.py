@@ -56,6 +56,14 @@ def test_short_sections_stay_without_an_article(wrap, part):
     assert html_extract.extract(PAGE % (wrap % (parts + links))) == " ".join(f"{h} {p}" for h, p in texts)
 
 
+def test_a_form_around_the_page_stays():
+    page = PAGE % f"<div class=content>{BODY}</div>"
+    inside = page.replace("<body>", "<body><form id='aspnet' method=post><input type=hidden>").replace("</body>", "</form></body>").replace("<form><label>Mail</label><input></form>", "")
+    assert html_extract.extract(inside) == WANT
+    assert html_extract.extract(f"<body><form id=f><h1>T</h1><p>{prose(1, 40)}</p><p>{prose(2, 40)}</p></form></body>") == f"T {prose(1, 40)} {prose(2, 40)}"
+    assert html_extract.extract(PAGE % f"<div class=content>{BODY}<form><p>Sign, up, for, our, letter, now.</p></form><p>E = <math><mi>m</mi><mi>c</mi></math></p></div>") == WANT + " E = mc"
+
+
 def test_long_comments_and_adverts_are_cut():
     assert html_extract.extract(f"<body><div class='ad'><p>{prose(2, 90)}</p></div><article><h1>T</h1><p>Short.</p></article></body>") == "T Short."
     said = f"<div id='comments'><article class='comment-body'><p>{prose(1, 400)}</p></article></div>"
