@@ -48,6 +48,15 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def apart(df: DataFrame, key: str) -> DataFrame:
+    """df, an aggregate by the whole number key, to be joined by it with rows of which one key may have very many.
+
+    As a value of its own the key is exchanged once more before the join. Spark splits the partitions of a skewed join only if both sides
+    come from an exchange, which a side straight from its aggregate does not.
+    """
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long"))).hint("merge")
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; none for a null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda x: x != F.lit(""))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, stored, table, whole_rows
+from tessera.llm.common import apart, cut, stored, table, whole_rows
 
 SHINGLE = 5
 #: The least similarity, as a fraction.
@@ -131,17 +131,18 @@ def sets(docs: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node of its component) from edges (a, b), by alternating large and small stars.
 
-    Only minima are aggregated by node, so a node with very many edges is no large group; each round is a checkpoint.
+    Minima are aggregated by node before the exchange, and joins back to the edges can be split, so a node with very many edges is no large group;
+    each round is a checkpoint.
     """
     now = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, mark = cut(now), None
     while True:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(apart(least, "a"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low.hint("merge"), "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+        small = large.join(apart(low, "a"), "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
         now = cut(small.select("e.a", "e.b").where("a != b").distinct())
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
@@ -313,7 +314,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     # Exact comparison within groups.
     groups = stored(groups)
-    counted = groups.join(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root").select(F.col("root").alias("comp"), "size", F.col("node").alias("uid")).join(reps, "uid")
+    counted = groups.join(apart(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root"), "root").select(F.col("root").alias("comp"), "size", F.col("node").alias("uid")).join(reps, "uid")
     tokens = only(all_sets.select("uid", "tokens"), groups.select(F.col("node").alias("uid")))
     done = stored(verified(counted.join(tokens.hint("merge"), "uid")))
     links = done.groupBy("uid").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("blocks").alias("blocks"))
@@ -332,7 +333,7 @@ def joined(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class of linked documents) and n_links (documents with a similarity of 0.8 or more, copies included)."""
     rows = cut(classes(docs))
     first = rows.groupBy("class_uid").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return rows.join(first, "class_uid").select("doc_id", "class_id", "class_size", "n_links")
+    return rows.join(apart(first, "class_uid"), "class_uid").select("doc_id", "class_id", "class_size", "n_links")
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
