@@ -179,14 +179,19 @@ def chunk(items: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def batched(rows: DataFrame, most: int) -> DataFrame:
-    """doc_id, item_index, line and batch: greedy batches of lines of at most most characters; a longer line is a batch of its own."""
-    zero = F.struct(F.lit(-1).alias("batch"), F.lit(0).alias("size"), F.array().cast("array<struct<item_index:int,line:string,batch:int>>").alias("out"))
+    """doc_id, item_index, line and batch: greedy batches of lines of at most most characters; a longer line is a batch of its own.
+
+    One pass over a document's lines notes where batches begin; the lines are then dealt by these places.
+    """
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("starts"))
 
     def step(a: Column, x: Column) -> Column:
-        fits = (a["batch"] >= 0) & (a["size"] + F.length(x["line"]) <= most)
-        batch = F.when(fits, a["batch"]).otherwise(a["batch"] + 1)
-        return F.struct(batch.alias("batch"), F.when(fits, a["size"] + F.length(x["line"])).otherwise(F.length(x["line"])).alias("size"), F.concat(a["out"], F.array(F.struct(x["item_index"], x["line"], batch.alias("batch")))).alias("out"))
+        n = F.length(x["line"])
+        fits = (a["at"] > 0) & (a["size"] + n <= most)
+        return F.struct((a["at"] + 1).alias("at"), F.when(fits, a["size"] + n).otherwise(n).alias("size"), F.when(fits, a["starts"]).otherwise(F.concat(a["starts"], F.array(a["at"] + 1))).alias("starts"))
 
     all_lines = F.array_sort(F.collect_list(F.struct(F.col("item_index").cast("int").alias("item_index"), "line")))
-    got = rows.groupBy("doc_id").agg(F.aggregate(all_lines, zero, step, lambda a: a["out"]).alias("o"))
-    return got.select("doc_id", F.explode("o").alias("o")).select("doc_id", "o.*")
+    got = rows.groupBy("doc_id").agg(all_lines.alias("ls")).withColumn("starts", F.aggregate("ls", zero, step, lambda a: a["starts"]))
+    part = lambda s, k: F.slice("ls", s, F.coalesce(F.get("starts", k + 1), F.size("ls") + 1) - s)
+    parts = got.select("doc_id", F.posexplode(F.transform("starts", part)).alias("batch", "part"))
+    return parts.select("doc_id", "batch", F.explode("part").alias("l")).select("doc_id", "l.item_index", "l.line", "batch")

@@ -260,7 +260,17 @@ def heading_paths(spark, sf_dir):
     return items.heading_paths(_headed(spark, sf_dir)).select("doc_id", "item_index", "path")
 
 
-@query()
+@query(
+    f"""WITH l AS (SELECT doc_id, item_index, line, len(string_split(line, ' ')) AS n FROM ({_LINES}) WHERE trim(line, ' ') <> ''),
+h AS (SELECT *, CASE WHEN n <= 2 AND length(line) <= 40 THEN 1 WHEN n <= 4 AND length(line) <= 60 THEN 2 END AS level, replace(replace(trim(regexp_replace(line, '\\s+', ' ', 'g')), '/', '／'), '\\', '＼') AS seg FROM l),
+w AS (
+  SELECT doc_id, item_index, line, level, sum(CASE WHEN level IS NULL THEN 0 ELSE 1 END) OVER o AS segment,
+    last_value(CASE WHEN level = 1 THEN item_index END IGNORE NULLS) OVER o AS p1, last_value(CASE WHEN level = 1 THEN seg END IGNORE NULLS) OVER o AS s1,
+    last_value(CASE WHEN level = 2 THEN item_index END IGNORE NULLS) OVER o AS p2, last_value(CASE WHEN level = 2 THEN seg END IGNORE NULLS) OVER o AS s2
+  FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY item_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT doc_id, CAST(segment AS BIGINT) AS segment, min(concat_ws('\\', s1, CASE WHEN p2 > coalesce(p1, -1) THEN s2 END)) AS path, 'text' AS chunk_type, string_agg(line, chr(10) ORDER BY item_index) AS content
+FROM w WHERE level IS NULL GROUP BY doc_id, segment"""
+)
 def segment_headings(spark, sf_dir):
     return items.segments(_headed(spark, sf_dir))
 
@@ -270,7 +280,14 @@ def chunk_documents(spark, sf_dir):
     return items.chunk(_headed(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE l AS (SELECT doc_id, item_index, line, row_number() OVER (PARTITION BY doc_id ORDER BY item_index) AS r FROM ({_LINES}) WHERE trim(line, ' ') <> ''),
+w AS (
+  SELECT doc_id, r, CAST(0 AS INTEGER) AS batch, CAST(length(line) AS BIGINT) AS size FROM l WHERE r = 1
+  UNION ALL SELECT l.doc_id, l.r, CASE WHEN w.size + length(l.line) <= 800 THEN w.batch ELSE w.batch + 1 END, CASE WHEN w.size + length(l.line) <= 800 THEN w.size + length(l.line) ELSE length(l.line) END
+  FROM w JOIN l ON l.doc_id = w.doc_id AND l.r = w.r + 1)
+SELECT doc_id, item_index, line, batch FROM w JOIN l USING (doc_id, r)"""
+)
 def batch_rows_limit(spark, sf_dir):
     return items.batched(items.lines(table(spark, sf_dir, "documents")), 800)
 
@@ -304,15 +321,32 @@ SELECT t.item_id, count(d.doc_id) AS n_hits, min(d.doc_id) AS first_doc FROM t L
 )
 def token_overlap_recall(spark, sf_dir):
     """For each passage, the documents that hold 45 % of its tokens: by an inverted index, without comparing all pairs."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", T.overlap_tokens(F.col("text")).alias("t")).withColumn("n", F.size("t"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.overlap_tokens(F.col("text"))).alias("x"))
+    return _overlapping(spark, sf_dir, False)
+
+
+def _overlapping(spark, sf_dir, compat: bool):
+    b = table(spark, sf_dir, "benchmark").select("item_id", T.overlap_tokens(F.col("text"), compat).alias("t")).withColumn("n", F.size("t"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.overlap_tokens(F.col("text"), compat)).alias("x"))
     same = d.join(b.select("item_id", "n", F.explode("t").alias("x")), "x").groupBy("item_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("k"))
     hits = same.where(F.col("k") / F.col("n") >= DEFAULT.overlap_threshold).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_hits"), F.min("doc_id").alias("first_doc"))
     return b.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), "first_doc")
 
 
+_FLAT_TOKENS = "list_distinct(regexp_extract_all(regexp_replace(lower(coalesce({0}, '')), '\\s+', '', 'g'), '[a-z0-9_]{{2,}}'))"
+
+
+@query(
+    f"""WITH t AS (SELECT item_id, {_FLAT_TOKENS.format('text')} AS t FROM benchmark), d AS (SELECT doc_id, {_FLAT_TOKENS.format('text')} AS t FROM documents)
+SELECT t.item_id, count(d.doc_id) AS n_hits, min(d.doc_id) AS first_doc FROM t LEFT JOIN d ON len(t.t) > 0 AND len(d.t) > 0 AND len(list_intersect(t.t, d.t)) / len(t.t) >= 0.45 GROUP BY 1"""
+)
+def token_overlap_compat(spark, sf_dir):
+    """As token_overlap_recall, by the tokens that run together once white space is gone."""
+    return _overlapping(spark, sf_dir, True)
+
+
 @query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON instr(regexp_replace(lower(d.text), '\\s+', '', 'g'), regexp_replace(lower(b.text), '\\s+', '', 'g')) > 0")
 def contains_recall(spark, sf_dir):
+    """Passages within documents, both without white space."""
     return evaluation.contained(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")), table(spark, sf_dir, "documents"))
 
 
@@ -362,7 +396,16 @@ def latest_per_key(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(last).select("user_id", "e.*")
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT CAST(conv_id AS VARCHAR) AS key, turn AS seq, CASE role WHEN 'user' THEN 'question' ELSE 'answer' END AS kind, text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn, CASE role WHEN 'user' THEN 'question' ELSE 'answer' END, text) AS r FROM conversations WHERE role IN ('user', 'assistant')),
+w AS (
+  SELECT key, r, CASE WHEN kind = 'question' THEN [r] ELSE CAST([] AS BIGINT[]) END AS stack, CAST(NULL AS BIGINT) AS closed FROM e WHERE r = 1
+  UNION ALL SELECT e.key, e.r, CASE WHEN e.kind = 'question' THEN list_append(w.stack, e.r) ELSE w.stack[:len(w.stack) - 1] END, CASE WHEN e.kind = 'answer' AND len(w.stack) > 0 THEN w.stack[len(w.stack)] END
+  FROM w JOIN e ON e.key = w.key AND e.r = w.r + 1)
+SELECT q.key, q.seq, q.text AS question, coalesce(a.text, '') AS answer FROM e q LEFT JOIN w ON w.key = q.key AND w.closed = q.r LEFT JOIN e a ON a.key = w.key AND a.r = w.r WHERE q.kind = 'question'
+UNION ALL SELECT e.key, e.seq, '', e.text FROM e JOIN w ON w.key = e.key AND w.r = e.r WHERE e.kind = 'answer' AND w.closed IS NULL"""
+)
 def answer_attach(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
     return chat.attach_answers(rows.select(F.col("conv_id").cast("string").alias("key"), F.col("turn").alias("seq"), F.when(F.col("role") == "user", "question").otherwise("answer").alias("kind"), "text"))
@@ -386,7 +429,13 @@ def feedback_ttl(spark, sf_dir):
     return chat.within_window(table(spark, sf_dir, "events"), "ts", 86400).select("event_id", "user_id")
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id || ':' || event_type AS key, epoch_us(ts) AS ts_us, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events),
+w AS (
+  SELECT key, r, ts_us + 3600000000 AS until, TRUE AS kept FROM e WHERE r = 1
+  UNION ALL SELECT e.key, e.r, CASE WHEN e.ts_us >= w.until THEN e.ts_us + 3600000000 ELSE w.until END, e.ts_us >= w.until FROM w JOIN e ON e.key = w.key AND e.r = w.r + 1)
+SELECT key, ts_us, event_id FROM w JOIN e USING (key, r) WHERE kept"""
+)
 def dedupe_first_seen(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.concat_ws(":", "user_id", "event_type").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "event_id")
     return chat.first_seen(rows)
@@ -492,7 +541,7 @@ def ordered_concat(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(parts, "\n").alias("content"))
 
 
-@query()
+@query("SELECT item_id, text FROM benchmark ORDER BY md5('7:' || item_id), item_id LIMIT 20")
 def sample_n(spark, sf_dir):
     """A sample of 20 questions: the operator is a limit."""
     return evaluation.sample(table(spark, sf_dir, "benchmark"), "item_id", 20, 7)
@@ -543,7 +592,13 @@ def box_intersect(spark, sf_dir):
     return meta.box_pairs(boxes, boxes, "page").where("l.id < r.id").select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE p AS (SELECT p_partkey AS id, p_brand AS slide, p_retailprice AS top, CAST(p_size AS DOUBLE) AS "left", row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_size, p_partkey) AS r FROM part),
+w AS (
+  SELECT slide, r, CAST(0 AS BIGINT) AS "row", top AS leader FROM p WHERE r = 1
+  UNION ALL SELECT p.slide, p.r, CASE WHEN p.top - w.leader > 25 THEN w."row" + 1 ELSE w."row" END, CASE WHEN p.top - w.leader > 25 THEN p.top ELSE w.leader END FROM w JOIN p ON p.slide = w.slide AND p.r = w.r + 1)
+SELECT id, slide, top, "left", "row", row_number() OVER (PARTITION BY slide ORDER BY "row", "left", r) - 1 AS place FROM w JOIN p USING (slide, r)"""
+)
 def reading_order(spark, sf_dir):
     """Parts as slide elements: price as top, size as left, brand as the slide."""
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("slide"), F.col("p_retailprice").alias("top"), F.col("p_size").cast("double").alias("left"))
