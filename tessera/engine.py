@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import DEFAULT, Config
 from tessera.functions import text as T
-from tessera.operators import chat, evaluation, items, retrieval, store
+from tessera.operators import chat, enrich, evaluation, items, layout, retrieval, store
 from tessera.sources import files, office
 
 
@@ -26,8 +26,11 @@ class KnowledgeEngine:
         self.rerank = rerank or retrieval.lexical_scores
 
     def parse(self, path: str) -> DataFrame:
-        """Items of the office documents under a folder; doc_id is a document's path."""
-        return office.documents(files.discover(self.spark, path))
+        """Items of the office documents under a folder, without references, source lines and empty sections, addresses as links; doc_id is a document's path."""
+        found = office.documents(files.discover(self.spark, path))
+        names = found.select("doc_id", "file_id").distinct()
+        cleaned = layout.without_empty_sections(layout.without_source_links(layout.without_reference_sections(found.where("type <> 'error'"))))
+        return enrich.enriched_links(cleaned).join(names, "doc_id")
 
     def chunks(self, parsed: DataFrame) -> DataFrame:
         """Chunks of items that have doc_id and file_id."""

@@ -2,27 +2,73 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import DEFAULT
+from tessera.functions.cleaning import stripped
+
+PREFIX = "fernet:v1:"
+
 
-PREFIX = "aes:v1:"
+def _fernet_key(secret: str) -> bytes:
+    """Signing and encryption keys, sixteen bytes each: of a key in URL-safe base 64, else of the SHA-256 of any other text."""
+    secret = secret.strip()
+    if not secret:
+        raise ValueError("the encryption key is empty")
+    try:
+        raw = base64.urlsafe_b64decode(secret.encode("ascii"))
+    except ValueError:
+        raw = b""
+    return raw if len(raw) == 32 else hashlib.sha256(secret.encode()).digest()
 
 
-def _key(secret: str) -> Column:
-    return F.unhex(F.sha2(F.lit(secret), 256))
+def _hmac(key: bytes, data: Column) -> Column:
+    """HMAC with SHA-256, from two digests."""
+    pads = [F.lit(bytes(b ^ pad for b in key.ljust(64, b"\0"))) for pad in (0x36, 0x5C)]
+    return F.unhex(F.sha2(F.concat(pads[1], F.unhex(F.sha2(F.concat(pads[0], data), 256))), 256))
 
 
-def encrypted(text: Column, secret: str) -> Column:
-    return F.concat(F.lit(PREFIX), F.base64(F.aes_encrypt(F.encode(text, "UTF-8"), _key(secret), F.lit("GCM"))))
+def encrypted(text: Column, secret: str, at: Column | None = None) -> Column:
+    """A text as a token of the public Fernet format (AES-128 in CBC mode with a new vector, signed), behind a prefix; at is its time in seconds, now if absent."""
+    key = _fernet_key(secret)
+    seconds = F.lpad(F.hex(F.coalesce(at, F.unix_timestamp()) if at is not None else F.unix_timestamp()), 16, "0")
+    body = F.concat(F.unhex(F.lit("80")), F.unhex(seconds), F.aes_encrypt(F.encode(text, "UTF-8"), F.lit(key[16:]), F.lit("CBC"), F.lit("PKCS")))
+    # Bound as an array's element, so that what is signed is what was encrypted: the vector is a new one each time it is asked for.
+    token = F.transform(F.array(body), lambda b: F.base64(F.concat(b, _hmac(key[:16], b)))).getItem(0)
+    # Base 64 comes in lines; the URL-safe kind has other letters for two of them.
+    return F.concat(F.lit(PREFIX), F.translate(F.regexp_replace(token, r"\s+", ""), "+/", "-_"))
 
 
 def decrypted(text: Column, secret: str) -> Column:
-    """The plain text; what was never encrypted is passed through."""
-    plain = F.decode(F.aes_decrypt(F.unbase64(F.substring(text, len(PREFIX) + 1, 1 << 30)), _key(secret), F.lit("GCM")), "UTF-8")
-    return F.when(text.startswith(PREFIX), plain).otherwise(text)
+    """The plain text; what was never encrypted is passed through, and a token that is not signed with the key is null."""
+    key = _fernet_key(secret)
+    token = F.unbase64(F.translate(F.substring(text, len(PREFIX) + 1, 1 << 30), "-_", "+/"))
+    size = F.octet_length(token)
+    body = F.substring(token, F.lit(1), size - 32)
+    signed = F.hex(_hmac(key[:16], body)) == F.hex(F.substring(token, size - 31, F.lit(32)))
+    plain = F.decode(F.aes_decrypt(F.substring(token, F.lit(10), size - 41), F.lit(key[16:]), F.lit("CBC"), F.lit("PKCS")), "UTF-8")
+    return F.when(text.startswith(PREFIX), F.when(signed, plain)).otherwise(text)
+
+
+def records(rows: DataFrame, secret: str) -> DataFrame:
+    """Chat rows as they are stored: normalised ids, texts trimmed and encrypted, an answer that is not there yet left empty, and the time of creation.
+
+    rows: user_id, user_name, session_id, conversation_id, question and answer.
+    """
+    some = lambda c: F.nullif(stripped(F.col(c)), F.lit(""))
+    hidden = lambda c: F.when(some(c).isNotNull(), encrypted(some(c), secret)).otherwise("")
+    out = normalized_ids(rows).withColumns({"user_name": some("user_name"), "question": hidden("question"), "answer": hidden("answer"), "create_time": F.current_timestamp()})
+    return out.select("user_id", "user_name", "session_id", "conversation_id", "create_time", "question", "answer")
+
+
+def insert(rows: DataFrame, path: str, secret: str) -> None:
+    """Appends chat rows to the table at path."""
+    records(rows, secret).write.mode("append").parquet(path)
 
 
 def normalized_ids(rows: DataFrame) -> DataFrame:

@@ -200,17 +200,39 @@ def without_empty_sections(items: DataFrame) -> DataFrame:
     return rows.where(keep).drop("_body", "_end")
 
 
-def without_reference_sections(items: DataFrame, words: str = "参考文献|参考资料|references|bibliography") -> DataFrame:
-    """Items without sections whose heading speaks of references, up to the next heading of that level or above."""
+# Words of headings above references, and lines that name a source.
+REFERENCE_WORDS = "参考文献|引用文献|相关链接"
+SOURCE_LINE = r"^(?:资料来源|数据来源|参考资料|视频来源|参考内容|出处)\s*[:：]\s*(.*)$"
+URL_ONLY = r"(?i)^https?://\S+$"
+
+
+def without_reference_sections(items: DataFrame) -> DataFrame:
+    """Items without sections whose heading speaks of references, up to the next heading of that level or above; a short or styled text that speaks of them heads one too, of the first level."""
     upto = Window.partitionBy("doc_id").orderBy("item_index").rowsBetween(Window.unboundedPreceding, 0)
-    rows = items.withColumn("level", T.heading_level(F.col("style")))
-    named = F.lower(F.coalesce("text", F.lit(""))).rlike(words)
+    text = T.trim_u(F.coalesce("text", F.lit("")))
+    heading = T.heading_level(F.col("style"))
+    named = text.rlike(REFERENCE_WORDS) & (heading.isNotNull() | (F.coalesce("style", F.lit("")) != BODY) | (F.length(text) <= 20))
+    rows = items.withColumns({"_named": named, "_level": F.coalesce(heading, F.when(named, F.lit(1)))})
     gone = F.lit(False)
-    for k in range(0, 10):
-        last_ref = F.max(F.when((F.col("level") == k) & named, F.col("item_index"))).over(upto)
-        last_end = F.max(F.when((F.col("level") <= k) & ~((F.col("level") == k) & named), F.col("item_index"))).over(upto)
+    for k in range(1, 10):
+        last_ref = F.max(F.when((F.col("_level") == k) & F.col("_named"), F.col("item_index"))).over(upto)
+        last_end = F.max(F.when((F.col("_level") <= k) & ~F.col("_named"), F.col("item_index"))).over(upto)
         gone = gone | F.coalesce(last_ref > F.coalesce(last_end, F.lit(-1)), F.lit(False))
-    return rows.withColumn("_gone", gone).where(~F.col("_gone")).drop("_gone")
+    return rows.withColumn("_gone", gone).where(~F.col("_gone")).drop("_gone", "_named", "_level")
+
+
+def without_source_links(items: DataFrame) -> DataFrame:
+    """Items without lines that name a source with an address, and the items right after them that are nothing but links."""
+    text = T.trim_u(F.coalesce("text", F.lit("")))
+    is_source = text.rlike(SOURCE_LINE) & F.regexp_extract(text, SOURCE_LINE, 1).rlike(r"(?i)https?://\S+")
+    only = text.rlike(URL_ONLY)
+    if "url" in items.columns:
+        only = only | (F.col("type").isin("link", "link_ref") & F.coalesce(F.trim("url").rlike(URL_ONLY), F.lit(False)))
+    rows = items.withColumns({"_source": is_source, "_only": only & ~is_source})
+    before = Window.partitionBy("doc_id").orderBy("item_index").rowsBetween(Window.unboundedPreceding, -1)
+    # What the last item that is more than a link was.
+    after = F.coalesce(F.last(F.when(~F.col("_only"), F.col("_source")), ignorenulls=True).over(before), F.lit(False))
+    return rows.withColumn("_gone", F.col("_source") | F.col("_only") & after).where(~F.col("_gone")).drop("_gone", "_source", "_only")
 
 
 def repeated_images(images: DataFrame, most_bits: int = 8, share: float = 0.35) -> DataFrame:

@@ -84,5 +84,14 @@ class Store:
         counts = {"upserted": new.select("id").distinct().count(), "deleted_files": gone.count()}
         return counts | {"rows": self.commit(upsert(self.read(), new, delete_ids))}
 
+    def healthy(self) -> bool:
+        """Whether the store can be read and has the store's columns."""
+        return [f.name for f in self.read().schema] == [f.name for f in self.spark.createDataFrame([], CHUNK_SCHEMA).schema]
+
+    def ensure(self) -> None:
+        """Creates an empty store where there is none."""
+        if self._pointer() is None:
+            self.commit(self.spark.createDataFrame([], CHUNK_SCHEMA))
+
     def drop(self) -> None:
         self.commit(self.spark.createDataFrame([], CHUNK_SCHEMA))

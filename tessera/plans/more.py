@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import cleaning, loose, markdown, names
 from tessera.functions import text as T
-from tessera.operators import enrich, items, layout, meta, retrieval, store, webhook, workflow
+from tessera.operators import chat, enrich, evaluation, items, layout, meta, retrieval, store, webhook, workflow
 from tessera.plans.catalog import _LINES, query
 from tessera.session import scratch, table
 from tessera.sources import files, office
@@ -594,3 +594,64 @@ def resolved_paths(spark, sf_dir):
     have = pages.select(F.concat(F.lit("/srv/data/raw/"), key, F.lit(" x.docx")).alias("path"))
     asked = [F.concat(F.lit("data\\raw\\"), key, F.lit("%20x.docx")), F.concat(key, F.lit(" X.DOCX")), F.concat(F.lit("../"), key, F.lit(" x.docx"))]
     return files.resolved(pages.select(F.explode(F.array(*asked)).alias("request")), have)
+
+
+@query("SELECT page_id AS doc_id, unnest([0, 5, 6]) AS item_index, unnest(['H', 'C', 'kept ' || page_id]) AS text FROM pages")
+def pruned_items(spark, sf_dir):
+    """Items without a section of references, a source line with its links, and headings with nothing below."""
+    row = lambda style, text, kind="paragraph", url=None: F.struct(F.lit(kind).alias("type"), F.lit(style).alias("style"), text.alias("text"), (F.lit(url) if url else F.lit(None).cast("string")).alias("url"))
+    key = F.col("page_id").cast("string")
+    rows = F.array(
+        row("标题 1", F.lit("H")), row("标题 2", F.lit("参考文献")), row("正文", F.lit("some book")), row("正文", F.lit("资料来源：see https://a.b")), row("链接", F.lit("x"), "link_ref", "https://a.b"),
+        row("标题 2", F.lit("C")), row("正文", F.concat(F.lit("kept "), key)), row("标题 2", F.lit("empty")),
+    )
+    got = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode(rows).alias("item_index", "i")).select("doc_id", "item_index", "i.*")
+    out = layout.without_empty_sections(layout.without_source_links(layout.without_reference_sections(got)))
+    return out.select("doc_id", "item_index", "text")
+
+
+@query(
+    """SELECT doc_id % 7 AS query_id, CAST(doc_id AS VARCHAR) AS chunk_id, CAST(doc_id AS INTEGER) AS chunk_index, lang AS chunk_type, '' AS file_name, 'l' AS link_name, 'http://' || source AS link_path, CAST(1 AS INTEGER) AS n_links, 'b.png' AS img_name FROM documents"""
+)
+def response_rows(spark, sf_dir):
+    """Rows that go out: from metadata with more fields, a link without an address and an image without a name."""
+    key = F.col("doc_id").cast("string")
+    links = F.array(F.struct(F.lit("2").alias("index"), F.lit("l").alias("link_name"), F.concat(F.lit("http://"), "source").alias("link_path")), F.struct(F.lit("x").alias("index"), F.lit("m").alias("link_name"), F.lit(" ").alias("link_path")))
+    images = F.array(F.struct(F.lit(None).cast("string").alias("img_name"), F.lit("a/b.png").alias("img_path")))
+    meta_of = obj(chunk_type=F.col("lang"), secret=F.lit("x"), chunk_index=key, links=links, imgs=images)
+    hits = table(spark, sf_dir, "documents").select((F.col("doc_id") % 7).alias("query_id"), key.alias("id"), F.lit("c").alias("content"), F.lit(None).cast("int").alias("chunk_index"), meta_of.alias("metadata"), F.lit(0.5).alias("rerank_score"))
+    out = retrieval.response(hits)
+    return out.select("query_id", "chunk_id", "chunk_index", "chunk_type", "file_name", F.col("links")[0]["link_name"].alias("link_name"), F.col("links")[0]["link_path"].alias("link_path"), F.size("links").alias("n_links"), F.col("imgs")[0]["img_name"].alias("img_name"))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, 'm' || CASE WHEN p_partkey % 5 = 0 THEN '-Qwen' ELSE '' END || p_partkey AS model, p_partkey % 3 <> 0 AS ok, p_size / 10.0::DOUBLE AS s, CAST(p_retailprice AS BIGINT) AS chars FROM part),
+s AS (SELECT *, CASE WHEN ok THEN greatest(0.0::DOUBLE, 40.0::DOUBLE - 6.0::DOUBLE * s) + CASE WHEN chars <= 220 THEN 15.0::DOUBLE ELSE greatest(0.0::DOUBLE, 15.0::DOUBLE - (chars - 220) / 80.0::DOUBLE) END + 30.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM p)
+SELECT model, round(score, 6) AS score FROM s WHERE ok AND model NOT LIKE '%Qwen%' ORDER BY score DESC, model LIMIT 3"""
+)
+def top_models(spark, sf_dir):
+    """The three best of all probed models: the operator is a top three."""
+    ok = F.col("p_partkey") % 3 != 0
+    name = F.concat(F.lit("m"), F.when(F.col("p_partkey") % 5 == 0, "-Qwen").otherwise(""), F.col("p_partkey").cast("string"))
+    rows = table(spark, sf_dir, "part").select(name.alias("model"), *[ok.alias(c) for c in ("simple_ok", "complex_ok", "json_ok", "thinking_ok", "brief_ok")], *[(F.col("p_size") / 10.0).alias(c) for c in ("simple_s", "complex_s")], *[F.round("p_retailprice").cast("long").alias(c) for c in ("simple_chars", "complex_chars")])
+    return evaluation.top_models(evaluation.model_scores(rows), "score_simple").select("model", F.round("score_simple", 6).alias("score"))
+
+
+@query("SELECT page_id, 'a_b.docx' AS first, 't' || page_id AS token, CAST(2 AS INTEGER) AS n FROM pages")
+def embedded_files(spark, sf_dir):
+    """Files that documents hold at any depth, each once."""
+    held = lambda name, token: F.struct(F.struct(F.lit(name).alias("name"), token.alias("token")).alias("file"))
+    key = F.concat(F.lit("t"), F.col("page_id").cast("string"))
+    rows = table(spark, sf_dir, "pages").select("page_id", obj(blocks=F.array(F.struct(held(" a/ b.docx", key).alias("x")), F.struct(held("a:b.docx", key).alias("x"))), last=held("c.pdf", key)).alias("doc"))
+    out = rows.select("page_id", loose.files_of("doc").alias("f"))
+    return out.select("page_id", F.col("f")[0]["name"].alias("first"), F.col("f")[0]["token"].alias("token"), F.size("f").alias("n"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN trim(coalesce(text, '')) = '' THEN '' ELSE trim(text) END AS question, '' AS answer, 'anonymous' AS user_id, CAST(conv_id AS VARCHAR) AS conversation_id FROM conversations")
+def chat_records(spark, sf_dir):
+    """Chat rows written encrypted, read back and decrypted."""
+    at = scratch(spark)
+    rows = table(spark, sf_dir, "conversations").select(F.lit(" ").alias("user_id"), F.concat_ws(":", "conv_id", "turn").alias("user_name"), F.col("conv_id").cast("string").alias("session_id"), F.lit(None).cast("string").alias("conversation_id"), F.col("text").alias("question"), F.lit(" ").alias("answer"))
+    chat.insert(rows, at, "a secret")
+    got = spark.read.parquet(at)
+    return got.select(F.split("user_name", ":")[0].cast("long").alias("conv_id"), F.split("user_name", ":")[1].cast("long").alias("turn"), chat.decrypted(F.col("question"), "a secret").alias("question"), "answer", "user_id", "conversation_id")

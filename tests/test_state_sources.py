@@ -78,6 +78,16 @@ def test_encryption_round_trip(spark):
     assert all(r["t"] == r["d"] == r["p"] and r["c"].startswith(chat.PREFIX) for r in row)
 
 
+def test_published_token(spark):
+    """The token format's published vector, one with a changed signature, and another key."""
+    key, token = "cw_0x689RpI-jtRR7oE8h_eQsKImvJapLeSbXpwF4e4=", "gAAAAAAdwJ6wAAECAwQFBgcICQoLDA0ODy021cpGVWKZ_eEwCGM4BLLF_5CV9dOPmrhuVUPgJobwOz7JcbmrR64jVmpU4IwqDA=="
+    rows = spark.createDataFrame([("fernet:v1:" + token,), ("fernet:v1:" + token[:-6] + "AAAA==",)], "t string")
+    assert [r["d"] for r in rows.select(chat.decrypted(F.col("t"), key).alias("d")).collect()] == ["hello", None]
+    assert rows.select(chat.decrypted(F.col("t"), "other").alias("d")).where("d is not null").count() == 0
+    with pytest.raises(ValueError):
+        chat.encrypted(F.lit("x"), " ")
+
+
 def test_choices_window_and_ids(spark):
     df = spark.createDataFrame([(1, 3, "issue"), (1, 1, "helpful"), (2, 5, "issue")], "k long, ts long, c string")
     assert {(r["k"], r["selected"]) for r in chat.first_choices(df, ["k"], ["ts"], "c").collect()} == {(1, "helpful"), (2, "issue")}
