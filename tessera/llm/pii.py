@@ -5,8 +5,10 @@ secrets are found in a whole text with one pattern and replaced in place. Number
 their kind go through a keyed Feistel network over exactly the values of their format: ten rounds that add a
 SHA-256 value of the other half, so a value always gets the same pseudonym, two values never share one,
 and the pseudonym is valid again (a card keeps its first digit and gets a new check digit, a date stays a day of the calendar, punctuation stays).
-E-mail addresses and secrets have no numeric format: they get keyed digests in their shape, equal for equal values.
-What fails validation (a number with a wrong check digit, 30 February) is not personal data and stays.
+A phone number keeps its country code. E-mail addresses and secrets have no numeric format: they get keyed digests in their shape, equal for equal values.
+What fails validation (a number with a wrong check digit or of one digit only, 30 February) is not personal data and stays.
+
+The key is an argument. The registered queries read it from the session's spark.tessera.pii.key; without that they use one that is for demonstration only.
 
 Only DataFrame expressions are used; texts are handled row by row without any exchange.
 
@@ -23,9 +25,11 @@ from tessera.llm.common import let, table, whole_rows
 
 ROUNDS = 10
 KEY = "tessera-demonstration-key"
+#: Fixed value: country codes of one and two digits; all others have three.
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-46-9]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: The patterns of each kind, tried in this order at each place. Runs are possessive or bounded.
 PATTERNS = {
-    "secret": r"(?i:(?<![\p{L}\p{N}_-])(?:access_token|auth_token|token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.=-]{8,}+)|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "secret": r"(?i:(?<![\p{L}\p{N}_-])(?:access_token|auth_token|token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.=-]{8,}+)|(?iu:(?<![\p{L}\p{N}_-])(?:passwort|kennwort|mot de passe|contraseña|clave)\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z+/_.=-]*\d)[A-Za-z0-9+/_.=-]{8,}+)|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\d/-]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -111,12 +115,12 @@ def _card(m: Column, key: str) -> Column:
         body = F.concat(F.substring(d, 1, 1), permuted_digits(F.substring(d, F.lit(2), F.length(d) - 2), "card", key))
         return let(body, lambda x: F.concat(x, ((10 - luhn(x, 0) % 10) % 10).cast("string")))
 
-    return let(_digits(m), lambda d: F.when(luhn(d, 1) % 10 == 0, refill(m, new(d))).otherwise(m))
+    return let(_digits(m), lambda d: F.when((luhn(d, 1) % 10 == 0) & ~d.rlike(r"^(\d)\1*$"), refill(m, new(d))).otherwise(m))
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The country code before the first separator stays where there is one."""
-    code = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])", 0)
+    """The country code stays where there is one."""
+    code = F.regexp_extract(m, COUNTRY, 0)
     rest = F.substring(m, F.length(code) + 1, F.length(m))
     return let(rest, lambda r: F.concat(code, refill(r, permuted_digits(_digits(r), "phone", key))))
 
@@ -159,9 +163,18 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    name = F.regexp_extract(m, r"^(?:AKIA|[A-Za-z_-]+\s*[=:]\s*[\"']?)", 0)
+    """A value of its length: hexadecimal for hexadecimal ones, else of letters and digits (six bits each), in upper case for upper case."""
+    name = F.regexp_extract(m, r"^(?:AKIA|(?u:[\p{L}_ -]+?)\s*[=:]\s*[\"']?)", 0)
     value = F.substring(m, F.length(name) + 1, F.length(m))
-    return let(value, lambda v: let(digest(key, F.lit("secret"), v), lambda d: F.concat(name, F.rpad(F.when(v == F.upper(v), F.upper(d)).otherwise(d), F.length(v), "0"))))
+
+    def new(v: Column) -> Column:
+        more = F.transform(F.sequence(F.lit(0), F.floor((F.length(v) - 1) / 43).cast("int")), lambda i: digest(key, F.lit("secret"), v, i))
+        hexadecimal = F.array_join(more, "")
+        letters = F.array_join(F.transform(more, lambda d: F.translate(F.substring(F.base64(F.unhex(d)), 1, 43), "+/", "xy")), "")
+        of = F.when(v.rlike("^[0-9a-f]+$"), hexadecimal).when(v == F.upper(v), F.upper(letters)).otherwise(letters)
+        return F.concat(name, F.substring(of, F.lit(1), F.length(v)))
+
+    return let(value, new)
 
 
 NEW = {"secret": _secret, "email": _email, "date": _date, "ssn": _ssn, "ip": _ip, "phone": _phone, "card": _card}
@@ -169,7 +182,7 @@ NEW = {"secret": _secret, "email": _email, "date": _date, "ssn": _ssn, "ip": _ip
 
 def kind(m: Column) -> Column:
     """The kind of what ANY has matched."""
-    tests = {"secret": r"^(?i:[a-z]).*[=:]|^AKIA", "email": "@", "date": r"^(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})$", "ssn": r"^\d{3}-\d{2}-\d{4}$", "ip": r"^\d{1,3}(?:\.\d{1,3}){3}$", "phone": r"^[+(]|^\d{3}[ .-]\d{3}[ .-]\d{4}$"}
+    tests = {"secret": r"^\p{L}.*[=:]|^AKIA", "email": "@", "date": r"^(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})$", "ssn": r"^\d{3}-\d{2}-\d{4}$", "ip": r"^\d{1,3}(?:\.\d{1,3}){3}$", "phone": r"^[+(]|^\d{3}[ .-]\d{3}[ .-]\d{4}$"}
     out = F.when(m.rlike(tests["secret"]), "secret")
     for name, test in list(tests.items())[1:]:
         out = out.when(m.rlike(test), name)
@@ -188,7 +201,7 @@ def pseudonym(m: Column, key: str) -> Column:
     return let(kind(m), by_kind)
 
 
-def pseudonymised(text: Column, key: str = KEY) -> Column:
+def pseudonymised(text: Column, key: str) -> Column:
     """Struct (text, found): the text with pseudonyms, and how many values of each kind were replaced."""
 
     def joined(found: Column) -> Column:
@@ -202,12 +215,16 @@ def pseudonymised(text: Column, key: str = KEY) -> Column:
     return let(F.transform(matches, lambda m: pseudonym(m, key)), joined)
 
 
+def session_key(spark) -> str:
+    return spark.conf.get("spark.tessera.pii.key", KEY)
+
+
 def op8_pii(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.select("doc_id", pseudonymised(F.col("text")).alias("p")).select("doc_id", "p.*")
+    return docs.select("doc_id", pseudonymised(F.col("text"), session_key(spark)).alias("p")).select("doc_id", "p.*")
 
 
-def with_pseudonyms(docs: DataFrame, key: str = KEY) -> DataFrame:
+def with_pseudonyms(docs: DataFrame, key: str) -> DataFrame:
     """docs with pseudonyms in text, and n_chars after it where there is that column."""
     marked = docs.select(whole_rows(docs).alias("row"), pseudonymised(F.col("text"), key)["text"].alias("new"))
     new = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}
