@@ -65,7 +65,7 @@ class KnowledgeEngine:
             self.fit(chunks)
         _, stats = self.model()
         rows = self._texts(chunks)
-        found = retrieval.postings(rows, "id", "text").groupBy("id", F.xxhash64("term").alias("term")).agg(F.sum("tf").alias("tf"))
+        found = retrieval.postings(rows, "id", "text").groupBy("id", "dl", F.xxhash64("term").alias("term")).agg(F.sum("tf").alias("tf"))
         sparse = retrieval.bm25_weights(found, stats, self.config).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", F.col("w").cast("float")))).alias("sparse"))
         vectors = self.embed(rows.select("id", "text")).select("id", F.col("vec").cast("array<float>").alias("vector"))
         new = rows.join(vectors, "id").join(sparse, "id").select("id", "vector", "sparse", "content", "file_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.to_json(F.struct("path", "chunk_type")).alias("metadata"))

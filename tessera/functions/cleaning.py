@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 SPACE = "[\t-\r \u0085   -     　]"
 NO_SPACE = "[^" + SPACE[1:]
 INVISIBLE = "​‌‍⁠﻿"
-HIDDEN = rf"[{INVISIBLE}]|[^\P{{Cc}}\n\r\t]|[\p{{Cs}}\p{{Co}}\p{{Cn}}]"
+HIDDEN = rf"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F{INVISIBLE}\p{{Cs}}\p{{Co}}\p{{Cn}}]"
 VARIATIONS = "[︀-️\U000e0100-\U000e01ef]"
 EMOJI = "[\U0001f000-\U0001faff✅✔✨➡⚠★☆]+"
 LOST = "�+"
@@ -62,13 +62,23 @@ def visible(x: Column) -> Column:
     return F.regexp_replace(x, HIDDEN, "")
 
 
+#: A character that one of the steps up to the image paths looks for: most texts have none, and skip these.
+SUSPECT = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\xBFÃÂâå\u0100-\U0010ffff]"
+
+
 def _steps(x: Column, first, last) -> Column:
+    odd = x
     for pattern, new in first:
-        x = F.regexp_replace(x, pattern, new)
+        odd = F.regexp_replace(odd, pattern, new)
     for wrong, right in MOJIBAKE:
-        x = F.replace(x, F.lit(wrong), F.lit(right))
+        odd = F.replace(odd, F.lit(wrong), F.lit(right))
+    rare = [step for step in last if step[0] in (MORE_MOJIBAKE, SYNC_WITHIN, IMAGE_PATH_WITHIN)]
+    for pattern, new in rare:
+        odd = F.regexp_replace(odd, pattern, new)
+    x = F.when(x.rlike(SUSPECT), odd).otherwise(x)
     for pattern, new in last:
-        x = F.regexp_replace(x, pattern, new)
+        if (pattern, new) not in rare:
+            x = F.regexp_replace(x, pattern, new)
     return stripped(x)
 
 

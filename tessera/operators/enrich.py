@@ -143,7 +143,7 @@ def with_assets(chunks: DataFrame, assets: DataFrame, tag: str, name: str) -> Da
     tags = chunks.select("chunk_id", "doc_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(rf'(?s)<{tag}\s+index="(\d+)">.*?</{tag}>'), F.lit(1)))).alias("index"))
     held = tags.withColumn("index", F.col("index").cast("long")).join(assets.withColumn("index", F.col("index").cast("long")), ["doc_id", "index"])
     first = held.groupBy("chunk_id", "label", "path").agg(F.min("index").alias("index"))
-    listed = first.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("index", "label", "path"))).alias(name))
+    listed = first.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("index", "label", "path"))).alias(name))
     return chunks.join(listed, "chunk_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<struct<index:bigint,label:string,path:string>>")))
 
 
@@ -181,4 +181,4 @@ def image_rows(images: DataFrame, key: str, order_by: str) -> DataFrame:
 def table_headers(rows: DataFrame, key: str, order_by: str, cells: str) -> DataFrame:
     """key and headers: the keys of a table's row objects (a map), in the order they are first seen."""
     seen = rows.select(key, order_by, F.posexplode(F.map_keys(cells)).alias("at", "head")).groupBy(key, "head").agg(F.min(F.struct(order_by, "at")).alias("first"))
-    return seen.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "head"))), lambda x: x["head"]).alias("headers"))
+    return seen.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("first", "head"))), lambda x: x["head"]).alias("headers"))

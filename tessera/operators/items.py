@@ -61,7 +61,7 @@ def items_to_text(items: DataFrame) -> DataFrame:
     if "table_name" in items.columns:
         one = F.concat(F.when(F.coalesce("table_name", F.lit("")) != "", F.concat(F.lit("[table] [表标题] "), "table_name", F.lit("\n"))).otherwise(""), one)
     rows = items.select("doc_id", "item_index", one.alias("line"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_index", "line"))), lambda x: x["line"]), "\n")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item_index", "line"))), lambda x: x["line"]), "\n")
     return rows.groupBy("doc_id").agg(joined.alias("text"))
 
 
@@ -119,7 +119,7 @@ def segments(items: DataFrame) -> DataFrame:
     )
     path = F.when(F.col("title").isNotNull(), F.concat_ws("\\", F.nullif("path", F.lit("")), T.path_segment(F.col("title")))).otherwise(F.col("path"))
     rows = rows.where(F.col("level").isNull()).select("doc_id", "segment", "item_index", path.alias("path"), kind.alias("chunk_type"), said.alias("said"))
-    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_index", "said"))), lambda x: x["said"]), "\n")
+    content = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item_index", "said"))), lambda x: x["said"]), "\n")
     return rows.groupBy("doc_id", "segment").agg(F.min("path").alias("path"), F.min("chunk_type").alias("chunk_type"), content.alias("content")).where(T.non_space_length(F.col("content")) > 0)
 
 
@@ -190,7 +190,7 @@ def batched(rows: DataFrame, most: int) -> DataFrame:
         fits = (a["at"] > 0) & (a["size"] + n <= most)
         return F.struct((a["at"] + 1).alias("at"), F.when(fits, a["size"] + n).otherwise(n).alias("size"), F.when(fits, a["starts"]).otherwise(F.concat(a["starts"], F.array(a["at"] + 1))).alias("starts"))
 
-    all_lines = F.array_sort(F.collect_list(F.struct(F.col("item_index").cast("int").alias("item_index"), "line")))
+    all_lines = F.sort_array(F.collect_list(F.struct(F.col("item_index").cast("int").alias("item_index"), "line")))
     got = rows.groupBy("doc_id").agg(all_lines.alias("ls")).withColumn("starts", F.aggregate("ls", zero, step, lambda a: a["starts"]))
     part = lambda s, k: F.slice("ls", s, F.coalesce(F.get("starts", k + 1), F.size("ls") + 1) - s)
     parts = got.select("doc_id", F.posexplode(F.transform("starts", part)).alias("batch", "part"))

@@ -35,7 +35,7 @@ BODY = "正文"
 
 def lines_of_spans(spans: DataFrame) -> DataFrame:
     """A line for each (doc_id, page_number, line_order): texts of its spans (span_order) joined, their common box, the largest font, bold if any is."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_order", "text"))), lambda x: x["text"]), "")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("span_order", "text"))), lambda x: x["text"]), "")
     edges = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
     return spans.groupBy("doc_id", "page_number", "line_order").agg(text.alias("text"), *edges, F.max("font_size").alias("font_size"), F.bool_or("bold").alias("bold"), F.max("page_width").alias("page_width"), F.max("page_height").alias("page_height")).where(T.trim_u(F.col("text")) != "")
 
@@ -68,7 +68,7 @@ def linked(lines: DataFrame, annotations: DataFrame) -> DataFrame:
     """lines with urls of the annotations (doc_id, page_number, x0, y0, x1, y1, uri) they meet."""
     a = annotations.withColumn("page", F.concat_ws(":", "doc_id", "page_number"))
     b = lines.withColumn("page", F.concat_ws(":", "doc_id", "page_number"))
-    urls = meta.box_pairs(b, a, "page").groupBy("l.page", "l.line_order").agg(F.array_sort(F.collect_set("r.uri")).alias("urls"))
+    urls = meta.box_pairs(b, a, "page").groupBy("l.page", "l.line_order").agg(F.sort_array(F.collect_set("r.uri")).alias("urls"))
     return b.join(urls, ["page", "line_order"], "left").drop("page")
 
 
@@ -180,7 +180,7 @@ def items_of_lines(lines: DataFrame) -> DataFrame:
 
 def title_cutoff(fonts: DataFrame, key: str, size: str) -> DataFrame:
     """key and cutoff: the font from which a slide of a presentation is a title: 24 at least, else the smaller of the lower third quartile and four above the median."""
-    sizes = F.array_sort(F.collect_list(size))
+    sizes = F.sort_array(F.collect_list(size))
     low = F.element_at(sizes, (F.floor(0.75 * (F.size(sizes) - 1)) + 1).cast("int"))
     return fonts.where(F.col(size) > 0).groupBy(key).agg(F.greatest(F.lit(24.0), F.least(low, F.median(size) + 4)).alias("cutoff"))
 

@@ -79,6 +79,6 @@ def summaries(executions: DataFrame) -> DataFrame:
     """id, status, started_at, stopped_at, duration_s, last_node and nodes (name, startTime, executionTime of each node's first run, in order), a row for each execution."""
     at = lambda path: F.get_json_object("detail", f"$.{path}")
     took = F.round(seconds(at("stoppedAt")) - seconds(at("startedAt")), 3)
-    listed = runs(executions).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name", F.col("first_start").alias("startTime"), F.col("first_ms").alias("executionTime_ms")))), lambda n: n.dropFields("place")).alias("nodes"))
+    listed = runs(executions).groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "name", F.col("first_start").alias("startTime"), F.col("first_ms").alias("executionTime_ms")))), lambda n: n.dropFields("place")).alias("nodes"))
     out = executions.select("id", at("status").alias("status"), at("startedAt").alias("started_at"), at("stoppedAt").alias("stopped_at"), took.alias("duration_s"), at("data.resultData.lastNodeExecuted").alias("last_node"))
     return out.join(listed, "id", "left")

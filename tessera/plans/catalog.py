@@ -537,7 +537,7 @@ def gap_cluster(spark, sf_dir):
 @query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS content FROM conversations GROUP BY 1")
 def ordered_concat(spark, sf_dir):
     line = F.concat("role", F.lit(": "), "text")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("x")))), lambda e: e["x"])
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("x")))), lambda e: e["x"])
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(parts, "\n").alias("content"))
 
 

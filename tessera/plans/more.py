@@ -112,7 +112,7 @@ def chunk_assets(spark, sf_dir):
 def vocabulary_paragraphs(spark, sf_dir):
     """The paragraphs among item lines of several types."""
     line = F.concat(F.lit("[paragraph] [正文]  "), F.col("lang"), F.lit(" "), F.col("doc_id").cast("string"), F.lit("\n[table] [row] x\nplain\n[paragraph] [标题 1] "))
-    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("x")))), lambda e: e["x"]).alias("l"))
+    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", line.alias("x")))), lambda e: e["x"]).alias("l"))
     return files.vocabulary_lines(rows.select(F.col("source").alias("path"), F.array_join("l", "\n").alias("text")))
 
 
@@ -330,7 +330,7 @@ def harvested_links(spark, sf_dir):
     """All addresses anywhere in a page's JSON, cleaned, each once."""
     text = F.get_json_object(obj(deep=F.struct(F.col("html").alias("h"))), "$.deep.h")
     found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r'https?://[^\s"<>]+'), F.lit(0)), names.clean_url)
-    return table(spark, sf_dir, "pages").select("page_id", F.array_sort(F.array_distinct(found)).alias("links"))
+    return table(spark, sf_dir, "pages").select("page_id", F.sort_array(F.array_distinct(found)).alias("links"))
 
 
 # ---------------------------------------------------------------- layout

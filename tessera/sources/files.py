@@ -101,7 +101,7 @@ def page_texts(pages: DataFrame) -> DataFrame:
     """doc_id and text of a document's pages (doc_id, page, text): each below a mark with its number, blank ones left out."""
     some = pages.select("doc_id", "page", T.trim_u(F.coalesce("text", F.lit(""))).alias("text")).where("text <> ''")
     marked = F.concat(F.lit("[page "), F.col("page").cast("string"), F.lit("]\n"), F.col("text"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", marked.alias("t")))), lambda x: x["t"]), "\n\n")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", marked.alias("t")))), lambda x: x["t"]), "\n\n")
     return some.groupBy("doc_id").agg(joined.alias("text"))
 
 
