@@ -59,7 +59,7 @@ def rendered(turns: DataFrame) -> DataFrame:
     kept = maximal(turns).alias("k")
     mine = rows.alias("r").join(kept, F.col("r.conv_id").eqNullSafe(F.col("k.conv_id")) & F.col("r.lone").eqNullSafe(F.col("k.lone")))
     turn = F.struct("turn", "role", F.md5("text").alias("t"), "text")
-    groups = mine.groupBy("r.conv_id", "r.lone").agg(F.array_sort(F.collect_list(turn)).alias("all"), F.max("n_copies").alias("n_copies"))
+    groups = mine.groupBy("r.conv_id", "r.lone").agg(F.sort_array(F.collect_list(turn)).alias("all"), F.max("n_copies").alias("n_copies"))
     # Equal turns without an id are one conversation of one turn.
     turns_of = F.when(F.col("lone").isNotNull(), F.slice("all", 1, 1)).otherwise(F.col("all"))
     line = lambda t: F.concat(F.lit("<|"), F.coalesce(t["role"], F.lit("unknown")), F.lit("|>\n"), F.coalesce(t["text"], F.lit("")), F.lit("\n"))

@@ -161,7 +161,7 @@ def scan(docs: DataFrame, more: DataFrame | None = None) -> DataFrame:
     texts_known = F.explode(F.array(*[F.struct(F.lit(name).alias("license"), F.lit(d).alias("known_digest")) for d, name in pairs]))
     table_of = docs.sparkSession.range(1, numPartitions=1).select(texts_known.alias("k")).select("k.license", "k.known_digest")
     lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: F.lower(x).rlike(_SPEAKS))
-    ids = F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda x: F.try_element_at(lookup, digest(x))), lambda x: x.isNotNull())))
+    ids = F.sort_array(F.array_distinct(F.filter(F.transform(lines, lambda x: F.try_element_at(lookup, digest(x))), lambda x: x.isNotNull())))
     marked = docs.select("doc_id", digest(F.col("text")).alias("digest"), F.array_join(ids, ",").alias("notices"), F.try_element_at(lookup, bare_digest(F.col("text"))).alias("bare"))
     joined = marked.join(F.broadcast(table_of), F.col("digest") == F.col("known_digest"), "left")
     return joined.select("doc_id", "digest", F.coalesce("license", "bare").alias("license"), "notices")

@@ -37,7 +37,7 @@ PRIOR, PRIOR_CAUGHT, PRIOR_ALARM = (8, 2), (1, 2), (1, 19)
 
 def _covered(hashes: Column) -> Column:
     """Words inside windows whose hash occurs twice or more; windows are numbered by their first word."""
-    ordered = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     twice = let(
         ordered,
         lambda s: F.filter(
@@ -45,7 +45,7 @@ def _covered(hashes: Column) -> Column:
             lambda x, j: F.coalesce(F.get(s, j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, j + 1)["h"] == x["h"], F.lit(False)),
         ),
     )
-    starts = F.array_sort(F.transform(twice, lambda x: x["i"]))
+    starts = F.sort_array(F.transform(twice, lambda x: x["i"]))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last"))
     step = lambda a, p: F.struct((a["n"] + F.least(F.lit(WINDOW), p - a["last"])).alias("n"), p.alias("last"))
     return F.aggregate(starts, zero, step, lambda a: a["n"])
