@@ -106,8 +106,9 @@ def overlap_tokens(x: Column, compat: bool = False) -> Column:
 
 
 def overlap_ratio(reference: Column, candidate: Column) -> Column:
-    """Share of the reference tokens that the candidate has; 0 when either has none."""
-    return F.when((F.size(reference) > 0) & (F.size(candidate) > 0), F.size(F.array_intersect(reference, candidate)) / F.size(reference)).otherwise(F.lit(0.0))
+    """Share of the reference tokens that the candidate has; 0 when either has none. Both are computed once, however they are made."""
+    ratio = lambda x: F.when((F.size(x["r"]) > 0) & (F.size(x["c"]) > 0), F.size(F.array_intersect(x["r"], x["c"])) / F.size(x["r"])).otherwise(F.lit(0.0))
+    return F.transform(F.array(F.struct(reference.alias("r"), candidate.alias("c"))), ratio).getItem(0)
 
 
 def file_stem(path: Column) -> Column:
