@@ -5,8 +5,9 @@ Texts become token ids, and a sharded BM25 index over the ids serves as retrieve
 window to its end; its rest is the next seed. So all windows are full. What is left at the end of a partition is cut into sequences at powers of two, which take no
 padding.
 
-A shard is a run of documents of one partition with about two million tokens: its index and its windows are one task's work in bounded memory, however
-many documents there are, and no document is exchanged. Document frequencies and the mean length are those of all documents (the
+A shard is a run of about two million tokens: its index and its windows are one task's work in bounded memory, however many documents there are. Documents are
+dealt to shards by their two most telling ids, so that those which share them are neighbours wherever they lay: rare ids tell more than common ones, and the
+number of an id stands for how rare it is, as a vocabulary is built from the most common pairs on. Ids that very many documents have in front fill several partitions and shards. Document frequencies and the mean length are those of all documents (the
 vocabulary has 49,408 ids, so they are a bounded table). Every id but the end mark counts; in a shard, the weights of the common ones are a matrix instead of postings.
 
 The tokenizer splits a normalised text by one pattern and merges within each part, so words are encoded once per task
@@ -41,6 +42,8 @@ SHARD_TOKENS = 2_000_000
 #: An id in more than this share of a shard's documents has a row of the matrix: four values for each posting at most.
 COMMON = 0.25
 K1, B = 1.2, 0.75
+#: Ids of single bytes come first in the vocabulary.
+BYTES = 512
 #: Words, and parts that are none, whose ids a task keeps: some 100 MB.
 KNOWN_WORDS, KNOWN_MARKS = 500_000, 50_000
 
@@ -120,8 +123,18 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, plain.split())) + self.end
 
 
+def telling() -> np.ndarray:
+    """How much an id tells, by its number alone: nothing for the first ones, which are single bytes."""
+    number = np.arange(VOCABULARY)
+    return np.log(np.maximum(number, BYTES) / BYTES)
+
+
 def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id (as string) and ids, a row for each row of docs: a stored table. A row more for each task holds the task's statistics instead, see statistics()."""
+    """doc_id (as string) and ids, a row for each row of docs, in the order of their most telling ids within partitions: a stored table.
+
+    A row more for each task holds the task's statistics instead, see statistics().
+    """
+    tells = telling()
 
     def rows(frames):
         encoder = Encoder(tokenizer)
@@ -133,15 +146,24 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
                 found = [encoder.encode(t or "") for t in texts]
             finally:
                 gc.enable()
-            for b in found:
-                df[np.unique(np.frombuffer(b, dtype="<u2"))] += 1
+            routes = np.zeros((len(found), 2), np.int32)
+            for k, b in enumerate(found):
+                ids, tf = np.unique(np.frombuffer(b, dtype="<u2"), return_counts=True)
+                df[ids] += 1
                 n, total = n + 1, total + len(b) // 2
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": found, "counts": None})
+                weight = tells[ids] * tf / (tf + K1)
+                first = weight.argmax()
+                routes[k, 0] = ids[first]
+                weight[first] = 0
+                routes[k, 1] = ids[weight.argmax()]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": found, "counts": None, "k1": routes[:, 0], "k2": routes[:, 1]})
         counts = zlib.compress(np.append(df, [n, total]).astype("<i8").tobytes(), 1)
-        yield pd.DataFrame({"doc_id": [None], "ids": [None], "counts": [counts]})
+        yield pd.DataFrame({"doc_id": [None], "ids": [None], "counts": [counts], "k1": [0], "k2": [0]})
 
     # Ids pass Python as strings: pandas would turn a column with nulls into floats.
-    return stored(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(rows, "doc_id string, ids binary, counts binary"))
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(rows, "doc_id string, ids binary, counts binary, k1 int, k2 int")
+    # Partitions of one id that are too large are split, small ones put together.
+    return stored(out.hint("rebalance", "k1").sortWithinPartitions("k1", "k2", "doc_id").drop("k1", "k2"))
 
 
 def statistics(ids: DataFrame) -> tuple[np.ndarray, int, int]:
