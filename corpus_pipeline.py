@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's
 docs. All but the last return the columns of documents.
+
+Defined cases: a null, empty or blank text and one of fewer than 20 words fails the base rules and goes in the first stage; null ids, sources and languages are values like any
+other; of equal rows, as of all copies, one stays in the second stage; the mix may then take a row up to three times; ties go to the smaller id, then
+to the earlier row; further columns, whatever their names, pass through all stages but the last; an empty table gives an empty result.
 """
 
 from __future__ import annotations
