@@ -201,3 +201,22 @@ def test_pipeline(spark, sf_dir, tmp_path):
             assert set(got) <= set(before)
         docs = after
     assert corpus_pipeline.run(spark, sf_dir).count() == docs.count()
+
+
+def test_stages_on_odd_and_empty_tables(spark, docs, no_docs, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows and clashing names; and no rows at all."""
+    import corpus_pipeline
+
+    for at, rows in enumerate((docs, no_docs)):
+        now = rows
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, now, "").write.parquet(f"{tmp_path}/{at}-{name}")
+            now = spark.read.parquet(f"{tmp_path}/{at}-{name}")
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert now.columns == docs.columns, name
+            if name == "quality_rules":
+                assert all(len((r["text"] or "").split()) >= 20 for r in now.collect())
+            if name == "ngram_join":
+                texts = [r["text"] for r in now.collect()]
+                assert len(texts) == len(set(texts))
+        assert (now.count() == 0) == (at == 1)
