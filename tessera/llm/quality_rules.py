@@ -17,12 +17,13 @@ table gives an empty result; equal texts get equal verdicts; other columns are l
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, let, whole_rows, words
+from tessera.llm.common import cut, let, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -62,41 +63,51 @@ def repeated_words(w: Column) -> Column:
     return F.when(F.size(w) > WINDOW, found).otherwise(F.lit(0).cast("long"))
 
 
-def measures(df: DataFrame, keys: list[Column]) -> DataFrame:
-    """keys and the measures of df.text, a row for each row of df."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    long = lambda x, name: x.cast("long").alias(name)
+OF_WORDS = ("n_words", "word_chars", "n_repeat_words", "n_distinct", "n_bare", "n_ends", "n_adjacent")
+OF_LINES = ("n_lines", "n_dup_lines")
+COUNTS = {"n_symbols": SYMBOLS, "n_capitals": r"\p{Lu}", "n_exclamations": "!", "n_other": r"[^\p{L}\x20\x09-\x0D]"}
+
+
+def measured(text: Column) -> Column:
+    """The measures of a text: a struct of those of its words (w), of its lines (l) and of its characters."""
+    plain = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(plain, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    named = lambda values, names: F.struct(*[x.cast("long").alias(n) for x, n in zip(values, names, strict=True)])
     of_words = let(
-        words(F.col("text")),
-        lambda w: F.struct(
-            long(F.size(w), "n_words"), long(F.length(F.array_join(w, "")), "word_chars"), long(repeated_words(w), "n_repeat_words"), long(F.size(F.array_distinct(w)), "n_distinct"),
-            long(F.size(F.filter(w, lambda x: ~x.rlike(r"[\p{L}\p{N}]"))), "n_bare"), long(F.size(F.filter(w, lambda x: F.substring(x, -1, 1).isin(".", "!", "?"))), "n_ends"),
-            long(F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))), "n_adjacent"),
+        words(text),
+        lambda w: named(
+            (
+                F.size(w), F.length(F.array_join(w, "")), repeated_words(w), F.size(F.array_distinct(w)), F.size(F.filter(w, lambda x: ~x.rlike(r"[\p{L}\p{N}]"))),
+                F.size(F.filter(w, lambda x: F.substring(x, -1, 1).isin(".", "!", "?"))), F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))),
+            ), OF_WORDS,
         ),
     )
-    of_lines = let(lines, lambda x: F.struct(long(F.size(x), "n_lines"), long(F.size(x) - F.size(F.array_distinct(x)), "n_dup_lines")))
-    counts = {"n_symbols": SYMBOLS, "n_capitals": r"\p{Lu}", "n_exclamations": "!", "n_other": r"[^\p{L}\x20\x09-\x0D]"}
-    counted = [long(F.regexp_count(text, F.lit(pattern)), name) for name, pattern in counts.items()]
-    return df.select(*keys, of_words.alias("w"), of_lines.alias("l"), *counted).select(*[F.col(c) for c in df.select(*keys).columns], "w.*", "l.*", *counts)
-
-
-def votes() -> dict[str, Column]:
-    """A vote of each rule, from the columns of measures(); none for a text too short for the base rules."""
-    n, lines, letters = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1)), F.col("word_chars") - F.col("n_other")
-    per_word = lambda c: F.col(c) / n
-    variety = F.col("n_distinct") / F.sqrt(n)
-    vote = lambda bad, good: F.when(F.col("n_words") < MIN_WORDS, ABSTAIN).when(bad, BAD).when(good, GOOD).otherwise(ABSTAIN)
+    of_lines = let(lines, lambda x: named((F.size(x), F.size(x) - F.size(F.array_distinct(x))), OF_LINES))
+    return F.struct(of_words.alias("w"), of_lines.alias("l"), *[F.regexp_count(plain, F.lit(pattern)).cast("long").alias(name) for name, pattern in COUNTS.items()])
+
+
+def measures(df: DataFrame, keys: list[Column]) -> DataFrame:
+    """keys and the measures of df.text, a row for each row of df."""
+    names = df.select(*keys).columns
+    return df.select(*keys, measured(F.col("text")).alias("m")).select(*[F.col(c) for c in names], "m.w.*", "m.l.*", *[f"m.{c}" for c in COUNTS])
+
+
+def votes(get: Callable[[str], Column] = F.col) -> dict[str, Column]:
+    """A vote of each rule, from the measures that get gives by name; none for a text too short for the base rules."""
+    n, lines, letters = F.greatest(get("n_words"), F.lit(1)), F.greatest(get("n_lines"), F.lit(1)), get("word_chars") - get("n_other")
+    per_word = lambda c: get(c) / n
+    variety = get("n_distinct") / F.sqrt(n)
+    vote = lambda bad, good: F.when(get("n_words") < MIN_WORDS, ABSTAIN).when(bad, BAD).when(good, GOOD).otherwise(ABSTAIN)
     out = {
         "symbols": vote(per_word("n_symbols") >= 0.1, per_word("n_symbols") <= 0.02),
-        "letters": vote(letters < 0.8 * F.col("word_chars"), letters >= 0.9 * F.col("word_chars")),
+        "letters": vote(letters < 0.8 * get("word_chars"), letters >= 0.9 * get("word_chars")),
         "bare_words": vote(per_word("n_bare") >= 0.1, per_word("n_bare") <= 0.02),
-        "capitals": vote(F.col("n_capitals") >= 0.3 * letters, F.col("n_capitals") <= 0.1 * letters),
+        "capitals": vote(get("n_capitals") >= 0.3 * letters, get("n_capitals") <= 0.1 * letters),
         "exclamations": vote(per_word("n_exclamations") >= 0.2, per_word("n_exclamations") <= 0.05),
         "sentence_ends": vote((per_word("n_ends") < 0.01) | (per_word("n_ends") > 0.3), per_word("n_ends").between(0.02, 0.2)),
         "adjacent_words": vote(per_word("n_adjacent") >= 0.1, per_word("n_adjacent") <= 0.03),
         "variety": vote(variety < 3, variety >= 4.5),
-        "duplicate_lines": vote(F.col("n_dup_lines") / lines >= 0.3, (F.col("n_dup_lines") == 0) & (F.col("n_lines") > 2)),
+        "duplicate_lines": vote(get("n_dup_lines") / lines >= 0.3, (get("n_dup_lines") == 0) & (get("n_lines") > 2)),
         "word_length": vote((per_word("word_chars") < 3.5) | (per_word("word_chars") > 7), per_word("word_chars").between(4, 6.5)),
     }
     assert tuple(out) == RULES
@@ -143,14 +154,14 @@ def with_votes(df: DataFrame, keys: list[Column]) -> DataFrame:
     return measures(df, keys).withColumns({f"vote_{r}": v.cast("tinyint") for r, v in votes().items()})
 
 
-def verdict(counts: dict[int, int]) -> tuple[Column, Column, Column]:
-    """base_failed, the log-odds of good and kept, from the columns of with_votes()."""
+def verdict(counts: dict[int, int], get: Callable[[str], Column] = F.col, cast: dict[str, Column] | None = None) -> tuple[Column, Column, Column]:
+    """base_failed, the log-odds of good and kept, from measures and votes; those of with_votes() if none are given."""
     prior, added = estimate(counts)
+    cast = cast or {r: F.col(f"vote_{r}") for r in RULES}
     odds = F.lit(prior)
     for k, r in enumerate(RULES):
-        cast = F.col(f"vote_{r}")
-        odds = odds + F.when(cast == GOOD, F.lit(added[k][GOOD])).when(cast == BAD, F.lit(added[k][BAD])).otherwise(F.lit(added[k][ABSTAIN]))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+        odds = odds + F.when(cast[r] == GOOD, F.lit(added[k][GOOD])).when(cast[r] == BAD, F.lit(added[k][BAD])).otherwise(F.lit(added[k][ABSTAIN]))
+    failed = (get("n_words") < MIN_WORDS) | (100 * get("n_repeat_words") > MAX_REPEAT_PERCENT * get("n_words"))
     return failed, odds, ~failed & (odds >= 0)
 
 
@@ -180,5 +191,11 @@ def keep_good(docs: DataFrame) -> DataFrame:
     A verdict follows from the text and the estimated rates alone, so texts are measured once for the rates and once more for the verdicts, and no
     document is joined or exchanged.
     """
-    _, _, kept = verdict(counted(with_votes(docs.select("text"), [])))
-    return with_votes(docs, [whole_rows(docs).alias("row")]).where(kept).select("row.*")
+    counts = counted(with_votes(docs.select("text"), []))
+
+    def kept(m: Column) -> Column:
+        get = lambda c: m["w"][c] if c in OF_WORDS else m["l"][c] if c in OF_LINES else m[c]
+        return verdict(counts, get, votes(get))[2]
+
+    # One expression with its measures bound within, so that they are taken once.
+    return docs.where(let(measured(F.col("text")), kept))
