@@ -20,10 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which the driver and all executors reach.
+
+    Where it is unset, a session on one machine keeps what it writes beside its warehouse; on a cluster there is no folder to fall back to, and this fails.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/tessera-checkpoints").rstrip("/")
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors reach: below the checkpoint folder, else below the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
