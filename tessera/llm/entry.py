@@ -19,6 +19,7 @@ MODULES = {
     "op4_packing": "packing",
     "op10_topk": "topk",
     "op5_chat": "chat",
+    "op11_importance_resampling": "resampling",
 }
 
 
