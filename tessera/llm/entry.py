@@ -20,6 +20,8 @@ MODULES = {
     "op10_topk": "topk",
     "op5_chat": "chat",
     "op11_importance_resampling": "resampling",
+    "op12_ranked_search": "ranked_search",
+    "op13_secrets": "secret_scan",
 }
 
 
