@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.config import DEFAULT, Config
 from tessera.functions import text as T
-from tessera.operators import chat, enrich, evaluation, items, layout, retrieval, store
+from tessera.operators import chat, enrich, evaluation, items, layout, retrieval, store, stored_index
+from tessera.session import written
 from tessera.sources import files, office
 
 
@@ -60,7 +61,10 @@ class KnowledgeEngine:
             raise
 
     def ingest(self, chunks: DataFrame, refit: bool = False) -> dict[str, int]:
-        """Encodes chunks (id, file_id, path, chunk_type, chunk_index, content) and replaces their files in the store. The model is learned first if there is none, or on demand."""
+        """Encodes chunks (id, file_id, path, chunk_type, chunk_index, content) and replaces their files in the store. The model is learned first if there is none, or on demand.
+
+        A chunk without words or vector is not stored; rejected counts them, and rejects() says why.
+        """
         if refit or self.model() is None:
             self.fit(chunks)
         _, stats = self.model()
@@ -68,13 +72,30 @@ class KnowledgeEngine:
         found = retrieval.postings(rows, "id", "text").groupBy("id", "dl", F.xxhash64("term").alias("term")).agg(F.sum("tf").alias("tf"))
         sparse = retrieval.bm25_weights(found, stats, self.config).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", F.col("w").cast("float")))).alias("sparse"))
         vectors = self.embed(rows.select("id", "text")).select("id", F.col("vec").cast("array<float>").alias("vector"))
-        new = rows.join(vectors, "id").join(sparse, "id").select("id", "vector", "sparse", "content", "file_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.to_json(F.struct("path", "chunk_type")).alias("metadata"))
-        good, _ = store.valid_rows(new, self.config.dimension)
-        return self.store.upsert(good)
+        new = rows.join(vectors, "id", "left").join(sparse, "id", "left").select("id", "vector", "sparse", "content", "file_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.to_json(F.struct("path", "chunk_type")).alias("metadata"))
+        # Written once: the embedder is asked once for each text.
+        good, self._rejects = store.valid_rows(written(new), self.config.dimension)
+        return self.store.upsert(good, chunks.select("file_id")) | {"rejected": self._rejects.count()}
+
+    def rejects(self) -> DataFrame:
+        """The chunks that the last ingestion did not store, with a reason."""
+        return self._rejects
+
+    def build_index(self) -> str:
+        """Writes the search index of the store's version, from which searches open only what they need, and gives its folder."""
+        at = self._index_path()
+        if not stored_index.exists(self.spark, at):
+            stored_index.build(self.index(), at)
+        return at
+
+    def _index_path(self) -> str:
+        return f"{self.path}/index/{(self.store.describe() or {'version': 0})['version']}"
 
     def index(self) -> retrieval.Index:
-        """The store's index: nothing of it is computed again."""
-        rows = self.store.read()
+        """The store's index: nothing of it is computed again. Where build_index() has written one for the version, its arms search that."""
+        rows, at = self.store.read(), self._index_path()
+        if stored_index.exists(self.spark, at):
+            return stored_index.StoredIndex(rows, "id", "content", at, self.config, self.embed, self.rerank)
         terms = self.model()[0].groupBy(F.xxhash64("term").alias("term")).agg(F.max("idf").alias("idf"))
         weights = rows.select("id", F.explode("sparse").alias("term", "w")).select("id", "term", F.col("w").cast("double").alias("w"))
         vectors = rows.select("id", F.col("vector").cast("array<double>").alias("vec"))

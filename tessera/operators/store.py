@@ -1,12 +1,16 @@
-"""The chunk store: a Parquet table of chunks with delete-and-replace upserts by file.
+"""The chunk store: Parquet files in buckets by file, with delete-and-replace upserts that write what they change only.
 
-A store is a directory of versions; a commit writes the new version as a whole and then moves the pointer, so readers
-never see half of an upsert, and no job reads and overwrites the same path.
+A file's chunks lie in the bucket of its id's hash. An upsert writes one layer: the new rows, and tombstones for the files it replaces or deletes, in the
+buckets of these files. A row counts unless a later layer has a tombstone for its file. Buckets with many layers are rewritten (compacted), others stay as they are.
+
+A version is a small numbered JSON file that names the layers of each bucket. It is written under another name and renamed to its number, which fails if that number is taken:
+so a reader sees a version entirely or not at all, whatever step a writer dies at, and of two writers one starts again from the other's version. No file is ever overwritten.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,45 +57,184 @@ def valid_rows(records: DataFrame, dimension: int) -> tuple[DataFrame, DataFrame
     return marked.where("reason is null").withColumn("id", key).drop("reason"), marked.where("reason is not null")
 
 
+#: Layers of a bucket beyond which an upsert compacts it, and a store's buckets unless it was created with others.
+MOST_LAYERS, BUCKETS = 8, 64
+COLUMNS = ["id", "vector", "sparse", "content", "file_id", "chunk_index", "metadata"]
+
+
+class Conflict(RuntimeError):
+    """Another writer has committed the version."""
+
+
 class Store:
     """A versioned table at a path that any executor and the driver can reach through Spark."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _pointer(self) -> str | None:
+    # ---------------------------------------------------------------- files and versions
+    def _at(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
+
+    def _fs(self):
+        return self._at().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, *parts: str) -> list[str]:
+        at, fs = self._at(*parts), self._fs()
+        return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+
+    def versions(self) -> list[int]:
+        """Numbers of the committed versions, in order."""
+        return sorted(int(n.removesuffix(".json")) for n in self._names("versions") if n.endswith(".json"))
+
+    def state(self, version: int | None = None) -> dict | None:
+        """What a version (the last one) consists of: bounded by buckets times layers. None where there is no store."""
+        held = self.versions()
+        if not held:
+            return None
+        stream = self._fs().open(self._at("versions", f"{held[-1] if version is None else version:020d}.json"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _publish(self, state: dict) -> None:
+        """Makes a state the version of its number, or raises Conflict where that is taken."""
+        jvm, fs = self.spark._jvm, self._fs()
+        draft, final = self._at("versions", f"draft-{uuid.uuid4().hex}"), self._at("versions", f"{state['version']:020d}.json")
+        out = fs.create(draft, False)
+        out.write(json.dumps(state).encode())
+        out.close()
+        kind = jvm.org.apache.hadoop.fs.Options.Rename
         try:
-            rows = self.spark.read.text(f"{self.path}/current").collect()
-        except Exception as e:  # the store is not there yet
-            if "PATH_NOT_FOUND" in str(e):
-                return None
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, final, self.spark.sparkContext._gateway.new_array(kind, 0))
+        except Exception as e:
+            fs.delete(draft, False)
+            if "FileAlreadyExistsException" in str(e):
+                raise Conflict(f"version {state['version']} is taken") from e
             raise
-        return json.loads(max(r["value"] for r in rows))["version"] if rows else None
 
-    def read(self) -> DataFrame:
-        version = self._pointer()
-        return self.spark.createDataFrame([], CHUNK_SCHEMA) if version is None else self.spark.read.parquet(f"{self.path}/{version}")
-
-    def commit(self, rows: DataFrame) -> int:
-        version = f"version-{uuid.uuid4().hex}"
-        rows.select("id", "vector", "sparse", "content", "file_id", "chunk_index", "metadata").write.parquet(f"{self.path}/{version}")
-        self.spark.range(1).select(F.to_json(F.struct(F.lit(version).alias("version"))).alias("value")).coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
-        return self.spark.read.parquet(f"{self.path}/{version}").count()
+    # ---------------------------------------------------------------- reading
+    def _live(self, state: dict, buckets: list[str]) -> DataFrame:
+        """Rows of some buckets of a state with their layer's number; those whose file a later layer has replaced or deleted are out."""
+        paths = lambda kind: [f"{self.path}/data/{layer}/{kind}/bucket={b}" for b in buckets for layer in state[kind].get(b, [])]
+        empty = lambda schema: self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(f"{CHUNK_SCHEMA}, seq long").parquet(*paths("rows")) if paths("rows") else empty(f"{CHUNK_SCHEMA}, seq long")
+        if not paths("gone"):
+            return rows
+        gone = self.spark.read.schema("file_id string, seq long").parquet(*paths("gone")).groupBy("file_id").agg(F.max("seq").alias("gone"))
+        return rows.join(gone, "file_id", "left").where("gone is null or seq >= gone").select(*COLUMNS, "seq")
+
+    def read(self, version: int | None = None) -> DataFrame:
+        state = self.state(version)
+        return self.spark.createDataFrame([], CHUNK_SCHEMA) if state is None else self._live(state, sorted(state["rows"])).select(*COLUMNS)
+
+    # ---------------------------------------------------------------- writing
+    def _written(self, layer: str, kind: str, df: DataFrame, buckets: int) -> list[str]:
+        """Writes df by bucket (a file's rows are dealt to several tasks where they are many) and gives the buckets that got rows."""
+        bucket = F.pmod(F.xxhash64("file_id"), F.lit(buckets)).cast("int")
+        df.withColumn("bucket", bucket).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{layer}/{kind}")
+        return [n.removeprefix("bucket=") for n in self._names("data", layer, kind) if n.startswith("bucket=")]
+
+    def _counts(self, state: dict, buckets: list[str]) -> dict[str, int]:
+        bucket = F.pmod(F.xxhash64("file_id"), F.lit(state["buckets"])).cast("int").cast("string")
+        held = {r["bucket"]: r["count"] for r in self._live(state, buckets).groupBy(bucket.alias("bucket")).count().collect()}
+        return {b: held.get(b, 0) for b in buckets}
+
+    def _attempts(self, change, attempts: int = 5):
+        """change(state) until no other writer comes first."""
+        for left in reversed(range(attempts)):
+            try:
+                return change(self.state() or {"version": 0, "buckets": BUCKETS, "options": {}, "rows": {}, "gone": {}, "counts": {}})
+            except Conflict:
+                if not left:
+                    raise
 
     def upsert(self, new: DataFrame, delete_ids: DataFrame | None = None) -> dict[str, int]:
-        """Commits an upsert; an empty batch still deletes."""
-        gone = unique_file_ids(new, delete_ids) if delete_ids is not None else unique_file_ids(new)
-        counts = {"upserted": new.select("id").distinct().count(), "deleted_files": gone.count()}
-        return counts | {"rows": self.commit(upsert(self.read(), new, delete_ids))}
+        """Commits an upsert, which replaces the files of new and deletes those of delete_ids; an empty batch still deletes. Of equal keys in new, the last by chunk index stays."""
+
+        def change(state: dict) -> dict[str, int]:
+            layer, seq = uuid.uuid4().hex, state["version"] + 1
+            fresh = new.select(*COLUMNS).groupBy("id").agg(F.max_by(F.struct(*COLUMNS), F.struct("chunk_index", "content")).alias("r")).select("r.*", F.lit(seq).cast("long").alias("seq"))
+            rows = self._written(layer, "rows", fresh, state["buckets"])
+            held = self.spark.read.schema("file_id string").parquet(f"{self.path}/data/{layer}/rows") if rows else self.spark.createDataFrame([], "file_id string")
+            ids = unique_file_ids(held, delete_ids) if delete_ids is not None else unique_file_ids(held)
+            gone = self._written(layer, "gone", ids.withColumn("seq", F.lit(seq).cast("long")), state["buckets"])
+            deleted = self.spark.read.parquet(f"{self.path}/data/{layer}/gone").count() if gone else 0
+            add = lambda kind, buckets: state[kind] | {b: [*state[kind].get(b, []), layer] for b in buckets}
+            # A tombstone without rows before it says nothing.
+            then = state | {"version": seq, "rows": add("rows", rows), "gone": add("gone", [b for b in gone if b in state["rows"]])}
+            then["counts"] = state["counts"] | self._counts(then, sorted({*rows, *gone}))
+            self._publish(then)
+            return {"upserted": held.count(), "deleted_files": deleted, "rows": sum(then["counts"].values())}
+
+        done = self._attempts(change)
+        self.compact(MOST_LAYERS)
+        return done
+
+    def commit(self, rows: DataFrame) -> int:
+        """Commits rows as the whole table."""
+
+        def change(state: dict) -> int:
+            layer, seq = uuid.uuid4().hex, state["version"] + 1
+            buckets = self._written(layer, "rows", rows.select(*COLUMNS).withColumn("seq", F.lit(seq).cast("long")), state["buckets"])
+            then = state | {"version": seq, "rows": {b: [layer] for b in buckets}, "gone": {}, "counts": {}}
+            then["counts"] = self._counts(then, buckets)
+            self._publish(then)
+            return sum(then["counts"].values())
+
+        return self._attempts(change)
+
+    def compact(self, most_layers: int = 1) -> list[str]:
+        """Rewrites the buckets that have more layers of rows or tombstones, and gives them."""
+
+        def change(state: dict) -> list[str]:
+            much = sorted(b for b in state["rows"] if max(len(state["rows"][b]), len(state["gone"].get(b, []))) > most_layers or (most_layers == 1 and b in state["gone"]))
+            if much:
+                layer, seq = uuid.uuid4().hex, state["version"] + 1
+                held = self._written(layer, "rows", self._live(state, much).drop("seq").withColumn("seq", F.lit(seq).cast("long")), state["buckets"])
+                keep = lambda kind: {b: x for b, x in state[kind].items() if b not in much}
+                self._publish(state | {"version": seq, "rows": keep("rows") | {b: [layer] for b in held}, "gone": keep("gone")})
+            return much
+
+        return self._attempts(change)
+
+    def vacuum(self, keep: int = 1, older_than_s: float = 3600.0) -> list[str]:
+        """Removes layers that none of the last keep versions names, and the files of earlier versions. Younger layers stay: a writer may be about to commit them."""
+        fs, held = self._fs(), self.versions()
+        named = {layer for v in held[-keep:] for kind in ("rows", "gone") for layers in self.state(v)[kind].values() for layer in layers}
+        before, out = (time.time() - older_than_s) * 1000, []
+        for v in held[:-keep]:
+            fs.delete(self._at("versions", f"{v:020d}.json"), False)
+        for layer in self._names("data"):
+            if layer not in named and fs.getFileStatus(self._at("data", layer)).getModificationTime() <= before:
+                fs.delete(self._at("data", layer), True)
+                out.append(layer)
+        return out
+
+    # ---------------------------------------------------------------- definition
+    def ensure(self, buckets: int = BUCKETS, **options) -> dict:
+        """Creates an empty store with these options where there is none; describe() with whether it was created."""
+        created = self.state() is None
+        if created:
+            try:
+                self._publish({"version": 1, "buckets": buckets, "options": options, "rows": {}, "gone": {}, "counts": {}})
+            except Conflict:
+                created = False
+        return self.describe() | {"created": created}
+
+    def describe(self) -> dict | None:
+        """Version, buckets, options, columns and count of rows; None where there is no store. Nothing of the rows is read."""
+        state = self.state()
+        if state is None:
+            return None
+        columns = dict(self.spark.createDataFrame([], CHUNK_SCHEMA).dtypes)
+        return {k: state[k] for k in ("version", "buckets", "options")} | {"columns": columns, "rows": sum(state["counts"].values())}
 
     def healthy(self) -> bool:
         """Whether the store can be read and has the store's columns."""
-        return [f.name for f in self.read().schema] == [f.name for f in self.spark.createDataFrame([], CHUNK_SCHEMA).schema]
-
-    def ensure(self) -> None:
-        """Creates an empty store where there is none."""
-        if self._pointer() is None:
-            self.commit(self.spark.createDataFrame([], CHUNK_SCHEMA))
+        return self.read().columns == COLUMNS
 
     def drop(self) -> None:
+        """Commits an empty table; its options stay, and earlier versions until vacuum()."""
         self.commit(self.spark.createDataFrame([], CHUNK_SCHEMA))

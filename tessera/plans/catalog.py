@@ -11,7 +11,7 @@ from tessera.config import DEFAULT
 from tessera.functions import cleaning
 from tessera.functions import text as T
 from tessera.operators import chat, evaluation, items, meta, retrieval, store
-from tessera.session import table
+from tessera.session import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -208,10 +208,14 @@ def delete_by_file(spark, sf_dir):
 UNION ALL SELECT 'new_' || item_id AS id, text AS content FROM benchmark"""
 )
 def upsert_replace(spark, sf_dir):
-    """The English file replaced by the benchmark's passages."""
+    """The English file replaced by the benchmark's passages, in a store on disk."""
+    none = {"vector": F.lit(None).cast("array<float>"), "sparse": F.lit(None).cast("map<long,float>"), "metadata": F.lit(None).cast("string")}
     old = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("file_id"), F.col("doc_id").alias("chunk_index"), F.col("text").alias("content"))
     new = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("new_"), F.col("item_id").cast("string")).alias("id"), F.lit("en").alias("file_id"), F.col("item_id").alias("chunk_index"), F.col("text").alias("content"))
-    return store.upsert(old, new).select("id", "content")
+    held = store.Store(spark, scratch(spark))
+    for rows in (old, new):
+        held.upsert(rows.withColumns(none))
+    return held.read().select("id", "content")
 
 
 @query(f"SELECT doc_id, {cleaning.sql('text', light=True)} AS text FROM documents")
@@ -605,4 +609,4 @@ def reading_order(spark, sf_dir):
     return meta.row_leaders(rows, "slide", 25.0)
 
 
-from tessera.plans import more  # noqa: E402, F401 - registers the further queries
+from tessera.plans import indexed, more  # noqa: E402, F401 - registers the further queries

@@ -41,3 +41,13 @@ def written(df: DataFrame) -> DataFrame:
     spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def write_parts(df: DataFrame, path: str, by: str) -> None:
+    """df in folders by a column, at path/rows, with its columns in path/columns: so that it can be read where no row came out."""
+    df.write.mode("overwrite").partitionBy(by).parquet(f"{path}/rows")
+    df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")
+
+
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(spark.read.parquet(f"{path}/columns").schema).parquet(f"{path}/rows")
