@@ -4,8 +4,8 @@ A text is normalised (case, copyright lines, equivalent spellings, punctuation,
 digest is hash-joined with the digests of known licence texts, which go through the same steps. The whole text has to be the
 licence; where its digest is not known, it is looked up again without any line that begins with a copyright or reserves all rights. Its lines that speak of a licence are looked up in the same way, which finds notices inside other texts.
 
-Everything is DataFrame expressions over one scan: the known texts are a constant of a few dozen rows, so their side of the join is
-broadcast whatever the input, and no document is exchanged.
+Everything is DataFrame expressions over one scan, in which a text is put in lower case once, and steps that only some texts need are taken for those with their words. The digests of the texts known here
+are a broadcast row of some dozens of entries, so no document is exchanged; further texts are hash-joined.
 
 Defined cases: a null text counts as an empty one; a text that is empty after normalisation has the empty text's digest and no
 licence; repeated rows get a row each; an empty table gives an empty result; extra columns are not read.
@@ -13,14 +13,16 @@ licence; repeated rows get a row each; an empty table gives an empty result; ext
 
 from __future__ import annotations
 
+import hashlib
 import re
-from functools import reduce
+from functools import cache
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import let, table
 
 # Spellings that count as equal, replaced in this order.
 SPELLINGS = (
@@ -103,8 +105,12 @@ KNOWN = (
 )
 #: A letter in parentheses also numbers a clause; it is a copyright sign only before a year or the word.
 _COPYRIGHT = r"(^|\n)[^\p{L}\p{N}\n]*(?:copyright \(c\)|copyright [0-9]|copyright ©|\(c\) (?:[12][0-9][0-9][0-9]|copyright)|© )[^\n]*"
-#: As above, with any name after the word, and lines that reserve all rights. A line may begin so within a sentence, by its width: not before these words.
-_ANY_COPYRIGHT = r"(^|\n)[^\p{L}\p{N}\n]*+(?:(?:copyright(?! (?:holder|owner|notice|law|license|licence|interest|disclaimer|statement|term|treat|protect|permission|right|act|claim|infring|and|or|on|in|of|to|is|are|as|that|this|the software|for|which|with|from|applies|has|have|may|can|shall)(?:s|es|ies|ion|ement)?(?![\p{L}\p{N}]))(?![\p{L}\p{N}])|\(c\) (?:[12][0-9]{3}|copyright)|© ?)[^\n]*|all rights reserved[^\p{L}\p{N}\n]*(?=\n|$))"
+#: Lines, in lower case, that are dropped for the second look: such lines, those that begin with the word and any name, and those that only reserve all rights. A line
+#: may begin with the word within a sentence, by its width: not before these words.
+_NAMED = r"^[^\p{L}\p{N}]*copyright([^\p{L}\p{N}]|$)"
+_WITHIN = r"^[^\p{L}\p{N}]*copyright (holder|owner|notice|law|license|licence|interest|disclaimer|statement|term|treat|protect|permission|right|act|claim|infring|and|or|on|in|of|to|is|are|as|that|this|the software|for|which|with|from|applies|has|have|may|can|shall)(s|es|ies|ion|ement)?([^\p{L}\p{N}]|$)"
+_RESERVED = r"^[^\p{L}\p{N}]*all rights reserved[^\p{L}\p{N}]*$"
+_LINE = _COPYRIGHT.replace(r"(^|\n)", "^", 1).removesuffix(r"[^\n]*")
 TEXTS = Path(__file__).parent / "data" / "licenses"
 _SPEAKS = "licen[cs]"
 
@@ -120,51 +126,83 @@ def texts() -> list[tuple[str, str]]:
     return list(dict.fromkeys(out))
 
 
-def canonical(text: Column, copyright: str = _COPYRIGHT) -> Column:
-    """The normal form of a text; digests are taken of it."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), copyright, "$1")
+def _spelled(out: Column) -> Column:
     for other, usual in SPELLINGS:
         out = F.replace(out, F.lit(other), F.lit(usual))
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
 
 
+def _canonical(low: Column) -> Column:
+    """The normal form of a text in lower case."""
+    return _spelled(F.when(low.rlike(r"copyright|\(c\)|©"), F.regexp_replace(low, _COPYRIGHT, "$1")).otherwise(low))
+
+
 def digest(text: Column) -> Column:
-    return F.sha2(canonical(text), 256)
+    """The digest of a text's normal form."""
+    return F.sha2(_canonical(F.lower(F.coalesce(text, F.lit("")))), 256)
 
 
-def bare_digest(text: Column) -> Column:
-    """The digest without any copyright line; null for a text that has none, or nothing else."""
-    body = canonical(text, _ANY_COPYRIGHT)
-    return F.when(text.rlike(r"(?i)copyright|all rights reserved|\(c\)|©") & (body != ""), F.sha2(body, 256))
+def _bare(low: Column, words: str = "") -> Column:
+    """The digest of the normal form without any copyright line; null for a text that has none, or nothing else, or none of the words of which each known text has one (if these are given)."""
+    dropped = lambda x: x.rlike(_LINE) | x.rlike(_NAMED) & ~x.rlike(_WITHIN) | x.rlike(_RESERVED)
+    body = let(_spelled(F.array_join(F.filter(F.split(low, "\n", -1), lambda x: ~dropped(x)), "\n")), lambda b: F.when(b != "", F.sha2(b, 256)))
+    return F.when(low.rlike(words) & low.rlike(r"copyright|all rights reserved|\(c\)|©"), body)
 
 
-def known(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
-    """license and known_digest, a row for each digest: of KNOWN, the texts shipped and more (license, text), in this order."""
-    parts = []
-    for at, pairs in enumerate((KNOWN, texts())):
-        rows = F.explode(F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in pairs]))
-        parts.append(spark.range(1, numPartitions=1).select(rows.alias("k"), F.lit(at).alias("at")).select("k.license", "k.text", "at"))
-    if more is not None:
-        parts.append(more.select("license", "text", F.lit(len(parts)).alias("at")).where((canonical(F.col("text")) != "") & F.col("license").isNotNull()))
-    digests = F.explode(F.array(digest(F.col("text")), bare_digest(F.col("text"))))
-    rows = reduce(DataFrame.unionByName, parts).select("license", "at", digests.alias("known_digest")).where("known_digest is not null")
-    return rows.groupBy("known_digest").agg(F.min(F.struct("at", "license"))["license"].alias("license")).select("license", "known_digest")
+#: Each known text has one of these.
+_WORDS = "warrant|licen[cs]"
+
+
+def _normal(text: str, bare: bool = False) -> str:
+    """The same normal forms of a known text."""
+    low = text.lower()
+    if bare:
+        low = "\n".join(x for x in low.split("\n") if not (regex.search(_LINE, x) or regex.search(_NAMED, x) and not regex.search(_WITHIN, x) or regex.search(_RESERVED, x)))
+    else:
+        low = regex.sub(_COPYRIGHT, r"\1", low)
+    for other, usual in SPELLINGS:
+        low = low.replace(other, usual)
+    return regex.sub(r"[^\p{L}\p{N}]+", " ", low).strip(" ")
+
+
+@cache
+def known() -> dict[str, str]:
+    """Licence by digest of KNOWN and of the texts shipped; of equal digests the first counts. Both the query and its SQL take their known texts from here."""
+    out: dict[str, str] = {}
+    for name, text in (*KNOWN, *texts()):
+        if not regex.search(_WORDS, text.lower()):
+            raise ValueError(f"{name}: a known text without any of the words {_WORDS}")
+        for form in (_normal(text), _normal(text, bare=True)):
+            if form:
+                out.setdefault(hashlib.sha256(form.encode()).hexdigest(), name)
+    return out
 
 
 def scan(docs: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """doc_id, digest, license and notices (ids of licences that lines of the text name, sorted, by commas).
 
-    more (license, text): further texts to be known; small enough for the driver.
+    more (license, text): further whole texts to be known, however many; of those with equal digests the first by name counts.
     """
-    pairs = sorted((r["known_digest"], r["license"]) for r in known(docs.sparkSession, more).collect())
-    lookup = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
-    texts_known = F.explode(F.array(*[F.struct(F.lit(name).alias("license"), F.lit(d).alias("known_digest")) for d, name in pairs]))
-    table_of = docs.sparkSession.range(1, numPartitions=1).select(texts_known.alias("k")).select("k.license", "k.known_digest")
-    lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: F.lower(x).rlike(_SPEAKS))
-    ids = F.sort_array(F.array_distinct(F.filter(F.transform(lines, lambda x: F.try_element_at(lookup, digest(x))), lambda x: x.isNotNull())))
-    marked = docs.select("doc_id", digest(F.col("text")).alias("digest"), F.array_join(ids, ",").alias("notices"), F.try_element_at(lookup, bare_digest(F.col("text"))).alias("bare"))
-    joined = marked.join(F.broadcast(table_of), F.col("digest") == F.col("known_digest"), "left")
-    return joined.select("doc_id", "digest", F.coalesce("license", "bare").alias("license"), "notices")
+    spark = docs.sparkSession
+    entries = spark.createDataFrame(list(known().items()), "known_digest string, license string")
+    lookup = entries.agg(F.map_from_entries(F.collect_list(F.struct("known_digest", "license"))).alias("known"))  # a row of some dozens of entries
+    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    at = lambda d: F.try_element_at("known", d)
+
+    def found(low: Column) -> Column:
+        lines = F.when(low.rlike(_SPEAKS), F.filter(F.split(low, "\n", -1), lambda x: x.rlike(_SPEAKS))).otherwise(F.array().cast("array<string>"))
+        ids = F.sort_array(F.array_distinct(F.filter(F.transform(lines, lambda x: at(F.sha2(_canonical(x), 256))), lambda x: x.isNotNull())))
+        return F.struct(F.sha2(_canonical(low), 256).alias("digest"), _bare(low, _WORDS if more is None else "").alias("bare"), F.array_join(ids, ",").alias("notices"))
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(lookup)).select("doc_id", let(low, found).alias("f"), "known")
+    rows = rows.select("doc_id", "f.digest", "f.bare", "f.notices", F.coalesce(at(F.col("f.digest")), at(F.col("f.bare"))).alias("license"))
+    if more is not None:
+        forms = F.explode(F.array(digest(F.col("text")), _bare(F.lower("text"))))
+        others = more.where("license is not null and text is not null").select("license", forms.alias("d")).where((F.col("d") != hashlib.sha256(b"").hexdigest())).groupBy("d").agg(F.min("license").alias("other"))
+        for by in ("digest", "bare"):
+            rows = rows.join(others.withColumnsRenamed({"d": by, "other": f"by_{by}"}), by, "left")
+        rows = rows.withColumn("license", F.coalesce("license", "by_digest", "by_bare"))
+    return rows.select("doc_id", "digest", "license", "notices")
 
 
 def op3_licenses(spark, sf_dir: str) -> DataFrame:
@@ -172,25 +210,27 @@ def op3_licenses(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    quote = lambda x: "'" + x.replace("'", "''") + "'"
-
-    def normal(x: str) -> str:
-        out = f"regexp_replace(lower({x}), '{_COPYRIGHT}', '\\1', 'g')"
+    def spelled(out: str) -> str:
         for other, usual in SPELLINGS:
             out = f"replace({out}, '{other}', '{usual}')"
-        return f"sha256(trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')))"
+        return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
-    rows = ",\n".join(f"({quote(n)}, {quote(t)})" for n, t in KNOWN)
+    normal = lambda x: f"sha256({spelled(f"regexp_replace({x}, '{_COPYRIGHT}', '\\1', 'g')")})"
+    dropped = f"(regexp_matches(x, '{_LINE}') OR regexp_matches(x, '{_NAMED}') AND NOT regexp_matches(x, '{_WITHIN}') OR regexp_matches(x, '{_RESERVED}'))"
+    bare = spelled(f"array_to_string(list_filter(string_split(low, chr(10)), lambda x: NOT {dropped}), chr(10))")
+    rows = ",\n".join(f"('{d}', '{n}')" for d, n in known().items())
     return f"""
-WITH texts(license, body) AS (VALUES {rows}),
-known AS (SELECT DISTINCT license, {normal('body')} AS known_digest FROM texts),
-docs AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS body FROM documents),
-lines AS (SELECT r, unnest(string_split(body, chr(10))) AS line FROM docs),
+WITH known(known_digest, license) AS (VALUES {rows}),
+docs AS (SELECT doc_id, row_number() OVER () AS r, lower(coalesce(text, '')) AS low FROM documents),
+lines AS (SELECT r, unnest(string_split(low, chr(10))) AS line FROM docs),
 found AS (
   SELECT r, string_agg(DISTINCT k.license, ',' ORDER BY k.license) AS notices
-  FROM (SELECT r, {normal('line')} AS d FROM lines WHERE regexp_matches(lower(line), '{_SPEAKS}')) l JOIN known k ON l.d = k.known_digest GROUP BY r)
-SELECT d.doc_id, d.digest, k.license, coalesce(f.notices, '') AS notices
-FROM (SELECT doc_id, r, {normal('body')} AS digest FROM docs) d LEFT JOIN known k ON d.digest = k.known_digest LEFT JOIN found f ON f.r = d.r
+  FROM (SELECT r, {normal('line')} AS d FROM lines WHERE regexp_matches(line, '{_SPEAKS}')) l JOIN known k ON l.d = k.known_digest GROUP BY r),
+forms AS (
+  SELECT doc_id, r, {normal('low')} AS digest,
+         CASE WHEN regexp_matches(low, 'copyright|all rights reserved|\\(c\\)|©') THEN nullif({bare}, '') END AS bare FROM docs)
+SELECT d.doc_id, d.digest, coalesce(k.license, b.license) AS license, coalesce(f.notices, '') AS notices
+FROM forms d LEFT JOIN known k ON d.digest = k.known_digest LEFT JOIN known b ON sha256(d.bare) = b.known_digest LEFT JOIN found f ON f.r = d.r
 """
 
 
