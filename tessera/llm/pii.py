@@ -8,7 +8,7 @@ and the pseudonym is valid again (a card keeps its first digit and gets a new ch
 A phone number keeps its country code. E-mail addresses and secrets have no numeric format: they get keyed digests in their shape, equal for equal values.
 What fails validation (a number with a wrong check digit or of one digit only, 30 February) is not personal data and stays.
 
-The key is an argument. The registered queries read it from the session's spark.tessera.pii.key; without that they use one that is for demonstration only.
+The key is an argument of every function. session_key() reads it from the session's spark.tessera.pii.key and fails without it; the registered queries bring one of their own for that case.
 
 Only DataFrame expressions are used; texts are handled row by row without any exchange.
 
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import let, table, whole_rows
 
 ROUNDS = 10
-KEY = "tessera-demonstration-key"
+#: The key of the registered queries; a session that names another is asked first.
+QUERY_KEY = "tessera-registered-queries"
 #: Fixed value: country codes of one and two digits; all others have three.
 COUNTRY = r"^\+(?:[17]|2[07]|3[0-46-9]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: The patterns of each kind, tried in this order at each place. Runs are possessive or bounded.
@@ -215,13 +216,17 @@ def pseudonymised(text: Column, key: str) -> Column:
     return let(F.transform(matches, lambda m: pseudonym(m, key)), joined)
 
 
-def session_key(spark) -> str:
-    return spark.conf.get("spark.tessera.pii.key", KEY)
+def session_key(spark, default: str | None = None) -> str:
+    """The key that the session's spark.tessera.pii.key names; without it the default, or an error where none is given: a key is never taken from the library."""
+    key = spark.conf.get("spark.tessera.pii.key", None) or default
+    if not key:
+        raise ValueError("spark.tessera.pii.key must name the key of the pseudonyms")
+    return key
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.select("doc_id", pseudonymised(F.col("text"), session_key(spark)).alias("p")).select("doc_id", "p.*")
+    return docs.select("doc_id", pseudonymised(F.col("text"), session_key(spark, QUERY_KEY)).alias("p")).select("doc_id", "p.*")
 
 
 def with_pseudonyms(docs: DataFrame, key: str) -> DataFrame:
