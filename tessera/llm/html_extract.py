@@ -6,7 +6,8 @@ A container's points are discounted by its share of link text. The best containe
 beside the elements around it up to the body, unless links are a quarter of it or more and it has less than a fifth of the best points; a heading stays with the text below it. Where it lies in an <article>, that whole element is taken. Menus, page headers, footers,
 sidebars, notices, adverts, forms, comments of readers and hidden elements are cut beforehand, by element, role and class
 name (the last name of a class or id, so has-sidebar and comments-open name nothing); what holds the main element, the h1 or most of the text
-stays whatever its name; a form around the page stays too. Lists that are mostly links go as menus.
+stays whatever its name; a form around the page stays too. Lists that are mostly links go as menus, unless they stand below the article's text (its references and
+further reading) and no heading calls them related pages and the like. A page header goes, but for its h1 where that begins the page's title and the page has no other h1. Links that skip to a part of the page go.
 
 Rows are handled one by one, in Arrow batches, without any exchange.
 
@@ -49,7 +50,13 @@ CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog
 CUT_NAMES = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer foot masthead topbar toolbar ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending comment comments commentlist disqus respond replies reply pagination pager skip widget widgets form search copyright disclaimer paywall hidden".split()
 )
-COMMENT_NAMES = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: Names that say what an element is wherever they stand in a class or id.
+PLAIN_NAMES = frozenset("disqus livefyre onetrust cookiebot cookieconsent cookielaw trustarc usercentrics quantcast gdpr ccpa ads adbox adslot adunit adbanner adsense adsbygoogle adwords advert adverts advertisement advertisements advertising doubleclick taboola outbrain sponsored newsletter breadcrumb breadcrumbs".split())
+COMMENT_NAMES = frozenset("comment comments commentlist commentary disqus livefyre respond reply replies feedback discussion discussions".split())
+#: Links that skip to a part of the page, headings of lists of other pages, and headings of lists that belong to a text.
+SKIP = re.compile(r"(?:skip|jump|go) (?:to|past) (?:the )?(?:main |page |site )?(?:content|text|article|navigation|nav|menu|search|footer|header)\b|zum (?:haupt)?inhalt\b|aller au (?:contenu|menu)\b|(?:saltar|ir) al contenido\b", re.I)
+OTHERS = re.compile(r"(?:related|read (?:more|next|also)|more (?:from|on|in|about|stories|articles|news)|you (?:may|might)|recommended|most (?:read|popular)|popular|trending|share|follow|latest|tags?\b|topics\b|categor|up next|verwandte|weiterlesen|mehr (?:zum|aus|von)|lesen sie|lire aussi|à lire|articles liés|sur le même|relacionad|también|más (?:sobre|noticias|leíd)|te puede)", re.I)
+SOURCES = re.compile(r"(?:references?|further reading|external links|see also|sources?|bibliography|notes|footnotes|citations|works cited|literatur|quellen|weblinks|einzelnachweise|siehe auch|références|bibliographie|liens externes|voir aussi|referencias|bibliografía|enlaces externos|véase también)\b", re.I)
 OWN_HEADER = frozenset("article entry post story content".split())
 #: Names of place and shape, passed over at the end of a class or id (sidebar-left, comment-list), and beginnings that make it say something of the page.
 SHAPES = frozenset("left right top bottom inner outer container wrapper wrap box list area block section bar item items link links body group main primary secondary col column row panel holder slot unit text title content div".split())
@@ -61,6 +68,9 @@ CONTAINERS = frozenset("body div section article main center details dialog".spl
 REACH = 8
 #: Text beside the article stays with a smaller share of link text.
 MOST_LINKED = 0.25
+#: Letters from which on a block is text, below which an article may list its references.
+PROSE = 80
+_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
 
 
 class _Node:
@@ -81,12 +91,13 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _names(value: str) -> set[str]:
-    """What the classes or ids of value call their element: the last name of each that is none of a shape, unless it begins with a state."""
+    """What the classes or ids of value call their element: the last name of each that is none of a shape, and any plain one, unless it begins with a state."""
     out = set()
     for token in value.split():
         parts = [p.lower() for p in _PART.findall(token)]
         if len(parts) > 1 and parts[0] in STATES:
             continue
+        out.update(PLAIN_NAMES.intersection([*parts, token.lower()]))
         while len(parts) > 1 and (parts[-1] in SHAPES or parts[-1].isdigit()):
             parts.pop()
         out.update(parts[-1:])
@@ -100,7 +111,7 @@ def _cut(tag: str, raw: str, inside: bool) -> bool | set[str]:
     if tag == "form":  # unless the page lies in it
         return {"form"}
     if not raw or raw.isspace():
-        return tag == "header" and not inside
+        return {"header"} if tag == "header" and not inside else False
     at = _attributes(raw)
     value = at.get("class", "") + " " + at.get("id", "")
     names = _names(value)
@@ -114,12 +125,12 @@ def _cut(tag: str, raw: str, inside: bool) -> bool | set[str]:
         return True
     if tag == "header" or names & {"header", "head"} and tag not in HEADINGS:
         own = inside or {p.lower() for p in _PART.findall(value)} & OWN_HEADER
-        return False if own else True if tag == "header" else names & {"header", "head"}
-    return set() if tag in HEADINGS and inside else names & CUT_NAMES
+        return False if own else {"header"} if tag == "header" else names & {"header", "head"}
+    return set() if tag in HEADINGS and inside else names & (CUT_NAMES | PLAIN_NAMES | COMMENT_NAMES)
 
 
-def _judge(nodes: list[_Node]) -> list[_Node]:
-    """Nodes without the elements that go by their names, and what is in them.
+def _judge(nodes: list[_Node]) -> tuple[list[_Node], str]:
+    """Nodes without the elements that go by their names, and what is in them; and the h1 of a page header, if no other stays.
 
     One stays if it holds a main, the page's articles, its h1 (but for headers), or, with no article or main beside it, more than half of
     the text outside links; comments of readers need to hold all of it.
@@ -138,20 +149,28 @@ def _judge(nodes: list[_Node]) -> list[_Node]:
         if not n.parent.cut and n.named:
             beside = within[id(root)] - within[id(n)] - over[id(n)] > 0
             bulk = n.plain >= root.plain > 0 if n.named & COMMENT_NAMES else n.plain > 0.5 * root.plain
-            keep = n.holds & 2 or n.holds & 1 and not n.named <= {"header", "head"} or not beside and (bulk or within[id(n)] and not over[id(n)])
+            keep = n.holds & 2 or n.holds & 1 and not n.named <= {"header", "head"} or n.tag != "header" and not beside and (bulk or within[id(n)] and not over[id(n)])
             if not keep:
                 n.cut = True
                 gone.add(n.parent)
         n.cut = n.cut or n.parent.cut
         if not n.cut:
             out.append(n)
+    title = "" if any(n.tag == "h1" for n in out) else next((t for n in nodes if n.tag == "h1" and n.cut and _heads(n) and (t := " ".join(x for x in n.items if isinstance(x, str)))), "")
     for n in gone:
         n.items = [x for x in n.items if isinstance(x, str) or not x.cut]
-    return out
+    return out, title
+
 
+def _heads(n: _Node) -> bool:
+    """Whether what cuts n is a page header."""
+    while n.parent.cut:
+        n = n.parent
+    return n.tag == "header"
 
-def _tree(page: str) -> tuple[_Node, list[_Node]]:
-    """The root and all elements that are not cut, parents first."""
+
+def _tree(page: str) -> tuple[_Node, list[_Node], str]:
+    """The root, all elements that are not cut, parents first, and the h1 of a page header."""
     root = _Node("", None, False)
     node, held, linked, in_link, links = root, [], 0, False, 0
     nodes, is_open, unclosed = [root], Counter(), set()
@@ -160,7 +179,7 @@ def _tree(page: str) -> tuple[_Node, list[_Node]]:
         nonlocal held, linked, links
         if held:
             text = " ".join("".join(held).split())
-            if text and not node.cut:
+            if text and not node.cut and not (linked >= len(text) and SKIP.match(text)):
                 node.items.append(text)
                 node.chars += len(text)
                 node.linked += min(linked, len(text))
@@ -244,7 +263,7 @@ def _tree(page: str) -> tuple[_Node, list[_Node]]:
     begun = re.search(r"<(?=[a-zA-Z/!?])", rest) if rest else None
     add(rest[: begun.start()] if begun else rest)
     flush()
-    nodes = _judge(nodes)
+    nodes, title = _judge(nodes)
     for n in nodes:
         for points in n.given:
             up, share = n, 1
@@ -257,7 +276,7 @@ def _tree(page: str) -> tuple[_Node, list[_Node]]:
         n.parent.chars += n.chars
         n.parent.linked += n.linked
         n.parent.links += n.links
-    return root, nodes
+    return root, nodes, title
 
 
 def _density(n: _Node) -> float:
@@ -265,13 +284,31 @@ def _density(n: _Node) -> float:
 
 
 def _texts(n: _Node, out: list[str]) -> None:
-    """The texts of n in page order, without lists that are mostly links."""
+    """The texts of n in page order, without menus: lists that are mostly links, but for those of an article below its text, or below a heading of sources."""
+    todo: list = [(n, "")]
+    heading, prose = "", any(len(x) >= PROSE for x in out)
+    while todo:
+        x, tag = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            heading, prose = x if tag in HEADINGS else "", prose or len(x) >= PROSE and tag not in HEADINGS
+        elif x is not n and x.tag in ("ul", "ol", "div", "section", "table", "dl") and x.links > 1 and _density(x) > 0.6:
+            if not OTHERS.match(heading) and (x.inside and prose or SOURCES.match(heading)):
+                _whole(x, out)
+            elif heading and OTHERS.match(heading):
+                out.pop()
+            heading = ""
+        else:
+            todo.extend((y, x.tag) for y in reversed(x.items))
+
+
+def _whole(n: _Node, out: list[str]) -> None:
     todo: list = [n]
     while todo:
         x = todo.pop()
         if isinstance(x, str):
             out.append(x)
-        elif not (x is not n and x.tag in ("ul", "ol", "div", "section", "table", "dl") and x.links > 1 and _density(x) > 0.6):
+        else:
             todo.extend(reversed(x.items))
 
 
@@ -279,7 +316,16 @@ def extract(page: str | None) -> str:
     """The main text of a page."""
     if not page:
         return ""
-    root, nodes = _tree(page)
+    root, nodes, heading = _tree(page)
+    text = _article(root, nodes)
+    if heading and not text.startswith(heading):
+        title = _TITLE.search(page)
+        if " ".join(entities.unescape(title[1]).split()).casefold().startswith(heading.casefold()) if title else not any(n.tag in HEADINGS for n in nodes):
+            text = f"{heading} {text}".strip()
+    return text
+
+
+def _article(root: _Node, nodes: list[_Node]) -> str:
     best, most = None, 0.0
     for n in nodes:
         value = n.points * (1 - _density(n))

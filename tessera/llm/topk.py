@@ -9,7 +9,7 @@ Queries and candidates meet in blocks of at most about a million by two million
 row's number: a pair of blocks is one task's work in bounded memory, and gives k rows for each of its queries at most. A second step takes the best k of those.
 So each vector moves once for each block of the other side; the usable ones lie in a checkpoint, in which they are numbered.
 
-Defined cases: rows without id, null vectors and vectors with a null, NaN or infinite component take no part; vectors
+Defined cases: a row without id is no query, but a candidate like any other, after all ids among equal scores; null vectors and vectors with a null, NaN or infinite component take no part; vectors
 are compared with vectors of their length; equal scores go to the smaller id; rows are told apart by their place, so one that repeats a query's id, or its id
 and vector, is a query of its own and the other's candidate; a query with fewer than k candidates gets all of them, and without any no row; an empty
 table gives an empty result; extra columns are not read.
@@ -41,13 +41,13 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(out, 1) if out else np.zeros((len(x), 1))
 
 
-def best(q: np.ndarray, q_own: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scores, ids and which of them there are (rows: queries, k columns) of the k best of x for each row of q.
+def best(q: np.ndarray, q_own: np.ndarray, x: np.ndarray, ids: np.ndarray, absent: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores, places in x and which of them there are (rows: queries, k columns) of the k best of x for each row of q.
 
-    x and q are whole numbers; own are the numbers of rows, equal for a query and its own row.
+    x and q are whole numbers; absent marks rows without id; own are the numbers of rows, equal for a query and its own row.
     """
-    order = np.lexsort((own, ids))
-    x, ids, own = x[order], ids[order], own[order]
+    order = np.lexsort((own, ids, absent))
+    x, own = x[order], own[order]
     qf, xf = q.astype(float), x.astype(float)
     top = np.sqrt((qf * qf).sum(1).max(initial=0) * (xf * xf).sum(1).max(initial=0))
     exact = (qf, xf) if top < 2.0**52 else (q.astype(np.int64), x.astype(np.int64))
@@ -73,7 +73,7 @@ def best(q: np.ndarray, q_own: np.ndarray, x: np.ndarray, ids: np.ndarray, own:
             r, c = rows[i], np.flatnonzero(better[i])
             now = int(has[r].sum())
             s = np.concatenate([scores[r, :now], got[i, c]])
-            n = np.concatenate([found[r, :now], ids[cols[c]]])
+            n = np.concatenate([found[r, :now], order[cols[c]]])
             keep = np.argsort(-s, kind="stable")[:k]
             scores[r, : len(keep)], found[r, : len(keep)], has[r, : len(keep)] = s[keep], n[keep], True
     return np.where(has, scores, 0).astype(np.int64), found, has
@@ -86,8 +86,10 @@ def usable(vec: Column) -> Column:
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id and score from vectors (vec_id, embedding) and a condition on vec_id."""
     vec = F.col("embedding").cast("array<double>")
-    rows = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), vec.alias("vec")).where(usable(F.col("vec")))
-    rows = cut(rows.select("id", F.transform("vec", lambda x: F.floor(x * scale)).alias("vec"), F.size("vec").alias("dim"), F.monotonically_increasing_id().alias("own")))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), vec.alias("vec")).where(usable(F.col("vec")))
+    # A null would turn whole numbers into floats on their way.
+    rows = cut(rows.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("absent"), F.transform("vec", lambda x: F.floor(x * scale)).alias("vec"), F.size("vec").alias("dim"), F.monotonically_increasing_id().alias("own")))
+    is_query = ~F.col("absent") & is_query
     queries = rows.where(is_query)
     n, m, width = rows.agg(F.count(F.lit(1)), F.count_if(is_query), F.max("dim")).first()
     cores = rows.sparkSession.sparkContext.defaultParallelism
@@ -103,14 +105,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256)
         out = {"query_id": [], "own": [], "vec_id": [], "score": []}
         if len(a) and len(b):
             number = lambda f: np.vstack(f["vec"].to_numpy()).astype(np.int64) if int(f["dim"].iloc[0]) else np.zeros((len(f), 0), np.int64)
-            scores, ids, has = best(number(a), a["own"].to_numpy(), number(b), b["id"].to_numpy(), b["own"].to_numpy(), k)
+            scores, rows, has = best(number(a), a["own"].to_numpy(), number(b), b["id"].to_numpy(), b["absent"].to_numpy(), b["own"].to_numpy(), k)
             at, place = np.nonzero(has)
-            out = {"query_id": a["id"].to_numpy()[at], "own": a["own"].to_numpy()[at], "vec_id": ids[at, place], "score": scores[at, place]}
+            rows = rows[at, place]
+            ids = pd.array(b["id"].to_numpy()[rows], "Int64")
+            ids[b["absent"].to_numpy()[rows]] = pd.NA
+            out = {"query_id": a["id"].to_numpy()[at], "own": a["own"].to_numpy()[at], "vec_id": ids, "score": scores[at, place]}
         return pd.DataFrame(out)
 
     keys = ["dim", "rb", "qb"]
     some = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, own long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id", "own").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "own").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last()))
     return some.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -121,7 +126,7 @@ def op10_topk(spark, sf_dir: str) -> DataFrame:
 SQL = """
 WITH v AS (
   SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 pairs AS (
   SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON c.r <> q.r AND len(c.e) = len(q.e) WHERE q.vec_id % 50 = 0),

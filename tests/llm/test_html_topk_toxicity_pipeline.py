@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -80,15 +81,52 @@ def test_pages_table(spark):
 
 def brute(rows, k):
     """The best of all candidates: every row but the query's own, told apart by place."""
-    use = [(n, i, [int(np.floor(256 * float(x))) for x in v]) for n, (i, v) in enumerate(rows) if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    use = [(n, i, [int(np.floor(256 * float(x))) for x in v]) for n, (i, v) in enumerate(rows) if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = Counter()
     for n, i, q in use:
-        if i % 50 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for m, j, v in use if len(v) == len(q) and m != n)
-            out.update((i, at + 1, j, -s) for at, (s, j) in enumerate(scores[:k]))
+        if i is not None and i % 50 == 0:
+            scores = sorted(((-sum(a * b for a, b in zip(q, v)), j is None, j or 0) for m, j, v in use if len(v) == len(q) and m != n))
+            out.update((i, at + 1, None if absent else j, -s) for at, (s, absent, j) in enumerate(scores[:k]))
     return out
 
 
+MENU = "".join(f'<li><a href="/{i}">Item {i}</a></li>' for i in range(6))
+#: What is no part of an article, wherever on the page it may lie; and what is, with its text.
+AROUND = [
+    f"<nav><ul>{MENU}</ul></nav>", f"<ul>{MENU}</ul>", "<a href='#main'>Skip to content</a>", "<div id='onetrust-consent-sdk'><p>We use cookies, as all do, for your comfort, and ours.</p></div>",
+    "<div class='adbox'><p>Buy now, and save, today.</p></div>", "<div id='google_ads_iframe_1'><p>Cheap, cheaper, cheapest.</p></div>", "<aside><p>Other news, in short, here.</p></aside>", "<footer><p>Contact us, at any time.</p></footer>",
+    "<div id='disqus_thread'><p>I think, as a reader, that this is good.</p></div>", "<section class='reader-feedback'><p>Thanks, really, for this one.</p></section>", "<div class='discussion'><p>First, second, third reader here.</p></div>",
+    "<form><p>Your name, please</p><input name=q></form>", "<script>var a = '<p>no, no, no</p>';</script>", "<style>p { color: red }</style>", "<div hidden><p>Hidden, by all means, from all.</p></div>", "<!-- <p>a comment, too</p> -->",
+]
+PROSE = ["Rain fell, slowly, on the roof &amp; the old garden wall, and nobody, not even the cat, cared to look outside.", "Later, when the sun came back, the whole street was out again, talking, laughing and, at last, drying their things.", "It was, all said and done, a day like most others in that town, of which there are many, and few that one would keep."]
+BELOW = [("<h2>References</h2><ol><li><a href='a'>A first source</a></li><li><a href='b'>A second one</a></li></ol>", ["References", "A first source", "A second one"]), ("<h3>Related articles</h3><ul><li><a href='a'>Another page</a></li><li><a href='b'>And one more</a></li></ul>", []), ("", [])]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_generated_pages_give_their_articles(seed):
+    """Pages of known articles with parts around them in any order: nothing is lost and nothing added."""
+    r = random.Random(seed)
+    for n in range(25):
+        frame = r.choice(["article", "main", "div class='post'", "div id='story-body'"])
+        texts = [r.choice(PROSE) for _ in range(r.randint(4, 9))]
+        below, more = r.choice(BELOW)
+        head = r.choice(["inside", "header", "none"])
+        body = "".join(f"<p>{t.replace(' ', chr(10) + ' ', 1)}</p>" for t in texts)
+        inner = f"<{frame}>{'<h1>The day it rained</h1>' if head == 'inside' else ''}{body}{below}</{frame.split()[0]}>"
+        top = "<header><a href='/'>Site</a><h1>The day it rained</h1></header>" if head == "header" else r.choice(["", "<header><p>Our site, since long ago</p></header>"])
+        before, after = (r.sample(AROUND, r.randint(0, 5)) for _ in range(2))
+        page = f"<html><head><title>The day it rained | Site</title></head><body>{top}{''.join(before)}{inner}{''.join(after)}</body></html>"
+        want = " ".join((["The day it rained"] if head != "none" else []) + [" ".join(t.replace("&amp;", "&").split()) for t in texts] + more)
+        assert html_extract.extract(page) == want, page
+
+
+def test_a_very_long_page(spark):
+    body = "".join(f"<p>Paragraph {i}, of very many, in one <b>long</b> page.</p>" for i in range(60_000))
+    page = f"<body><nav><a href=x>Menu</a></nav><div>{'<div>' * 300}{body}{'</div>' * 300}</div><div class='comments'><p>No, no.</p></div></body>"
+    out = html_extract.extracted(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first()
+    assert out["text"] == " ".join(f"Paragraph {i}, of very many, in one long page." for i in range(60_000)) and out["n_chars"] == len(out["text"])
+
+
 @pytest.mark.parametrize("dim", [1, 5, 64])
 def test_search_equals_brute_force(spark, monkeypatch, dim):
     monkeypatch.setattr(topk, "ROW_BLOCK", 70 * dim)
@@ -96,7 +134,7 @@ def test_search_equals_brute_force(spark, monkeypatch, dim):
     monkeypatch.setattr(topk, "SUB_BLOCK", 16)
     r = np.random.default_rng(dim)
     rows = [(int(i), (r.normal(0, 1, dim) * (1 + 5 * (i % 7 == 0))).astype(float).tolist()) for i in range(300)]
-    rows += [(1000 + i, rows[3][1]) for i in range(20)] + [(2000, None), (2050, [float("nan")] * dim), (2100, [None] * dim), (2150, [float("inf")] * dim), (None, rows[1][1]), (50, rows[50][1]), (50, rows[7][1]), (1003, rows[3][1]), (2200, [0.1] * (dim + 1))]
+    rows += [(1000 + i, rows[3][1]) for i in range(20)] + [(2000, None), (2050, [float("nan")] * dim), (2100, [None] * dim), (2150, [float("inf")] * dim), (None, rows[1][1]), (None, [9.0] * dim), (None, [9.0] * dim), (50, rows[50][1]), (50, rows[7][1]), (1003, rows[3][1]), (2200, [0.1] * (dim + 1))]
     df = spark.createDataFrame([(i, v, "z") for i, v in rows], "vec_id long, embedding array<double>, score string")
     got = Counter((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in topk.nearest(df, F.col("id") % 50 == 0).collect())
     assert got == brute(rows, 5)
@@ -117,8 +155,8 @@ def test_search_equals_sql(spark, tmp_path):
 def test_large_components_are_exact():
     q = np.array([[2**30, -(2**30)]], dtype=np.int64)
     x = np.array([[2**30, 1], [2**30, 0], [2**30, -1]], dtype=np.int64)
-    scores, ids, has = topk.best(q, np.array([9]), x, np.array([1, 2, 3]), np.array([1, 2, 3]), 2)
-    assert scores.tolist() == [[2**60 + 2**30, 2**60]] and ids.tolist() == [[3, 2]] and has.all()
+    scores, ids, has = topk.best(q, np.array([9]), x, np.array([1, 2, 3]), np.zeros(3, bool), np.array([1, 2, 3]), 2)
+    assert scores.tolist() == [[2**60 + 2**30, 2**60]] and ids.tolist() == [[2, 1]] and has.all()
 
 
 def test_pairs_are_learned():
