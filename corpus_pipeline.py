@@ -18,7 +18,7 @@ from tessera.llm.common import shared_dir
 from tessera.llm.mixing import resample
 from tessera.llm.ngram_join import one_of_each
 from tessera.llm.packing import packed
-from tessera.llm.pii import session_key, with_pseudonyms
+from tessera.llm.pii import QUERY_KEY, session_key, with_pseudonyms
 from tessera.llm.quality_rules import keep_good
 
 
@@ -34,7 +34,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by pseudonyms of its format."""
-    return with_pseudonyms(docs, session_key(spark))
+    return with_pseudonyms(docs, session_key(spark, QUERY_KEY))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
