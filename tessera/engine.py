@@ -85,9 +85,12 @@ class KnowledgeEngine:
         """Writes the search index of the store's version, from which searches open only what they need, and gives its folder."""
         at = self._index_path()
         if not stored_index.exists(self.spark, at):
-            stored_index.build(self.index(), at)
+            stored_index.build(self.store.read(), self._terms(), at)
         return at
 
+    def _terms(self) -> DataFrame:
+        return self.model()[0].groupBy(F.xxhash64("term").alias("term")).agg(F.max("idf").alias("idf"))
+
     def _index_path(self) -> str:
         return f"{self.path}/index/{(self.store.describe() or {'version': 0})['version']}"
 
@@ -96,7 +99,7 @@ class KnowledgeEngine:
         rows, at = self.store.read(), self._index_path()
         if stored_index.exists(self.spark, at):
             return stored_index.StoredIndex(rows, "id", "content", at, self.config, self.embed, self.rerank)
-        terms = self.model()[0].groupBy(F.xxhash64("term").alias("term")).agg(F.max("idf").alias("idf"))
+        terms = self._terms()
         weights = rows.select("id", F.explode("sparse").alias("term", "w")).select("id", "term", F.col("w").cast("double").alias("w"))
         vectors = rows.select("id", F.col("vector").cast("array<double>").alias("vec"))
         return retrieval.Index(rows, "id", "content", self.config, self.embed, self.rerank, terms, weights, vectors)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tessera.operators.retrieval import DIGITS, NUDGE, QUERY_BLOCK, ranked
 from tessera.session import read_parts, write_parts, written
 
-MOST_PIVOTS, CELL = 1024, 8192
+MOST_PIVOTS, CELL, SUB_BLOCK = 1024, 8192, 256
 #: Cosines that differ by less can be equal when rounded; and what rounding can add to a distance.
 MARGIN, SLACK = 10.0**-DIGITS * 3, 1e-6
 
@@ -134,19 +134,27 @@ class Search:
             if not len(a) or not len(b):
                 return pd.DataFrame({"query_id": [], "id": [], "score": []})
             b = b.sort_values("id")
-            reach = np.where(a["least"] <= -2, np.inf, np.sqrt(np.maximum(2 - 2 * a["least"], 0)) + SLACK)
-            near = np.abs(a["to_pivot"].to_numpy()[:, None] - b["dist"].to_numpy()[None, :]) <= reach[:, None]
-            some = near.any(0)
-            b, near = b[some], near[:, some]
-            score = np.round(units(a["vec"]) @ units(b["vec"]).T + NUDGE, DIGITS) + 0.0 if len(b) else np.zeros((len(a), 0))
-            ids, asked = b["id"].to_numpy(), a["query_id"].to_numpy()
-            score[~near] = -np.inf
-            if exclude_self:
-                score[asked[:, None] == ids[None, :]] = -np.inf
-            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            value = np.take_along_axis(score, best, 1)
-            at, place = np.nonzero(np.isfinite(value))
-            return pd.DataFrame({"query_id": asked[at], "id": ids[best[at, place]], "score": value[at, place]})
+            x, ids, dist = units(b["vec"]), b["id"].to_numpy(), b["dist"].to_numpy()
+            out = []
+            for first in range(0, len(a), SUB_BLOCK):
+                some = a.iloc[first : first + SUB_BLOCK]
+                asked, least = some["query_id"].to_numpy(), some["least"].to_numpy()
+                reach = np.where(least <= -2, np.inf, np.sqrt(np.maximum(2 - 2 * least, 0)) + SLACK)
+                near = np.abs(some["to_pivot"].to_numpy()[:, None] - dist[None, :]) <= reach[:, None]
+                at = np.flatnonzero(near.any(0))
+                score = np.round(units(some["vec"]) @ x[at].T + NUDGE, DIGITS) + 0.0
+                score[~near[:, at]] = -np.inf
+                if exclude_self:
+                    score[asked[:, None] == ids[at][None, :]] = -np.inf
+                # Equal scores at the end are all kept for now: rows are in the order of ids, and the smaller ones come first.
+                kth = -np.partition(-score, k - 1, axis=1)[:, k - 1] if score.shape[1] > k else np.full(len(some), -np.inf)
+                q, c = np.nonzero((score >= kth[:, None]) & np.isfinite(score))
+                order = np.lexsort((c, -score[q, c], q))
+                q, c = q[order], c[order]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                q, c = q[place < k], c[place < k]
+                out.append(pd.DataFrame({"query_id": asked[q], "id": ids[at[c]], "score": score[q, c]}))
+            return pd.concat(out)
 
         keys, id_kind = ["pivot", "cell", "block"], dict(self.rows.dtypes)["id"]
         columns = ["query_id", "vec", "least", "to_pivot", *keys]

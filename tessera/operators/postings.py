@@ -1,104 +1,173 @@
-"""A stored lexical index: postings by term in blocks of descending weight, and an exact top-k search that skips blocks.
+"""A stored lexical index: postings by term in blocks of descending weight, and an exact top-k search that takes blocks from the top.
 
-A term's postings lie in the part of its hash, in blocks of up to BLOCK rows; each block is a row with its highest weight, and a term's first ones are marked as heads.
-A search opens the parts of its queries' terms only. The heads give each query a score that its k-th best result has at least. In
-proportion to that, every term gets a weight below which its blocks are skipped: what they could add up to, in all terms together, is less than that score.
-So a result has a posting in a block that is not skipped. Documents found there are candidates, unless their sums and what skipped blocks can add stay below the score,
-and only for candidates the skipped blocks' postings are added: no other posting of theirs is exchanged.
+Documents are dealt to shards of about a million postings as they come, and each shard's postings are sorted where they are: a term's postings of a shard lie in blocks of up to BLOCK rows, each with
+its highest weight. On disk blocks lie in folders by the term's hash, so that a search opens the folders of its queries' terms only, and reads the blocks of these terms. They meet again by shard, once
+for all queries of a batch.
+
+In a shard, the blocks of a query's terms are taken in descending order of their part of the score, and what is left of each term bounds what a document may still gain. Once no document
+but a few can be among the best k, of this shard, the rest is skipped, and the scores of these few are completed. So no pair of a query and a document is exchanged, but for the best k of each shard.
 
 Scores are sums of the query's weight times the posting's, rounded before they are ranked; ties go to the smaller id. A query without known terms has no result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.retrieval import DIGITS, ranked
 from tessera.session import read_parts, write_parts, written
 
-PARTS, BLOCK = 64, 128
+PARTS, BLOCK, SHARD_POSTINGS = 64, 128, 1 << 20
+#: Queries' weights that a batch holds; more queries make more batches.
+BATCH = 1 << 18
 #: Scores that differ by less can be equal when rounded.
 MARGIN = 10.0**-DIGITS * 2
+#: A step takes blocks down to this share of the highest part left; as many documents at most, for each of k, have their scores completed.
+STEP, FEW = 0.75, 16
 
 
 def part(term: str = "term", parts: int = PARTS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
 
 
-def build(weights: DataFrame, path: str, parts: int = PARTS, block: int = BLOCK) -> None:
-    """Writes the index of weights (id, term, w) to a new folder.
-
-    All postings are sorted once, by ranges, which a term of any frequency is spread over, and are cut where they lie. A block ends where a batch does, and a batch's first one is taken for a head.
-    """
+def build(entries: DataFrame, path: str, parts: int = PARTS) -> None:
+    """Writes the index of entries (id, terms: hashes, ws: their weights), a row a document, to a new folder. Nothing but finished blocks is exchanged."""
+    kind = dict(entries.dtypes)["id"]
+
+    def blocks(ids: list, terms: list, ws: list, shard: int) -> pa.RecordBatch:
+        counts = [len(x) for x in terms]
+        term, w = np.concatenate(terms), np.concatenate(ws)
+        at = np.repeat(np.arange(len(counts)), counts)
+        order = np.lexsort((at, -w, term))
+        term, n = term[order], len(order)
+        run = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+        place = np.arange(n) - np.repeat(run, np.diff(np.append(run, n)))
+        starts = np.flatnonzero(place % BLOCK == 0)
+        offsets = pa.array(np.append(starts, n).astype(np.int32))
+        held = pa.concat_arrays(ids).take(pa.array(at[order]))
+        lists = [pa.ListArray.from_arrays(offsets, x) for x in (held, pa.array(w[order]))]
+        return pa.RecordBatch.from_arrays([pa.array(term[starts]), pa.array(np.full(len(starts), shard, np.int64)), pa.array(w[order][starts]), *lists], ["term", "shard", "most", "ids", "ws"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, terms, ws, n, shard = [], [], [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            term = batch.column(1)
-            new = np.concatenate([[True], pc.not_equal(term.slice(1), term.slice(0, n - 1)).to_numpy(zero_copy_only=False)])
-            run = np.flatnonzero(new)
-            place = np.arange(n) - np.repeat(run, np.diff(np.append(run, n)))
-            starts = np.flatnonzero(place % block == 0)
-            offsets, at = pa.array(np.append(starts, n).astype(np.int32)), pa.array(starts)
-            lists = [pa.ListArray.from_arrays(offsets, batch.column(i)) for i in (2, 3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), term.take(at), pa.array(place[starts] == 0), batch.column(3).take(at), *lists], ["part", "term", "head", "most", "ids", "ws"])
-
-    kinds = dict(weights.dtypes)
-    rows = weights.select(part("term", parts).alias("part"), "term", "id", F.col("w").cast("double").alias("w")).orderBy("part", "term", F.desc("w"), "id")
-    out = rows.mapInArrow(cut, f"part int, term {kinds['term']}, head boolean, most double, ids array<{kinds['id']}>, ws array<double>")
-    write_parts(out, path, "part")
-
-
-class Search:
-    """A batch of queries (query_id, term, qw) against a stored index: exact, as retrieval.sparse_topk over all postings."""
-
-    def __init__(self, spark: SparkSession, path: str, query_w: DataFrame, k: int, parts: int = PARTS):
-        self.k = k
-        asked = written(query_w.select(part("term", parts).alias("part"), "query_id", "term", F.col("qw").cast("double").alias("qw")).where("qw > 0"))
-        # At most as many as the index has parts.
-        opened = [r["part"] for r in asked.select("part").distinct().collect()]
-        self.blocks = read_parts(spark, path).where(F.col("part").isin(opened))
-        self.terms = written(self._bounded(asked))
-
-    def _bounded(self, asked: DataFrame) -> DataFrame:
-        """asked with top (the term's highest weight), total (of the query's highest scores by term), floor (what its k-th best has at least) and share (of top, below which blocks are skipped)."""
-        heads = written(self.blocks.where("head").join(asked, ["part", "term"]))
-        tops = heads.groupBy("part", "query_id", "term", "qw").agg(F.max("most").alias("top"))
-        floor = ranked(self._sums(heads), self.k).where(F.col("rank") == self.k).select("query_id", (F.col("score") - MARGIN).alias("floor"))
-        total = tops.groupBy("query_id").agg(F.sum(F.col("qw") * F.col("top")).alias("total")).join(floor, "query_id", "left")
-        share = F.greatest(F.coalesce(F.col("floor"), F.lit(0.0)), F.lit(0.0)) / F.col("total")
-        return tops.join(total.withColumn("share", share), "query_id")
-
-    @staticmethod
-    def _postings(hits: DataFrame, *kept: str) -> DataFrame:
-        return hits.select("query_id", *kept, F.explode(F.arrays_zip("ids", "ws")).alias("p")).select("query_id", *kept, F.col("p.ids").alias("id"), F.col("p.ws").alias("w"))
-
-    def _sums(self, hits: DataFrame) -> DataFrame:
-        return self._postings(hits, "qw").groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
-
-    def hits(self) -> DataFrame:
-        """The blocks of the queries' terms, a row for each query and block, with read: whether all of its postings are taken."""
-        return self.blocks.join(self.terms, ["part", "term"]).withColumn("read", F.col("most") >= F.col("share") * F.col("top"))
-
-    def topk(self) -> DataFrame:
-        """query_id, id, score and rank."""
-        first = self._postings(self.hits().where("read"), "qw", "top", "share", "total", "floor")
-        first = first.groupBy("query_id", "id").agg(
-            F.sum(F.col("qw") * F.col("w")).alias("score"), F.sum(F.col("share") * F.col("qw") * F.col("top")).alias("known"), F.max(F.col("share") * F.col("total")).alias("most"), F.max("floor").alias("floor"),
-        )
-        may = first.where(F.col("floor").isNull() | (F.col("score") + F.col("most") - F.col("known") >= F.col("floor"))).select("query_id", "id", "score")
-        may = written(may)
-        rest = self._postings(self.hits().where("not read"), "qw").join(may.select("query_id", "id"), ["query_id", "id"]).select("query_id", "id", (F.col("qw") * F.col("w")).alias("score"))
-        return ranked(may.unionByName(rest).groupBy("query_id", "id").agg(F.round(F.sum("score"), DIGITS).alias("score")), self.k)
+            lists = batch.column(1)
+            upto, at = np.cumsum(np.diff(lists.offsets.to_numpy())), 0
+            while at < batch.num_rows:
+                before = int(upto[at - 1]) if at else 0
+                stop = max(at + 1, int(np.searchsorted(upto, before + SHARD_POSTINGS - n, side="right")))
+                piece = batch.slice(at, stop - at)
+                ids.append(piece.column(0))
+                terms += np.split(piece.column(1).flatten().to_numpy(zero_copy_only=False), upto[at : stop - 1] - before)
+                ws.append(piece.column(2).flatten().to_numpy(zero_copy_only=False))
+                n, at = n + int(upto[stop - 1]) - before, stop
+                if n and (n >= SHARD_POSTINGS or at < batch.num_rows):
+                    yield blocks(ids, terms, ws, shard)
+                    ids, terms, ws, n, shard = [], [], [], 0, shard + 1
+        if n:
+            yield blocks(ids, terms, ws, shard)
+
+    rows = entries.select("id", F.col("terms").cast("array<long>").alias("terms"), F.col("ws").cast("array<double>").alias("ws")).where(F.size("terms") > 0)
+    out = rows.mapInArrow(cut, f"term long, shard long, most double, ids array<{kind}>, ws array<double>").withColumn("part", part("term", parts))
+    write_parts(out.hint("rebalance", "part").sortWithinPartitions("part", "term"), path, "part")
+
+
+class Shard:
+    """Some documents' postings of a batch's terms: by term in descending order, and by document."""
+
+    def __init__(self, terms: np.ndarray, docs: np.ndarray, ws: np.ndarray, n_terms: int, n_docs: int):
+        order = np.lexsort((-ws, terms))
+        self.docs, self.falling, self.n_docs, self.size = docs[order], -ws[order], n_docs, len(ws)
+        self.ends = np.searchsorted(terms[order], np.arange(n_terms + 1))
+        by_doc = np.lexsort((terms, docs))
+        self.doc_terms, self.doc_ws, self.first = terms[by_doc], ws[by_doc], np.searchsorted(docs[by_doc], np.arange(n_docs + 1))
+
+    def complete(self, docs: np.ndarray, terms: np.ndarray, qw: np.ndarray, n_terms: int) -> np.ndarray:
+        weights = np.zeros(n_terms)
+        weights[terms] = qw
+        lengths = self.first[docs + 1] - self.first[docs]
+        starts = np.cumsum(lengths) - lengths
+        at = np.arange(lengths.sum()) - np.repeat(starts - self.first[docs], lengths)
+        return np.add.reduceat(weights[self.doc_terms[at]] * self.doc_ws[at], starts) if len(docs) else np.zeros(0)
+
+    def best(self, terms: np.ndarray, qw: np.ndarray, k: int, n_terms: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Documents and scores of the best k, best first, and how many postings were taken."""
+        held = (self.ends[terms] < self.ends[terms + 1]) & (qw > 0)
+        some, w = terms[held], qw[held]
+        at, end = self.ends[some].copy(), self.ends[some + 1]
+        sums, met, taken = np.zeros(self.n_docs), np.zeros(self.n_docs, bool), 0
+        left = -w * self.falling[at] if len(some) else w
+        least = -np.inf
+        while (at < end).any():
+            level = left.max() * STEP
+            for i in np.flatnonzero((left >= level) & (at < end)):
+                upto = max(at[i] + 1, at[i] + int(np.searchsorted(self.falling[at[i] : end[i]], -level / w[i], side="right")))
+                sums[self.docs[at[i] : upto]] -= w[i] * self.falling[at[i] : upto]
+                met[self.docs[at[i] : upto]] = True
+                taken += upto - at[i]
+                at[i] = upto
+                left[i] = -w[i] * self.falling[upto] if upto < end[i] else 0.0
+            if self.n_docs > k and np.count_nonzero(met) >= k:
+                bound = left.sum()
+                least = np.partition(sums, self.n_docs - k)[self.n_docs - k] - MARGIN
+                if bound < least and np.count_nonzero(sums + bound >= least) <= FEW * k:
+                    break
+        may = np.flatnonzero(met & (sums + left.sum() >= least))
+        score = self.complete(may, some, w, n_terms)
+        keep = np.lexsort((may, -np.round(score, DIGITS)))[:k]
+        return may[keep], score[keep], taken
 
 
 def search(spark: SparkSession, path: str, query_w: DataFrame, k: int, parts: int = PARTS) -> DataFrame:
-    return Search(spark, path, query_w, k, parts).topk()
+    """query_id, id, score and rank of queries (query_id, term: a hash, qw): exact, as retrieval.sparse_topk over all postings."""
+    asked = written(query_w.select("query_id", "term", F.col("qw").cast("double").alias("qw"), part("term", parts).alias("part")).where("qw > 0"))
+    batches = max(1, math.ceil(asked.count() / BATCH))
+    out = None
+    for b in range(batches):
+        one = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == b)
+        found = ranked(best_of_shards(spark, path, one, k).withColumn("score", F.round("score", DIGITS)), k)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def opened(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
+    """The blocks of the terms of asked (term, part): of their folders, their rows."""
+    folders = [r["part"] for r in asked.select("part").distinct().collect()]  # as many as the index has at most
+    return read_parts(spark, path).where(F.col("part").isin(folders)).join(asked.select("part", "term").distinct(), ["part", "term"], "left_semi")
+
+
+def best_of_shards(spark: SparkSession, path: str, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, id and score: the best k of each shard for each query of a batch, which is broadcast (BATCH weights or so)."""
+    rows = asked.select("query_id", "term", "qw").toPandas()
+    known = np.unique(rows["term"].to_numpy(np.int64))
+    queries = [(q, np.searchsorted(known, f["term"].to_numpy(np.int64)), f["qw"].to_numpy(float)) for q, f in rows.groupby("query_id")]
+    shared = spark.sparkContext.broadcast((known, queries))
+    blocks = opened(spark, path, asked)
+    kinds = dict(asked.dtypes)["query_id"], dict(blocks.dtypes)["ids"].removeprefix("array<").removesuffix(">")
+
+    def of_shard(table: pa.Table) -> pa.Table:
+        known, queries = shared.value
+        table = table.combine_chunks()
+        column = lambda name: table.column(name).combine_chunks() if table.num_rows else table.column(name)
+        ids, ws = column("ids"), column("ws")
+        counts = np.diff(ids.offsets.to_numpy())
+        names = pc.unique(ids.flatten())
+        names = names.take(pc.sort_indices(names))
+        docs = pc.index_in(ids.flatten(), names).to_numpy()
+        terms = np.repeat(np.searchsorted(known, column("term").to_numpy()), counts)
+        shard = Shard(terms, docs, ws.flatten().to_numpy(), len(known), len(names))
+        found = [(q, *shard.best(t, w, k, len(known))[:2]) for q, t, w in queries]
+        asked = [q for q, d, _ in found for _ in range(len(d))]
+        at = np.concatenate([d for _, d, _ in found]) if found else np.zeros(0, np.int64)
+        score = np.concatenate([s for _, _, s in found]) if found else np.zeros(0)
+        return pa.table({"query_id": pa.array(asked, pa.int64() if kinds[0] == "bigint" else None), "id": names.take(pa.array(at)), "score": pa.array(score)})
+
+    return blocks.select("shard", "term", "ids", "ws").groupBy("shard").applyInArrow(of_shard, f"query_id {kinds[0]}, id {kinds[1]}, score double")

@@ -1,20 +1,34 @@
-"""An Index whose arms search what lies on disk: postings in blocks, and vectors by pivots."""
+"""An Index whose arms search what lies on disk: postings in blocks, and vectors by pivots. Terms are 64-bit hashes, as in the store."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.config import DEFAULT, Config
+from tessera.functions import text as T
 from tessera.operators import pivots, postings
-from tessera.operators.retrieval import Index, query_weights
-
-
-def build(index: Index, path: str) -> None:
-    """Writes the weights and vectors of an index to a new folder."""
-    postings.build(index.weights, f"{path}/postings")
-    pivots.build(index.vectors, f"{path}/pivots")
-    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
-    index.docs.sparkSession.range(1).write.mode("overwrite").parquet(f"{path}/complete")
+from tessera.operators.retrieval import Index, bm25_terms, query_weights
+from tessera.session import written
+
+
+def build_lexical(docs: DataFrame, id_col: str, text_col: str, path: str, config: Config = DEFAULT) -> None:
+    """Writes terms and postings of texts, which are cut into words once."""
+    counted = written(docs.select(F.col(id_col).alias("id"), T.counted_words(F.col(text_col)).alias("t")))
+    stats = written(counted.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.get("t", F.lit(0))["dl"], F.lit(0))).alias("avgdl")))
+    terms = bm25_terms(counted.select(F.explode(F.transform("t", lambda x: F.xxhash64(x["term"]))).alias("term")), stats, config)
+    terms.write.mode("overwrite").parquet(f"{path}/terms")
+    w = lambda x: x["tf"] * (config.k1 + 1) / (x["tf"] + config.k1 * (1 - config.b + config.b * x["dl"] / F.col("avgdl")))
+    entries = counted.join(F.broadcast(stats.select("avgdl"))).select("id", F.transform("t", lambda x: F.xxhash64(x["term"])).alias("terms"), F.transform("t", w).alias("ws"))
+    postings.build(entries, f"{path}/postings")
+
+
+def build(rows: DataFrame, terms: DataFrame, path: str) -> None:
+    """Writes the index of a store's rows (id, sparse, vector) and its terms (term: a hash, idf)."""
+    postings.build(rows.select("id", F.map_keys("sparse").alias("terms"), F.map_values("sparse").alias("ws")), f"{path}/postings")
+    pivots.build(rows.select("id", F.col("vector").cast("array<double>").alias("vec")), f"{path}/pivots")
+    terms.write.mode("overwrite").parquet(f"{path}/terms")
+    rows.sparkSession.range(1).write.mode("overwrite").parquet(f"{path}/complete")
 
 
 def exists(spark: SparkSession, path: str) -> bool:

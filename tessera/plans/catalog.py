@@ -609,4 +609,4 @@ def reading_order(spark, sf_dir):
     return meta.row_leaders(rows, "slide", 25.0)
 
 
-from tessera.plans import indexed, more  # noqa: E402, F401 - registers the further queries
+from tessera.plans import indexed, more, streams  # noqa: E402, F401 - registers the further queries

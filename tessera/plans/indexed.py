@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import pivots, postings, retrieval, store, stored_index
-from tessera.plans.catalog import _BM25, _COSINE, SQL, _sparse, asked, index, query
+from tessera.operators import pivots, store, stored_index
+from tessera.plans.catalog import _BM25, _COSINE, _sparse, asked, query
 from tessera.session import scratch, table
 
 
@@ -17,37 +17,37 @@ def _chunks(rows, id_, file_id, at, content):
 
 @query(
     """WITH o AS (
-  SELECT CAST(o_orderkey AS VARCHAR) AS id, 'file' || o_custkey % 97 AS file_id, o_custkey % 97 AS f, o_orderpriority AS content, o_orderkey FROM orders),
+  SELECT CAST(doc_id AS VARCHAR) AS id, 'file' || doc_id % 97 AS file_id, doc_id % 97 AS f, md5(coalesce(text, '')) AS content, doc_id FROM documents),
 held AS (
   SELECT id, file_id, content FROM o WHERE f % 4 <> 1 AND f % 3 <> 2
-  UNION ALL SELECT 'r' || id, file_id, 'replaced ' || content FROM o WHERE f % 4 <> 1 AND f % 3 = 2 AND o_orderkey % 2 = 0
+  UNION ALL SELECT 'r' || id, file_id, 'replaced ' || content FROM o WHERE f % 4 <> 1 AND f % 3 = 2 AND doc_id % 2 = 0
   UNION ALL SELECT 'back ' || id, file_id, content FROM o WHERE f = 1)
 SELECT id, file_id, content, CAST(9 AS INTEGER) AS versions FROM held"""
 )
 def store_upserts(spark, sf_dir):
-    """Orders as chunks of 97 files: ingested in three upserts, a third of the files replaced, a quarter deleted, one of these ingested again, then compacted; with the count of versions so far."""
-    orders = table(spark, sf_dir, "orders").withColumn("f", F.col("o_custkey") % 97)
-    key, file_id, at = F.col("o_orderkey").cast("string"), F.concat(F.lit("file"), F.col("f").cast("string")), F.col("o_orderkey")
-    whole = _chunks(orders.select("*"), key, file_id, at, F.col("o_orderpriority"))
+    """Digests of documents as chunks of 97 files: ingested in three upserts, a third of the files replaced, a quarter deleted, one of these ingested again, then compacted; with the count of versions so far."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 97).alias("f"), F.md5(F.coalesce("text", F.lit(""))).alias("content"))
+    key, file_id, at = F.col("doc_id").cast("string"), F.concat(F.lit("file"), F.col("f").cast("string")), F.col("doc_id")
+    whole = _chunks(docs, key, file_id, at, F.col("content"))
     held = store.Store(spark, scratch(spark))
     held.ensure(buckets=8)
     for part in range(3):
-        held.upsert(whole.where(F.substring("file_id", 5, 9).cast("int") % 3 == part))
-    held.upsert(_chunks(orders.where("f % 3 = 2 and o_orderkey % 2 = 0"), F.concat(F.lit("r"), key), file_id, at, F.concat(F.lit("replaced "), "o_orderpriority")))
-    gone = orders.where("f % 4 = 1").select(file_id.alias("file_id"))
+        held.upsert(_chunks(docs.where(F.col("f") % 3 == part), key, file_id, at, F.col("content")))
+    held.upsert(_chunks(docs.where("f % 3 = 2 and doc_id % 2 = 0"), F.concat(F.lit("r"), key), file_id, at, F.concat(F.lit("replaced "), "content")))
+    gone = docs.where("f % 4 = 1").select(file_id.alias("file_id"))
     held.upsert(whole.limit(0), gone)
     held.upsert(whole.limit(0), gone)
-    held.upsert(_chunks(orders.where("f = 1"), F.concat(F.lit("back "), key), file_id, at, F.col("o_orderpriority")))
+    held.upsert(_chunks(docs.where("f = 1"), F.concat(F.lit("back "), key), file_id, at, F.col("content")))
     held.compact()
     return held.read().select("id", "file_id", "content", F.lit(len(held.versions())).alias("versions"))
 
 
 @query(f"WITH {_BM25},{_sparse()} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM sparse WHERE rank <= 10")
 def bm25_topk_stored(spark, sf_dir):
-    """bm25_topk from postings on disk, whose blocks below the bound are skipped."""
-    ix, at = index(spark, sf_dir), scratch(spark)
-    postings.build(ix.weights, at)
-    return postings.search(spark, at, retrieval.query_weights(asked(spark, sf_dir), ix.terms), 10)
+    """bm25_topk from postings on disk, of which the folders of the queries' terms are opened."""
+    docs, at = table(spark, sf_dir, "documents"), scratch(spark)
+    stored_index.build_lexical(docs, "doc_id", "text", at)
+    return stored_index.StoredIndex(docs, "doc_id", "text", at).sparse(asked(spark, sf_dir), 10)
 
 
 @query(f"WITH {_COSINE} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10")
@@ -56,12 +56,3 @@ def dense_topk_stored(spark, sf_dir):
     rows, at = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), scratch(spark)
     pivots.build(rows, at)
     return pivots.search(spark, at, rows.withColumnRenamed("id", "query_id"), 10, exclude_self=True)
-
-
-@query(SQL["hybrid_rrf"])
-def hybrid_rrf_stored(spark, sf_dir):
-    """hybrid_rrf with both arms on disk."""
-    ix, at = index(spark, sf_dir), scratch(spark)
-    stored_index.build(ix, at)
-    held = stored_index.StoredIndex(table(spark, sf_dir, "documents"), "doc_id", "text", at)
-    return held.hybrid(asked(spark, sf_dir), 75).where("rank <= 15")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import cleaning, loose, markdown, names
+from tessera.functions import cleaning, loose, markdown, names, references
 from tessera.functions import text as T
 from tessera.operators import chat, enrich, evaluation, items, layout, meta, retrieval, store, webhook, workflow
 from tessera.plans.catalog import _LINES, query
@@ -306,20 +306,43 @@ def described_images(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", names.is_video_like(path).alias("video"), enrich.described(said, F.concat(F.col("url"), F.lit("。"))).alias("described"))
 
 
-@query("SELECT page_id, '1. 列1: a；k: ' || page_id || chr(10) || '**T**' || chr(10) || '---' || chr(10) || '▌ q' || chr(10) || '  · i' || chr(10) || '────────' || chr(10) || '```' || chr(10) || '# code' || chr(10) || '```' AS card FROM pages")
+@query(
+    """SELECT p_partkey, CASE p_partkey % 4
+WHEN 0 THEN '1. 列1: ' || p_name || '；k: ' || p_size || chr(10) || '3. k: ' || p_type || chr(10) || 'after'
+WHEN 1 THEN '| ' || p_name || ' |' || chr(10) || p_brand || '；size'
+WHEN 2 THEN '**' || p_name || '**' || chr(10) || CASE WHEN p_size % 2 = 1 THEN '---' || chr(10) ELSE '' END || '▌ ' || p_type || chr(10) || '  · ' || p_brand || chr(10) || '────────' || chr(10) || '```' || chr(10) || '# ' || p_brand || chr(10) || '```'
+ELSE p_name || chr(10) || '| a |' END AS card FROM part"""
+)
 def card_texts(spark, sf_dir):
-    text = F.concat(F.lit("|  | k |\r\n|---|:---:|\n| a | "), F.col("page_id").cast("string"), F.lit(" |\n|  |\n# T\n> q\n  * i\n* * *\n```\n# code\n```"))
-    return table(spark, sf_dir, "pages").select("page_id", markdown.card_text(text).alias("card"))
+    """Tables with and without values, headings of two depths, quotes, lists, rules, code and plain rows, all from the parts' own texts."""
+    kind, lines = F.col("p_partkey") % 4, lambda *x: F.concat_ws("\n", *[F.concat(*[F.lit(y[1:]) if y[0] == "'" else F.col(y) for y in line]) for line in x])
+    text = (
+        F.when(kind == 0, F.regexp_replace(lines(["'|  | k |"], ["'|---|:---:|"], ["'| ", "p_name", "' | ", "p_size", "' |"], ["'|  | |"], ["'| | ", "p_type", "' |"], ["'after"]), "\n", "\r\n"))
+        .when(kind == 1, lines(["'| ", "p_name", "' |"], ["'| ", "p_brand", "' | size |"], ["'| --- | --- |"], ["'| | |"]))
+        .when(kind == 2, lines(["'", "hashes", "' ", "p_name"], ["'> ", "p_type"], ["'  * ", "p_brand"], ["'* * *"], ["'```"], ["'# ", "p_brand"], ["'```"], ["'"]))
+        .otherwise(lines(["p_name"], ["'| a |"], ["'"]))
+    )
+    rows = table(spark, sf_dir, "part").withColumn("hashes", F.when(F.col("p_size") % 2 == 1, "#").otherwise("##")).select("p_partkey", text.alias("text"))
+    return markdown.with_cards(rows, "text").select("p_partkey", "card")
 
 
-@query("SELECT page_id, 'a [[1]](d/' || page_id || '.docx)[[2]](y) [k](http://z)' AS text, ['d/' || page_id || '.docx', 'y'] AS refs FROM pages")
+@query(
+    """WITH o AS (SELECT conv_id, turn, turn % 3 AS kind, 'f' || (conv_id * 3 + turn * turn) % 4 || '.docx' AS name FROM conversations),
+refs AS (SELECT *, min(turn) OVER (PARTITION BY conv_id, name) AS first FROM o WHERE kind <> 1),
+numbered AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY first) AS n FROM refs)
+SELECT o.conv_id, string_agg('l' || o.turn || CASE WHEN o.kind = 1 THEN ' [see](' || o.name || ')' ELSE ' [[' || n.n || ']](' || o.name || ')' END, chr(10) ORDER BY o.turn) AS text,
+       coalesce((SELECT list(name ORDER BY n) FROM (SELECT DISTINCT r.name, r.n FROM numbered r WHERE r.conv_id = o.conv_id)), []) AS refs
+FROM o LEFT JOIN numbered n ON n.conv_id = o.conv_id AND n.turn = o.turn GROUP BY o.conv_id"""
+)
 def numbered_answers(spark, sf_dir):
-    """Answers with reference tags, passages as links, other links and a section of sources."""
-    key = F.col("page_id").cast("string")
-    tag = F.concat(F.lit("<reference>d/"), key, F.lit(".docx</reference>"))
-    text = F.concat(F.lit("a "), tag, F.lit(" "), tag, F.lit('\n[片段 2：name](y) [k](http://z)\n\n---\n\n**知识来源**：\n- x'))
-    out = table(spark, sf_dir, "pages").select("page_id", loose.rewrite_references(text).alias("r"))
-    return out.select("page_id", "r.text", "r.refs")
+    """Conversations as answers, a line for each turn: a file as a tag, as a plain link or as links to two of its passages; a section of sources at the end."""
+    name = F.concat(F.lit("f"), ((F.col("conv_id") * 3 + F.col("turn") * F.col("turn")) % 4).cast("string"), F.lit(".docx"))
+    kind = F.col("turn") % 3
+    mark = F.when(kind == 0, F.concat(F.lit("<reference> "), name, F.lit("</reference><reference> </reference>"))).when(kind == 1, F.concat(F.lit("[see]("), name, F.lit(")"))).otherwise(F.concat(F.lit("[片段 2：name]("), name, F.lit(") [片段3:b]("), name, F.lit(' "t")')))
+    line = F.struct("turn", F.concat(F.lit("l"), F.col("turn").cast("string"), F.lit(" "), mark).alias("line"))
+    text = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n"), F.lit("\n\n---\n\n**知识来源**：\n- x"))
+    answers = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(text.alias("answer"))
+    return references.with_references(answers, "answer").select("conv_id", "text", "refs")
 
 
 _HREF = "regexp_extract_all(coalesce(html, ''), 'https?://[^\\s\"<>]+')"

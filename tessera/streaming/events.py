@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.config import DEFAULT
+from tessera.streaming import timed
 
 
 def source(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files: int = 1) -> DataFrame:
@@ -23,41 +20,13 @@ def dedupe_at_least_once(events: DataFrame, ts: str, key: str, ttl: str = "1 hou
 
 
 def dedupe_with_ttl(events: DataFrame, ttl_s: int = DEFAULT.dedupe_ttl_s) -> DataFrame:
-    """Events (key, ts_us, event_id) that come ttl or more after the last one kept of their key; duplicates don't prolong it."""
-
-    def of_key(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        until = state.get[0] if state.exists else None
-        for frame in [pd.concat(list(frames)).sort_values(["ts_us", "event_id"])]:
-            kept = []
-            for i, t in enumerate(frame["ts_us"]):
-                if until is None or until <= t:
-                    kept.append(i)
-                    until = int(t) + ttl_s * 1_000_000
-            state.update((until,))
-            yield frame.iloc[kept][["key", "ts_us", "event_id"]]
-
-    return events.groupBy("key").applyInPandasWithState(of_key, "key string, ts_us long, event_id long", "until long", "append", GroupStateTimeout.NoTimeout)
+    """Events (key, ts_us, event_id) that come ttl or more after the last one kept of their key; state ends with the watermark."""
+    return timed.first_seen(events, ttl_s)
 
 
 def attach_answers(events: DataFrame) -> DataFrame:
-    """key, question_seq, question and answer for each answer that closes the latest open question of its key, or none."""
-
-    def of_key(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seqs, texts = (list(x) for x in state.get) if state.exists else ([], [])
-        out = []
-        for e in pd.concat(list(frames)).sort_values(["seq", "kind", "text"], kind="stable").itertuples():
-            if e.kind == "question":
-                seqs.append(int(e.seq))
-                texts.append(e.text)
-            elif seqs:
-                out.append((key[0], seqs.pop(), texts.pop(), e.text))
-            else:
-                out.append((key[0], int(e.seq), "", e.text))
-        state.update((seqs, texts))
-        yield pd.DataFrame(out, columns=["key", "question_seq", "question", "answer"])
-
-    schema = "key string, question_seq long, question string, answer string"
-    return events.groupBy("key").applyInPandasWithState(of_key, schema, "seqs array<long>, texts array<string>", "append", GroupStateTimeout.NoTimeout)
+    """key, question_seq, question and answer for each answer that closes the latest open question of its key, or none; state ends when a key is idle."""
+    return timed.attach_answers(events)
 
 
 def first_choices(clicks: DataFrame, ts: str, keys: list[str], choice: str, ttl: str = "30 minutes") -> DataFrame:
@@ -69,6 +38,25 @@ def windowed_counts(events: DataFrame, ts: str, width: str, by: str, late: str =
     return events.withWatermark(ts, late).groupBy(F.window(ts, width), by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", fmt: str = "parquet") -> None:
-    """Runs a stream over all that is there and ends."""
-    stream.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", fmt: str = "parquet", drain: bool = False) -> dict | None:
+    """Runs a stream over all that is there and ends; gives the last batch's progress. drain is for sources that offer a bounded batch at a time."""
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(key, None)
+    # A query takes the session's settings as it starts; timers and expiring state need this store.
+    conf.set(key, ROCKS)
+    try:
+        writer = stream.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint).outputMode(mode)
+        query = (writer if drain else writer.trigger(availableNow=True)).start()
+        if drain:
+            try:
+                query.processAllAvailable()
+            finally:
+                query.stop()
+        else:
+            query.awaitTermination()
+    finally:
+        conf.set(key, before) if before else conf.unset(key)
+    return query.lastProgress

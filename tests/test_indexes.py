@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import pivots, postings
 from tessera.operators import retrieval as R
@@ -17,30 +18,57 @@ def as_set(df):
     return sorted((r["query_id"], r["id"], round(r["score"], 6), r["rank"]) for r in df.collect())
 
 
-@pytest.mark.parametrize("block", [1, 7])
-def test_stored_postings_equal_whole_sums(spark, block):
-    """Hot and rare terms, ties, queries with fewer results than asked for, unknown terms and weights of 0."""
+def entries(rows):
+    """(id, term, w) as a row a document, terms hashed."""
+    return rows.groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w")).alias("e")).select("id", F.transform("e", lambda x: x["t"]).alias("terms"), F.transform("e", lambda x: x["w"]).alias("ws"))
+
+
+def hashed(df):
+    return df.withColumn("term", F.xxhash64("term"))
+
+
+@pytest.mark.parametrize("shard, block", [(50, 3), (1 << 20, 128)])
+def test_stored_postings_equal_whole_sums(spark, monkeypatch, shard, block):
+    """Hot and rare terms, ties, queries with fewer results than asked for, unknown terms, weights of 0, several shards and batches."""
+    monkeypatch.setattr(postings, "SHARD_POSTINGS", shard)
+    monkeypatch.setattr(postings, "BLOCK", block)
+    monkeypatch.setattr(postings, "BATCH", 10)
     rows = spark.createDataFrame(sparse_rows(1, 900, 60), "id long, term string, w double").repartition(5)
     asked = [(q, f"t{t}", w) for q, terms in enumerate([[0], [0, 1, 2], [0, 55, 58], [59], [7, 20, 33, 41, 0], [99]]) for t, w in zip(terms, [1.5, 0.5, 3.0, 2.0, 0.1])] + [(9, "t0", 0.0)]
-    query_w = spark.createDataFrame(asked, "query_id long, term string, qw double")
+    query_w = hashed(spark.createDataFrame(asked, "query_id long, term string, qw double"))
     at = scratch(spark)
-    postings.build(rows, at, parts=4, block=block)
+    postings.build(entries(rows), at, parts=4)
     for k in (3, 1000):
-        want = R.sparse_topk(query_w.where("qw > 0"), rows, k)
+        want = R.sparse_topk(query_w.where("qw > 0"), hashed(rows), k)
         assert as_set(postings.search(spark, at, query_w, k, parts=4)) == as_set(want)
 
 
-def test_a_search_opens_its_terms_parts_and_skips_blocks(spark):
-    rows = spark.range(60_000).selectExpr("id", "'hot' as term", "1.0 / (1 + id % 1000) as w").unionByName(spark.range(40).selectExpr("id * 7 as id", "'rare' as term", "5.0 as w"))
+def test_a_search_opens_its_terms_folders_and_blocks(spark):
+    rows = spark.range(3000).selectExpr("id", "array(xxhash64('hot'), xxhash64(concat('t', id % 500))) as terms", "array(1.0D / (1 + id % 1000), 2.0D) as ws")
     at = scratch(spark)
     postings.build(rows, at)
-    asked = spark.createDataFrame([(1, "hot", 1.0), (1, "rare", 2.0)], "query_id long, term string, qw double")
-    found = postings.Search(spark, at, asked, 10)
-    plan = found.blocks._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [part" in plan and len(found.blocks.select("part").distinct().collect()) == len({r[0] for r in asked.select(postings.part()).collect()}) == 2
-    read, skipped = (found.hits().where(c).count() for c in ("read", "not read"))
-    assert skipped > 10 * read
-    assert as_set(found.topk()) == as_set(R.sparse_topk(asked, rows, 10))
+    asked = hashed(spark.createDataFrame([("hot",), ("t7",)], "term string")).withColumn("part", postings.part())
+    blocks = postings.opened(spark, at, asked)
+    assert "PartitionFilters: [part" in blocks._jdf.queryExecution().executedPlan().toString()
+    assert blocks.agg(F.sum(F.size("ids"))).first()[0] == 3000 + 6 and blocks.agg(F.max(F.size("ids"))).first()[0] <= postings.BLOCK
+
+
+def test_blocks_are_skipped_and_results_exact():
+    r = np.random.default_rng(1)
+    n_docs, n_terms = 20_000, 30
+    terms = np.concatenate([np.zeros(n_docs, np.int64), r.integers(1, n_terms, 3000)])
+    docs = np.concatenate([np.arange(n_docs), r.integers(0, n_docs, 3000)])
+    keep = np.unique(terms * n_docs + docs, return_index=True)[1]
+    terms, docs = terms[keep], docs[keep]
+    ws = r.random(len(terms))
+    shard = postings.Shard(terms, docs, ws, n_terms, n_docs)
+    asked, qw = np.array([0, 3, 4, 5]), np.array([0.1, 3.0, 3.0, 3.0])
+    got, score, taken = shard.best(asked, qw, 10, n_terms)
+    whole = np.zeros(n_docs)
+    for t, w in zip(asked, qw):
+        np.add.at(whole, docs[terms == t], w * ws[terms == t])
+    order = np.lexsort((np.arange(n_docs), -np.round(whole, 6)))[:10]
+    assert got.tolist() == order.tolist() and np.allclose(score, whole[order]) and taken < 2000
 
 
 def vectors(seed, n, spread):
@@ -78,5 +106,5 @@ def test_few_vectors(spark):
     pivots.build(rows.where("id > 9"), empty)
     assert pivots.search(spark, empty, asked, 5).collect() == []
     nothing = scratch(spark)
-    postings.build(spark.createDataFrame([], "id long, term string, w double"), nothing)
-    assert postings.search(spark, nothing, spark.createDataFrame([(1, "t0", 1.0)], "query_id long, term string, qw double"), 5).collect() == []
+    postings.build(spark.createDataFrame([], "id long, terms array<long>, ws array<double>"), nothing)
+    assert postings.search(spark, nothing, spark.createDataFrame([(1, 5, 1.0)], "query_id long, term long, qw double"), 5).collect() == []

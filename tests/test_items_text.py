@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.functions import cleaning, loose, markdown, split
+from tessera.functions import cleaning, loose, markdown, references, split
 from tessera.functions import text as T
 from tessera.operators import items, layout, meta
 
@@ -201,15 +201,37 @@ def test_loose():
     assert loose.vocabulary_reply('[{"word":"知识库","pos":"n"},{"word":"123","pos":"n"},{"word":"向量","pos":"??"},{"word":"知识库","pos":"v"}]') == [("向量", "nz"), ("知识库", "n")]
     assert loose.vocabulary_reply("检索 v\n- 召回, n\nx") == [("召回", "n"), ("检索", "v")] and loose.vocabulary_reply("[") == []
     assert loose.vocabulary_reply('{"word":"年假","pos":"zz"},\na.docx, n') == [("年假", "nz")]
-    text, refs = loose.numbered_references("See [片段1：A](d/a.docx) and [x](y) <reference>d\\a.docx</reference> <reference>b</reference>\n```\n[片段2：q](z)\n```\n\n---\n\n## 参考来源：\n- a")
-    assert text == "See [[1]](d\\a.docx) and [x](y) [[1]](d\\a.docx)[[2]](b)\n```\n[片段2：q](z)\n```" and refs == ["d/a.docx", "b"]
-    assert loose.numbered_references("a\n\nreferences\n- b") == ("a\n\nreferences\n- b", []) and loose.numbered_references(None) == ("", [])
 
 
-def test_card_text():
-    assert markdown.card("| a | |\n|---|---|\n| 1 | 2 |\n|  |  |\ntext") == "1. a: 1；列2: 2\ntext"
-    assert markdown.card("| a |\n| --- |") == "a" and markdown.card("## H\ntext\n#### I") == "**H**\ntext\n**I**"
-    assert markdown.card("* *来源：x*\n>q\n>\n- - -\n") == "· 来源：x\n▌ q\n▌\n────────" and markdown.card(None) == " "
+def test_references_are_numbered(spark):
+    want = {
+        "See [片段1：A](d/a.docx) and [x](y) <reference>d\\a.docx</reference> <reference>b</reference>\n```\n[片段2：q](z)\n```\n\n---\n\n## 参考来源：\n- a": ("See [[1]](d\\a.docx) and [x](y) [[1]](d\\a.docx)[[2]](b)\n```\n[片段2：q](z)\n```", ["d/a.docx", "b"]),
+        "a\n\nreferences\n- b": ("a\n\nreferences\n- b", []),
+        None: ("", []),
+        "**知识来源**：\n- x": ("", []),
+        'x [片段1:T](<u v> "片段9, y")\n![片段1:T](no)<reference>\t</reference>': ("x [[1]](<u v>)\n![片段1:T](no)", ["<u v>"]),
+        "<reference>c</reference> <reference>c</reference>\n<reference>e</reference>": ("[[1]](c)[[2]](e)", ["c", "e"]),
+    }
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(want)], "line int, answer string")
+    got = {r["answer"]: (r["text"], r["refs"]) for r in references.with_references(rows, "answer").collect()}
+    assert got == want
+
+
+def test_card_text(spark):
+    want = {
+        "| a | |\n|---|---|\n| 1 | 2 |\n|  |  |\ntext": "1. a: 1；列2: 2\ntext",
+        "| a |\n| --- |": "a",
+        "## H\ntext\n#### I": "**H**\ntext\n**I**",
+        "* *来源：x*\n>q\n>\n- - -\n": "· 来源：x\n▌ q\n▌\n────────",
+        None: " ",
+        "": " ",
+        "x\r\n| p |\r| h | i |\n|:---:|---|\n|1|2|3|\n|4|\n```\n| h |\n|---|\n# no\n```\n| h |\n|---|\n| 9 |": "x\n| p |\n1. h: 1；i: 2\n2. h: 4\n```\n| h |\n|---|\n# no\n```\n1. h: 9",
+        "```\n- a\n* b": "```\n- a\n* b",
+        "# T  \n--\n----\n  + i": "**T**\n---\n--\n────────\n  · i",
+    }
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(want)], "card int, text string")
+    got = {r["text"]: r["c"] for r in markdown.with_cards(rows, "text", "c").collect()}
+    assert got == want
 
 
 def test_reading_order(spark):
