@@ -15,12 +15,14 @@ from tessera.sources import files, office
 
 
 class KnowledgeEngine:
-    """Documents in, ranked chunks out. embed turns (id, text) into (id, vec); rerank turns (query_id, id, query, content) into (query_id, id, rerank_score).
+    """Documents in, ranked chunks out. embed turns (id, text) into (id, vec); rerank turns (query_id, id, query, content) into (query_id, id, rerank_score);
+    analyzer turns a column of texts into arrays of words (tessera.functions.segment has one with a dictionary).
 
     The store holds a chunk's vector and the weights of its terms, by 64-bit hashes; the lexical model lies beside it. Searches read these, and cut only queries into words.
     """
 
-    def __init__(self, spark: SparkSession, path: str, config: Config = DEFAULT, embed: Callable[[DataFrame], DataFrame] | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None):
+    def __init__(self, spark: SparkSession, path: str, config: Config = DEFAULT, embed: Callable[[DataFrame], DataFrame] | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None, analyzer=T.words):
+        self.analyzer = analyzer
         self.spark, self.config, self.path = spark, config, path.rstrip("/")
         self.store = store.Store(spark, path)
         self.embed = embed or (lambda rows: retrieval.hashed_vectors(rows, "id", "text", config.dimension))
@@ -48,7 +50,7 @@ class KnowledgeEngine:
         held = store.delete_by_file(self.store.read(), chunks.select("file_id"))
         held = held.select("id", "content", F.get_json_object("metadata", "$.path").alias("path"))
         rows = self._texts(chunks.select("id", "content", "path").unionByName(held)).select("id", "text")
-        index = retrieval.Index(rows, "id", "text", self.config)
+        index = retrieval.Index(rows, "id", "text", self.config, analyzer=self.analyzer)
         files.save_model(index.terms, index.stats, f"{self.path}/model")
 
     def model(self) -> tuple[DataFrame, DataFrame] | None:
@@ -69,7 +71,7 @@ class KnowledgeEngine:
             self.fit(chunks)
         _, stats = self.model()
         rows = self._texts(chunks)
-        found = retrieval.postings(rows, "id", "text").groupBy("id", "dl", F.xxhash64("term").alias("term")).agg(F.sum("tf").alias("tf"))
+        found = retrieval.postings(rows, "id", "text", self.analyzer).groupBy("id", "dl", F.xxhash64("term").alias("term")).agg(F.sum("tf").alias("tf"))
         sparse = retrieval.bm25_weights(found, stats, self.config).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", F.col("w").cast("float")))).alias("sparse"))
         vectors = self.embed(rows.select("id", "text")).select("id", F.col("vec").cast("array<float>").alias("vector"))
         new = rows.join(vectors, "id", "left").join(sparse, "id", "left").select("id", "vector", "sparse", "content", "file_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.to_json(F.struct("path", "chunk_type")).alias("metadata"))
@@ -98,11 +100,11 @@ class KnowledgeEngine:
         """The store's index: nothing of it is computed again. Where build_index() has written one for the version, its arms search that."""
         rows, at = self.store.read(), self._index_path()
         if stored_index.exists(self.spark, at):
-            return stored_index.StoredIndex(rows, "id", "content", at, self.config, self.embed, self.rerank)
+            return stored_index.StoredIndex(rows, "id", "content", at, self.config, self.embed, self.rerank, analyzer=self.analyzer)
         terms = self._terms()
         weights = rows.select("id", F.explode("sparse").alias("term", "w")).select("id", "term", F.col("w").cast("double").alias("w"))
         vectors = rows.select("id", F.col("vector").cast("array<double>").alias("vec"))
-        return retrieval.Index(rows, "id", "content", self.config, self.embed, self.rerank, terms, weights, vectors)
+        return retrieval.Index(rows, "id", "content", self.config, self.embed, self.rerank, terms, weights, vectors, self.analyzer)
 
     def search(self, queries: DataFrame, limit: int | None = None, rerank: bool = True) -> DataFrame:
         """Ranked chunks for queries (query_id, query)."""

@@ -76,15 +76,15 @@ def words(x: Column) -> Column:
     return F.when(low.rlike(f"[{HAN}]"), mixed).otherwise(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 
-def counted_words(x: Column) -> Column:
-    """Array of (term, tf, dl): the words of a text, how often it has them and how many it has in all, counted along the sorted words, without an exchange."""
+def counted_words(x: Column, analyzer=words) -> Column:
+    """Array of (term, tf, dl): the words of a text (an analyzer makes an array of them), how often it has them and how many it has in all, counted along the sorted words, without an exchange."""
 
     def runs(s: Column) -> Column:
         starts = F.filter(F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
         count = lambda p, k, b: F.struct(F.get(s, p).alias("term"), (F.coalesce(F.get(b, k + 1), F.size(s)) - p).cast("long").alias("tf"), F.size(s).cast("long").alias("dl"))
         return F.transform(F.array(starts), lambda b: F.transform(b, lambda p, k: count(p, k, b))).getItem(0)
 
-    return F.transform(F.array(F.sort_array(words(x))), runs).getItem(0)
+    return F.transform(F.array(F.sort_array(analyzer(x))), runs).getItem(0)
 
 
 def vocabulary_words(x: Column, vocabulary: Column) -> Column:

@@ -55,15 +55,15 @@ def decrypted(text: Column, secret: str) -> Column:
     return F.when(text.startswith(PREFIX), F.when(signed, plain)).otherwise(text)
 
 
-def records(rows: DataFrame, secret: str) -> DataFrame:
+def records(rows: DataFrame, secret: str, more: tuple[str, ...] = ()) -> DataFrame:
     """Chat rows as they are stored: normalised ids, texts trimmed and encrypted, an answer that is not there yet left empty, and the time of creation.
 
-    rows: user_id, user_name, session_id, conversation_id, question and answer.
+    rows: user_id, user_name, session_id, conversation_id, question and answer; more: columns that are passed on.
     """
     some = lambda c: F.nullif(stripped(F.col(c)), F.lit(""))
     hidden = lambda c: F.when(some(c).isNotNull(), encrypted(some(c), secret)).otherwise("")
     out = normalized_ids(rows).withColumns({"user_name": some("user_name"), "question": hidden("question"), "answer": hidden("answer"), "create_time": F.current_timestamp()})
-    return out.select("user_id", "user_name", "session_id", "conversation_id", "create_time", "question", "answer")
+    return out.select(*more, "user_id", "user_name", "session_id", "conversation_id", "create_time", "question", "answer")
 
 
 def insert(rows: DataFrame, path: str, secret: str) -> None:

@@ -235,16 +235,30 @@ def without_source_links(items: DataFrame) -> DataFrame:
     return rows.withColumn("_gone", F.col("_source") | F.col("_only") & after).where(~F.col("_gone")).drop("_gone", "_source", "_only")
 
 
-def repeated_images(images: DataFrame, most_bits: int = 8, share: float = 0.35) -> DataFrame:
-    """doc_id, image_id of images that a document repeats: hashes (16 hexadecimal digits) of at most most_bits difference, near the same place and size.
+#: A hash of 64 bits in nine bands: two hashes that differ in eight bits at most are equal in one of them.
+BANDS = [(1 + 7 * i, 7) for i in range(8)] + [(57, 8)]
+PLACE, SIZE = 0.04, 0.06
 
-    Images meet in cells of their place, each with the eight cells around it, so no document's images all meet each other.
+
+def repeated_images(images: DataFrame, most_bits: int = 8) -> DataFrame:
+    """doc_id, image_id and first (the smallest image it repeats or is repeated by, or itself) of images that a document repeats: hashes (16 hexadecimal digits) of at most eight bits' difference, near the same place and size.
+
+    Images alike in all of these go on as one. The others meet where a band of their hashes is equal, which finds all pairs within eight bits; each pair is then measured.
     """
-    cell = lambda c, d: F.floor(F.col(c) / 0.04) + d
-    a = images.withColumns({"cx": cell("x", 0), "cy": cell("y", 0)})
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    b = images.withColumn("d", around).withColumns({"cx": F.floor(F.col("x") / 0.04) + F.col("d.dx"), "cy": F.floor(F.col("y") / 0.04) + F.col("d.dy")})
-    l, r = a.alias("l"), b.alias("r")
-    near = (F.abs(F.col("l.x") - F.col("r.x")) <= 0.04) & (F.abs(F.col("l.y") - F.col("r.y")) <= 0.04) & (F.abs(F.col("l.w") - F.col("r.w")) <= 0.06) & (F.abs(F.col("l.h") - F.col("r.h")) <= 0.06)
-    same = (F.col("l.doc_id") == F.col("r.doc_id")) & (F.col("l.cx") == F.col("r.cx")) & (F.col("l.cy") == F.col("r.cy")) & (F.col("l.image_id") != F.col("r.image_id"))
-    return l.join(r, same & near & (T.hamming(F.col("l.hash"), F.col("r.hash")) <= most_bits)).select("l.doc_id", "l.image_id").distinct()
+    if most_bits >= len(BANDS):
+        raise ValueError(f"{len(BANDS)} bands find hashes of at most {len(BANDS) - 1} bits' difference")
+    own = ["doc_id", "hash", "x", "y", "w", "h"]
+    same = images.groupBy(*own).agg(F.min("image_id").alias("image"), F.count(F.lit(1)).alias("n"))
+    bits = F.lpad(F.conv("hash", 16, 2), 64, "0")
+    bands = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.substring(bits, at, n).alias("bits")) for i, (at, n) in enumerate(BANDS)]))
+    met = same.select(*own, "image", bands.alias("b")).select(*own, "image", "b.*")
+    l, r = met.alias("l"), met.alias("r")
+    near = F.lit(True)
+    for c, most in (("x", PLACE), ("y", PLACE), ("w", SIZE), ("h", SIZE)):
+        near = near & (F.abs(F.col(f"l.{c}") - F.col(f"r.{c}")) <= most)
+    key = (F.col("l.doc_id") == F.col("r.doc_id")) & (F.col("l.band") == F.col("r.band")) & (F.col("l.bits") == F.col("r.bits")) & (F.col("l.image") < F.col("r.image"))
+    pairs = l.join(r, key & near & (T.hamming(F.col("l.hash"), F.col("r.hash")) <= most_bits)).select(F.col("l.doc_id").alias("doc_id"), F.col("l.image").alias("a"), F.col("r.image").alias("b"))
+    ends = pairs.select("doc_id", F.explode(F.array(F.struct(F.col("a").alias("image"), F.col("a").alias("first")), F.struct(F.col("b").alias("image"), F.col("a").alias("first")))).alias("e")).select("doc_id", "e.*")
+    first = ends.groupBy("doc_id", "image").agg(F.min("first").alias("first"))
+    found = same.join(first, ["doc_id", "image"], "left").where("first is not null or n > 1").select(*own, F.coalesce("first", "image").alias("first"))
+    return images.join(found, own).select("doc_id", "image_id", "first")

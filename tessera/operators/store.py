@@ -3,19 +3,19 @@
 A file's chunks lie in the bucket of its id's hash. An upsert writes one layer: the new rows, and tombstones for the files it replaces or deletes, in the
 buckets of these files. A row counts unless a later layer has a tombstone for its file. Buckets with many layers are rewritten (compacted), others stay as they are.
 
-A version is a small numbered JSON file that names the layers of each bucket. It is written under another name and renamed to its number, which fails if that number is taken:
-so a reader sees a version entirely or not at all, whatever step a writer dies at, and of two writers one starts again from the other's version. No file is ever overwritten.
+A version (tessera.operators.versions) names the layers of each bucket: an upsert is seen entirely or not at all.
 """
 
 from __future__ import annotations
 
-import json
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.versions import Conflict, Versions
+
 CHUNK_SCHEMA = "id string, vector array<float>, sparse map<long,float>, content string, file_id string, chunk_index long, metadata string"
 
 
@@ -62,57 +62,10 @@ MOST_LAYERS, BUCKETS = 8, 64
 COLUMNS = ["id", "vector", "sparse", "content", "file_id", "chunk_index", "metadata"]
 
 
-class Conflict(RuntimeError):
-    """Another writer has committed the version."""
-
-
-class Store:
+class Store(Versions):
     """A versioned table at a path that any executor and the driver can reach through Spark."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    # ---------------------------------------------------------------- files and versions
-    def _at(self, *parts: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
-
-    def _fs(self):
-        return self._at().getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _names(self, *parts: str) -> list[str]:
-        at, fs = self._at(*parts), self._fs()
-        return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
-
-    def versions(self) -> list[int]:
-        """Numbers of the committed versions, in order."""
-        return sorted(int(n.removesuffix(".json")) for n in self._names("versions") if n.endswith(".json"))
-
-    def state(self, version: int | None = None) -> dict | None:
-        """What a version (the last one) consists of: bounded by buckets times layers. None where there is no store."""
-        held = self.versions()
-        if not held:
-            return None
-        stream = self._fs().open(self._at("versions", f"{held[-1] if version is None else version:020d}.json"))
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _publish(self, state: dict) -> None:
-        """Makes a state the version of its number, or raises Conflict where that is taken."""
-        jvm, fs = self.spark._jvm, self._fs()
-        draft, final = self._at("versions", f"draft-{uuid.uuid4().hex}"), self._at("versions", f"{state['version']:020d}.json")
-        out = fs.create(draft, False)
-        out.write(json.dumps(state).encode())
-        out.close()
-        kind = jvm.org.apache.hadoop.fs.Options.Rename
-        try:
-            jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, final, self.spark.sparkContext._gateway.new_array(kind, 0))
-        except Exception as e:
-            fs.delete(draft, False)
-            if "FileAlreadyExistsException" in str(e):
-                raise Conflict(f"version {state['version']} is taken") from e
-            raise
+    first = {"version": 0, "buckets": BUCKETS, "options": {}, "rows": {}, "gone": {}, "counts": {}}
 
     # ---------------------------------------------------------------- reading
     def _live(self, state: dict, buckets: list[str]) -> DataFrame:
@@ -141,15 +94,6 @@ class Store:
         held = {r["bucket"]: r["count"] for r in self._live(state, buckets).groupBy(bucket.alias("bucket")).count().collect()}
         return {b: held.get(b, 0) for b in buckets}
 
-    def _attempts(self, change, attempts: int = 5):
-        """change(state) until no other writer comes first."""
-        for left in reversed(range(attempts)):
-            try:
-                return change(self.state() or {"version": 0, "buckets": BUCKETS, "options": {}, "rows": {}, "gone": {}, "counts": {}})
-            except Conflict:
-                if not left:
-                    raise
-
     def upsert(self, new: DataFrame, delete_ids: DataFrame | None = None) -> dict[str, int]:
         """Commits an upsert, which replaces the files of new and deletes those of delete_ids; an empty batch still deletes. Of equal keys in new, the last by chunk index stays."""
 

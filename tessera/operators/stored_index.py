@@ -46,7 +46,7 @@ class StoredIndex(Index):
         self._parts["terms"] = self.spark.read.parquet(f"{path}/terms")
 
     def sparse(self, queries: DataFrame, k: int, drop_ratio: float = 0.0) -> DataFrame:
-        return postings.search(self.spark, f"{self.path}/postings", query_weights(queries, self.terms, drop_ratio), k)
+        return postings.search(self.spark, f"{self.path}/postings", query_weights(queries, self.terms, drop_ratio, self.analyzer), k)
 
     def dense(self, queries: DataFrame, k: int) -> DataFrame:
         asked = self.embed(queries.select(F.col("query_id").alias("id"), F.col("query").alias("text"))).withColumnRenamed("id", "query_id")

@@ -11,6 +11,7 @@ from tessera.config import DEFAULT
 from tessera.functions import cleaning
 from tessera.functions import text as T
 from tessera.operators import chat, evaluation, items, meta, retrieval, store
+from tessera.operators.numbering import numbered
 from tessera.session import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,7 +110,12 @@ def dense_threshold_cliff(spark, sf_dir):
     return retrieval.limited(retrieval.before_cliff(rows, 0.05, "score"), 5).select("query_id", "id", "score")
 
 
-@query(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM terms")
+@query(
+    f"""WITH words AS (SELECT DISTINCT doc_id, unnest({_WORDS.format('text')}) AS term FROM documents),
+counts AS (SELECT term, count(*) AS df FROM words GROUP BY term),
+logs AS (SELECT term, df, ln((SELECT count(*) FROM documents) - df + 0.5) - ln(df + 0.5) AS raw FROM counts)
+SELECT term, df, round(CASE WHEN raw < 0 THEN CAST(0.25 AS DOUBLE) * avg(raw) OVER () ELSE raw END, 6) AS idf FROM logs"""
+)
 def bm25_fit_terms(spark, sf_dir):
     return index(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
@@ -179,7 +185,9 @@ def flow_response(spark, sf_dir):
 
 @query("SELECT doc_id, 'doc_' || substr(sha1(source), 1, 12) AS file_id, 'doc_' || substr(sha1(source), 1, 12) || '_chunk_' || lpad(CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS VARCHAR), 6, '0') AS chunk_id FROM documents")
 def chunk_ids(spark, sf_dir):
-    return _chunks(spark, sf_dir).select("doc_id", "file_id", F.col("id").alias("chunk_id"))
+    """A source as a file, whose documents are numbered without a window over the file."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", T.file_id(F.col("source"), F.lit("doc")).alias("file_id"))
+    return numbered(docs, ["source"], [F.col("doc_id")], "at").select("doc_id", "file_id", T.chunk_id(F.col("file_id"), F.col("at") - 1).alias("chunk_id"))
 
 
 def _chunks(spark, sf_dir):

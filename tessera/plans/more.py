@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import cleaning, loose, markdown, names, references
+from tessera.functions import cleaning, loose, markdown, names, references, replies
 from tessera.functions import text as T
 from tessera.operators import chat, enrich, evaluation, items, layout, meta, retrieval, store, webhook, workflow
 from tessera.plans.catalog import _LINES, query
@@ -129,12 +129,19 @@ def table_headers(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- replies and messages
-@query("SELECT item_id, trim(text) AS answer, trim(text) AS plain FROM benchmark")
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN '' WHEN 4 THEN trim(lang || ' ' || source) ELSE trim(coalesce(text, '')) END AS answer FROM documents")
 def nested_answers(spark, sf_dir):
-    """Answers deep in replies: lists before keys that come later, blank ones passed over."""
-    inner = F.array(F.struct(F.lit(" ").alias("text"), F.lit(None).cast("string").alias("answer")), F.struct(F.lit(None).cast("string").alias("text"), F.concat(F.lit(" "), F.col("text")).alias("answer")))
-    rows = table(spark, sf_dir, "benchmark").select("item_id", "text", obj(note=F.lit("x"), data=F.lit("late"), result=inner).alias("reply"))
-    return rows.select("item_id", loose.answer_of("reply").alias("answer"), loose.answer_of(F.concat(F.lit("  "), F.col("text"), F.lit("\n"))).alias("plain"))
+    """Documents as replies: text deep in an object behind blank and later ones, plain, in lists, under no key of answers, and beside a longer one that comes later."""
+    text, kind = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id") % 5
+    inner = F.array(F.struct(F.lit(" ").alias("text"), F.lit(None).cast("string").alias("answer")), F.struct(F.lit(None).cast("string").alias("text"), F.concat(F.lit(" "), text).alias("answer")))
+    reply = (
+        F.when(kind == 0, obj(note=F.lit("x"), data=F.when(F.trim(text) != "", F.lit("late")).otherwise(""), result=inner))
+        .when(kind == 1, F.concat(F.lit("\n"), text, F.lit("  ")))
+        .when(kind == 2, F.to_json(F.array(F.array(F.struct(F.struct(text.alias("message")).alias("output"))))))
+        .when(kind == 3, obj(other=text, texts=F.array(text)))
+        .otherwise(obj(data=text, answer=F.concat_ws(" ", "lang", "source")))
+    )
+    return replies.with_answers(table(spark, sf_dir, "documents").select("doc_id", reply.alias("reply")), "reply").select("doc_id", "answer")
 
 
 @query("SELECT item_id, CAST(1 AS INTEGER) AS n, CAST(item_id AS VARCHAR) AS first FROM benchmark")

@@ -132,5 +132,17 @@ def test_question_sources(spark, tmp_path):
 
 
 def test_nested_replies():
-    assert loose.first_answer({"answer": {"x": 1}, "output": " o "}) == "o" and loose.first_answer([None, 3, {"data": []}]) == ""
     assert loose.first_chunks([{"a": 1}, {"documents": [{"b": 2}, 3]}]) == [{"b": 2}] and loose.first_chunks("x") == []
+
+
+def test_answers_in_replies(spark):
+    """The first text by path, whatever the depth; repeated rows and names that clash with helpers."""
+    from tessera.functions import replies
+
+    want = {
+        '{"answer":{"x":1},"output":" o "}': "o", '[null,3,{"data":[]},{"result":[{"text":" "},{"answer":" deep "}],"data":"late"}]': "deep", " plain ": "plain", None: None, '"str "': "str",
+        '{"a":"b"}': "", "[]": "", "": "", '{"answer":" ","output":[{"text":"yes"}]}': "yes", "[" * 12 + '"x"' + "]" * 12: "x", "{broken": "{broken",
+    }
+    rows = spark.createDataFrame([(t, "k") for t in want] + [('"str "', "again")], "reply string, key string")
+    got = replies.with_answers(rows, "reply").collect()
+    assert sorted((r["reply"] or "", r["key"], r["answer"] or "") for r in got) == sorted([(t or "", "k", a or "") for t, a in want.items()] + [('"str "', "again", "str")])

@@ -99,3 +99,22 @@ def test_many_upserts_equal_a_dictionary(spark, tmp_path, monkeypatch):
     assert s.vacuum(older_than_s=-60) and len(s.versions()) == 1 and held(s) == sorted((*k, v) for k, v in want.items())
     s.drop()
     assert held(s) == [] and s.describe()["buckets"] == 2
+
+
+def test_a_log_of_changes_keeps_the_latest(spark, tmp_path):
+    """Inserts, updates of single fields, a change of an unknown record, old versions, and as many rewritings as the log doubles."""
+    from tessera.operators.chat_log import ChatLog
+
+    log = ChatLog(spark, str(tmp_path / "log"), "secret")
+    rows = lambda *x: spark.createDataFrame(list(x), "record_id string, question string")
+    answers = lambda *x: spark.createDataFrame(list(x), "record_id string, answer string")
+    got = lambda v=None: {r["record_id"]: (r["question"], r["answer"], r["user_id"]) for r in log.read(v).collect()}
+    assert got() == {} and log.insert(rows(*[(f"r{i}", f" q{i} ") for i in range(20)])) == 20
+    log.update(answers(("r1", "one"), ("r2", "two"), ("ghost", "boo")))
+    log.update(answers(("r1", "again"), ("r2", None)))
+    want = {f"r{i}": (f"q{i}", "", "anonymous") for i in range(20)} | {"r1": ("q1", "again", "anonymous"), "r2": ("q2", "two", "anonymous")}
+    assert got() == want and len(log.state()["layers"]) == 2
+    assert "again" not in str(spark.read.parquet(*[f"{tmp_path}/log/data/{n}" for n, _ in log.state()["layers"]]).collect())
+    log.insert(rows(("r3", "new"), ("ghost", "here")))
+    want |= {"r3": ("new", "", "anonymous"), "ghost": ("here", "", "anonymous")}
+    assert got() == want and log.compact(whole=True) == 1 and got() == want and got(1) == {f"r{i}": (f"q{i}", "", "anonymous") for i in range(20)}
