@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import segment
-from tessera.operators import layout, pivots, store, stored_index
+from tessera.operators import evaluation, layout, pivots, store, stored_index
 from tessera.operators.chat_log import ChatLog
-from tessera.plans.catalog import _BM25, _COSINE, _sparse, asked, query
+from tessera.plans.catalog import _BM25, _COSINE, SQL, _sparse, asked, query
 from tessera.session import scratch, table
 
 
@@ -131,3 +131,9 @@ def repeated_images(spark, sf_dir):
         (F.col("vec_id") % 61).alias("doc_id"), F.col("vec_id").alias("image_id"), F.lpad(F.conv(bits, 2, 16), 16, "0").alias("hash"), (F.col("vec_id") % 3 / 40.0).alias("x"), F.lit(0.0).alias("y"), (F.col("vec_id") % 2 / 10.0).alias("w"), F.lit(0.0).alias("h"),
     )
     return layout.repeated_images(rows)
+
+
+@query(SQL["contains_recall"])
+def contains_fingerprints(spark, sf_dir):
+    """contains_recall as for more passages than one task holds: by fingerprints."""
+    return evaluation.contained(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")), table(spark, sf_dir, "documents"), most_chars=0)

@@ -205,3 +205,24 @@ def test_tree(spark):
     edges = spark.createDataFrame([("a", "b", "B"), ("b", "c", "C")], "parent string, child string, name string")
     out = meta.tree(spark, edges, spark.createDataFrame([("a", "A")], "node string, name string"))
     assert {tuple(r) for r in out.collect()} == {("a", 0, "A"), ("b", 1, "A/B"), ("c", 2, "A/B/C")}
+
+
+def test_passages_are_found_by_fingerprints(spark):
+    """Passages of all lengths at any place of documents, at their ends too, with near misses, one passage in very many documents and characters beyond the basic plane."""
+    from tessera.operators import fingerprints
+
+    r = random.Random(8)
+    letters = "abcdé😀"
+    docs = [(i, "".join(r.choice(letters) for _ in range(r.choice([1, 5, 40, 400])))) for i in range(150)] + [(1000 + i, "thesamepassageineverydocument" + str(i)) for i in range(300)]
+    passages = [(0, "thesamepassageineverydocument"), (1, "a"), (2, "thesamepassageineverydocumen!")]
+    for n in (1, 2, 7, 15, 16, 17, 23, 24, 25, 60, 400):
+        for _ in range(6):
+            text = r.choice([t for _, t in docs if len(t) >= n])
+            at = r.choice([0, len(text) - n, r.randint(0, len(text) - n)])
+            found = text[at : at + n]
+            passages += [(len(passages), found), (len(passages) + 1, found[:-1] + "x")]
+    p, d = spark.createDataFrame(passages, "item_id long, p string"), spark.createDataFrame(docs, "doc_id long, d string")
+    got = {tuple(x) for x in fingerprints.contained(p, d).collect()}
+    assert got == {(i, j) for i, x in passages for j, t in docs if x in t}
+    assert fingerprints.contained(p.limit(0), d).collect() == [] and fingerprints.contained(p, d.limit(0)).collect() == []
+    assert len(set(fingerprints.windows("".join(r.choice(letters) for _ in range(5000))).tolist())) < 1500
