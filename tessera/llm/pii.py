@@ -5,7 +5,8 @@ secrets are found in a whole text with one pattern and replaced in place. Number
 their kind go through a keyed Feistel network over exactly the values of their format: ten rounds that add a
 SHA-256 value of the other half, so a value always gets the same pseudonym, two values never share one,
 and the pseudonym is valid again (a card keeps its first digit and gets a new check digit, a date stays a day of the calendar, punctuation stays).
-A phone number keeps its country code. E-mail addresses and secrets have no numeric format: they get keyed digests in their shape, equal for equal values.
+A phone number keeps its country code. E-mail addresses (in lower case) and secrets are permuted in their shape: each digit and letter among those of its kind, the rest stays; only an address with letters
+beyond a to z gets a keyed digest.
 What fails validation (a number with a wrong check digit or of one digit only, 30 February) is not personal data and stays.
 
 The key is an argument of every function. session_key() reads it from the session's spark.tessera.pii.key and fails without it; the registered queries bring one of their own for that case.
@@ -70,13 +71,13 @@ def digest(key: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts]), 256)
 
 
-def feistel(a: Column, b: Column, size_a: Column, size_b: Column, tweak: str, key: str) -> Column:
+def feistel(a: Column, b: Column, size_a: Column, size_b: Column, tweak: str | Column, key: str) -> Column:
     """Struct (a, b): a keyed permutation of 0..size_a-1 times 0..size_b-1; the halves take turns."""
 
     def add(s: Column, r: Column) -> Column:
         even = r % 2 == 0
         other, own, size = F.when(even, s["b"]).otherwise(s["a"]), F.when(even, s["a"]).otherwise(s["b"]), F.when(even, size_a).otherwise(size_b)
-        more = F.conv(F.substring(digest(key, F.lit(tweak), size_a, size_b, r, other), 1, 15), 16, 10).cast("long") % size
+        more = F.conv(F.substring(digest(key, F.lit(tweak) if isinstance(tweak, str) else tweak, size_a, size_b, r, other), 1, 15), 16, 10).cast("long") % size
         changed = (own + more) % size
         return F.struct(F.when(even, changed).otherwise(s["a"]).alias("a"), F.when(even, s["b"]).otherwise(changed).alias("b"))
 
@@ -158,24 +159,78 @@ def _date(m: Column, key: str) -> Column:
     return let(iso.try_cast("date"), lambda d: F.when(d.isNull(), m).otherwise(new(d)))
 
 
+#: Characters that one permutation handles: two halves of up to 13, as 26 ** 13 is below 2 ** 63.
+CHUNK = 26
+_ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def _place(c: Column, alphabets: tuple[str, ...]) -> Column:
+    """Struct (at, size, first): a character's place in its alphabet, how many that has and where it begins; a size of 1 for what is of none."""
+    out = F.struct(F.lit(0).cast("long").alias("at"), F.lit(1).cast("long").alias("size"), F.lit(0).alias("first"))
+    for a in alphabets:
+        out = F.when(F.contains(F.lit(a), c) & (c != ""), F.struct((F.ascii(c) - ord(a[0])).cast("long").alias("at"), F.lit(len(a)).cast("long").alias("size"), F.lit(ord(a[0])).alias("first"))).otherwise(out)
+    return out
+
+
+def _number(places: Column) -> Column:
+    """Struct (v, n): characters as one whole number, and how many such numbers there are."""
+    step = lambda s, p: F.struct((s["v"] * p["size"] + p["at"]).alias("v"), (s["n"] * p["size"]).alias("n"))
+    return F.aggregate(places, F.struct(F.lit(0).cast("long").alias("v"), F.lit(1).cast("long").alias("n")), step)
+
+
+def _letters(v: Column, places: Column, text: Column) -> Column:
+    """The characters that a number stands for, in the alphabets of places; those of none stay as in text."""
+    zero = F.struct(F.lit("").alias("s"), v.alias("v"))
+
+    def step(s: Column, i: Column) -> Column:
+        p = F.element_at(places, i)
+        c = F.when(p["size"] > 1, F.char((s["v"] % p["size"] + p["first"]).cast("int"))).otherwise(F.substring(text, i, F.lit(1)))
+        return F.struct(F.concat(c, s["s"]).alias("s"), F.floor((s["v"] - s["v"] % p["size"]).cast("decimal(20,0)") / p["size"]).cast("long").alias("v"))
+
+    return F.aggregate(F.reverse(F.sequence(F.lit(1), F.greatest(F.size(places), F.lit(1)))), zero, step, lambda s: s["s"])
+
+
+def permuted_text(text: Column, tweak: str, key: str, alphabets: tuple[str, ...] = _ALPHABETS) -> Column:
+    """A text as another one of its shape: its digits and letters are permuted with those that have a digit or a letter of that case there, other characters stay.
+
+    Texts of more than CHUNK characters go in chunks, each under a tweak of all before it: of equal texts up to the end of a chunk, the pseudonyms are equal so far.
+    """
+
+    def chunk(i: Column) -> Column:
+        own = F.substring(text, i * CHUNK + 1, F.lit(CHUNK))
+        half = F.floor(F.length(own) / 2).cast("int")
+
+        def new(two: Column) -> Column:
+            a, b = two["a"], two["b"]
+            out = feistel_of(_number(a), _number(b), F.concat(F.lit(f"{tweak}|"), F.substring(text, F.lit(1), i * CHUNK)), key)
+            return let(out, lambda s: F.concat(F.when(F.size(a) > 0, _letters(s["a"], a, F.substring(own, F.lit(1), half))).otherwise(""), F.when(F.size(b) > 0, _letters(s["b"], b, F.substring(own, half + 1, F.length(own)))).otherwise("")))
+
+        characters = lambda x: F.transform(F.filter(F.split(x, ""), lambda c: c != ""), lambda c: _place(c, alphabets))
+        return let(F.struct(characters(F.substring(own, F.lit(1), half)).alias("a"), characters(F.substring(own, half + 1, F.length(own))).alias("b")), new)
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.length(text) - 1) / CHUNK), F.lit(0)).cast("int")), chunk), "")
+
+
+def feistel_of(a: Column, b: Column, tweak: Column, key: str) -> Column:
+    """feistel() of two numbers (v, n) under a tweak that is a column."""
+    return let(F.struct(a.alias("a"), b.alias("b"), tweak.alias("t")), lambda x: feistel(x["a"]["v"], x["b"]["v"], x["a"]["n"], x["b"]["n"], x["t"], key))
+
+
 def _email(m: Column, key: str) -> Column:
-    d = digest(key, F.lit("email"), F.lower(m))
-    return let(d, lambda x: F.concat(F.lit("u"), F.substring(x, 1, 12), F.lit("@m"), F.substring(x, 13, 8), F.lit(".example.com")))
+    """Local part and labels permuted in lower case, the last label kept; a name that has letters beyond a to z gets a digest in its place."""
+    low = F.lower(m)
+    last = F.regexp_extract(low, r"\.[^.]*$", 0)
+    d = digest(key, F.lit("email"), low)
+    hidden = F.concat(F.lit("u"), F.substring(d, 1, 12), F.lit("@m"), F.substring(d, 13, 8), F.lit(".example.com"))
+    return F.when(low.rlike(r"^[a-z0-9._%+@-]*$"), F.concat(permuted_text(F.substring(low, F.lit(1), F.length(low) - F.length(last)), "email", key), last)).otherwise(hidden)
 
 
 def _secret(m: Column, key: str) -> Column:
-    """A value of its length: hexadecimal for hexadecimal ones, else of letters and digits (six bits each), in upper case for upper case."""
+    """The value permuted in its shape: letters from a to f and digits for hexadecimal ones."""
     name = F.regexp_extract(m, r"^(?:AKIA|(?u:[\p{L}_ -]+?)\s*[=:]\s*[\"']?)", 0)
     value = F.substring(m, F.length(name) + 1, F.length(m))
-
-    def new(v: Column) -> Column:
-        more = F.transform(F.sequence(F.lit(0), F.floor((F.length(v) - 1) / 43).cast("int")), lambda i: digest(key, F.lit("secret"), v, i))
-        hexadecimal = F.array_join(more, "")
-        letters = F.array_join(F.transform(more, lambda d: F.translate(F.substring(F.base64(F.unhex(d)), 1, 43), "+/", "xy")), "")
-        of = F.when(v.rlike("^[0-9a-f]+$"), hexadecimal).when(v == F.upper(v), F.upper(letters)).otherwise(letters)
-        return F.concat(name, F.substring(of, F.lit(1), F.length(v)))
-
-    return let(value, new)
+    hexadecimal = lambda v: permuted_text(v, "hex", key, ("0123456789", "abcdef"))
+    return let(value, lambda v: F.concat(name, F.when(v.rlike("^[0-9a-f]+$"), hexadecimal(v)).otherwise(permuted_text(v, "secret", key))))
 
 
 NEW = {"secret": _secret, "email": _email, "date": _date, "ssn": _ssn, "ip": _ip, "phone": _phone, "card": _card}
