@@ -5,7 +5,7 @@ distance to it; how near and how far a pivot's vectors are is kept beside. A que
 k-th best score bounds the distance of a result, and a pivot whose vectors are all farther, as the query's distance to it and theirs differ by more, is not opened. Queries are dealt
 to the pivots that remain, where each vector is bounded once more before it is multiplied. All distances are those of vectors of unit length: cosines.
 
-Pivots with many vectors are cut into cells of CELL rows, and their queries into blocks, so that no task holds more than a cell and a block.
+Pivots with few vectors are put together and ones with many are cut, to cells of CELL rows or so, and their queries go in blocks, so that no task holds more than a cell and a block and a query is sent to a cell once.
 Scores are rounded before they are ranked, and ties go to the smaller id. Vectors without length have cosine 0 with all others, as in the search without an index.
 """
 
@@ -68,81 +68,72 @@ class Search:
     def __init__(self, spark: SparkSession, path: str, queries: DataFrame, k: int, exclude_self: bool = False):
         self.spark, self.k, self.exclude_self = spark, k, exclude_self
         self.rows = read_parts(spark, f"{path}/vectors")
-        # One row for each pivot.
+        # One row for each pivot. Small ones are put together, up to CELL rows: a query goes to a group once.
         held = spark.read.parquet(f"{path}/pivots").orderBy("pivot").toPandas()
-        self.pivots = held[["pivot", "nearest", "farthest", "n"]]
+        before = held["n"].cumsum() - held["n"]
+        self.pivots = held[["pivot", "nearest", "farthest", "n"]].assign(group=(before // CELL).astype(int) if len(held) else [])
         self.centers = np.vstack(held["center"].to_numpy()) if len(held) else np.zeros((0, 0))
         self.queries = written(queries.select("query_id", F.col("vec").cast("array<double>").alias("vec")))
         self.kind = dict(queries.dtypes)["query_id"]
 
-    def _dealt(self, asked: DataFrame, choose, columns: str) -> DataFrame:
-        """A row for each query and pivot that choose(distances, frame) marks."""
-        shared = self.spark.sparkContext.broadcast((self.pivots, self.centers))
+    def _dealt(self, asked: DataFrame, homes: bool) -> DataFrame:
+        """A row for each query of asked (query_id, vec, least) and group of pivots: those of the nearest ones that hold k rows besides its own, or else all others that can hold a result."""
+        shared, need = self.spark.sparkContext.broadcast((self.pivots, self.centers)), self.k + 1
 
         def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held, centers = shared.value
+            n, group = held["n"].to_numpy(), held["group"].to_numpy()
             for frame in frames:
-                if len(frame) and len(held):
-                    d = distances(units(frame["vec"]), centers)
-                    at, pivot = np.nonzero(choose(d, frame, held))
-                    yield frame.iloc[at].assign(pivot=held["pivot"].to_numpy()[pivot].astype("int32"), to_pivot=d[at, pivot])
-
-        return asked.mapInPandas(deal, f"{columns}, pivot int, to_pivot double")
+                for first in range(0, len(frame) if len(held) else 0, SUB_BLOCK):
+                    some = frame.iloc[first : first + SUB_BLOCK]
+                    d = distances(units(some["vec"]), centers)
+                    order = d.argsort(1, kind="stable")
+                    before = n[order].cumsum(1) - n[order]
+                    home = np.zeros(d.shape, bool)
+                    np.put_along_axis(home, order, before < need, 1)
+                    farthest = np.sqrt(np.maximum(2 - 2 * some["least"].to_numpy(), 0))[:, None] + SLACK
+                    gap = np.maximum(d - held["farthest"].to_numpy()[None, :], held["nearest"].to_numpy()[None, :] - d)
+                    in_group = group[:, None] == np.arange(group.max() + 1)[None, :]
+                    own = home @ in_group
+                    at, to = np.nonzero(own if homes else ((gap <= farthest) @ in_group) & ~own)
+                    yield some.iloc[at].assign(group=to.astype("int32"))
+
+        return asked.select("query_id", "vec", "least").mapInPandas(deal, f"query_id {self.kind}, vec array<double>, least double, group int")
 
     def homes(self) -> DataFrame:
-        """Each query with its nearest pivots, as many as hold k rows besides its own."""
-        need = self.k + 1
-
-        def choose(d: np.ndarray, frame: pd.DataFrame, held: pd.DataFrame) -> np.ndarray:
-            order = d.argsort(1, kind="stable")
-            before = held["n"].to_numpy()[order].cumsum(1) - held["n"].to_numpy()[order]
-            out = np.zeros(d.shape, bool)
-            np.put_along_axis(out, order, before < need, 1)
-            return out
-
-        return self._dealt(self.queries.withColumn("least", F.lit(-2.0)), choose, f"query_id {self.kind}, vec array<double>, least double")
+        return self._dealt(self.queries.withColumn("least", F.lit(-2.0)), True)
 
     def survivors(self, bounds: DataFrame) -> DataFrame:
-        """Each query with the other pivots that can hold a result, from bounds (query_id, least: the least cosine of one)."""
-        need = self.k + 1
-
-        def choose(d: np.ndarray, frame: pd.DataFrame, held: pd.DataFrame) -> np.ndarray:
-            farthest = np.sqrt(np.maximum(2 - 2 * frame["least"].to_numpy(), 0))[:, None] + SLACK
-            gap = np.maximum(d - held["farthest"].to_numpy()[None, :], held["nearest"].to_numpy()[None, :] - d)
-            order = d.argsort(1, kind="stable")
-            before = held["n"].to_numpy()[order].cumsum(1) - held["n"].to_numpy()[order]
-            home = np.zeros(d.shape, bool)
-            np.put_along_axis(home, order, before < need, 1)
-            return (gap <= farthest) & ~home
-
-        asked = self.queries.join(bounds, "query_id", "left").select("query_id", "vec", F.coalesce("least", F.lit(-2.0)).alias("least"))
-        return self._dealt(asked, choose, f"query_id {self.kind}, vec array<double>, least double")
+        """From bounds (query_id, least: the least cosine of a result)."""
+        return self._dealt(self.queries.join(bounds, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0))), False)
 
     def _found(self, dealt: DataFrame) -> DataFrame:
-        """query_id, id and score: the best k of each cell for the queries dealt to its pivot."""
+        """query_id, id and score: the best k of each cell for the queries dealt to its group."""
         dealt = written(dealt)
-        asked = {r["pivot"]: r["count"] for r in dealt.groupBy("pivot").count().collect()}
-        sizes = dict(zip(self.pivots["pivot"].tolist(), self.pivots["n"].tolist()))
-        plan = [(p, math.ceil(sizes[p] / CELL), math.ceil(m / QUERY_BLOCK)) for p, m in asked.items()]
-        cells = F.broadcast(self.spark.createDataFrame(plan, "pivot int, cells int, blocks int"))
+        asked = {r["group"]: r["count"] for r in dealt.groupBy("group").count().collect()}
+        sizes = self.pivots.groupby("group")["n"].sum().to_dict()
+        plan = [(int(p), int(g), math.ceil(sizes[g] / CELL), math.ceil(asked[g] / QUERY_BLOCK)) for p, g in zip(self.pivots["pivot"], self.pivots["group"]) if g in asked]
+        cells = self.spark.createDataFrame(plan, "pivot int, group int, cells int, blocks int")
         every = lambda b: F.explode(F.sequence(F.lit(0), F.col(b) - 1))
-        left = dealt.join(cells, "pivot").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).withColumn("cell", every("cells"))
-        right = self.rows.where(F.col("pivot").isin(sorted(asked))).join(cells, "pivot").withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")).withColumn("block", every("blocks"))
-        k, exclude_self = self.k, self.exclude_self
+        left = dealt.join(F.broadcast(cells.select("group", "cells", "blocks").distinct()), "group").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).withColumn("cell", every("cells"))
+        right = self.rows.where(F.col("pivot").isin(sorted(p for p, *_ in plan))).join(F.broadcast(cells), "pivot").withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")).withColumn("block", every("blocks"))
+        k, exclude_self, centers = self.k, self.exclude_self, self.spark.sparkContext.broadcast(self.centers)
 
         def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):
                 return pd.DataFrame({"query_id": [], "id": [], "score": []})
             b = b.sort_values("id")
             x, ids, dist = units(b["vec"]), b["id"].to_numpy(), b["dist"].to_numpy()
+            own, of = np.unique(b["pivot"].to_numpy(), return_inverse=True)
             out = []
             for first in range(0, len(a), SUB_BLOCK):
                 some = a.iloc[first : first + SUB_BLOCK]
                 asked, least = some["query_id"].to_numpy(), some["least"].to_numpy()
                 reach = np.where(least <= -2, np.inf, np.sqrt(np.maximum(2 - 2 * least, 0)) + SLACK)
-                near = np.abs(some["to_pivot"].to_numpy()[:, None] - dist[None, :]) <= reach[:, None]
+                q = units(some["vec"])
+                near = np.abs(distances(q, centers.value[own])[:, of] - dist[None, :]) <= reach[:, None]
                 at = np.flatnonzero(near.any(0))
-                score = np.round(units(some["vec"]) @ x[at].T + NUDGE, DIGITS) + 0.0
+                score = np.round(q @ x[at].T + NUDGE, DIGITS) + 0.0
                 score[~near[:, at]] = -np.inf
                 if exclude_self:
                     score[asked[:, None] == ids[at][None, :]] = -np.inf
@@ -156,9 +147,8 @@ class Search:
                 out.append(pd.DataFrame({"query_id": asked[q], "id": ids[at[c]], "score": score[q, c]}))
             return pd.concat(out)
 
-        keys, id_kind = ["pivot", "cell", "block"], dict(self.rows.dtypes)["id"]
-        columns = ["query_id", "vec", "least", "to_pivot", *keys]
-        return left.select(*columns).groupBy(*keys).cogroup(right.select("id", "vec", "dist", *keys).groupBy(*keys)).applyInPandas(multiply, f"query_id {self.kind}, id {id_kind}, score double")
+        keys, id_kind = ["group", "cell", "block"], dict(self.rows.dtypes)["id"]
+        return left.select("query_id", "vec", "least", *keys).groupBy(*keys).cogroup(right.select("id", "vec", "dist", "pivot", *keys).groupBy(*keys)).applyInPandas(multiply, f"query_id {self.kind}, id {id_kind}, score double")
 
     def topk(self) -> DataFrame:
         """query_id, id, score and rank."""
@@ -167,9 +157,9 @@ class Search:
         return ranked(first.unionByName(self._found(self.survivors(self.bounds))), self.k)
 
     def opened(self) -> DataFrame:
-        """query_id and rows: the vectors of the pivots that a search opened for each query (after topk())."""
-        sizes = self.spark.createDataFrame([(int(p), int(n)) for p, n in zip(self.pivots["pivot"], self.pivots["n"])], "pivot int, n long")
-        return self.homes().unionByName(self.survivors(self.bounds)).join(F.broadcast(sizes), "pivot").groupBy("query_id").agg(F.sum("n").alias("rows"))
+        """query_id and rows: the vectors of the groups that a search opened for each query (after topk())."""
+        sizes = self.spark.createDataFrame([(int(g), int(n)) for g, n in self.pivots.groupby("group")["n"].sum().items()], "group int, n long")
+        return self.homes().unionByName(self.survivors(self.bounds)).join(F.broadcast(sizes), "group").groupBy("query_id").agg(F.sum("n").alias("rows"))
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:

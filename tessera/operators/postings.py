@@ -1,7 +1,7 @@
 """A stored lexical index: postings by term in blocks of descending weight, and an exact top-k search that takes blocks from the top.
 
-Documents are dealt to shards of about a million postings as they come, and each shard's postings are sorted where they are: a term's postings of a shard lie in blocks of up to BLOCK rows, each with
-its highest weight. On disk blocks lie in folders by the term's hash, so that a search opens the folders of its queries' terms only, and reads the blocks of these terms. They meet again by shard, once
+Documents are dealt to shards of about two million postings as they come, and each shard's postings are sorted where they are: a term's postings of a shard lie in blocks of up to BLOCK rows, the
+highest weight first. On disk blocks lie in folders by the term's hash, so that a search opens the folders of its queries' terms only, and reads the blocks of these terms. They meet again by shard, once
 for all queries of a batch.
 
 In a shard, the blocks of a query's terms are taken in descending order of their part of the score, and what is left of each term bounds what a document may still gain. Once no document
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.operators.retrieval import DIGITS, ranked
 from tessera.session import read_parts, write_parts, written
 
-PARTS, BLOCK, SHARD_POSTINGS = 64, 128, 1 << 20
+PARTS, BLOCK, SHARD_POSTINGS = 64, 128, 1 << 21
 #: Queries' weights that a batch holds; more queries make more batches.
 BATCH = 1 << 18
 #: Scores that differ by less can be equal when rounded.
@@ -54,7 +54,7 @@ def build(entries: DataFrame, path: str, parts: int = PARTS) -> None:
         offsets = pa.array(np.append(starts, n).astype(np.int32))
         held = pa.concat_arrays(ids).take(pa.array(at[order]))
         lists = [pa.ListArray.from_arrays(offsets, x) for x in (held, pa.array(w[order]))]
-        return pa.RecordBatch.from_arrays([pa.array(term[starts]), pa.array(np.full(len(starts), shard, np.int64)), pa.array(w[order][starts]), *lists], ["term", "shard", "most", "ids", "ws"])
+        return pa.RecordBatch.from_arrays([pa.array(term[starts]), pa.array(np.full(len(starts), shard, np.int64)), *lists], ["term", "shard", "ids", "ws"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, terms, ws, n, shard = [], [], [], 0, TaskContext.get().partitionId() << 32
@@ -76,7 +76,7 @@ def build(entries: DataFrame, path: str, parts: int = PARTS) -> None:
             yield blocks(ids, terms, ws, shard)
 
     rows = entries.select("id", F.col("terms").cast("array<long>").alias("terms"), F.col("ws").cast("array<double>").alias("ws")).where(F.size("terms") > 0)
-    out = rows.mapInArrow(cut, f"term long, shard long, most double, ids array<{kind}>, ws array<double>").withColumn("part", part("term", parts))
+    out = rows.mapInArrow(cut, f"term long, shard long, ids array<{kind}>, ws array<double>").withColumn("part", part("term", parts))
     write_parts(out.hint("rebalance", "part").sortWithinPartitions("part", "term"), path, "part")
 
 

@@ -39,13 +39,13 @@ def scratch(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """df as a table in a scratch folder: for what several parts of a plan read."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def write_parts(df: DataFrame, path: str, by: str) -> None:
     """df in folders by a column, at path/rows, with its columns in path/columns: so that it can be read where no row came out."""
-    df.write.mode("overwrite").partitionBy(by).parquet(f"{path}/rows")
+    df.write.mode("overwrite").option("compression", "zstd").partitionBy(by).parquet(f"{path}/rows")
     df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")
 
 
