@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import session
+
 #: White space of the word contract (blank, tab, line feed, vertical tab, form feed, return).
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,10 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; where none is set, one below the warehouse, which all executors reach too."""
+    """The folder for checkpoints and stored tables: that of the context, else the one the cluster names in spark.checkpoint.dir (without it, only a session on one machine has one)."""
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/tessera-checkpoints")
+        spark.sparkContext.setCheckpointDir(session.shared_dir(spark))
     return jsc.getCheckpointDir().get()
 
 

@@ -159,6 +159,41 @@ def test_large_components_are_exact():
     assert scores.tolist() == [[2**60 + 2**30, 2**60]] and ids.tolist() == [[2, 1]] and has.all()
 
 
+def test_terms_are_chosen_as_by_brute_force(spark):
+    """Chi-square of contingency tables, alone and among the texts that hold a term kept for itself, set by set."""
+    r = random.Random(4)
+    words = [prose(100 + i, 1) + str(i) for i in range(60)]
+    rows = []
+    for i in range(260):
+        own = set(r.sample(words[4:], r.randint(3, 12))) | ({words[0]} if r.random() < 0.3 else set()) | ({words[1]} if r.random() < 0.3 else set())
+        toxic = words[0] in own and words[1] in own or r.random() < 0.03
+        rows.append((i, " ".join(sorted(own) + ([words[2]] if toxic and r.random() < 0.8 else [])), int(toxic)))
+    docs, labels = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, toxic int")
+
+    def chi(df, both, n, m):
+        if df < toxicity.LEAST_DOCS or not 0 < df < n or not 0 < m < n:
+            return 0.0
+        seen = [[both, df - both], [m - both, n - m - df + both]]
+        return sum((seen[a][b] - x * y / n) ** 2 / (x * y / n) for a, x in enumerate((df, n - df)) for b, y in enumerate((m, n - m)))
+
+    sets = [(toxicity.terms(t), y) for _, t, y in rows]
+    count = lambda some: (Counter(t for s, _ in some for t in s), Counter(t for s, y in some if y for t in s), len(some), sum(y for _, y in some))
+    df, both, n, m = count(sets)
+    first = {t for t in df if chi(df[t], both[t], n, m) >= toxicity.LEAST_CHI_SQUARE}
+    best, tests = Counter(), 0
+    for f in first:
+        own = [(s, y) for s, y in sets if f in s]
+        df2, both2, n2, m2 = count(own)
+        if 0 < m2 < n2:
+            some = [t for t in df2 if df[t] >= toxicity.LEAST_DOCS and df2[t] >= toxicity.LEAST_DOCS and df2[t] * min(m2, n2 - m2) >= n2]
+            tests += len(some)
+            for t in some:
+                best[t] = max(best[t], chi(df2[t], both2[t], n2, m2))
+    want = first | {t for t, x in best.items() if x >= max(toxicity.LEAST_CHI_SQUARE, 2 * np.log(max(tests, 1)))}
+    model = toxicity.learn(docs, labels)
+    assert set(model.ids.tolist()) == want and first and len(want) < len(df)
+
+
 def test_pairs_are_learned():
     """Neither term alone tells the label, only both together."""
     r = np.random.default_rng(0)
