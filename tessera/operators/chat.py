@@ -81,22 +81,31 @@ def normalized_ids(rows: DataFrame) -> DataFrame:
 def attach_answers(events: DataFrame) -> DataFrame:
     """key, seq, question and answer: an answer closes the latest open question of its key, or stands alone where none is open.
 
-    events has key, seq, kind (question or answer) and text. Open questions are a stack, which only a walk in order can follow.
+    events has key, seq, kind (question or answer) and text. Open questions are a stack, which only a walk in order can follow; it is carried over frames, so that a key's events
+    are never held together.
     """
+    columns = ["key", "seq", "question", "answer"]
 
-    def of_key(frame: pd.DataFrame) -> pd.DataFrame:
-        rows, open_at = [], []
-        for e in frame.sort_values(["seq", "kind", "text"], kind="stable").itertuples():
-            if e.kind == "question":
-                open_at.append(len(rows))
-                rows.append([e.key, e.seq, e.text, ""])
-            elif open_at:
-                rows[open_at.pop()][3] = e.text
-            else:
-                rows.append([e.key, e.seq, "", e.text])
-        return pd.DataFrame(rows, columns=["key", "seq", "question", "answer"])
-
-    return events.groupBy("key").applyInPandas(of_key, "key string, seq long, question string, answer string")
+    def walked(frames):
+        key, open_, begun = None, [], False
+        for frame in frames:
+            out = []
+            for k, seq, kind, text in zip(*(frame[c] for c in ("key", "seq", "kind", "text"))):
+                if not begun or k != key:
+                    out += [(key, *q, "") for q in open_]
+                    key, open_, begun = k, [], True
+                if kind == "question":
+                    open_.append((seq, text))
+                elif open_:
+                    out.append((key, *open_.pop(), text))
+                else:
+                    out.append((key, seq, "", text))
+            yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame([(key, *q, "") for q in open_], columns=columns)
+
+    kind = dict(events.dtypes)["key"]
+    rows = events.select("key", "seq", "kind", "text").repartition("key").sortWithinPartitions("key", "seq", "kind", "text")
+    return rows.mapInPandas(walked, f"key {kind}, seq long, question string, answer string")
 
 
 def first_choices(clicks: DataFrame, keys: list[str], order: list[str], choice: str) -> DataFrame:
