@@ -104,11 +104,44 @@ def repeated_lines(lines: DataFrame, group: str, page: str, share: float = 0.35,
     return found.join(pages, group).where(F.col("n_pages") >= F.greatest(F.lit(2), F.ceil(share * F.col("pages")))).select(group, "line", "n_pages")
 
 
+#: Cells of boxes have sides of powers of two, from 2 ** LEAST_LEVEL; boxes with a coordinate beyond 2 ** FAR_OUT, or none that is finite, meet all of their page.
+LEAST_LEVEL, FAR_OUT, WHOLE = -20, 40, 64
+
+
+def _levelled(boxes: DataFrame) -> DataFrame:
+    """boxes with the corners of their hull and the level of the smallest cell that is as wide and high as they are."""
+    rows = boxes.dropna(subset=["x0", "y0", "x1", "y1"]).withColumns({"_lx": F.least("x0", "x1"), "_hx": F.greatest("x0", "x1"), "_ly": F.least("y0", "y1"), "_hy": F.greatest("y0", "y1")})
+    side = F.greatest(F.col("_hx") - F.col("_lx"), F.col("_hy") - F.col("_ly")).cast("double")
+    far = F.greatest(*[F.abs(c) for c in ("_lx", "_hx", "_ly", "_hy")]).cast("double") <= float(2**FAR_OUT)
+    return rows.withColumn("_own", F.when(far, F.greatest(F.ceil(F.log2(side)), F.lit(LEAST_LEVEL))).otherwise(WHOLE).cast("int"))
+
+
+def _in_cells(rows: DataFrame, levels: list[int]) -> DataFrame:
+    """A row for each cell that a box touches, at its own level (two by two, as a rule) and at each larger one that there is; with the first cell of both axes."""
+    rows = rows.withColumn("_level", F.explode(F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda x: x >= F.col("_own"))))
+    cell = lambda c: F.when(F.col("_level") == WHOLE, F.lit(0)).otherwise(F.floor(F.col(c) / F.pow(F.lit(2.0), "_level"))).cast("long")
+    rows = rows.withColumns({"_fx": cell("_lx"), "_fy": cell("_ly"), "_tx": cell("_hx"), "_ty": cell("_hy")})
+    return rows.withColumn("_x", F.explode(F.sequence("_fx", "_tx"))).withColumn("_y", F.explode(F.sequence("_fy", "_ty")))
+
+
 def box_pairs(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
-    """Pairs of boxes (x0, y0, x1, y1) of the same page that meet."""
-    l, r = a.alias("l"), b.alias("r")
+    """Pairs of boxes (x0, y0, x1, y1) of the same page that meet.
+
+    Boxes meet in cells of a grid, whose size is that of the larger of the two, instead of all of a page; a pair counts in the first cell that both touch.
+    Pairs can be many times the boxes, so the cells are dealt to a set number of tasks, whatever the boxes' bytes.
+    """
+    spark = a.sparkSession
+    a, b = _levelled(a), _levelled(b)
+    levels = sorted(r["_own"] for r in a.select("_own").union(b.select("_own")).distinct().collect())  # powers of two: 62 at most
+    keys = (on, "_level", "_x", "_y")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    l, r = (_in_cells(x, levels or [WHOLE]).repartition(tasks, *keys).alias(name) for x, name in ((a, "l"), (b, "r")))
+    key = F.lit(True)
+    for c in keys:
+        key = key & (F.col(f"l.{c}") == F.col(f"r.{c}"))
+    once = (F.col("l._level") == F.greatest("l._own", "r._own")) & (F.col("l._x") == F.greatest("l._fx", "r._fx")) & (F.col("l._y") == F.greatest("l._fy", "r._fy"))
     meet = (F.col("l.x0") <= F.col("r.x1")) & (F.col("r.x0") <= F.col("l.x1")) & (F.col("l.y0") <= F.col("r.y1")) & (F.col("r.y0") <= F.col("l.y1"))
-    return l.join(r, (F.col(f"l.{on}") == F.col(f"r.{on}")) & meet)
+    return l.join(r, key & once & meet)
 
 
 def interval_matches(points: DataFrame, spans: DataFrame, key: str, before_s: int, after_s: int) -> DataFrame:

@@ -247,3 +247,24 @@ def test_reading_order(spark):
     rows = [(1, i, t, l) for i, (t, l) in enumerate([(0.0, 5.0), (2.0, 1.0), (3.5, 0.0), (10.0, 9.0), (11.0, 2.0)])]
     out = meta.row_leaders(spark.createDataFrame(rows, "page long, id long, top double, left double"), "page", 3.0).orderBy("place").collect()
     assert [r["id"] for r in out] == [1, 0, 2, 4, 3]
+
+
+def test_boxes_meet_in_cells(spark):
+    """Sizes from points to the whole page, inverted and boundless boxes; in a grid of small ones only neighbours are compared."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        x, y, w, h = rng.uniform(-40, 40), rng.choice([0.0, 8.0, 16.0, rng.uniform(0, 50)]), rng.choice([0.0, 1.0, 8.0, 64.0, rng.random()]), rng.choice([0.0, 8.0, rng.uniform(-2, 9)])
+        rows.append((i, i % 2, x, y, x + w, y + h))
+    rows += [(300, 0, float("-inf"), 0.0, float("inf"), 1.0), (301, 1, 1e15, 0.0, 1e15, 50.0), (302, 1, None, 0.0, 1.0, 1.0), (303, 0, -1e15, -5.0, 1e15, 60.0)]
+    boxes = spark.createDataFrame(rows, "id long, page int, x0 double, y0 double, x1 double, y1 double")
+    got = [tuple(r) for r in meta.box_pairs(boxes, boxes, "page").select("l.id", "r.id").collect()]
+    some = [r for r in rows if None not in r]
+    want = [(a[0], b[0]) for a in some for b in some if a[1] == b[1] and a[2] <= b[4] and b[2] <= a[4] and a[3] <= b[5] and b[3] <= a[5]]
+    assert sorted(got) == sorted(want)
+
+    # 90,000 boxes of one page, none of which meets another: as pairs of the page they would be 8,100,000,000.
+    apart = spark.range(90000).select("id", F.lit(0).alias("page"), (F.col("id") % 300 * 3.0).alias("x0"), (F.floor(F.col("id") / 300) * 3.0).alias("y0"))
+    apart = apart.withColumns({"x1": F.col("x0") + 1, "y1": F.col("y0") + 1})
+    pairs = meta.box_pairs(apart, apart, "page")
+    assert "_x" in pairs._jdf.queryExecution().optimizedPlan().toString() and pairs.count() == 90000
