@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.cleaning import stripped
+from tessera.functions.loose import whole_json
 from tessera.session import written
 
 # Keys of answers in the order they are tried.
@@ -17,12 +18,12 @@ ANSWER_KEYS = ("answer", "output", "text", "message", "result", "data")
 def with_answers(df: DataFrame, reply: str, name: str = "answer") -> DataFrame:
     """df with the first answer in a reply that has some text, trimmed; empty where there is none, null for a null.
 
-    A reply that is no JSON is its own answer. In JSON, values under the keys of answers (in their order) and in lists are looked through before those of later keys, however deep they lie; so the
+    A reply that is no JSON as a whole is its own answer. In JSON, values under the keys of answers (in their order) and in lists are looked through before those of later keys, however deep they lie; so the
     answer is the text with the least path, whose parts are places of keys and in lists. Each level is a small table of what is left to open: as many steps as the deepest reply has levels.
     """
     base = written(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.monotonically_increasing_id().alias("key"), F.col(reply).alias("reply")))
     kind = lambda v: F.schema_of_variant(v)
-    value = F.try_parse_json("reply")
+    value = whole_json(F.col("reply"))
     rows = base.select("key", F.array().cast("array<long>").alias("path"), F.to_json(value).alias("json"), kind(value).alias("kind"))
     levels = []
     while True:

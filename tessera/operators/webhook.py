@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import DEFAULT
 from tessera.functions.cleaning import stripped
+from tessera.functions.loose import whole_json
 
 # Kinds of events and actions, keys in the order they are tried, and status texts.
 MESSAGE, CARD = "im.message.receive_v1", "card.action.trigger"
@@ -35,7 +36,7 @@ def _some(x: Column) -> Column:
 def message_text(message: Column) -> Column:
     """The text of a message of type text: its content's text, or the content itself where it is no JSON; else empty."""
     content = _at(message, "content")
-    is_json = F.try_parse_json(content).isNotNull()
+    is_json = whole_json(content).isNotNull()
     text = F.when(is_json, F.when(F.substring(F.ltrim(content), 1, 1) == "{", _at(content, "text"))).otherwise(content)
     return F.when(_at(message, "message_type") == "text", F.coalesce(stripped(text), F.lit(""))).otherwise("")
 

@@ -146,3 +146,15 @@ def test_answers_in_replies(spark):
     rows = spark.createDataFrame([(t, "k") for t in want] + [('"str "', "again")], "reply string, key string")
     got = replies.with_answers(rows, "reply").collect()
     assert sorted((r["reply"] or "", r["key"], r["answer"] or "") for r in got) == sorted([(t or "", "k", a or "") for t, a in want.items()] + [('"str "', "again", "str")])
+
+
+def test_a_number_before_a_text_is_no_reply_in_json(spark):
+    """What follows a first JSON value makes a reply plain; so it is with a message's content."""
+    from tessera.functions import replies
+
+    plain = ["4703 words follow", '{"answer":"a"} and more', '"quoted" word', "true story", "1, 2", '1,0] [1', '1,0],1] x', "[1] [2]", "null and void"]
+    whole = {'\n {"answer":"a"} \n': "a", ' ["x", 1] ': "x", "17": "", '"s"': "s", '[[0],1]': ""}
+    rows = spark.createDataFrame([(t,) for t in [*plain, *whole]], "reply string")
+    assert {r["reply"]: r["answer"] for r in replies.with_answers(rows, "reply").collect()} == {t: t for t in plain} | whole
+    m = lambda content: F.lit(json.dumps({"message_type": "text", "content": content}))
+    assert one(spark, webhook.message_text(m("42 is it"))) == "42 is it" and one(spark, webhook.message_text(m('{"text":"a"}'))) == "a"
