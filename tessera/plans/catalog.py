@@ -12,7 +12,7 @@ from tessera.functions import cleaning
 from tessera.functions import text as T
 from tessera.operators import chat, evaluation, items, meta, retrieval, store
 from tessera.operators.numbering import numbered
-from tessera.session import scratch, table
+from tessera.session import scratch, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -160,8 +160,8 @@ reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_
 @query(f"WITH {_RERANK} SELECT query_id, id, recall_score, rerank_score, CAST(rank AS INTEGER) AS rank FROM reranked")
 def rerank_attach(spark, sf_dir):
     ix, q = index(spark, sf_dir), asked(spark, sf_dir)
-    recall = ix.hybrid(q, 75)
-    pairs = recall.select("query_id", "id").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "id").join(q, "query_id")
+    recall = written(ix.hybrid(q, 75))
+    pairs = retrieval.with_contents(recall, ix.docs, q)
     return retrieval.reranked(recall, retrieval.lexical_scores(pairs)).select("query_id", "id", "recall_score", "rerank_score", "rank")
 
 
@@ -179,7 +179,8 @@ def flow_response(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     ix = retrieval.Index(docs, "doc_id", "text", replace(DEFAULT, cliff_delta=0.5))
     hits = ix.search(asked(spark, sf_dir))
-    out = hits.join(docs, hits["id"] == docs["doc_id"]).select("query_id", F.col("id").alias("chunk_id"), F.col("rerank_score").alias("score"), "source", F.length("text").alias("n_chars"))
+    shown = docs.select("doc_id", "source", F.length("text").alias("n_chars"))
+    out = hits.join(shown, hits["id"] == shown["doc_id"]).select("query_id", F.col("id").alias("chunk_id"), F.col("rerank_score").alias("score"), "source", "n_chars")
     return out.orderBy("query_id", "chunk_id")
 
 
