@@ -5,12 +5,14 @@ pdf_lines has doc_id, page_number, line_order, text, page_width, page_height, x0
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import meta
+from tessera.session import written
 
 # Numbering of headings and its levels, list marks, dates, page numbers, lines of a document's data, sizes and tolerances.
 MOST_HEADING_CHARS, MOST_CENTER_CHARS, MOST_LOWEST_CHARS, MOST_LEVEL, GAP, BOOST, LARGE_FONT, LARGE_GAP, ROW_TOP = 120, 30, 15, 6, 0.4, 2.0, 4.0, 2.0, 3.0
@@ -235,30 +237,58 @@ def without_source_links(items: DataFrame) -> DataFrame:
     return rows.withColumn("_gone", F.col("_source") | F.col("_only") & after).where(~F.col("_gone")).drop("_gone", "_source", "_only")
 
 
-#: A hash of 64 bits in nine bands: two hashes that differ in eight bits at most are equal in one of them.
-BANDS = [(1 + 7 * i, 7) for i in range(8)] + [(57, 8)]
 PLACE, SIZE = 0.04, 0.06
+#: Images of a document that meet as rows of a join; more meet in blocks of BLOCK, ROWS by a block at a time.
+FEW_IMAGES, BLOCK, ROWS = 64, 4096, 128
 
 
 def repeated_images(images: DataFrame, most_bits: int = 8) -> DataFrame:
     """doc_id, image_id and first (the smallest image it repeats or is repeated by, or itself) of images that a document repeats: hashes (16 hexadecimal digits) of at most eight bits' difference, near the same place and size.
 
-    Images alike in all of these go on as one. The others meet where a band of their hashes is equal, which finds all pairs within eight bits; each pair is then measured.
+    Images alike in all of these go on as one. The others of a document are all compared: those of a document with few as rows of a join, else in cells of two blocks, which
+    take a few operations on 64-bit words for a pair and give a row for an image at most. So neither hashes with many equal bits nor a large document are more than that.
     """
-    if most_bits >= len(BANDS):
-        raise ValueError(f"{len(BANDS)} bands find hashes of at most {len(BANDS) - 1} bits' difference")
     own = ["doc_id", "hash", "x", "y", "w", "h"]
-    same = images.groupBy(*own).agg(F.min("image_id").alias("image"), F.count(F.lit(1)).alias("n"))
-    bits = F.lpad(F.conv("hash", 16, 2), 64, "0")
-    bands = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.substring(bits, at, n).alias("bits")) for i, (at, n) in enumerate(BANDS)]))
-    met = same.select(*own, "image", bands.alias("b")).select(*own, "image", "b.*")
-    l, r = met.alias("l"), met.alias("r")
-    near = F.lit(True)
+    same = written(images.groupBy(*own).agg(F.min("image_id").alias("image"), F.count(F.lit(1)).alias("n")))
+    sizes = same.groupBy("doc_id").agg(F.count(F.lit(1)).alias("images")).where("images > 1")
+    met = same.dropna(subset=own).join(sizes, "doc_id").select("doc_id", "image", "images", F.conv("hash", 16, -10).cast("long").alias("bits"), *[F.col(c).cast("double") for c in ("x", "y", "w", "h")])
+    few = met.where(F.col("images") <= FEW_IMAGES)
+    l, r = few.alias("l"), few.alias("r")
+    near = F.bit_count(F.col("l.bits").bitwiseXOR(F.col("r.bits"))) <= most_bits
     for c, most in (("x", PLACE), ("y", PLACE), ("w", SIZE), ("h", SIZE)):
         near = near & (F.abs(F.col(f"l.{c}") - F.col(f"r.{c}")) <= most)
-    key = (F.col("l.doc_id") == F.col("r.doc_id")) & (F.col("l.band") == F.col("r.band")) & (F.col("l.bits") == F.col("r.bits")) & (F.col("l.image") < F.col("r.image"))
-    pairs = l.join(r, key & near & (T.hamming(F.col("l.hash"), F.col("r.hash")) <= most_bits)).select(F.col("l.doc_id").alias("doc_id"), F.col("l.image").alias("a"), F.col("r.image").alias("b"))
-    ends = pairs.select("doc_id", F.explode(F.array(F.struct(F.col("a").alias("image"), F.col("a").alias("first")), F.struct(F.col("b").alias("image"), F.col("a").alias("first")))).alias("e")).select("doc_id", "e.*")
-    first = ends.groupBy("doc_id", "image").agg(F.min("first").alias("first"))
-    found = same.join(first, ["doc_id", "image"], "left").where("first is not null or n > 1").select(*own, F.coalesce("first", "image").alias("first"))
+    pairs = l.join(r, (F.col("l.doc_id") == F.col("r.doc_id")) & (F.col("l.image") != F.col("r.image")) & near)
+    firsts = pairs.select(F.col("l.doc_id").alias("doc_id"), F.col("l.image").alias("image"), F.col("r.image").alias("other")).unionByName(_firsts_in_cells(met.where(F.col("images") > FEW_IMAGES), most_bits))
+    first = firsts.groupBy("doc_id", "image").agg(F.min("other").alias("first"))
+    found = same.join(first, ["doc_id", "image"], "left").where("first is not null or n > 1").select(*own, F.least("first", "image").alias("first"))
     return images.join(found, own).select("doc_id", "image_id", "first")
+
+
+def _firsts_in_cells(met: DataFrame, most_bits: int) -> DataFrame:
+    """doc_id, image and other: for each cell of two blocks of a document's images, the smallest one near each."""
+    blocks = F.ceil(F.col("images") / BLOCK).cast("int")
+    rows = met.withColumn("block", F.pmod(F.xxhash64("image"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("doc_id", "image", "bits", "x", "y", "w", "h", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
+
+    def of_cell(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("image", ignore_index=True)
+        low, high = (np.flatnonzero((frame["block"] == k).to_numpy()) for k in key[1:])
+        ids, bits = frame["image"].to_numpy(), frame["bits"].to_numpy(np.int64).view(np.uint64)
+        shape = [(frame[c].to_numpy(float), most) for c, most in (("x", PLACE), ("y", PLACE), ("w", SIZE), ("h", SIZE))]
+        of, other = [], []
+        # Images are in the order of ids: the first place that holds a near one is the smallest.
+        for mine, all_ in ((low, high), (high, low)) if key[1] != key[2] else ((low, low),):
+            for start in range(0, len(mine) if len(all_) else 0, ROWS):
+                at = mine[start : start + ROWS]
+                near = (np.bitwise_count(bits[at, None] ^ bits[None, all_]) <= most_bits) & (ids[at, None] != ids[None, all_])
+                for v, most in shape:
+                    near &= np.abs(v[at, None] - v[None, all_]) <= most
+                found = near.any(1)
+                of.append(ids[at[found]])
+                other.append(ids[all_[near.argmax(1)[found]]])
+        return pd.DataFrame({"doc_id": [key[0]] * sum(map(len, of)), "image": np.concatenate(of) if of else [], "other": np.concatenate(other) if other else []})
+
+    doc, image = (dict(met.dtypes)[c] for c in ("doc_id", "image"))
+    # Cells are work of like size, whatever their bytes.
+    tasks = max(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * met.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, "doc_id", "low", "high").groupBy("doc_id", "low", "high").applyInPandas(of_cell, f"doc_id {doc}, image {image}, other {image}")

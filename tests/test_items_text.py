@@ -268,3 +268,20 @@ def test_boxes_meet_in_cells(spark):
     apart = apart.withColumns({"x1": F.col("x0") + 1, "y1": F.col("y0") + 1})
     pairs = meta.box_pairs(apart, apart, "page")
     assert "_x" in pairs._jdf.queryExecution().optimizedPlan().toString() and pairs.count() == 90000
+
+
+def test_images_of_a_large_document_meet_in_cells(spark, monkeypatch):
+    """Hashes of few bits, all of whose bands are often equal: no pairs are written, and results equal all pairs."""
+    rng = random.Random(8)
+    rows = [(i % 3 if i < 260 else 9, 1000 - i, f"{sum(1 << b for b in rng.sample(range(64), 6)):016x}", rng.choice([0.0, 0.025, 0.05]), 0.0, rng.choice([0.0, 0.1]), 0.0) for i in range(280)]
+    rows.append((0, 5, None, 0.0, 0.0, 0.0, 0.0))
+    images = spark.createDataFrame(rows, "doc_id long, image_id long, hash string, x double, y double, w double, h double")
+    near = lambda a, b: a[0] == b[0] and a[1] != b[1] and bin(int(a[2], 16) ^ int(b[2], 16)).count("1") <= 8 and abs(a[3] - b[3]) <= 0.04 and abs(a[5] - b[5]) <= 0.06
+    some = rows[:-1]
+    want = sorted((a[0], a[1], min(a[1], *o)) for a in some if (o := [b[1] for b in some if near(a, b)]))
+    for block in (4096, 30):
+        monkeypatch.setattr(layout, "BLOCK", block)
+        monkeypatch.setattr(layout, "ROWS", 7)
+        got = layout.repeated_images(images)
+        assert sorted(map(tuple, got.select("doc_id", "image_id", "first").collect())) == want and want
+    assert "FlatMapGroupsInPandas" in got._jdf.queryExecution().optimizedPlan().toString()
