@@ -6,7 +6,9 @@ segments is windows over a document's items; the merge of short chunks, a loop p
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,16 +168,21 @@ def merged(chunks: list[dict], config: Config = DEFAULT) -> list[dict]:
 def chunk(items: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """doc_id, chunk_index, path, chunk_type and content: pieces of at most 500 characters with ten visible ones or more, in order."""
 
-    def of_doc(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values("segment")[["path", "chunk_type", "content"]].to_dict("records")
-        pieces = [r | {"content": p} for r in rows for p in split(r["content"], config, r["chunk_type"]) if _spaceless(p) >= config.min_chunk_chars]
-        out = pd.DataFrame(merged(pieces, config), columns=["path", "chunk_type", "content"])
-        out.insert(0, "doc_id", frame["doc_id"].iloc[0])
-        out.insert(1, "chunk_index", range(len(out)))
-        return out
+    def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out = [], []
+            for i, rows in enumerate(batch.column(1)):
+                pieces = [{"path": r["path"], "chunk_type": r["chunk_type"], "content": p} for r in rows.as_py() for p in split(r["content"], config, r["chunk_type"]) if _spaceless(p) >= config.min_chunk_chars]
+                found = merged(pieces, config)
+                at += [i] * len(found)
+                out += [(k, c["path"], c["chunk_type"], c["content"]) for k, c in enumerate(found)]
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:])], ["doc_id", "chunk_index", "path", "chunk_type", "content"])
 
     kind = dict(items.dtypes)["doc_id"]
-    return segments(items).groupBy("doc_id").applyInPandas(of_doc, f"doc_id {kind}, chunk_index long, path string, chunk_type string, content string")
+    # A document is a row: no data frame of its own.
+    rows = segments(items).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("segment", "path", "chunk_type", "content"))).alias("rows"))
+    return rows.mapInArrow(of_docs, f"doc_id {kind}, chunk_index long, path string, chunk_type string, content string")
 
 
 def batched(rows: DataFrame, most: int) -> DataFrame:

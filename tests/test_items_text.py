@@ -285,3 +285,11 @@ def test_images_of_a_large_document_meet_in_cells(spark, monkeypatch):
         got = layout.repeated_images(images)
         assert sorted(map(tuple, got.select("doc_id", "image_id", "first").collect())) == want and want
     assert "FlatMapGroupsInPandas" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chunks_of_many_documents_need_no_frame_each(spark):
+    rows = [(d, i, "paragraph", "heading 1" if i == 0 else "正文", f"part {i} of a document with number {d}") for d in range(40) for i in range(4)]
+    got = items.chunk(spark.createDataFrame(rows, "doc_id long, item_index int, type string, style string, text string").repartition(5))
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = [(d, 0, f"part 0 of a document with number {d}", "text", "\n".join(f"part {i} of a document with number {d}" for i in (1, 2, 3))) for d in range(40)]
+    assert sorted(map(tuple, got.collect())) == want
