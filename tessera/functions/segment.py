@@ -5,14 +5,16 @@ which the rest can be cut; a character that no entry begins at stands alone, at
 wins over the words it is made of.
 
 The dictionary goes to every task as a broadcast. It is checked first: more than MOST_ENTRIES entries are refused, as a larger table has to be split by what texts need.
-A walk costs the run's length times the longest entry; runs that a task has met before are looked up.
+A walk costs the run's length times the longest entry; runs that a task has met before are looked up, of which it remembers KNOWN at most.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -21,6 +23,8 @@ from tessera.functions.text import HAN
 
 UNKNOWN, PLAIN, CUSTOM = -30, -20, -10
 MOST_ENTRIES = 2_000_000
+#: Bytes of text that a task cuts at a time, and runs that it remembers.
+SLICE, KNOWN = 1 << 20, 50_000
 
 
 class Trie:
@@ -65,17 +69,37 @@ def cutter(entries: DataFrame, most: int = MOST_ENTRIES):
         raise ValueError(f"{n} entries are too many for a broadcast dictionary of {most}")
     shared = entries.sparkSession.sparkContext.broadcast({r["word"]: r["weight"] for r in entries.toLocalIterator()})
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(ArrayType(StringType()))
+    def cut(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         trie, known = Trie(shared.value), {}
         for part in parts:
-            if len(known) > 200_000:
-                known.clear()
-            yield part.map(lambda runs: [w for run in runs.split("\n") for w in (known.get(run) or known.setdefault(run, trie.cut(run)))] if runs else [])
+            yield from cut_slices(part, trie, known)
 
     return cut
 
 
+def cut_slices(part: pa.Array, trie: Trie, known: dict[str, list[str]], most: int = SLICE, most_known: int = KNOWN) -> Iterator[pa.Array]:
+    """The words of each text of part (Han runs by lines), as arrays for slices of most bytes of text or one text: a batch is never a whole in Python. known are runs with their words, most_known at most."""
+    n, at = len(part), 0
+    ends = np.cumsum(pc.fill_null(pc.binary_length(part), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    while at < n or not n:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))) if n else 0
+        found, offsets = [], [0]
+        for runs in part.slice(at, stop - at).to_pylist():
+            for run in runs.split("\n") if runs else ():
+                held = known.get(run)
+                if held is None:
+                    if len(known) >= most_known:
+                        known.clear()
+                    held = known[run] = trie.cut(run)
+                found += held
+            offsets.append(len(found))
+        yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, pa.string()))
+        if not n:
+            return
+        at = stop
+
+
 def words(text: Column, cut) -> Column:
     """The analyzer of the lexical index with a dictionary: runs of letters and digits, and the words of Han runs, in lower case and in their order of kind. cut is a cutter()."""
     low = F.lower(F.coalesce(text, F.lit("")))
