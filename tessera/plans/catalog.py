@@ -333,16 +333,14 @@ def dedupe_twins(spark, sf_dir):
 SELECT t.item_id, count(d.doc_id) AS n_hits, min(d.doc_id) AS first_doc FROM t LEFT JOIN d ON len(t.t) > 0 AND len(d.t) > 0 AND len(list_intersect(t.t, d.t)) / len(t.t) >= 0.45 GROUP BY 1"""
 )
 def token_overlap_recall(spark, sf_dir):
-    """For each passage, the documents that hold 45 % of its tokens: by an inverted index, without comparing all pairs."""
+    """For each passage, the documents that hold 45 % of its tokens: by an inverted index of the passages, where the documents are."""
     return _overlapping(spark, sf_dir, False)
 
 
 def _overlapping(spark, sf_dir, compat: bool):
-    b = table(spark, sf_dir, "benchmark").select("item_id", T.overlap_tokens(F.col("text"), compat).alias("t")).withColumn("n", F.size("t"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.overlap_tokens(F.col("text"), compat)).alias("x"))
-    same = d.join(b.select("item_id", "n", F.explode("t").alias("x")), "x").groupBy("item_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("k"))
-    hits = same.where(F.col("k") / F.col("n") >= DEFAULT.overlap_threshold).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_hits"), F.min("doc_id").alias("first_doc"))
-    return b.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), "first_doc")
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    hits = evaluation.overlapping(b, table(spark, sf_dir, "documents"), compat=compat).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_hits"), F.min("doc_id").alias("first_doc"))
+    return b.select("item_id").distinct().join(hits, "item_id", "left").select("item_id", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), "first_doc")
 
 
 _FLAT_TOKENS = "list_distinct(regexp_extract_all(regexp_replace(lower(coalesce({0}, '')), '\\s+', '', 'g'), '[a-z0-9_]{{2,}}'))"

@@ -118,3 +118,24 @@ def test_few_vectors(spark):
     nothing = scratch(spark)
     postings.build(spark.createDataFrame([], "id long, terms array<long>, ws array<double>"), nothing)
     assert postings.search(spark, nothing, spark.createDataFrame([(1, 5, 1.0)], "query_id long, term long, qw double"), 5).collect() == []
+
+
+def test_overlapping_row_by_row(spark, monkeypatch):
+    """Rows are compared as they are, repeated ids included; a table of items and documents is met in parts, items in batches; pairs are not exchanged."""
+    import random
+
+    from tessera.operators import evaluation
+
+    rnd = random.Random(3)
+    text = lambda n: " ".join(rnd.choice("alpha beta gamma delta eps zeta eta theta".split()) for _ in range(n))
+    items = [(i % 30, text(rnd.randint(1, 6))) for i in range(40)] + [(50, None), (51, "x ?")]
+    docs = [(i % 90, text(rnd.randint(0, 4))) for i in range(120)] + [(95, None)]
+    want = sorted((i, d) for i, t in items for d, u in docs if t and t != "x ?" and len({*t.split()} & {*(u or "").split()}) / len({*t.split()}) >= 0.45)
+    given = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    found = lambda: sorted(tuple(r) for r in evaluation.overlapping(*given).collect())
+    assert found() == want
+    assert "Exchange" not in evaluation.overlapping(*given)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(evaluation, "BATCH", 40)
+    monkeypatch.setattr(evaluation, "CELLS", 64)
+    assert found() == want
+    assert not evaluation.overlapping(given[0].limit(0), given[1]).collect()
