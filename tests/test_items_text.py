@@ -293,3 +293,19 @@ def test_chunks_of_many_documents_need_no_frame_each(spark):
     assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
     want = [(d, 0, f"part 0 of a document with number {d}", "text", "\n".join(f"part {i} of a document with number {d}" for i in (1, 2, 3))) for d in range(40)]
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_quick_steps_equal_patterns(spark):
+    """What the JVM puts before a step's pattern, or in its place, changes no result; ends are trimmed as by their pattern."""
+    import random
+
+    from tessera.functions import cleaning as C
+
+    rnd = random.Random(5)
+    parts = [*C.SPACES, *" \n\t  \u3000,.!?;:，。()（）[]【】\"'-ab1ZéÃÂâå€\u0080\u00bf\u200b\ufeff\x07\ufffd\ufe0f✅★空", "同步自文档：https://a.b/c ", "图片: data/processing/a b.PNG", "\U0001f600", "\U000e0101", "\u2028", "Â "]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(4000)] + [None]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string")
+    steps = {p: n for p, n in (*C.FIRST, *C.LAST)}
+    assert set(C.BEFORE) | set(C.INSTEAD) <= set(steps)
+    wrong = [F.count_if(~C._replaced(F.col("x"), p, n).eqNullSafe(F.regexp_replace("x", p, n))) for p, n in steps.items()]
+    assert set(rows.agg(*wrong, F.count_if(~C.stripped(F.col("x")).eqNullSafe(F.regexp_replace("x", C.ENDS, "")))).first()) == {0}
