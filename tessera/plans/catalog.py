@@ -188,7 +188,7 @@ def flow_response(spark, sf_dir):
 def chunk_ids(spark, sf_dir):
     """A source as a file, whose documents are numbered without a window over the file."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", T.file_id(F.col("source"), F.lit("doc")).alias("file_id"))
-    return numbered(docs, ["source"], [F.col("doc_id")], "at").select("doc_id", "file_id", T.chunk_id(F.col("file_id"), F.col("at") - 1).alias("chunk_id"))
+    return numbered(docs, ["source"], [F.col("doc_id")], "at", count=docs.count()).select("doc_id", "file_id", T.chunk_id(F.col("file_id"), F.col("at") - 1).alias("chunk_id"))
 
 
 def _chunks(spark, sf_dir):

@@ -29,3 +29,16 @@ def test_no_window_holds_a_group(spark):
     inside = plan[plan.index("Window") :]
     assert "Aggregate" in inside and plan.count("Window") == 1
     assert out.agg(F.max("n"), F.countDistinct("n")).first() == (20_000, 20_000)
+
+
+def test_ranges_of_bounded_rows(spark, monkeypatch):
+    """With a count, no range holds many more rows than ROWS, however well they compress, and numbers are the same."""
+    from tessera.operators import numbering
+
+    df = spark.range(20_000).select((F.col("id") % 2).alias("g"), F.shiftright("id", 1).alias("v"))
+    monkeypatch.setattr(numbering, "ROWS", 1000)
+    held = []
+    monkeypatch.setattr(numbering, "written", lambda x, write=numbering.written: held.append(write(x)) or held[-1])
+    out = numbered(df, ["g"], [F.col("v")], "at", "n", 20_000)
+    assert max(r["count"] for r in held[0].groupBy(numbering._PART).count().collect()) < 3000
+    assert out.where("at <> v + 1 or n <> 10000").count() == 0 and out.count() == 20_000
