@@ -29,10 +29,12 @@ def merged_map(existing: DataFrame, new: DataFrame, key: str, value: str) -> Dat
 
 def vocabulary(existing: DataFrame, found: DataFrame) -> DataFrame:
     """word and pos: the first occurrence wins, existing ones before found ones; words of digits only go. Both have word, pos and seq."""
-    word = F.lower(T.trim_u(F.col("word")))
-    rows = existing.withColumn("part", F.lit(0)).unionByName(found.withColumn("part", F.lit(1))).withColumn("word", word)
-    rows = rows.where((F.length("word") >= 2) & ~F.col("word").rlike(r"^[0-9]+$"))
-    return rows.groupBy("word").agg(F.min_by("pos", F.struct("part", "seq")).alias("pos"))
+    rows = existing.withColumn("part", F.lit(0)).unionByName(found.withColumn("part", F.lit(1)))
+    # First the least seq of each word as it stands and pos, a number that tasks keep in hash tables; the words, far fewer then, are normalised after that. A null seq comes first.
+    held = rows.groupBy("word", "pos", "part", F.col("seq").isNull().alias("none")).agg(F.min("seq").alias("seq")).withColumn("word", F.lower(T.trim_u(F.col("word"))))
+    # Tested within the aggregate: a filter of words would be moved to every occurrence.
+    good = (F.length("word") >= 2) & ~F.col("word").rlike(r"^[0-9]+$")
+    return held.groupBy("word").agg(F.min_by(F.when(good, F.struct("pos")), F.struct("part", "seq")).alias("first")).where("first is not null").select("word", "first.pos")
 
 
 def twins(rows: DataFrame, stem: str, kind: str, preferred: str) -> DataFrame:

@@ -514,7 +514,7 @@ SELECT word, arg_min(pos, (part, seq)) AS pos FROM a WHERE length(word) >= 2 AND
 )
 def vocab_merge(spark, sf_dir):
     old = table(spark, sf_dir, "benchmark").select(F.explode(T.words(F.col("text"))).alias("word"), F.lit("n").alias("pos"), F.col("item_id").alias("seq"))
-    new = table(spark, sf_dir, "documents").select(F.explode(T.words(F.col("text"))).alias("word"), F.col("lang").alias("pos"), F.col("doc_id").alias("seq"))
+    new = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(T.words(F.col("text")))).alias("word"), F.col("lang").alias("pos"), F.col("doc_id").alias("seq"))
     return meta.vocabulary(old, new)
 
 

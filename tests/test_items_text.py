@@ -309,3 +309,14 @@ def test_quick_steps_equal_patterns(spark):
     assert set(C.BEFORE) | set(C.INSTEAD) <= set(steps)
     wrong = [F.count_if(~C._replaced(F.col("x"), p, n).eqNullSafe(F.regexp_replace("x", p, n))) for p, n in steps.items()]
     assert set(rows.agg(*wrong, F.count_if(~C.stripped(F.col("x")).eqNullSafe(F.regexp_replace("x", C.ENDS, "")))).first()) == {0}
+
+
+def test_vocabulary_is_hashed_first(spark):
+    """Words are kept by hash tables of numbers before they are normalised; spellings of a word meet after that, a null seq comes first."""
+    of = lambda rows: spark.createDataFrame(rows, "word string, pos string, seq long")
+    old = of([("Alpha", "n", 5), (" alpha", "v", 3), ("b", "n", 1), ("12", "n", 1), (None, "n", 1)])
+    new = of([("alpha ", "x", 1), ("BETA", "y", 9), ("beta", "z", 8), (" beta", None, 7), ("gamma", "u", 1), ("Gamma", "w", None)])
+    out = meta.vocabulary(old, new)
+    assert {r["word"]: r["pos"] for r in out.collect()} == {"alpha": "v", "beta": None, "gamma": "w"}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[word" in plan and "rlike" not in plan.lower()[plan.lower().rindex("exchange") :]
