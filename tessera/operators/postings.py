@@ -5,7 +5,7 @@ highest weight first. On disk blocks lie in folders by the term's hash, so that
 for all queries of a batch.
 
 In a shard, the blocks of a query's terms are taken in descending order of their part of the score, and what is left of each term bounds what a document may still gain. Once no document
-but a few can be among the best k, of this shard, the rest is skipped, and the scores of these few are completed. So no pair of a query and a document is exchanged, but for the best k of each shard.
+but a few can be among the best k, of this shard, the rest is skipped, and the scores of these few are completed. A query with few postings has them added up at once. So no pair of a query and a document is exchanged, but for the best k of each shard.
 
 Scores are sums of the query's weight times the posting's, rounded before they are ranked; ties go to the smaller id. A query without known terms has no result.
 """
@@ -13,7 +13,7 @@ Scores are sums of the query's weight times the posting's, rounded before they a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,21 +32,36 @@ BATCH = 1 << 18
 MARGIN = 10.0**-DIGITS * 2
 #: A step takes blocks down to this share of the highest part left; as many documents at most, for each of k, have their scores completed.
 STEP, FEW = 0.75, 16
+#: Up to this many postings for each term of a query are added up at once, which is quicker than steps.
+DIRECT = 4096
 
 
 def part(term: str = "term", parts: int = PARTS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
 
 
-def build(entries: DataFrame, path: str, parts: int = PARTS) -> None:
-    """Writes the index of entries (id, terms: hashes, ws: their weights), a row a document, to a new folder. Nothing but finished blocks is exchanged."""
+def slices(batch: pa.RecordBatch, most: int, first: int | None = None) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Pieces of a batch whose second column's lists have up to most items together (the first piece up to first), but a row at least, and how many they have."""
+    upto, at, room = np.cumsum(np.diff(batch.column(1).offsets.to_numpy())), 0, most if first is None else first
+    while at < batch.num_rows:
+        before = int(upto[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(upto, before + room, side="right")))
+        yield batch.slice(at, stop - at), int(upto[stop - 1]) - before
+        at, room = stop, most
+
+
+def build(entries: DataFrame, path: str, parts: int = PARTS, weigh: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> None:
+    """Writes the index of entries (id, terms: hashes, ws: their weights), a row a document, to a new folder. Nothing but finished blocks is exchanged.
+
+    weigh makes entries of a task's batches, of which the first column is id then.
+    """
     kind = dict(entries.dtypes)["id"]
 
-    def blocks(ids: list, terms: list, ws: list, shard: int) -> pa.RecordBatch:
-        counts = [len(x) for x in terms]
+    def blocks(ids: list, counts: list, terms: list, ws: list, shard: int) -> pa.RecordBatch:
+        counts = np.concatenate(counts)
         term, w = np.concatenate(terms), np.concatenate(ws)
         at = np.repeat(np.arange(len(counts)), counts)
-        order = np.lexsort((at, -w, term))
+        order = np.lexsort((-w, term))  # stable, so that equal weights stay in the order of documents
         term, n = term[order], len(order)
         run = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
         place = np.arange(n) - np.repeat(run, np.diff(np.append(run, n)))
@@ -57,25 +72,21 @@ def build(entries: DataFrame, path: str, parts: int = PARTS) -> None:
         return pa.RecordBatch.from_arrays([pa.array(term[starts]), pa.array(np.full(len(starts), shard, np.int64)), *lists], ["term", "shard", "ids", "ws"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, terms, ws, n, shard = [], [], [], 0, TaskContext.get().partitionId() << 32
-        for batch in batches:
-            lists = batch.column(1)
-            upto, at = np.cumsum(np.diff(lists.offsets.to_numpy())), 0
-            while at < batch.num_rows:
-                before = int(upto[at - 1]) if at else 0
-                stop = max(at + 1, int(np.searchsorted(upto, before + SHARD_POSTINGS - n, side="right")))
-                piece = batch.slice(at, stop - at)
-                ids.append(piece.column(0))
-                terms += np.split(piece.column(1).flatten().to_numpy(zero_copy_only=False), upto[at : stop - 1] - before)
-                ws.append(piece.column(2).flatten().to_numpy(zero_copy_only=False))
-                n, at = n + int(upto[stop - 1]) - before, stop
-                if n and (n >= SHARD_POSTINGS or at < batch.num_rows):
-                    yield blocks(ids, terms, ws, shard)
-                    ids, terms, ws, n, shard = [], [], [], 0, shard + 1
+        held, n, shard = ([], [], [], []), 0, TaskContext.get().partitionId() << 32
+        for batch in weigh(batches) if weigh else batches:
+            for piece, size in slices(batch, SHARD_POSTINGS, SHARD_POSTINGS - n):
+                if n and n + size > SHARD_POSTINGS:
+                    yield blocks(*held, shard)
+                    held, n, shard = ([], [], [], []), 0, shard + 1
+                lists = piece.column(1)
+                flat = (x.flatten().to_numpy(zero_copy_only=False) for x in (lists, piece.column(2)))
+                for to, x in zip(held, (piece.column(0), np.diff(lists.offsets.to_numpy()), *flat), strict=True):
+                    to.append(x)
+                n += size
         if n:
-            yield blocks(ids, terms, ws, shard)
+            yield blocks(*held, shard)
 
-    rows = entries.select("id", F.col("terms").cast("array<long>").alias("terms"), F.col("ws").cast("array<double>").alias("ws")).where(F.size("terms") > 0)
+    rows = entries if weigh else entries.select("id", F.col("terms").cast("array<long>").alias("terms"), F.col("ws").cast("array<double>").alias("ws")).where(F.size("terms") > 0)
     out = rows.mapInArrow(cut, f"term long, shard long, ids array<{kind}>, ws array<double>").withColumn("part", part("term", parts))
     write_parts(out.hint("rebalance", "part").sortWithinPartitions("part", "term"), path, "part")
 
@@ -103,6 +114,16 @@ class Shard:
         held = (self.ends[terms] < self.ends[terms + 1]) & (qw > 0)
         some, w = terms[held], qw[held]
         at, end = self.ends[some].copy(), self.ends[some + 1]
+        if (end - at).sum() <= DIRECT * len(some):
+            entries = np.concatenate([np.arange(a, b) for a, b in zip(at, end)]) if len(some) else np.zeros(0, np.int64)
+            sums = np.bincount(self.docs[entries], np.repeat(w, end - at) * -self.falling[entries], self.n_docs)
+            met = np.zeros(self.n_docs, bool)
+            met[self.docs[entries]] = True
+            may = np.flatnonzero(met)
+            if len(may) > k:
+                may = may[sums[may] >= np.partition(sums[may], len(may) - k)[len(may) - k] - MARGIN]
+            keep = np.lexsort((may, -np.round(sums[may], DIGITS)))[:k]
+            return may[keep], sums[may[keep]], len(entries)
         sums, met, taken = np.zeros(self.n_docs), np.zeros(self.n_docs, bool), 0
         left = -w * self.falling[at] if len(some) else w
         least = -np.inf

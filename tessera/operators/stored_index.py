@@ -2,25 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import DEFAULT, Config
 from tessera.functions import text as T
 from tessera.operators import pivots, postings
-from tessera.operators.retrieval import Index, bm25_terms, query_weights
-from tessera.session import written
+from tessera.operators.retrieval import Index, bm25_stats, idf_terms, query_weights
+from tessera.session import read_parts, written
+
+
+#: Words of a slice of a batch that are counted at a time.
+SLICE = 1 << 20
+
+
+def counting(config: Config = DEFAULT) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Makes entries (id, terms, ws) of batches of (id, the hashes of a text's words, avgdl); texts without words have none."""
+    k1, b, most = config.k1, config.b, SLICE
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece, size in postings.slices(batch, most):
+                if not size:
+                    continue
+                dl = np.diff(piece.column(1).offsets.to_numpy()).astype(np.int64)
+                found = piece.column(1).flatten().dictionary_encode()
+                n_terms = len(found.dictionary)
+                # A number for each pair of a text and a term: equal ones, once sorted, are the term's occurrences.
+                pairs = np.sort(np.repeat(np.arange(len(dl)), dl) * n_terms + found.indices.to_numpy())
+                first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+                tf, (doc, term) = np.diff(np.append(first, size)), np.divmod(pairs[first], n_terms)
+                w = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / piece.column(2).to_numpy()[doc]))
+                offsets = pa.array(np.append(0, np.cumsum(np.bincount(doc)[dl[: doc[-1] + 1] > 0])).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, x) for x in (found.dictionary.take(pa.array(term)), pa.array(w))]
+                yield pa.RecordBatch.from_arrays([piece.column(0).filter(pa.array(dl > 0)), *lists], ["id", "terms", "ws"])
+
+    return counted
 
 
 def build_lexical(docs: DataFrame, id_col: str, text_col: str, path: str, config: Config = DEFAULT) -> None:
-    """Writes terms and postings of texts, which are cut into words once."""
-    counted = written(docs.select(F.col(id_col).alias("id"), T.counted_words(F.col(text_col)).alias("t")))
-    stats = written(counted.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.get("t", F.lit(0))["dl"], F.lit(0))).alias("avgdl")))
-    terms = bm25_terms(counted.select(F.explode(F.transform("t", lambda x: F.xxhash64(x["term"]))).alias("term")), stats, config)
-    terms.write.mode("overwrite").parquet(f"{path}/terms")
-    w = lambda x: x["tf"] * (config.k1 + 1) / (x["tf"] + config.k1 * (1 - config.b + config.b * x["dl"] / F.col("avgdl")))
-    entries = counted.join(F.broadcast(stats.select("avgdl"))).select("id", F.transform("t", lambda x: F.xxhash64(x["term"])).alias("terms"), F.transform("t", w).alias("ws"))
-    postings.build(entries, f"{path}/postings")
+    """Writes postings of texts, whose words are hashed where they are cut and counted by the task that makes the blocks, and the terms, whose document frequencies are the sizes of the blocks."""
+    spark, rows = docs.sparkSession, docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    stats = written(bm25_stats(rows, "text"))
+    hashes = F.transform(T.words(F.col("text")), lambda x: F.xxhash64(x))
+    postings.build(rows.join(F.broadcast(stats.select("avgdl"))).select("id", hashes.alias("words"), "avgdl"), f"{path}/postings", weigh=counting(config))
+    df = read_parts(spark, f"{path}/postings").groupBy("term").agg(F.sum(F.size("ids")).alias("df"))
+    idf_terms(df, stats, config).write.mode("overwrite").parquet(f"{path}/terms")
 
 
 def build(rows: DataFrame, terms: DataFrame, path: str) -> None:
