@@ -35,10 +35,14 @@ def _some(x: Column) -> Column:
 
 def message_text(message: Column) -> Column:
     """The text of a message of type text: its content's text, or the content itself where it is no JSON; else empty."""
-    content = _at(message, "content")
-    is_json = whole_json(content).isNotNull()
-    text = F.when(is_json, F.when(F.substring(F.ltrim(content), 1, 1) == "{", _at(content, "text"))).otherwise(content)
-    return F.when(_at(message, "message_type") == "text", F.coalesce(stripped(text), F.lit(""))).otherwise("")
+
+    def text(content: Column) -> Column:
+        is_json = whole_json(content).isNotNull()
+        return stripped(F.when(is_json, F.when(F.substring(F.ltrim(content), 1, 1) == "{", _at(content, "text"))).otherwise(content))
+
+    # As an element the content is taken out once, however often it is looked at.
+    found = F.transform(F.array(_at(message, "content")), text).getItem(0)
+    return F.when(_at(message, "message_type") == "text", F.coalesce(found, F.lit(""))).otherwise("")
 
 
 def sender_id(sender: Column) -> Column:
@@ -46,7 +50,9 @@ def sender_id(sender: Column) -> Column:
 
 
 def sender_name(sender: Column) -> Column:
-    return F.coalesce(*[_some(_at(sender, k)) for k in SENDER_NAMES], *[_some(_at(sender, f"sender_id.{k}")) for k in SENDER_NAMES if k != "sender_name"])
+    names = [*SENDER_NAMES, *(f"sender_id.{k}" for k in SENDER_NAMES if k != "sender_name")]
+    found = F.transform(F.array(*[_at(sender, k) for k in names]), stripped)
+    return F.get(F.filter(found, lambda x: x != ""), F.lit(0))
 
 
 def action_value(payload: Column) -> Column:
@@ -55,7 +61,8 @@ def action_value(payload: Column) -> Column:
     for place in ACTION_PLACES:
         value = _at(payload, f"{place}.value")
         tries += [F.when(F.substring(F.ltrim(value), 1, 1) == "{", value), F.when(_at(payload, f"{place}.action").isin(*ACTIONS), _at(payload, place))]
-    return F.coalesce(*tries)
+    # A key can't be there without its letters, plain or as numbers.
+    return F.when(payload.contains("action") | payload.contains("\\u"), F.coalesce(*tries))
 
 
 def dedupe_key(message_id: Column, event_id: Column) -> Column:
@@ -67,12 +74,14 @@ def dedupe_key(message_id: Column, event_id: Column) -> Column:
 def routed(payloads: DataFrame) -> DataFrame:
     """payloads with route (encrypted, challenge, card, ignored, empty or message), event_type, event_id, key, question, sender and sender_name, and action for cards."""
     p = F.col("payload")
-    kind = F.coalesce(_at(p, "header.event_type"), _at(p, "type"))
-    rows = payloads.withColumns({
-        "event_type": kind, "event_id": _at(p, "header.event_id"), "action": action_value(p), "question": message_text(_at(p, "event.message")),
-        "sender": sender_id(_at(p, "event.sender")), "sender_name": sender_name(_at(p, "event.sender")), "key": dedupe_key(_at(p, "event.message.message_id"), _at(p, "header.event_id")),
+    # Columns of their own, which are evaluated once each; fields of a struct would be put back into what reads them.
+    parts = {f"_routed_{k}": _at(p, path) for k, path in (("kind", "header.event_type"), ("type", "type"), ("event", "header.event_id"), ("message", "event.message"), ("sender", "event.sender"))}
+    part = lambda k: F.col(f"_routed_{k}")
+    rows = payloads.withColumns(parts).withColumns({
+        "event_type": F.coalesce(part("kind"), part("type")), "event_id": part("event"), "action": action_value(p), "question": message_text(part("message")),
+        "sender": sender_id(part("sender")), "sender_name": sender_name(part("sender")), "key": dedupe_key(_at(p, "event.message.message_id"), part("event")),
     })
-    is_card = (F.col("event_type") == CARD) | (_at(p, "type") == CARD) | _at(F.col("action"), "action").isin(*ACTIONS)
+    is_card = (F.col("event_type") == CARD) | (part("type") == CARD) | _at(F.col("action"), "action").isin(*ACTIONS)
     route = (
         F.when(_at(p, "encrypt").isNotNull(), "encrypted")
         .when(F.coalesce(_at(p, "challenge"), F.lit("")) != "", "challenge")
@@ -81,7 +90,7 @@ def routed(payloads: DataFrame) -> DataFrame:
         .when(F.col("question") == "", "empty")
         .otherwise("message")
     )
-    return rows.withColumn("route", route)
+    return rows.withColumn("route", route).drop(*parts)
 
 
 def action_kind(action: Column) -> Column:
